@@ -16,6 +16,12 @@ def tokenizer_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import spotsigs
+
+    return spotsigs(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -35,6 +41,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, held_out, identify
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = identify(docs.select("doc_id", "text"), fit(docs.filter(~held_out())))
+    return labelled.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -44,9 +58,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs": op1_spotsigs,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_mix_sources": op4_mix_sources,
         "op6_line_dedup": op6_line_dedup,
+        "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
     }
 
