@@ -177,7 +177,10 @@ def slots(sources: DataFrame) -> DataFrame:
 
 
 def takes(placed: DataFrame, mixture: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """What each slot takes from each document: the document's key, __pass, __lo, __hi (words)."""
+    """What each slot takes from each document: the document's key, __pass, __lo, __hi (words).
+
+    The mixture grows with the corpus though its plan starts from a small table, so it is never broadcast.
+    """
     end = F.col("__begin") + F.col("size")
     cuts = placed.filter("size > 0").select(
         "*",
@@ -187,7 +190,7 @@ def takes(placed: DataFrame, mixture: DataFrame, block_words: int = BLOCK_WORDS)
     )
     lo = F.greatest(F.col("__block") * block_words, F.col("__begin")) - F.col("__begin")
     hi = F.least((F.col("__block") + 1) * block_words, end) - F.col("__begin")
-    return cuts.withColumns({"__lo": lo, "__hi": hi}).join(mixture.select("__sid", "__block", "__pass"), ["__sid", "__block"])
+    return cuts.withColumns({"__lo": lo, "__hi": hi}).join(mixture.select("__sid", "__block", "__pass").hint("merge"), ["__sid", "__block"])
 
 
 def mix_sizes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
