@@ -35,3 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key of more than this part of all rows, and of more than MIN_HOT rows, is split in a spread join.
+HOT = 1024
+MIN_HOT = 500
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, salt: list[str]) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key and the key's rows of ``left`` as ``n``.
+
+    Keys of more than a HOT-th of the rows - there are at most HOT, so their table is broadcast - are
+    split into as many parts as they have HOT-ths, by a hash of the columns ``salt`` of ``left``.
+    ``right`` is read several times and should be cut.
+    """
+    part = max(MIN_HOT, (right.agg(F.sum(n)).first()[0] or 0) // HOT)
+    right = right.withColumn("__of", F.ceil(F.col(n) / part).cast("int"))
+    hot = right.filter("__of > 1").select(*(F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)), F.col("__of").alias("__parts"))
+    same = [F.col(k) == F.col(f"__hot{i}") for i, k in enumerate(keys)]
+    for more in same[1:]:
+        same[0] = same[0] & more
+    number = F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts")), F.lit(0)).cast("int")
+    tagged = left.join(F.broadcast(hot), same[0], "left").withColumn("__salt", number).drop("__parts", *(f"__hot{i}" for i in range(len(keys))))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__of") - 1))).drop("__of")
+    return tagged.join(copies, [*keys, "__salt"]).drop("__salt")

@@ -18,11 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, cut
-
-#: A key of more than this part of the repeated lines, and of more than MIN_HOT lines, is split.
-HOT = 1024
-MIN_HOT = 500
+from .common import WHITE, ascii_lower, cut, spread_join
 
 
 def _split(text: Column) -> Column:
@@ -55,24 +51,6 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     return counted.filter(F.col("__docs") >= min_docs).drop("__docs")
 
 
-def _lost(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(__id, __row, __pos) of lines to drop. Keys of more than a HOT-th of the lines are salted.
-
-    There are at most HOT such keys, so their table is broadcast; each is split into as many parts
-    as it has HOT-ths.
-    """
-    repeated = cut(repeated_keys(lines, min_docs))
-    total = repeated.agg(F.sum("__n")).first()[0] or 0
-    part = max(MIN_HOT, total // HOT)
-    repeated = repeated.withColumn("__salts", F.ceil(F.col("__n") / part).cast("int"))
-    hot = repeated.filter("__salts > 1").select(F.col("__h1").alias("__hot1"), F.col("__h2").alias("__hot2"), F.col("__salts").alias("__of"))
-    tagged = lines.join(F.broadcast(hot), (F.col("__h1") == F.col("__hot1")) & (F.col("__h2") == F.col("__hot2")), "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("__id", "__pos"), F.col("__of")), F.lit(0)).cast("int")
-    tagged = tagged.select("__id", "__row", "__pos", "__h1", "__h2", salt.alias("__salt"))
-    copies = repeated.select("__h1", "__h2", "__first", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"))
-    return tagged.join(copies, ["__h1", "__h2", "__salt"]).filter("__id != __first").select("__id", "__row", "__pos")
-
-
 def dedup_lines(
     docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -83,7 +61,9 @@ def dedup_lines(
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     lines = _keyed_lines(docs, min_chars, id_col, text_col)
-    lost = _lost(lines, min_docs).groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__lost"))
+    repeated = cut(repeated_keys(lines, min_docs))
+    lost = spread_join(lines, repeated, ["__h1", "__h2"], "__n", ["__id", "__pos"]).filter("__id != __first")
+    lost = lost.groupBy("__id", "__row").agg(F.collect_set("__pos").alias("__lost"))
     keyed = docs.withColumn("__row", F.xxhash64(F.col(text_col)))
     joined = keyed.join(
         lost.withColumnRenamed("__row", "__row2").hint("shuffle_hash"),

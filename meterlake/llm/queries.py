@@ -41,6 +41,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, held_out, identify
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_mix_sources": op4_mix_sources,
         "op6_line_dedup": op6_line_dedup,
+        "op7_cover_tree_dedup": op7_cover_tree_dedup,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
     }
