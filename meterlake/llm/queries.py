@@ -47,6 +47,12 @@ def op7_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_shingles
+
+    return link_shingles(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, held_out, identify
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op6_line_dedup": op6_line_dedup,
         "op7_cover_tree_dedup": op7_cover_tree_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
     }
