@@ -10,8 +10,10 @@ the threshold surely agree in some (pigeonhole), and by how many. The join is on
 2. Groups of more than SMALL documents give memberships instead of pairs. A document with fewer such
    memberships than it must share keeps none; the others are paired with their group's first.
 3. Candidates are verified on the whole sets; components are taken.
-4. Where two components still meet in as many large groups as a link needs, their documents are
-   paired as well and verified, so no link between components is lost.
+4. In large groups that still hold several components, documents of different ones are compared by
+   bit sketches, whose Hamming distance is at most the symmetric difference of the sets. A document
+   is looked at in as many of its groups as it takes to meet every possible partner once. What the
+   sketches do not rule out is verified as well, so no link between components is lost.
 Documents of equal sets are joined by the hash of their sets.
 
 Defined cases
@@ -29,18 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, spread_join
 from .components import components
-from .parity import DEN, NUM, band, chunk_keys, core, mix, shingle_sets
+from .parity import DEN, NUM, band, bands_of, chunk_keys, differences, hamming, mix, parity_bits, shingle_sets
 
 #: Largest group of documents under one key that is listed as pairs.
 SMALL = 16
 #: Keys that a part holds, about, and keys that a task gathers before it deals them out.
 PART_KEYS = 2_000_000
 FLUSH_KEYS = 2_000_000
+#: Documents of a large group that are compared at once with as many others.
+BLOCK = 1024
 #: Ids that are broadcast at most (8 bytes each) to filter the documents; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -69,10 +74,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(parts: int):
     """Texts to rows (part, entries, keys): who has which keys of a part.
 
-    An entry is a document in a band: id, band, size, need. A key is 32 bits within its part and the
-    number of its entry.
+    An entry is a document in a band: id, band, size, full chunks. A key is 32 bits within its part and
+    the number of its entry, in 16 bits where they suffice.
     """
-    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("need", "<i4")])
+    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
 
     def flush(entries: list, keys: list) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
@@ -83,7 +88,7 @@ def _dealt(parts: int):
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
             used, own = np.unique(owner[a:b], return_inverse=True)
-            row = [[int(part[a])], [table[used].tobytes()], [low[a:b].tobytes()], [own.astype(np.uint32).tobytes()]]
+            row = [[int(part[a])], [table[used].tobytes()], [low[a:b].tobytes()], [own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["part", "entries", "keys", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +101,8 @@ def _dealt(parts: int):
                 if same in seen:  # an equal set of this flush stands for it
                     continue
                 seen.add(same)
-                for i, need, own in chunk_keys(found):
-                    entries.append((int(doc), i, len(found), need))
+                for i, full, own in chunk_keys(found):
+                    entries.append((int(doc), i, len(found), full))
                     keys.append(own)
                     held += len(own)
             if held >= FLUSH_KEYS:
@@ -109,13 +114,17 @@ def _dealt(parts: int):
     return run
 
 
+COLUMNS = ["u", "v", "band", "full", "n", "grp", "size"]
+
+
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part: pairs (u, v, n shared keys, need) of small groups, memberships (u, group) of large ones."""
-    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("need", "<i4")])
+    """One part: pairs of small groups (n keys shared, full: keys to share), memberships of large ones."""
+    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
     tables = [np.frombuffer(x, dtype=entry) for x in pdf["entries"]]
     base = np.cumsum([0] + [len(t) for t in tables[:-1]])
     table = np.concatenate(tables)
-    owner = np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.int64) + b for x, b in zip(pdf["owners"], base, strict=True)])
+    wide = [np.uint16 if len(t) <= 1 << 16 else np.uint32 for t in tables]
+    owner = np.concatenate([np.frombuffer(x, dtype=w).astype(np.int64) + b for x, w, b in zip(pdf["owners"], wide, base, strict=True)])
     key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["keys"]])
     # of each key the documents, every one once
     order = np.lexsort((table["doc"][owner], key))
@@ -126,7 +135,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     out = []
-    cores = np.array([core(i) for i in range(int(table["band"].max()) + 1)])
+    cores = np.array([band(i)[1] for i in range(int(table["band"].max()) + 1)])
     us, vs = [], []
     for m in range(2, SMALL + 1):
         at = first[size == m]
@@ -139,17 +148,18 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = np.minimum(u["size"], v["size"]), np.maximum(u["size"], v["size"])
         good = (u["band"] == v["band"]) & (low <= cores[u["band"]]) & (DEN * low.astype(np.int64) >= NUM * high.astype(np.int64))
         u, v = u[good], v[good]
-        pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "need": np.maximum(u["need"], v["need"]), "band": u["band"]})
-        pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(need=("need", "min"), n=("u", "size"))
-        out.append(pairs.assign(grp=np.int64(-1), core=False))
+        need = np.maximum(np.maximum(u["full"], v["full"]) - differences(u["size"].astype(np.int64) + v["size"]), 1)
+        pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "full": need, "band": u["band"]})
+        pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(full=("full", "min"), n=("u", "size"))
+        out.append(pairs.assign(grp=np.int64(-1), size=0))
     big = np.repeat(size > SMALL, size)
     if big.any():
         rows = table[owner[big]]
         grp = (np.int64(pdf["part"].iloc[0]) << 32) | key[big].astype(np.int64)
-        out.append(pd.DataFrame({"u": rows["doc"], "v": np.int64(-1), "need": rows["need"], "band": rows["band"], "n": 1, "grp": grp, "core": rows["size"] <= cores[rows["band"]]}))
+        out.append(pd.DataFrame({"u": rows["doc"], "v": np.int64(-1), "full": rows["full"], "band": rows["band"], "n": 1, "grp": grp, "size": rows["size"]}))
     if not out:
-        return pd.DataFrame({c: [] for c in ("u", "v", "band", "need", "n", "grp", "core")})
-    return pd.concat(out)[["u", "v", "band", "need", "n", "grp", "core"]]
+        return pd.DataFrame({c: [] for c in COLUMNS})
+    return pd.concat(out)[COLUMNS]
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +167,16 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
 
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose ids are in ``wanted`` (doc_id, distinct)."""
+    some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted.hint("merge")
+    return docs.join(some, "doc_id", "left_semi")
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose documents' whole sets reach the threshold."""
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted.hint("merge")
-    sets = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").mapInArrow(_whole_sets, "doc_id long, shingles array<long>"))
+    sets = cut(_of(docs, wanted).mapInArrow(_whole_sets, "doc_id long, shingles array<long>"))
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.select("u", "v").join(left.hint("merge"), "u").join(right.hint("merge"), "v")
@@ -182,44 +197,78 @@ def link_shingles(docs: DataFrame) -> DataFrame:
     copies = spread_join(known, equal, ["n", "h1", "h2"], "__rows", ["doc_id"]).select(F.col("doc_id").alias("u"), "v").filter("u != v")
     # documents that share keys
     dealt = texts.mapInArrow(_dealt(parts), "part int, entries binary, keys binary, owners binary")
-    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_shared, "u long, v long, band int, need int, n int, grp long, core boolean"))
-    members = found.filter("grp >= 0").select("u", "band", "need", "grp", "core")
-    heavy = cut(members.groupBy("u", "band").agg(F.count("*").alias("c"), F.min("need").alias("g")))
-    pairs = found.filter("grp < 0").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_shared, "u long, v long, band int, full int, n int, grp long, size int"))
+    # what a member must share with any partner: its full chunks less the most differences it can have
+    size = F.col("size")
+    least = F.greatest(F.col("full") - _differences(size + F.floor(size * DEN / NUM)), F.lit(1)).alias("g")
+    highs = [band(i)[1] for i in range(64)]
+    is_core = (size <= F.element_at(F.array(*[F.lit(x) for x in highs]), F.col("band") + 1)).alias("core")
+    members = found.filter("grp >= 0").select("u", "band", "full", "size", "grp", least, is_core)
+    heavy = cut(members.groupBy("u", "band").agg(F.count("*").alias("c"), F.min("g").alias("g")))
+    pairs = found.filter("grp < 0").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.min("full").alias("need"))
     more = [heavy.select(F.col("u").alias(x), "band", F.col("c").alias(f"c{x}")) for x in ("u", "v")]
     pairs = pairs.join(more[0], ["u", "band"], "left").join(more[1], ["v", "band"], "left")
-    pairs = pairs.filter(F.col("n") + F.coalesce(F.least("cu", "cv"), F.lit(0)) * F.expr("if(cu is null or cv is null, 0, 1)") >= F.col("need"))
+    pairs = pairs.filter(F.col("n") + F.least(F.coalesce("cu", F.lit(0)), F.coalesce("cv", F.lit(0))) >= F.col("need"))
     # large groups: members that can link there, paired with the first of the smaller sets
-    kept = cut(members.join(heavy.filter("c >= g").select("u", "band", "c", "g"), ["u", "band"]).select("u", "band", "g", "grp", "core"))
+    kept = cut(members.drop("g").join(heavy.filter("c >= g").select("u", "band", "g"), ["u", "band"]))
     groups = cut(kept.groupBy("grp").agg(F.min(F.when(F.col("core"), F.col("u"))).alias("v"), F.count("*").alias("__rows")).filter("v is not null and __rows > 1"))
-    stars = spread_join(kept, groups, ["grp"], "__rows", ["u"]).select("u", "v").filter("u != v")
+    stars = spread_join(kept.select("u", "grp"), groups, ["grp"], "__rows", ["u"]).select("u", "v").filter("u != v")
     candidates = cut(pairs.select("u", "v").unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = cut(copies.unionByName(verify(texts, candidates)))
     reached = components(links)
     # components that meet in enough large groups without being joined
-    crossing = _crossing(kept, groups, reached, candidates)
+    crossing = _crossing(texts, kept, groups, reached, candidates)
     if not crossing.isEmpty():
         reached = components(links.unionByName(verify(texts, crossing)))
     out = sizes.join(reached.withColumnRenamed("u", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _crossing(kept: DataFrame, groups: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs not among ``done`` of documents in different components that share enough large groups."""
-    own = kept.join(reached, "u", "left").withColumn("component", F.coalesce("component", "u"))
-    own = cut(own.join(groups.select("grp"), "grp", "left_semi"))
-    by_group = own.groupBy("grp", "component", "band").agg(F.min("g").alias("g"))
-    mixed = by_group.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1")
-    by_group = cut(by_group.join(mixed.select("grp"), "grp", "left_semi"))
-    x, y = by_group.alias("x"), by_group.alias("y")
-    meet = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")))
-    meet = meet.groupBy(F.col("x.component").alias("a"), F.col("y.component").alias("b"), F.col("x.band").alias("band")).agg(
-        F.count("*").alias("n"), F.min(F.greatest("x.g", "y.g")).alias("g")
-    )
-    meet = cut(meet.filter("n >= g").select("a", "b", "band"))
-    u = own.select(F.col("u"), F.col("component").alias("a"), "band", "grp", F.col("g").alias("gu"), F.col("core").alias("cu"))
-    v = own.select(F.col("u").alias("v"), F.col("component").alias("b"), "band", "grp", F.col("g").alias("gv"), F.col("core").alias("cv"))
-    pairs = meet.join(u, ["a", "band"]).join(v, ["b", "band", "grp"]).filter("cu or cv")
-    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.min(F.greatest("gu", "gv")).alias("g")).filter("n >= g")
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return cut(pairs.join(done, ["u", "v"], "left_anti"))
+def _differences(sizes: Column) -> Column:
+    return F.floor(sizes * (DEN - NUM) / (DEN + NUM)).cast("int")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, sets in _sets(batches):
+        rows = [(int(doc), i, parity_bits(s, i)) for doc, s in zip(ids, sets, strict=True) for i in bands_of(len(s))]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["u", "band", "bits"])
+
+
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one group, of two blocks or one: pairs of different components that may link."""
+    sides = [x.sort_values("component") for _, x in pdf.groupby("block")]
+    a, b = sides[0], sides[-1]
+    bits = [np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(len(x), -1) for x in (a, b)]
+    us, vs = [], []
+    for k in range(0, len(a), 256):
+        part = a.iloc[k : k + 256]
+        sizes = part["size"].to_numpy(np.int64)[:, None] + b["size"].to_numpy(np.int64)[None, :]
+        low = np.minimum(part["size"].to_numpy()[:, None], b["size"].to_numpy()[None, :])
+        ok = (part["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :]) & (low * (DEN + NUM) >= sizes * NUM)
+        if ok.any():
+            ok &= part["core"].to_numpy()[:, None] | b["core"].to_numpy()[None, :]
+            ok &= hamming(bits[0][k : k + 256], bits[1]) <= differences(sizes)
+            i, j = np.nonzero(ok)
+            us.append(part["u"].to_numpy()[i])
+            vs.append(b["u"].to_numpy()[j])
+    u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, vs))
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+
+def _crossing(docs: DataFrame, kept: DataFrame, groups: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs not among ``done`` of documents in different components that large groups leave open."""
+    own = kept.join(groups.select("grp", "__rows"), "grp").join(reached, "u", "left").withColumn("component", F.coalesce("component", "u"))
+    # of c groups a link shares g at least, so each document may leave out g - 1, the largest ones
+    mine = W.partitionBy("u", "band")
+    own = own.withColumn("c", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy("__rows", "grp")))
+    own = cut(own.filter("r <= c - g + 1").select("u", "band", "grp", "size", "core", "component"))
+    mixed = own.groupBy("grp").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).filter("a != b")
+    own = cut(own.join(mixed.select("grp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "grp"))
+    bits = _of(docs, cut(own.select(F.col("u").alias("doc_id")).distinct())).mapInArrow(_sketches, "u long, band int, bits binary")
+    own = own.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = own.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    own = own.join(bits.hint("merge"), ["u", "band"])
+    pairs = own.select("grp", "i", "j", "block", "u", "size", "core", "component", "bits").groupBy("grp", "i", "j").applyInPandas(_compared, "u long, v long")
+    return cut(pairs.distinct().join(done, ["u", "v"], "left_anti"))

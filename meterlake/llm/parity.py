@@ -13,7 +13,7 @@ import numpy as np
 #: Jaccard threshold as a fraction of integers, and words a shingle.
 NUM, DEN = 75, 100
 WORDS = 5
-RATIO = 4 / 3
+RATIO = 1.5
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -82,39 +82,39 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
 
 @lru_cache(maxsize=4096)
 def band(i: int) -> tuple[int, int, int, int]:
-    """(least size, largest size, differences, chunks) of size band ``i``.
+    """(least size, largest size of smaller sets, largest size, chunks) of size band ``i``.
 
-    The band's smaller sets have sizes below a RATIO of the least; the largest size is what such a
-    set's partner can have. Two sets of the band that reach the threshold differ in at most
-    ``differences`` shingles, so all chunks but as many agree. The chunks are so many that a set of the
-    least size has, but for 4 standard deviations, clearly more than ``differences`` chunks that hold
-    anything; how many more is what a pair must share (see ``chunk_keys``).
+    The band's smaller sets have sizes within a RATIO; the largest size is what their partners can
+    have. Two sets of sizes a and b that reach the threshold differ in at most ``differences(a + b)``
+    shingles, so all chunks but as many agree. The chunks are so many that a smaller set has, but for
+    4 standard deviations, more chunks that hold anything than it can have differences; how many more
+    is what a pair must share.
     """
     low = 1
     for _ in range(i):
         low = int(low * RATIO) + 1
     high = int(low * RATIO)
     most = high * DEN // NUM
-    differ = (high + most) * (DEN - NUM) // (DEN + NUM)
+    differ = differences(high + most)
     n = differ + 1
     while True:
-        part = low / n
+        part = high / n
         mean, spread = n * (1 - exp(-part)), sqrt(max(n * exp(-part) * (1 - (1 + part) * exp(-part)), 0))
         if mean - 4 * spread > differ * 1.1 or n >= 64 * low:
-            return low, most, differ, n
+            return low, high, most, n
         n += 1 + n // 64
 
 
-def core(i: int) -> int:
-    """The largest size of the band's smaller sets."""
-    return int(band(i)[0] * RATIO)
+def differences(sizes):
+    """The most shingles in which two sets that reach the threshold differ; ``sizes``: the sum of theirs."""
+    return sizes * (DEN - NUM) // (DEN + NUM)
 
 
 def bands_of(size: int) -> list[int]:
     """The bands that hold sets of this size."""
     out, i = [], 0
     while band(i)[0] <= size:
-        if size <= band(i)[1]:
+        if size <= band(i)[2]:
             out.append(i)
         i += 1
     return out
@@ -124,22 +124,38 @@ _bands_of = lru_cache(maxsize=1 << 16)(bands_of)
 
 
 def chunk_keys(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(band, need, keys) for each band of a sorted set: a key is the parity (XOR) of a chunk's hashes.
+    """(band, full, keys) for each band of a sorted set: a key is the parity (XOR) of a chunk's hashes.
 
-    Two sets that reach the threshold share, in the band of the smaller one, at least ``need`` keys of
-    either: as many as its chunks that hold something, less the differences. Should that be none,
-    the keys of empty chunks come too, and one must agree.
+    ``full`` chunks hold something. Two sets that reach the threshold share, in the band of the
+    smaller one, at least as many keys as either has full chunks, less their differences. Should a
+    set have no more full chunks than differences, the keys of its empty chunks come too, and one
+    key must agree.
     """
-    out = []
-    for i in _bands_of(len(found)):
-        _, _, differ, n = band(i)
+    out, size = [], len(found)
+    for i in _bands_of(size):
+        n = band(i)[3]
         place = ((found >> _U(32)) * _U(n)) >> _U(32)  # ascending, as the set is
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         at = place[first]
         keys = mix(np.bitwise_xor.reduceat(mix(found ^ _BASE), first) + mix(at + (_U(i + 1) << _U(40))))
-        need = len(first) - differ
-        if need < 1:
+        if len(first) <= differences(size + size * DEN // NUM):
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), at)
-            keys, need = np.concatenate([keys, mix(mix(empty + (_U(i + 1) << _U(40))))]), 1
-        out.append((i, need, keys))
+            keys = np.concatenate([keys, mix(mix(empty + (_U(i + 1) << _U(40))))])
+        out.append((i, len(first), keys))
+    return out
+
+
+def parity_bits(found: np.ndarray, i: int) -> bytes:
+    """The bit sketch of a set for band ``i``: each hash flips one bit, so that the Hamming distance of
+    two sketches is at most the symmetric difference of the sets. Its width follows the band's sizes."""
+    width = 1 << max(9, (8 * band(i)[0]).bit_length())
+    flips = np.bincount((mix(found + _PLACES[0]) >> _U(20)).astype(np.int64) & (width - 1), minlength=width)
+    return np.packbits(flips.astype(np.uint8) & 1).tobytes()
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b) distances of sketches given as rows of 64-bit words."""
+    out = np.zeros((len(a), len(b)), dtype=np.int32)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
     return out
