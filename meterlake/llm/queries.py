@@ -34,6 +34,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score_toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = score_toxicity(docs, fit(docs, labels.filter(~held_out())))
+    predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -73,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spotsigs": op1_spotsigs,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_mix_sources": op4_mix_sources,
+        "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
         "op7_cover_tree_dedup": op7_cover_tree_dedup,
         "op8_ngram_join": op8_ngram_join,
