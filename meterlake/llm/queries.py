@@ -28,6 +28,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_ranks())
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import fetch_day, filter_urls, stated_entries
+
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", fetch_day(F.col("page_id")).alias("fetched_on"))
+    return filter_urls(pages, stated_entries(spark))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sizes
 
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_url_filter": op3_url_filter,
         "op4_mix_sources": op4_mix_sources,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
@@ -92,5 +100,61 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Lines of at least 10 code points that stand in two documents stay only in the first.
+OP6_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+    SELECT doc_id, pos, lines[pos] AS line,
+        trim(translate(lines[pos], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM docs)
+),
+firsts AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT l.*, f.key IS NOT NULL AND l.doc_id <> f.first AS dropped FROM lines l LEFT JOIN firsts f ON l.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Cosines of all pairs, then the smallest vector reached.
+OP7_SQL = """
+WITH RECURSIVE units AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM units a JOIN units b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+),
+reach(u, v) AS (SELECT vec_id, vec_id FROM units UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM units JOIN least ON vec_id = least.u LEFT JOIN counts ON vec_id = counts.u
+"""
+
+#: Shared shingles of all pairs, then the smallest document reached.
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+half AS (
+    SELECT s.u, s.v FROM shared s JOIN sizes a ON a.doc_id = s.u JOIN sizes b ON b.doc_id = s.v WHERE 100 * s.n >= 75 * (a.n + b.n - s.n)
+),
+links AS (SELECT u, v FROM half UNION ALL SELECT v, u FROM half),
+reach(u, v) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM words w JOIN least ON w.doc_id = least.u LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .url_filter import oracle
+
+    return {"op3_url_filter": oracle(), "op6_line_dedup": OP6_SQL, "op7_cover_tree_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
