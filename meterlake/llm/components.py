@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,22 +15,23 @@ def components(links: DataFrame) -> DataFrame:
     its minima are partial aggregates, so a vertex of very many links costs a row per task.
     """
     edges = cut(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count("*").alias("__rows")))
         # large star: neighbours above a vertex go to its smallest neighbour
-        large = edges.select(F.col("v").alias("at"), F.col("u").alias("far")).join(least, F.col("at") == F.col("u"))
-        large = large.select(F.col("far").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        far = edges.select(F.col("v").alias("u"), F.col("u").alias("far"))
+        large = spread_join(far, least, ["u"], "__rows", ["far"]).select(F.col("far").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: neighbours below a vertex, and itself, go to its smallest neighbour
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
-        if new.agg(*sums).first() == edges.agg(*sums).first():
-            return new.select("u", F.col("v").alias("component")).unionByName(
-                new.select(F.col("v").alias("u"), F.col("v").alias("component"))
-            ).distinct()
-        edges = new
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        now = edges.agg(*sums).first()
+        if now == before:
+            roots = edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
+            return edges.select("u", F.col("v").alias("component")).unionByName(roots)
+        before = now
 
 
 def spanning(u, v, size: int):

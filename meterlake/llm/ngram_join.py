@@ -10,10 +10,10 @@ the threshold surely agree in some (pigeonhole), and by how many. The join is on
 2. Groups of more than SMALL documents give memberships instead of pairs. A document with fewer such
    memberships than it must share keeps none; the others are paired with their group's first.
 3. Candidates are verified on the whole sets; components are taken.
-4. In large groups that still hold several components, documents of different ones are compared by
-   bit sketches, whose Hamming distance is at most the symmetric difference of the sets. A document
-   is looked at in as many of its groups as it takes to meet every possible partner once. What the
-   sketches do not rule out is verified as well, so no link between components is lost.
+4. Groups that share documents form families. Within families that still hold several components,
+   documents of different ones are compared by bit sketches, whose Hamming distance is at most the
+   symmetric difference of the sets. What the sketches do not rule out is verified as well, so no
+   link between components is lost.
 Documents of equal sets are joined by the hash of their sets.
 
 Defined cases
@@ -44,7 +44,7 @@ SMALL = 16
 #: Keys that a part holds, about, and keys that a task gathers before it deals them out.
 PART_KEYS = 2_000_000
 FLUSH_KEYS = 2_000_000
-#: Documents of a large group that are compared at once with as many others.
+#: Documents of a family that are compared at once with as many others.
 BLOCK = 1024
 #: Ids that are broadcast at most (8 bytes each) to filter the documents; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -114,11 +114,12 @@ def _dealt(parts: int):
     return run
 
 
-COLUMNS = ["u", "v", "band", "full", "n", "grp", "size"]
+#: Pairs: documents u and v, keys to share (a), keys shared (b). Memberships: document u, group v, a: full chunks, b: size.
+COLUMNS = ["pair", "u", "v", "band", "a", "b"]
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part: pairs of small groups (n keys shared, full: keys to share), memberships of large ones."""
+    """One part: pairs of small groups, memberships of large ones (see COLUMNS)."""
     entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
     tables = [np.frombuffer(x, dtype=entry) for x in pdf["entries"]]
     base = np.cumsum([0] + [len(t) for t in tables[:-1]])
@@ -149,14 +150,14 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
         good = (u["band"] == v["band"]) & (low <= cores[u["band"]]) & (DEN * low.astype(np.int64) >= NUM * high.astype(np.int64))
         u, v = u[good], v[good]
         need = np.maximum(np.maximum(u["full"], v["full"]) - differences(u["size"].astype(np.int64) + v["size"]), 1)
-        pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "full": need, "band": u["band"]})
-        pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(full=("full", "min"), n=("u", "size"))
-        out.append(pairs.assign(grp=np.int64(-1), size=0))
+        pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "a": need, "band": u["band"]})
+        pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(a=("a", "min"), b=("u", "size"))
+        out.append(pairs.assign(pair=True))
     big = np.repeat(size > SMALL, size)
     if big.any():
         rows = table[owner[big]]
         grp = (np.int64(pdf["part"].iloc[0]) << 32) | key[big].astype(np.int64)
-        out.append(pd.DataFrame({"u": rows["doc"], "v": np.int64(-1), "full": rows["full"], "band": rows["band"], "n": 1, "grp": grp, "size": rows["size"]}))
+        out.append(pd.DataFrame({"pair": False, "u": rows["doc"], "v": grp, "band": rows["band"], "a": rows["full"], "b": rows["size"]}))
     if not out:
         return pd.DataFrame({c: [] for c in COLUMNS})
     return pd.concat(out)[COLUMNS]
@@ -197,27 +198,30 @@ def link_shingles(docs: DataFrame) -> DataFrame:
     copies = spread_join(known, equal, ["n", "h1", "h2"], "__rows", ["doc_id"]).select(F.col("doc_id").alias("u"), "v").filter("u != v")
     # documents that share keys
     dealt = texts.mapInArrow(_dealt(parts), "part int, entries binary, keys binary, owners binary")
-    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_shared, "u long, v long, band int, full int, n int, grp long, size int"))
+    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_shared, "pair boolean, u long, v long, band int, a int, b int"))
+    members = found.filter("not pair").select("u", "band", F.col("v").alias("grp"), F.col("a").alias("full"), F.col("b").alias("size"))
     # what a member must share with any partner: its full chunks less the most differences it can have
     size = F.col("size")
-    least = F.greatest(F.col("full") - _differences(size + F.floor(size * DEN / NUM)), F.lit(1)).alias("g")
-    highs = [band(i)[1] for i in range(64)]
-    is_core = (size <= F.element_at(F.array(*[F.lit(x) for x in highs]), F.col("band") + 1)).alias("core")
-    members = found.filter("grp >= 0").select("u", "band", "full", "size", "grp", least, is_core)
-    heavy = cut(members.groupBy("u", "band").agg(F.count("*").alias("c"), F.min("g").alias("g")))
-    pairs = found.filter("grp < 0").groupBy("u", "v", "band").agg(F.sum("n").alias("n"), F.min("full").alias("need"))
+    g = F.greatest(F.col("full") - _differences(size + F.floor(size * DEN / NUM)), F.lit(1))
+    own = W.partitionBy("u", "band")  # as many rows as a document has chunks
+    members = members.withColumn("c", F.count("*").over(own)).withColumn("g", F.min(g).over(own))
+    members = cut(members.select("u", "band", "grp", "size", (F.col("c") >= F.col("g")).alias("heavy"), "c"))
+    heavy = members.groupBy("u", "band").agg(F.max("c").alias("c"))
+    pairs = found.filter("pair").groupBy("u", "v", "band").agg(F.sum("b").alias("n"), F.min("a").alias("need"))
     more = [heavy.select(F.col("u").alias(x), "band", F.col("c").alias(f"c{x}")) for x in ("u", "v")]
-    pairs = pairs.join(more[0], ["u", "band"], "left").join(more[1], ["v", "band"], "left")
-    pairs = pairs.filter(F.col("n") + F.least(F.coalesce("cu", F.lit(0)), F.coalesce("cv", F.lit(0))) >= F.col("need"))
+    short = cut(pairs.filter("n < need").join(more[0], ["u", "band"]).join(more[1], ["v", "band"]).filter(F.col("n") + F.least("cu", "cv") >= F.col("need")).select("u", "v"))
     # large groups: members that can link there, paired with the first of the smaller sets
-    kept = cut(members.drop("g").join(heavy.filter("c >= g").select("u", "band", "g"), ["u", "band"]))
+    highs = [band(i)[1] for i in range(64)]
+    core = size <= F.element_at(F.array(*[F.lit(x) for x in highs]), F.col("band") + 1)
+    kept = members.filter("heavy").select("u", "band", "grp", "size", core.alias("core"))
     groups = cut(kept.groupBy("grp").agg(F.min(F.when(F.col("core"), F.col("u"))).alias("v"), F.count("*").alias("__rows")).filter("v is not null and __rows > 1"))
-    stars = spread_join(kept.select("u", "grp"), groups, ["grp"], "__rows", ["u"]).select("u", "v").filter("u != v")
-    candidates = cut(pairs.select("u", "v").unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    stars = cut(spread_join(kept, groups, ["grp"], "__rows", ["u"]).select("u", "v", "band", "size", "core").distinct())
+    pairs = pairs.filter("n >= need").select("u", "v").unionByName(short).unionByName(stars.filter("u != v").select("u", "v"))
+    candidates = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = cut(copies.unionByName(verify(texts, candidates)))
     reached = components(links)
-    # components that meet in enough large groups without being joined
-    crossing = _crossing(texts, kept, groups, reached, candidates)
+    # components of one family that are not joined
+    crossing = _crossing(texts, stars, reached, candidates)
     if not crossing.isEmpty():
         reached = components(links.unionByName(verify(texts, crossing)))
     out = sizes.join(reached.withColumnRenamed("u", "doc_id"), "doc_id", "left")
@@ -236,7 +240,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one group, of two blocks or one: pairs of different components that may link."""
+    """Documents of one family and band, of two blocks or one: pairs of different components that may link."""
     sides = [x.sort_values("component") for _, x in pdf.groupby("block")]
     a, b = sides[0], sides[-1]
     bits = [np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(len(x), -1) for x in (a, b)]
@@ -256,19 +260,18 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
 
 
-def _crossing(docs: DataFrame, kept: DataFrame, groups: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs not among ``done`` of documents in different components that large groups leave open."""
-    own = kept.join(groups.select("grp", "__rows"), "grp").join(reached, "u", "left").withColumn("component", F.coalesce("component", "u"))
-    # of c groups a link shares g at least, so each document may leave out g - 1, the largest ones
-    mine = W.partitionBy("u", "band")
-    own = own.withColumn("c", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy("__rows", "grp")))
-    own = cut(own.filter("r <= c - g + 1").select("u", "band", "grp", "size", "core", "component"))
-    mixed = own.groupBy("grp").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).filter("a != b")
-    own = cut(own.join(mixed.select("grp", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "grp"))
+def _crossing(docs: DataFrame, stars: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs not among ``done`` of documents in different components that families leave open."""
+    family = components(stars.filter("u != v").select("u", "v")).withColumnRenamed("component", "family")
+    own = stars.select("u", "band", "size", "core").distinct().join(family, "u").join(reached, "u", "left")
+    own = cut(own.withColumn("component", F.coalesce("component", "u")))
+    mixed = own.groupBy("family", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("__rows")).filter("a != b")
+    mixed = cut(mixed.select("family", "band", "__rows", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")))
+    own = cut(spread_join(own, mixed, ["family", "band"], "__rows", ["u"]))
     bits = _of(docs, cut(own.select(F.col("u").alias("doc_id")).distinct())).mapInArrow(_sketches, "u long, band int, bits binary")
     own = own.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = own.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     own = own.join(bits.hint("merge"), ["u", "band"])
-    pairs = own.select("grp", "i", "j", "block", "u", "size", "core", "component", "bits").groupBy("grp", "i", "j").applyInPandas(_compared, "u long, v long")
+    pairs = own.select("family", "band", "i", "j", "block", "u", "size", "core", "component", "bits").groupBy("family", "band", "i", "j").applyInPandas(_compared, "u long, v long")
     return cut(pairs.distinct().join(done, ["u", "v"], "left_anti"))
