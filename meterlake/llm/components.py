@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def spanning(u, v, size: int):
-    """Local union-find over arrays of indexes below ``size``: the edges of a spanning forest."""
-    parent = list(range(size))
+def spanning(u: list[int], v: list[int], size: int, label: np.ndarray) -> list[int]:
+    """Local union-find on vertices below ``size``: the edges of a spanning forest of (u, v).
+
+    ``label`` holds the tree of each vertex, by one of its vertices, and is brought up to date.
+    """
+    parent = label.tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -50,4 +54,5 @@ def spanning(u, v, size: int):
         if a != b:
             parent[max(a, b)] = min(a, b)
             kept.append(k)
+    label[:] = [root(x) for x in range(size)]
     return kept

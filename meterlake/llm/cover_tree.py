@@ -3,7 +3,7 @@
 Vectors are scaled to length one, so cosine c means distance sqrt(2 - 2c). They are dealt into tiles
 of bounded size, vectors of one region (nearest of PIVOTS directions) together; a region of any size
 is split over as many tiles as it needs. Each tile becomes a cover tree: levels of nodes whose radii
-halve from 1, every node of a level within the radius of its parent, and each keeps its true
+halve from 0.5, every node of a level within the radius of its parent, and each keeps its true
 covering radius. Pairs of tiles whose roots can hold a pair within the threshold's distance are
 traversed from their roots downwards:
 * distance of centres - both radii > threshold distance: the pair of nodes is dropped,
@@ -39,95 +39,116 @@ THRESHOLD = 0.95
 PIVOTS = 64
 TILE = 4096
 #: Radii of the levels below the root.
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (0.5, 0.25, 0.125)
 #: Roots (tiles) that a traversal may see at once; beyond it, raise TILE.
 MAX_TILES = 200_000
+#: Nodes of this many vectors are not divided, but compared as blocks.
+LEAF = 2048
 #: Slack of distances in single precision.
 SLACK = 1e-4
 
 
-class Node:
-    """A centre (a row of the tile), its covering radius, its rows, and its children."""
+class Level:
+    """Sibling nodes: where each begins in ``rows``, and its covering radius. A node's first row is its centre."""
 
-    __slots__ = ("center", "children", "radius", "rows")
+    __slots__ = ("depth", "radii", "rows", "starts")
 
-    def __init__(self, center: int, radius: float, rows: np.ndarray):
-        self.center, self.radius, self.rows, self.children = center, radius, rows, []
+    def __init__(self, rows: np.ndarray, starts: np.ndarray, radii: np.ndarray, depth: int):
+        self.rows, self.starts, self.radii, self.depth = rows, starts, radii, depth
 
+    def node(self, i: int) -> np.ndarray:
+        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.rows)
+        return self.rows[self.starts[i] : end]
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
+def _least_dot(distance):
+    """Unit vectors are within ``distance`` if their dot product is at least this."""
+    return 1 - distance * distance / 2
 
-def _cover(x: np.ndarray, rows: np.ndarray, radius: float) -> list[np.ndarray]:
-    """Rows in groups, the first of each its centre and the others within ``radius`` of it."""
-    near = _distances(x[rows], x[rows]) <= radius
-    alone = near.sum(axis=1) == 1
-    out = [rows[[i]] for i in np.flatnonzero(alone)]
-    free = ~alone
+
+def cover(x: np.ndarray, rows: np.ndarray, depth: int) -> Level:
+    """Covers ``rows`` of unit vectors ``x`` (single precision) by nodes of the radius of ``depth``."""
+    own = x[rows]
+    near = own @ own.T >= _least_dot(RADII[depth])
+    free = near.sum(axis=1) > 1
+    groups = [np.array([i]) for i in np.flatnonzero(~free)]
     for i in np.flatnonzero(free):
         if free[i]:
             mine = np.flatnonzero(near[i] & free)
             free[mine] = False
-            out.append(rows[np.concatenate([[i], mine[mine != i]])])
-    return out
-
-
-def build(x: np.ndarray) -> list[Node]:
-    """The nodes below the root of the cover tree of unit vectors ``x`` (single precision)."""
+            groups.append(np.concatenate([[i], mine[mine != i]]))
+    radii = [float(np.sqrt(max(2 - 2 * (own[g] @ own[g[0]]).min(), 0))) + SLACK if len(g) > 1 else 0.0 for g in groups]
+    starts = np.cumsum([0] + [len(g) for g in groups[:-1]])
+    return Level(rows[np.concatenate(groups)], starts, np.array(radii, dtype=np.float32), depth)
 
-    def nodes(rows: np.ndarray, level: int) -> list[Node]:
-        out = []
-        for group in _cover(x, rows, RADII[level]):
-            far = float(_distances(x[group[:1]], x[group]).max()) + SLACK if len(group) > 1 else 0.0
-            node = Node(int(group[0]), far, group)
-            if len(group) > 32 and level + 1 < len(RADII):
-                node.children = nodes(group, level + 1)
-            out.append(node)
-        return out
 
-    return nodes(np.arange(len(x)), 0) if len(x) else []
+def _children(x: np.ndarray, rows: np.ndarray, depth: int) -> Level | None:
+    return cover(x, rows, depth + 1) if len(rows) > LEAF and depth + 1 < len(RADII) else None
 
 
-def dual(x: np.ndarray, a: list[Node], y: np.ndarray, b: list[Node], cosine: float, same: bool):
-    """Links between two trees: rows of ``x``, rows of ``y`` in blocks (i, j, exact) to count.
+def dual(x: np.ndarray, a: Level, y: np.ndarray, b: Level, cosine: float, same: bool):
+    """Yields (rows of x, rows of y, whether all are links, whether both are the same node).
 
-    Yields (rows_a, rows_b, decided): ``decided`` blocks are links throughout.
+    The last is None for rows that are paired one by one: candidate pairs of single vectors.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
     todo = [(a, b, same)]
     while todo:
         left, right, own = todo.pop()
-        if not left or not right:
-            continue
-        d = _distances(x[[n.center for n in left]], y[[n.center for n in right]])
-        radii = np.array([n.radius for n in left])[:, None] + np.array([n.radius for n in right])[None, :]
-        maybe = d - radii <= reach + SLACK
+        dots = x[left.rows[left.starts]] @ y[right.rows[right.starts]].T
+        # most nodes are single vectors; only the others need a wider look
+        mask = dots >= _least_dot(reach + SLACK)
+        wide, high = np.flatnonzero(left.radii), np.flatnonzero(right.radii)
+        if len(wide):
+            mask[wide] |= dots[wide] >= _least_dot(np.minimum(reach + SLACK + left.radii[wide] + right.radii.max(), 2))[:, None]
+        if len(high):
+            mask[:, high] |= dots[:, high] >= _least_dot(np.minimum(reach + SLACK + right.radii[high] + left.radii.max(), 2))[None, :]
+        i, j = np.nonzero(mask)
+        apart = np.sqrt(np.maximum(2 - 2 * dots[i, j], 0))
+        radii = left.radii[i] + right.radii[j]
+        maybe = apart - radii <= reach + SLACK
         if own:
-            maybe = np.triu(maybe)
-        for i, j in zip(*np.nonzero(maybe), strict=True):
-            p, q = left[i], right[j]
-            self_pair = own and i == j
-            if self_pair and len(p.rows) == 1:
+            maybe &= i <= j
+        if own:  # a single vector is no pair
+            maybe &= (i != j) | (left.radii[i] > 0)
+        points = maybe & (radii == 0)
+        if points.any():
+            yield left.rows[left.starts[i[points]]], right.rows[right.starts[j[points]]], False, None
+            maybe &= ~points
+        for i1, j1, d, r in zip(i[maybe], j[maybe], apart[maybe], radii[maybe], strict=True):
+            p, q, self_pair = left.node(i1), right.node(j1), bool(own and i1 == j1)
+            if not self_pair and d + r < reach - SLACK:
+                yield p, q, True, False
                 continue
-            if not self_pair and d[i, j] + radii[i, j] < reach - SLACK:
-                yield p.rows, q.rows, True, False
-            elif not p.children and not q.children:
-                yield p.rows, q.rows, False, self_pair
+            pc, qc = _children(x, p, left.depth), _children(y, q, right.depth)
+            if pc is None and qc is None:
+                yield p, q, False, self_pair
             else:
-                todo.append((p.children or [p], q.children or [q], self_pair))
+                todo.append((pc or Level(p, np.zeros(1, dtype=int), left.radii[[i1]], left.depth), qc or Level(q, np.zeros(1, dtype=int), right.radii[[j1]], right.depth), self_pair))
 
 
-def link_tiles(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool):
+def link_tiles(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool, tops: list[Level] | None = None):
     """Counts of links of both tiles' rows (weighted by class sizes) and a spanning forest of the links.
 
-    ``x`` and ``y`` are unit vectors in double precision; ``same`` if they are one tile.
+    ``x`` and ``y`` are unit vectors in double precision; ``same`` if they are one tile; ``tops`` their
+    first levels if they are known.
     """
     sx, sy = x.astype(np.float32), y.astype(np.float32)
     cx, cy = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
-    tree = build(sx)
+    empty = np.zeros(0, dtype=np.int64)
+    if not len(x) or not len(y):
+        return cx, cy, empty, empty
+    top_x, top_y = tops or (cover(sx, np.arange(len(x)), 0), cover(sy, np.arange(len(y)), 0))
     us, vs = [], []
-    for p, q, decided, self_pair in dual(sx, tree, sy, tree if same else build(sy), cosine, same):
+    for p, q, decided, self_pair in dual(sx, top_x, sy, top_y, cosine, same):
+        if self_pair is None:
+            linked = np.concatenate([np.einsum("ij,ij->i", x[p[k : k + 65536]], y[q[k : k + 65536]]) >= cosine for k in range(0, len(p), 65536)])
+            p, q = p[linked], q[linked]
+            np.add.at(cx, p, wy[q])
+            np.add.at(cy, q, wx[p])
+            us.append(p)
+            vs.append(q)
+            continue
         for at in range(0, len(p), 2048):  # bounds the block of cosines
             rows = p[at : at + 2048]
             hit = np.ones((len(rows), len(q)), dtype=bool) if decided else x[rows] @ y[q].T >= cosine
@@ -136,20 +157,39 @@ def link_tiles(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cos
             cx[rows] += hit @ wy[q]
             if not self_pair:
                 cy[q] += wx[rows] @ hit
-            i, j = np.nonzero(hit)
-            if len(i):
-                keep = spanning(i.tolist(), (j if self_pair else j + len(rows)).tolist(), len(rows) + len(q)) if not self_pair else _self_forest(rows, q, i, j)
-                us.append(rows[i[keep]])
-                vs.append(q[j[keep]])
+            place = np.arange(at, at + len(rows)) if self_pair else np.arange(len(rows)) + len(q)
+            i, j = forest(hit, place, len(q) + (0 if self_pair else len(rows)))
+            us.append(rows[i])
+            vs.append(q[j])
     if same:
         cx += cy
-    empty = np.zeros(0, dtype=np.int64)
-    return cx, cy, np.concatenate(us) if us else empty, np.concatenate(vs) if vs else empty
+    if not us:
+        return cx, cy, empty, empty
+    u, v = np.concatenate(us), np.concatenate(vs)
+    shift = 0 if same else len(x)
+    kept = spanning(u.tolist(), (v + shift).tolist(), shift + len(y), np.arange(shift + len(y)))
+    return cx, cy, u[kept], v[kept]
+
 
+def forest(hit: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) of a spanning forest of a matrix of links, in rounds of one new link a row.
 
-def _self_forest(rows: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
-    place = {int(r): k for k, r in enumerate(q)}
-    return spanning([place[int(r)] for r in rows[i]], j.tolist(), len(q))
+    ``place``: the vertex of each row among ``size`` vertices, of which the first are the columns.
+    """
+    label, us, vs = np.arange(size), [], []
+    rows = np.flatnonzero(hit.any(axis=1))
+    while len(rows):
+        new = hit[rows] & (label[place[rows]][:, None] != label[: hit.shape[1]][None, :])
+        some = new.any(axis=1)
+        rows, new = rows[some], new[some]
+        if not len(rows):
+            break
+        cols = new.argmax(axis=1)
+        kept = spanning(label[place[rows]].tolist(), label[cols].tolist(), size, label)
+        us.append(rows[kept])
+        vs.append(cols[kept])
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
 KEY = ["__h1", "__h2"]
@@ -208,11 +248,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
         x = np.array(pdf["__v"].tolist(), dtype=np.float64)
         center = x.mean(axis=0)
         radius = float(np.sqrt(((x - center) ** 2).sum(axis=1).max()))
-        ids, n = pdf["__class"].to_numpy(np.int64), pdf["__n"].to_numpy(np.int64)
-        row = {"tile": pdf["tile"].iloc[0], "dim": x.shape[1], "center": center, "radius": radius, "ids": ids.tobytes(), "n": n.tobytes(), "x": x.tobytes()}
+        top = cover(x.astype(np.float32), np.arange(len(x)), 0)  # the tile in the order of its first level
+        x = x[top.rows]
+        ids, n = pdf["__class"].to_numpy(np.int64)[top.rows], pdf["__n"].to_numpy(np.int64)[top.rows]
+        row = {"tile": pdf["tile"].iloc[0], "dim": x.shape[1], "center": center, "radius": radius, "ids": ids.tobytes(), "n": n.tobytes(), "x": x.tobytes(), "starts": top.starts.astype(np.int64).tobytes(), "radii": top.radii.tobytes()}
         return pd.DataFrame([row])
 
-    blobs = cut(dealt.select("tile", "__class", "__n", "__v").groupBy("tile").applyInPandas(blob, "tile string, dim int, center array<double>, radius double, ids binary, n binary, x binary"))
+    blobs = cut(dealt.select("tile", "__class", "__n", "__v").groupBy("tile").applyInPandas(blob, "tile string, dim int, center array<double>, radius double, ids binary, n binary, x binary, starts binary, radii binary"))
     roots = blobs.select("tile", "dim", "center", "radius").orderBy("dim", "tile").limit(MAX_TILES + 1).collect()
     if len(roots) > MAX_TILES:
         raise ValueError(f"more than {MAX_TILES} tiles of {tile} vectors; raise the tile size")
@@ -231,10 +273,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
                 ks = np.array(by_dim[roots[k]["dim"]])
                 d = np.sqrt(((centers[roots[k]["dim"]] - np.array(roots[k]["center"])) ** 2).sum(axis=1))
                 for o in ks[d - radii[ks] - radii[k] <= reach + 1e-9]:
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{min(k, o)}-{max(k, o)}"]), pa.array([k], pa.int64()), *row.columns[1:]], names=["pair", "k", "dim", "ids", "n", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{min(k, o)}-{max(k, o)}"]), pa.array([k], pa.int64()), *row.columns[1:]], names=["pair", "k", "dim", "ids", "n", "x", "starts", "radii"])
 
     roots = [{"dim": r["dim"], "center": list(r["center"])} for r in roots]
-    pairs = blobs.select("tile", "dim", "ids", "n", "x").mapInArrow(partners, "pair string, k long, dim int, ids binary, n binary, x binary")
+    pairs = blobs.select("tile", "dim", "ids", "n", "x", "starts", "radii").mapInArrow(partners, "pair string, k long, dim int, ids binary, n binary, x binary, starts binary, radii binary")
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("k").to_dict("records")
@@ -242,8 +284,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
         xs = [np.frombuffer(r["x"], dtype=np.float64).reshape(-1, dim) for r in rows]
         ids = [np.frombuffer(r["ids"], dtype=np.int64) for r in rows]
         ns = [np.frombuffer(r["n"], dtype=np.int64) for r in rows]
+        tops = [Level(np.arange(len(x)), np.frombuffer(r["starts"], dtype=np.int64), np.frombuffer(r["radii"], dtype=np.float32), 0) for x, r in zip(xs, rows, strict=True)]
         same = len(rows) == 1
-        cx, cy, u, v = link_tiles(xs[0], xs[-1], ns[0], ns[-1], cosine, same)
+        cx, cy, u, v = link_tiles(xs[0], xs[-1], ns[0], ns[-1], cosine, same, [tops[0], tops[-1]])
         counts = [(ids[0], cx)] if same else [(ids[0], cx), (ids[1], cy)]
         out = [pd.DataFrame({"u": i[c > 0], "v": -1, "n": c[c > 0]}) for i, c in counts]
         out.append(pd.DataFrame({"u": ids[0][u], "v": ids[-1][v], "n": 0}))
