@@ -1,0 +1,51 @@
+"""Values that carry how well they are known: exact, calculated, estimated, partial (a floor) or unavailable."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("unavailable", "partial", "estimated", "calculated", "exact")
+
+
+def strength(kind: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for i, name in enumerate(KINDS):
+        out = F.when(kind == name, F.lit(i)).otherwise(out)
+    return out
+
+
+def kind_of(strength_: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), strength_ + 1)
+
+
+def prefix(kind: Column) -> Column:
+    return F.when(kind == "exact", "").when(kind.isin("calculated", "estimated"), "≈").when(kind == "partial", "≥").otherwise("—")
+
+
+def measured_sum(df: DataFrame, keys: list[str], value: str, kind: str, reason: str) -> DataFrame:
+    """Sums measurements: complete sums keep the weakest kind, others are partial, or unavailable with a reason.
+
+    Of several reasons the smallest is reported, so that the result does not depend on row order.
+    """
+    sums = df.groupBy(*keys).agg(
+        F.sum(value).alias("value"), F.count(value).alias("measured"), F.count(F.lit(1)).alias("total"),
+        F.min(strength(F.col(kind))).alias("__weakest"), F.min(F.when(F.col(kind) == "unavailable", F.col(reason))).alias("__reason"),
+    )
+    missing = F.format_string("%d of %d contributing measurements reported a value; the rest could not be measured", F.col("total") - F.col("measured"), F.col("total"))
+    return sums.select(
+        *keys, "value", "measured", "total",
+        F.when(F.col("measured") == 0, "unavailable").when(F.col("measured") < F.col("total"), "partial").otherwise(kind_of(F.col("__weakest"))).alias("kind"),
+        F.when(F.col("measured") == 0, F.coalesce("__reason", F.lit("No contributing measurement reported a value.")))
+        .when(F.col("measured") < F.col("total"), missing).alias("reason"),
+    )
+
+
+def reasoning_measure(df: DataFrame) -> DataFrame:
+    """Adds reasoning_kind and reasoning_reason to totals: NULL is unavailable, incomplete coverage is partial."""
+    text = F.format_string("%d of %d requests report reasoning tokens", F.col("reasoning_reported_by"), F.col("requests"))
+    partial = F.col("reasoning_reported_by") < F.col("requests")
+    return df.withColumns({
+        "reasoning_kind": F.when(F.col("reasoning").isNull(), "unavailable").when(partial, "partial").otherwise("exact"),
+        "reasoning_reason": F.when(F.col("reasoning").isNull(), "not reported by the provider").when(partial, text),
+    })
