@@ -96,7 +96,7 @@ def parse_a(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
         F.lit("claude_code").alias("adapter_id"), F.col("sessionId").alias("session_id"), F.coalesce("requestId", "uuid", F.lit("failed")).alias("dedup_key"), at.alias("occurred_at")
     )
     u = F.col("message.usage")
-    bands = bands_a(u["input_tokens"], u["output_tokens"], u["cache_creation_input_tokens"], u["cache_read_input_tokens"], u["cache_creation.ephemeral_5m_input_tokens"], u["cache_creation.ephemeral_1h_input_tokens"])
+    bands = bands_a(u["input_tokens"], u["output_tokens"], u["cache_creation_input_tokens"], u["cache_read_input_tokens"], u["cache_creation"]["ephemeral_5m_input_tokens"], u["cache_creation"]["ephemeral_1h_input_tokens"])
     both = F.concat_ws(":", "requestId", "message.id")
     key = F.when(F.col("requestId").isNotNull() & F.col("message.id").isNotNull(), both).otherwise(F.coalesce("requestId", "message.id"))
     usage = turns.filter(~failed & u.isNotNull()).withColumns({**bands, "dedup_key": key, "occurred_at": at})
@@ -160,7 +160,7 @@ def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     each = rows.filter(~bad).select("file_id", "ordinal", F.posexplode(F.when(F.col("__j.resourceSpans").isNotNull(), spans).otherwise(bare)).alias("__p", "s"))
 
     def attribute(key: str) -> Column:
-        return F.element_at(F.filter("s.attributes", lambda a: a["key"] == key), -1)["value"]
+        return F.try_element_at(F.filter("s.attributes", lambda a: a["key"] == key), F.lit(-1))["value"]
 
     def number(key: str) -> Column:
         v = attribute(key)
