@@ -86,6 +86,12 @@ COST_COLUMNS = "cost_e15, items, priced_items, requests, priced_requests, unpric
 PRICED_DAYS = f"{WITH}, {DAY_SLICES}, {SPANS_SQL}, {_asof_sql('slices', 'first_at')}"
 
 
+def _nano(converted: DataFrame) -> DataFrame:
+    """Whole 1e-9 units of converted amounts."""
+    return converted.withColumn("converted_nano", F.expr("cast(converted_e24 div 1000000000000000 as bigint)"))
+
+
+
 def _breaks(spark: SparkSession) -> list:
     return [r[0] for r in pricing.price_breaks(prices(spark)).collect()]
 
@@ -161,16 +167,16 @@ def unpriced_models(spark: SparkSession, d: str) -> DataFrame:
     return pricing.unpriced_models(ops.EVERYTHING.usage(usage_facts(spark, d)), prices(spark))
 
 
-@query(f"""{PRICED_DAYS}, {_costs_sql('"at"')} SELECT "at", cost_e15, CAST(CAST(cost_e15 AS DECIMAL(26, 0)) * CAST({FX[1][1]} AS DECIMAL(12, 0)) AS DECIMAL(38, 0)) AS converted_e24, kind, CASE WHEN cost_e15 IS NULL THEN kind ELSE 'calculated' END AS fx_kind, kind = 'partial' AS is_floor FROM measured""")
+@query(f"""{PRICED_DAYS}, {_costs_sql('"at"')} SELECT "at", cost_e15, CAST(CAST(cost_e15 AS HUGEINT) * {FX[1][1]} // 1000000000000000 AS BIGINT) AS converted_nano, kind, CASE WHEN cost_e15 IS NULL THEN kind ELSE 'calculated' END AS fx_kind, kind = 'partial' AS is_floor FROM measured""")
 def fx_convert(spark: SparkSession, d: str) -> DataFrame:
     costs = pricing.cost_measured(_priced(spark, d), ["at"])
-    return pricing.convert(costs, fx_rates(spark), "eur", "2024-01-30 12:00:00").select("at", "cost_e15", "converted_e24", "kind", "fx_kind", "is_floor")
+    return _nano(pricing.convert(costs, fx_rates(spark), "eur", "2024-01-30 12:00:00")).select("at", "cost_e15", "converted_nano", "kind", "fx_kind", "is_floor")
 
 
-@query(f"""{PRICED_DAYS}, {_costs_sql('"at"')} SELECT "at", CAST(CAST(cost_e15 AS DECIMAL(26, 0)) * CAST({FX[2][1]} AS DECIMAL(12, 0)) AS DECIMAL(38, 0)) AS converted_e24, CASE WHEN cost_e15 IS NULL THEN kind ELSE 'estimated' END AS fx_kind FROM measured""")
+@query(f"""{PRICED_DAYS}, {_costs_sql('"at"')} SELECT "at", CAST(CAST(cost_e15 AS HUGEINT) * {FX[2][1]} // 1000000000000000 AS BIGINT) AS converted_nano, CASE WHEN cost_e15 IS NULL THEN kind ELSE 'estimated' END AS fx_kind FROM measured""")
 def fx_stale(spark: SparkSession, d: str) -> DataFrame:
     costs = pricing.cost_measured(_priced(spark, d), ["at"])
-    return pricing.convert(costs, fx_rates(spark), "CZK", "2024-01-30 12:00:00").select("at", "converted_e24", "fx_kind")
+    return _nano(pricing.convert(costs, fx_rates(spark), "CZK", "2024-01-30 12:00:00")).select("at", "converted_nano", "fx_kind")
 
 
 FX_SQL = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {r}, TIMESTAMP '{t}', '{s}')" for c, r, t, s in FX) + ") t(quote_currency, rate_nano, as_of, source))"
