@@ -101,7 +101,7 @@ def draw_counts(slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = S
             counts += np.minimum(rng.multinomial(missing, rest_now / rest_now.sum()), rest_now)
         out.append(counts)
         left -= counts
-    return np.array(out, dtype=np.int64).reshape(-1, len(slots))
+    return np.array(out, dtype=np.int64).reshape(len(out), len(slots))
 
 
 def _word_count(text: Column) -> Column:

@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 CAPACITY = 2048
-#: Group counts that are tried; the last one is as good as no rounding.
-GROUPS = (64, 256, 2048)
 #: Pieces up to this share of the capacity are small: they are placed last, by best fit.
 SMALL = 1 / 8
+#: Group counts and small shares that are tried; the last ones are as good as no rounding.
+TRIALS = ((64, SMALL), (256, SMALL), (2048, SMALL), (2048, SMALL / 4))
 #: Ranks within a length are taken in this many salted parts.
 SALTS = 64
 
@@ -233,8 +233,8 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
     bound = -(-sum(k * n for k, n in histogram.items()) // capacity)
     best: tuple[list[tuple], int] | None = None
-    for groups in GROUPS:
-        found = plan_runs(histogram, capacity, groups)
+    for groups, small in TRIALS:
+        found = plan_runs(histogram, capacity, groups, small)
         if best is None or found[1] < best[1]:
             best = found
         if best[1] <= bound:
