@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, spread_join
 from .components import components
-from .parity import DEN, NUM, band, bands_of, chunk_keys, differences, hamming, mix, parity_bits, shingle_sets
+from .parity import DEN, NUM, band, bands_of, chunk_keys, differences, hamming, left_out, mix, parity_bits, shingle_sets
 
 #: Largest group of documents under one key that is listed as pairs.
 SMALL = 16
@@ -118,8 +118,8 @@ def _dealt(parts: int):
 COLUMNS = ["pair", "u", "v", "band", "a", "b"]
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part: pairs of small groups, memberships of large ones (see COLUMNS)."""
+def _shared(pdf: pd.DataFrame, small: int) -> pd.DataFrame:
+    """One part: pairs of groups of up to ``small`` documents, memberships of larger ones (see COLUMNS)."""
     entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
     tables = [np.frombuffer(x, dtype=entry) for x in pdf["entries"]]
     base = np.cumsum([0] + [len(t) for t in tables[:-1]])
@@ -138,7 +138,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     cores = np.array([band(i)[1] for i in range(int(table["band"].max()) + 1)])
     us, vs = [], []
-    for m in range(2, SMALL + 1):
+    for m in range(2, small + 1):
         at = first[size == m]
         for i in range(m if len(at) else 0):
             for j in range(i + 1, m):
@@ -149,11 +149,12 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = np.minimum(u["size"], v["size"]), np.maximum(u["size"], v["size"])
         good = (u["band"] == v["band"]) & (low <= cores[u["band"]]) & (DEN * low.astype(np.int64) >= NUM * high.astype(np.int64))
         u, v = u[good], v[good]
-        need = np.maximum(np.maximum(u["full"], v["full"]) - differences(u["size"].astype(np.int64) + v["size"]), 1)
+        lost = np.maximum(left_out(u["full"], u["size"].astype(np.int64)), left_out(v["full"], v["size"].astype(np.int64)))
+        need = np.maximum(np.maximum(u["full"], v["full"]) - differences(u["size"].astype(np.int64) + v["size"]) - lost, 1)
         pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "a": need, "band": u["band"]})
         pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(a=("a", "min"), b=("u", "size"))
         out.append(pairs.assign(pair=True))
-    big = np.repeat(size > SMALL, size)
+    big = np.repeat(size > small, size)
     if big.any():
         rows = table[owner[big]]
         grp = (np.int64(pdf["part"].iloc[0]) << 32) | key[big].astype(np.int64)
@@ -198,30 +199,33 @@ def link_shingles(docs: DataFrame) -> DataFrame:
     copies = spread_join(known, equal, ["n", "h1", "h2"], "__rows", ["doc_id"]).select(F.col("doc_id").alias("u"), "v").filter("u != v")
     # documents that share keys
     dealt = texts.mapInArrow(_dealt(parts), "part int, entries binary, keys binary, owners binary")
-    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(_shared, "pair boolean, u long, v long, band int, a int, b int"))
+    small = SMALL
+    found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: _shared(pdf, small), "pair boolean, u long, v long, band int, a int, b int"))
     members = found.filter("not pair").select("u", "band", F.col("v").alias("grp"), F.col("a").alias("full"), F.col("b").alias("size"))
-    # what a member must share with any partner: its full chunks less the most differences it can have
+    # what a member must share with any partner: its full chunks less the most differences it can have,
+    # of which the two leave out less than half
     size = F.col("size")
-    g = F.greatest(F.col("full") - _differences(size + F.floor(size * DEN / NUM)), F.lit(1))
+    sure = F.col("full") - _differences(size + F.floor(size * DEN / NUM))
     own = W.partitionBy("u", "band")  # as many rows as a document has chunks
-    members = members.withColumn("c", F.count("*").over(own)).withColumn("g", F.min(g).over(own))
-    members = cut(members.select("u", "band", "grp", "size", (F.col("c") >= F.col("g")).alias("heavy"), "c"))
+    members = members.select("u", "band", "grp", F.greatest(F.floor((sure + 1) / 2), F.lit(1)).cast("int").alias("g"))
+    members = members.withColumn("c", F.count("*").over(own)).withColumn("g", F.min("g").over(own))
+    # of c large groups a link shares g, so each member may leave out g - 1 in an order common to all
+    members = members.withColumn("r", F.row_number().over(own.orderBy("grp")))
+    members = cut(members.select("u", "band", "grp", "c", (F.col("r") <= F.col("c") - F.col("g") + 1).alias("heavy")))
     heavy = members.groupBy("u", "band").agg(F.max("c").alias("c"))
     pairs = found.filter("pair").groupBy("u", "v", "band").agg(F.sum("b").alias("n"), F.min("a").alias("need"))
     more = [heavy.select(F.col("u").alias(x), "band", F.col("c").alias(f"c{x}")) for x in ("u", "v")]
     short = cut(pairs.filter("n < need").join(more[0], ["u", "band"]).join(more[1], ["v", "band"]).filter(F.col("n") + F.least("cu", "cv") >= F.col("need")).select("u", "v"))
-    # large groups: members that can link there, paired with the first of the smaller sets
-    highs = [band(i)[1] for i in range(64)]
-    core = size <= F.element_at(F.array(*[F.lit(x) for x in highs]), F.col("band") + 1)
-    kept = members.filter("heavy").select("u", "band", "grp", "size", core.alias("core"))
-    groups = cut(kept.groupBy("grp").agg(F.min(F.when(F.col("core"), F.col("u"))).alias("v"), F.count("*").alias("__rows")).filter("v is not null and __rows > 1"))
-    stars = cut(spread_join(kept, groups, ["grp"], "__rows", ["u"]).select("u", "v", "band", "size", "core").distinct())
+    # large groups: members that can link there, paired with the first of them
+    kept = members.filter("heavy").select("u", "band", "grp")
+    groups = cut(kept.groupBy("grp").agg(F.min("u").alias("v"), F.count("*").alias("__rows")).filter("__rows > 1"))
+    stars = cut(spread_join(kept, groups, ["grp"], "__rows", ["u"]).select("u", "v", "band").distinct())
     pairs = pairs.filter("n >= need").select("u", "v").unionByName(short).unionByName(stars.filter("u != v").select("u", "v"))
     candidates = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = cut(copies.unionByName(verify(texts, candidates)))
     reached = components(links)
     # components of one family that are not joined
-    crossing = _crossing(texts, stars, reached, candidates)
+    crossing = _crossing(texts, stars, sizes, reached, candidates)
     if not crossing.isEmpty():
         reached = components(links.unionByName(verify(texts, crossing)))
     out = sizes.join(reached.withColumnRenamed("u", "doc_id"), "doc_id", "left")
@@ -260,10 +264,13 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
 
 
-def _crossing(docs: DataFrame, stars: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
+def _crossing(docs: DataFrame, stars: DataFrame, sizes: DataFrame, reached: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs not among ``done`` of documents in different components that families leave open."""
     family = components(stars.filter("u != v").select("u", "v")).withColumnRenamed("component", "family")
-    own = stars.select("u", "band", "size", "core").distinct().join(family, "u").join(reached, "u", "left")
+    own = stars.select("u", "band").distinct().join(family, "u").join(reached, "u", "left")
+    own = own.join(sizes.select(F.col("doc_id").alias("u"), F.col("n").cast("int").alias("size")), "u")
+    highs = F.array(*[F.lit(band(i)[1]) for i in range(64)])
+    own = own.withColumn("core", F.col("size") <= F.element_at(highs, F.col("band") + 1))
     own = cut(own.withColumn("component", F.coalesce("component", "u")))
     mixed = own.groupBy("family", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("__rows")).filter("a != b")
     mixed = cut(mixed.select("family", "band", "__rows", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")))

@@ -123,13 +123,19 @@ def bands_of(size: int) -> list[int]:
 _bands_of = lru_cache(maxsize=1 << 16)(bands_of)
 
 
+def left_out(full, size):
+    """How many keys a set of a size with so many full chunks leaves out."""
+    return np.maximum((full - differences(size + size * DEN // NUM) - 1) // 2, 0)
+
+
 def chunk_keys(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     """(band, full, keys) for each band of a sorted set: a key is the parity (XOR) of a chunk's hashes.
 
     ``full`` chunks hold something. Two sets that reach the threshold share, in the band of the
-    smaller one, at least as many keys as either has full chunks, less their differences. Should a
-    set have no more full chunks than differences, the keys of its empty chunks come too, and one
-    key must agree.
+    smaller one, at least as many keys as either has full chunks, less their differences. Half of that
+    certainty is spent: a set leaves out its largest keys (see ``left_out``), which costs a pair no
+    more keys than the larger of the two numbers, as the order is the same for all. Should a set have
+    no more full chunks than differences, the keys of its empty chunks come too, and one must agree.
     """
     out, size = [], len(found)
     for i in _bands_of(size):
@@ -141,6 +147,8 @@ def chunk_keys(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         if len(first) <= differences(size + size * DEN // NUM):
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), at)
             keys = np.concatenate([keys, mix(mix(empty + (_U(i + 1) << _U(40))))])
+        elif drop := int(left_out(len(first), size)):
+            keys = np.sort(keys)[:-drop]
         out.append((i, len(first), keys))
     return out
 
