@@ -47,9 +47,14 @@ def grand_total() -> Column:
     return input_side_total() + F.col("output_total") + F.col("unclassified")
 
 
+def cache_hit_rate() -> Column:
+    """cache_read as a part of the input side; NULL without input."""
+    return F.try_divide(F.col("cache_read"), input_side_total())
+
+
 def cache_hit_permille() -> Column:
-    """cache_read per thousand of the input side; NULL without input."""
-    return F.expr("try_divide(cache_read * 1000, input_fresh + cache_read + cache_write_5m + cache_write_1h + cache_write_unspecified)")
+    """The same in whole thousandths, so that engines agree to the digit."""
+    return F.expr("cache_read * 1000 div nullif(input_fresh + cache_read + cache_write_5m + cache_write_1h + cache_write_unspecified, 0)")
 
 
 def bands_a(inp: Column, out: Column, write: Column, read: Column, write_5m: Column, write_1h: Column) -> dict[str, Column]:

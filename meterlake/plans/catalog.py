@@ -255,7 +255,7 @@ def range_filter(spark: SparkSession, d: str) -> DataFrame:
     return ops.totals(usage_facts(spark, d), Filter("2024-01-05 00:00:00", "2024-01-20 06:00:00", "codex"))
 
 
-@query(f"""{WITH}, t AS (SELECT adapter_id, {TOTALS_SQL} FROM ok GROUP BY 1) SELECT adapter_id, cache_write_5m + cache_write_1h + cache_write_unspecified AS cache_write_total, {INPUT_SQL} AS input_side, {GRAND_SQL} AS grand_total, CAST(CASE WHEN {INPUT_SQL} > 0 THEN cache_read * 1000.0 / ({INPUT_SQL}) END AS DOUBLE) AS cache_hit_permille FROM t""")
+@query(f"""{WITH}, t AS (SELECT adapter_id, {TOTALS_SQL} FROM ok GROUP BY 1) SELECT adapter_id, cache_write_5m + cache_write_1h + cache_write_unspecified AS cache_write_total, {INPUT_SQL} AS input_side, {GRAND_SQL} AS grand_total, cache_read * 1000 // nullif({INPUT_SQL}, 0) AS cache_hit_permille FROM t""")
 def derived_totals(spark: SparkSession, d: str) -> DataFrame:
     t = ops.by(usage_facts(spark, d), "adapter_id")
     return t.select("adapter_id", usage.cache_write_total().alias("cache_write_total"), usage.input_side_total().alias("input_side"), usage.grand_total().alias("grand_total"), usage.cache_hit_permille().alias("cache_hit_permille"))
