@@ -9,11 +9,11 @@ the threshold surely agree in some (pigeonhole), and by how many. The join is on
    Small groups give pairs with the number of keys shared; pairs that share too few cannot link.
 2. Groups of more than SMALL documents give memberships instead of pairs. A document with fewer such
    memberships than it must share keeps none; the others are paired with their group's first.
-3. Candidates are verified on the whole sets; components are taken.
+3. Candidates pass a screen of bit sketches, whose Hamming distance is at most the symmetric
+   difference of the sets, and are verified on the whole sets; components are taken.
 4. Groups that share documents form families. Within families that still hold several components,
-   documents of different ones are compared by bit sketches, whose Hamming distance is at most the
-   symmetric difference of the sets. What the sketches do not rule out is verified as well, so no
-   link between components is lost.
+   documents of different ones are compared by bit sketches too. What the sketches do not rule out
+   is verified as well, so no link between components is lost.
 Documents of equal sets are joined by the hash of their sets.
 
 Defined cases
@@ -175,6 +175,34 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(some, "doc_id", "left_semi")
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, sets in _sets(batches):
+        rows = [(int(doc), i, len(s), parity_bits(s, i)) for doc, s in zip(ids, sets, strict=True) for i in bands_of(len(s))]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["u", "band", "size", "bits"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, size and bits of both) to the pairs that the bits do not rule out."""
+    for batch in batches:
+        u, v, su, bu, sv, bv = batch.columns
+        most = differences(su.to_numpy().astype(np.int64) + sv.to_numpy())
+        apart = [int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum()) for a, b in zip(bu.to_pylist(), bv.to_pylist(), strict=True)]
+        keep = pa.array(np.array(apart, dtype=np.int64) <= most)
+        yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
+
+
+def screen(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v, band) that bit sketches of the band, a few bytes a document, do not rule out."""
+    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    bits = cut(_of(docs, wanted).mapInArrow(_sketches, "u long, band int, size int, bits binary"))
+    both = pairs.join(bits.hint("merge"), ["u", "band"])
+    other = bits.select(F.col("u").alias("v"), "band", F.col("size").alias("__size"), F.col("bits").alias("__bits"))
+    both = both.join(other.hint("merge"), ["v", "band"]).select("u", "v", "size", "bits", "__size", "__bits")
+    return both.mapInArrow(_near, "u long, v long").distinct()
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose documents' whole sets reach the threshold."""
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
@@ -215,14 +243,14 @@ def link_shingles(docs: DataFrame) -> DataFrame:
     heavy = members.groupBy("u", "band").agg(F.max("c").alias("c"))
     pairs = found.filter("pair").groupBy("u", "v", "band").agg(F.sum("b").alias("n"), F.min("a").alias("need"))
     more = [heavy.select(F.col("u").alias(x), "band", F.col("c").alias(f"c{x}")) for x in ("u", "v")]
-    short = cut(pairs.filter("n < need").join(more[0], ["u", "band"]).join(more[1], ["v", "band"]).filter(F.col("n") + F.least("cu", "cv") >= F.col("need")).select("u", "v"))
+    short = cut(pairs.filter("n < need").join(more[0], ["u", "band"]).join(more[1], ["v", "band"]).filter(F.col("n") + F.least("cu", "cv") >= F.col("need")).select("u", "v", "band"))
     # large groups: members that can link there, paired with the first of them
     kept = members.filter("heavy").select("u", "band", "grp")
     groups = cut(kept.groupBy("grp").agg(F.min("u").alias("v"), F.count("*").alias("__rows")).filter("__rows > 1"))
     stars = cut(spread_join(kept, groups, ["grp"], "__rows", ["u"]).select("u", "v", "band").distinct())
-    pairs = pairs.filter("n >= need").select("u", "v").unionByName(short).unionByName(stars.filter("u != v").select("u", "v"))
-    candidates = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = cut(copies.unionByName(verify(texts, candidates)))
+    pairs = pairs.filter("n >= need").select("u", "v", "band").unionByName(short).unionByName(stars.filter("u != v"))
+    candidates = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "band").distinct())
+    links = cut(copies.unionByName(verify(texts, cut(screen(texts, candidates)))))
     reached = components(links)
     # components of one family that are not joined
     crossing = _crossing(texts, stars, sizes, reached, candidates)
@@ -236,13 +264,6 @@ def _differences(sizes: Column) -> Column:
     return F.floor(sizes * (DEN - NUM) / (DEN + NUM)).cast("int")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        rows = [(int(doc), i, parity_bits(s, i)) for doc, s in zip(ids, sets, strict=True) for i in bands_of(len(s))]
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["u", "band", "bits"])
-
-
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Documents of one family and band, of two blocks or one: pairs of different components that may link."""
     sides = [x.sort_values("component") for _, x in pdf.groupby("block")]
@@ -275,10 +296,10 @@ def _crossing(docs: DataFrame, stars: DataFrame, sizes: DataFrame, reached: Data
     mixed = own.groupBy("family", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("__rows")).filter("a != b")
     mixed = cut(mixed.select("family", "band", "__rows", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")))
     own = cut(spread_join(own, mixed, ["family", "band"], "__rows", ["u"]))
-    bits = _of(docs, cut(own.select(F.col("u").alias("doc_id")).distinct())).mapInArrow(_sketches, "u long, band int, bits binary")
+    bits = _of(docs, cut(own.select(F.col("u").alias("doc_id")).distinct())).mapInArrow(_sketches, "u long, band int, size int, bits binary").drop("size")
     own = own.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = own.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     own = own.join(bits.hint("merge"), ["u", "band"])
     pairs = own.select("family", "band", "i", "j", "block", "u", "size", "core", "component", "bits").groupBy("family", "band", "i", "j").applyInPandas(_compared, "u long, v long")
-    return cut(pairs.distinct().join(done, ["u", "v"], "left_anti"))
+    return cut(pairs.distinct().join(done.select("u", "v").distinct(), ["u", "v"], "left_anti"))

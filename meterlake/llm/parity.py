@@ -156,7 +156,7 @@ def chunk_keys(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
 def parity_bits(found: np.ndarray, i: int) -> bytes:
     """The bit sketch of a set for band ``i``: each hash flips one bit, so that the Hamming distance of
     two sketches is at most the symmetric difference of the sets. Its width follows the band's sizes."""
-    width = 1 << max(9, (8 * band(i)[0]).bit_length())
+    width = 1 << max(9, (2 * band(i)[0]).bit_length())
     flips = np.bincount((mix(found + _PLACES[0]) >> _U(20)).astype(np.int64) & (width - 1), minlength=width)
     return np.packbits(flips.astype(np.uint8) & 1).tobytes()
 
