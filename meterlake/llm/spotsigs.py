@@ -12,6 +12,8 @@ the range that follows, and each is read in order as a stream. The text is shuff
 Defined cases
 * null or empty text: the empty fingerprint; two empty fingerprints are alike (1.0).
 * a text without content words: one signature of all its words. The start of a text is an anchor.
+* a text without anchors (a table, code, names, another language): every word is an anchor. In other
+  texts, a content word that comes more than STRETCH content words after the last anchor is one too.
 * null ids come first. Repeated ids and rows follow each other in the order of their texts.
 * the last document's next is the first; a single document's next is itself.
 * empty table: an empty result. Extra columns are ignored.
@@ -41,6 +43,8 @@ ANCHORS = frozenset(
     al como con del el ella era esta las lo los más no nos para pero por su sus todo una y""".split()
 )
 CHAIN = 2
+#: Content words after an anchor, or after the start, that may stand without an anchor of their own.
+STRETCH = 8
 THRESHOLD = 0.75
 MAX_RANGES = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -52,13 +56,18 @@ def signatures(text: str | None, chain: int = CHAIN) -> frozenset[int]:
     found = set()
     following: list[str] = [""] * chain
     spot = ""
+    stretch: list[str] = []  # signatures at the content words before the next anchor, the last word's first
     for word in reversed(words):
         if word in ANCHORS:
             if spot:
                 found.add(f"{word} {spot}")
+            found.update(stretch[:-STRETCH])
+            stretch.clear()
         else:
+            stretch.append(f"{word} {spot}")
             following = [word, *following[:-1]]
             spot = " ".join(following)
+    found.update(stretch if len(stretch) == len(words) else stretch[:-STRETCH])
     if spot:
         found.add(f"^ {spot}")
     elif words:

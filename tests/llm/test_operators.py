@@ -111,6 +111,21 @@ def test_spotsigs_of_odd_rows(spark, odd, nothing):
     assert spotsigs.likeness(frozenset({1}), frozenset(range(9)), 0.5) == 0.0
 
 
+def test_spotsigs_without_anchors(spark):
+    def table(k, n):
+        return "Item | Price | " + " | ".join(f"x{k}n{i}" for i in range(n))
+
+    texts = [table(0, 4), table(1, 4), table(0, 400), table(1, 400), "the red fox " + table(2, 100), "the red fox " + table(3, 100), "Приказ 7 об отпуске", "Приказ 7 об оплате"]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    for r in spotsigs.spotsigs(frame).collect():
+        assert r.near_edited < 0.7 and r.near_next < 0.4, r
+    for text in texts[:4]:  # no word is without a signature
+        words = re.findall("[a-z0-9]+", text.lower())
+        for i in range(len(words)):
+            other = spotsigs.signatures(" ".join([*words[:i], "changed", *words[i + 1 :]]))
+            assert spotsigs.likeness(spotsigs.signatures(text), other) < 1
+
+
 # --- packing ---
 
 
