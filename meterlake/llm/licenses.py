@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words.
 
 Hundreds of regular expressions are built from the families and templates below. A document is
-looked at closely only if a gate of keywords matches, a family's rules run only if the document holds
-its keyword and then one of its names. Every match is an interval of words with a priority. An interval that lies within
+looked at closely only if a gate of keywords matches, a family's rules run only if the document holds one
+of its keywords and then one of its names. Every match is an interval of words with a priority. An interval that lies within
 one of better priority (or an equal interval of an earlier rule) is suppressed, so "gpl version 3"
 inside a full notice reports the notice alone. All of it is one projection of built-in functions.
 
@@ -28,7 +28,7 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: (label, keyword that must occur as a word, names as regular expressions over words, versions)
+#: (label, keywords of which one must occur as a word, names as regular expressions over words, versions)
 FAMILIES = (
     ("gpl", "general", ("(?:gnu )?general public licen[cs]e",), ("1", "2", "3")),
     ("gpl", "gpl", ("(?:gnu )?gpl",), ("1", "2", "3")),
@@ -45,12 +45,12 @@ FAMILIES = (
     ("mpl", "mozilla", ("mozilla public licen[cs]e",), ("1", "1 1", "2", "2 0")),
     ("mpl", "mpl", ("mpl",), ("1", "1 1", "2", "2 0")),
     ("epl", "eclipse", ("eclipse public licen[cs]e",), ("1", "1 0", "2", "2 0")),
-    ("cddl", "cddl", ("cddl", "common development and distribution licen[cs]e"), ("1", "1 0", "1 1")),
+    ("cddl", "cddl development", ("cddl", "common development and distribution licen[cs]e"), ("1", "1 0", "1 1")),
     ("isc", "isc", ("isc licen[cs]e",), ()),
     ("zlib", "zlib", ("zlib licen[cs]e",), ()),
     ("artistic", "artistic", ("artistic licen[cs]e",), ("1", "1 0", "2", "2 0")),
     ("bsl", "boost", ("boost software licen[cs]e",), ("1", "1 0")),
-    ("eupl", "eupl", ("eupl", "european union public licen[cs]e"), ("1 1", "1 2")),
+    ("eupl", "eupl european", ("eupl", "european union public licen[cs]e"), ("1 1", "1 2")),
     ("unlicense", "unlicense", ("(?:the )?unlicense",), ()),
     ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
     ("cc-by", "cc", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
@@ -61,7 +61,7 @@ FAMILIES = (
     ("cc-by-nc-nd", "cc", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc0", "cc0", ("cc0",), ("1 0",)),
     ("cc-by", "attribution", ("creative commons attribution(?: licen[cs]e)?",), ("2 0", "3 0", "4 0")),
-    ("cc-by-sa", "sharealike", ("creative commons attribution share ?alike", "creative commons attribution sharealike"), ("2 0", "3 0", "4 0")),
+    ("cc-by-sa", "share sharealike", ("creative commons attribution share ?alike", "creative commons attribution sharealike"), ("2 0", "3 0", "4 0")),
 )
 #: (priority, confidence, template); {name} and {version} are filled in. Lower priorities win.
 NOTICES = ("licensed under (?:the )?(?:terms of (?:the )?)?", "released under (?:the )?(?:terms of (?:the )?)?", "distributed under (?:the )?(?:terms of (?:the )?)?", "spdx license identifier ")
@@ -76,7 +76,7 @@ TEXTS = (
 )
 #: What every rule's text holds, in lower case: one of these strings or a match of the pattern.
 GATE = ("licen", "spdx", "gpl", "apache", "bsd", "wtfpl", "eupl", "cddl", "redistribution", "hereby", "domain", "reserved", "creative")
-GATE_WORDS = r"(?<![a-z0-9])(?:mpl|cc0?)(?![a-z0-9])|under\W+(?:the\W+)?(?:terms\W+of\W+)?(?:the\W+)?mit(?![a-z0-9])"
+GATE_WORDS = r"(?<![a-z0-9])(?:mpl|cc0?)(?![a-z0-9])|under[\W_]+(?:the[\W_]+)?(?:terms[\W_]+of[\W_]+)?(?:the[\W_]+)?mit(?![a-z0-9])"
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a raw text: as those of the lower-cased one, with A-Z among the letters. (A class of what
@@ -87,7 +87,7 @@ Rule = tuple[int, str, int, float, str]
 
 
 def families() -> list[tuple[str, str, list[Rule]]]:
-    """(keyword, probe, rules) in order; a rule is (order, pattern, priority, confidence, label)."""
+    """(keywords, probe, rules) in order; a rule is (order, pattern, priority, confidence, label)."""
     out, order = [], 0
     for label, keyword, names, versions in FAMILIES:
         found: list[tuple[str, int, float, str]] = []
@@ -175,7 +175,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "licenses"]
     table = F.array(*[
         F.struct(
-            F.lit(f" {k} ").alias("keyword"), F.lit(f" (?:{p})(?= )").alias("probe"),
+            F.array(*[F.lit(f" {x} ") for x in k.split()]).alias("keywords"), F.lit(f" (?:{p})(?= )").alias("probe"),
             F.array(*[
                 F.struct(F.lit(i).alias("rule"), F.lit(x).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("score"), F.lit(label).alias("label"))
                 for i, x, n, c, label in own
@@ -199,7 +199,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         back = F.char_length(norm) - F.instr(F.reverse(norm), f" {phrase[::-1]} ") - len(phrase)
         lasts.append(F.when(n > 0, _words_before(norm, back)))
         names.append(F.when(n > 0, F.lit(label)))
-    there = F.filter(table, lambda f: F.contains(norm, f["keyword"]) & F.rlike(norm, f["probe"]))
+    there = F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(norm, k)) & F.rlike(norm, f["probe"]))
     found = F.flatten(F.transform(F.flatten(F.transform(there, lambda f: f["rules"])), lambda r: _matches(norm, r)))
     none = F.array().cast("array<struct<rule:int,priority:int,score:double,label:string,lo:bigint,hi:bigint>>")
     out = out.withColumn("licenses", F.when(norm.isNull(), none).otherwise(_bind(found, _kept)))

@@ -465,3 +465,19 @@ def test_license_rules(spark, odd, nothing):
     assert [r.labels for r in licenses.scan_licenses(frame).orderBy("doc_id").collect()] == list(texts.values())
     assert len(licenses.rules()) > 200
     assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(odd).count() == odd.count()
+
+
+def test_every_license_name_fires_its_rule(spark):
+    def spellings(name):
+        yield re.sub(r"\(\?:([^)]*)\)\?", r"\1", name).replace("[cs]", "c").replace(" ?", " ")
+        yield re.sub(r"\(\?:[^)]*\)\?", "", name).replace("[cs]", "s").replace(" ?", "")
+
+    cases = []
+    for label, _, names, versions in licenses.FAMILIES:
+        for name in {x for n in names for x in spellings(n)}:
+            cases += [(f"See {name.title()}.", label)] if name not in ("apache", "mit", "bsd") else []
+            cases += [(f"Released under {name},", label), (f"distributed under the_terms of_the __{name.upper()}__", label)]
+            cases += [(f"{name}, version {v}", f"{label}-{v.replace(' clause', '-clause').replace(' ', '.') + '.0' * v.isdigit()}") for v in versions]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan_licenses(frame).collect():
+        assert {x.label for x in r.licenses} == {cases[r.doc_id][1]}, r
