@@ -1,11 +1,11 @@
 """SpotSigs document fingerprints.
 
 An anchor (a common word) and the next content words after it form a spot signature; the set of a
-document's signatures is its fingerprint. Sets fall into partitions of similar length, as two sets
-whose lengths differ by more than the threshold's factor cannot be near copies; Jaccard is computed
-on the sets and cut short where the lengths alone bound it.
+document's signatures is its fingerprint. Each document is compared with its edited text and with the
+next one in ascending id, by the exact Jaccard of the sets. No pairs are searched for, so nothing is
+pruned: ``length_partition`` is only given as a column, for joins of near copies at THRESHOLD.
 
-Each document is compared with the next one in ascending id. Documents are dealt into id ranges
+Documents are dealt into id ranges
 (quantile cuts, of which there are at most MAX_RANGES), each range also gets the first document of
 the range that follows, and each is read in order as a stream. The text is shuffled once.
 
