@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meterlake.llm.common import cut, read
 from meterlake.llm.language import UND, fit, held_out, identify
 from meterlake.llm.line_dedup import dedup_lines
-from meterlake.llm.mixing import mix_texts
+from meterlake.llm.mixing import mix_texts, repeats
 from meterlake.llm.ngram_join import MAX_BROADCAST_IDS, link_shingles
 from meterlake.llm.packing import pack_documents
 from meterlake.llm.queries import tokenizer_ranks
@@ -33,7 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near copies."""
+    """One document, of the smallest id, of each group of near copies.
+
+    Rows that repeat id (null too) and text are one, the least by its other columns. Null ids are linked with nothing.
+    """
+    if repeats(docs):
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        least = docs.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__any"), *rest)).alias("__rest"))
+        docs = least.select(*(c if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in docs.columns))
     classes = link_shingles(docs.select("doc_id", "text"))
     others = cut(classes.filter("doc_id != component_id").select("doc_id").distinct())
     few = others.count() <= MAX_BROADCAST_IDS

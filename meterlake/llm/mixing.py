@@ -210,7 +210,8 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     A document that a pass takes whole keeps its text as it is; else the words taken are joined by
     spaces in their order. Documents of which nothing is taken go. Columns are those of ``docs``.
     """
-    placed, sources = place(docs.dropDuplicates(["doc_id", "source", "text"]) if _repeats(docs) else docs, block_words)
+    docs = docs.dropDuplicates(["doc_id", "source", "text"]) if repeats(docs) else docs
+    placed, sources = place(docs, block_words)
     ranges = (
         takes(placed, slots(sources), block_words)
         .groupBy("doc_id", "source", "__hash", "size", "__pass")
@@ -230,6 +231,7 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return joined.select(*docs.columns)
 
 
-def _repeats(docs: DataFrame) -> bool:
+def repeats(docs: DataFrame) -> bool:
+    """Whether an id (or null) stands in several rows."""
     keys = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     return not keys.filter("n > 1").isEmpty()

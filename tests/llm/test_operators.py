@@ -246,6 +246,22 @@ def test_mixing_of_odd_rows(odd, nothing):
     assert mixing.mix_sizes(odd, 8).count() == odd.count()
 
 
+def test_mixing_takes_repeated_rows_once(spark, rows):
+    some = [r for r in rows if r[3]][:40]
+    once = spark.createDataFrame(some, SCHEMA)
+    repeated = spark.createDataFrame([*some, *some[:20], *some[:5]], SCHEMA)
+    assert sorted(r.text for r in mixing.mix_texts(repeated, 8).collect()) == sorted(r.text for r in mixing.mix_texts(once, 8).collect())
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline as pipeline
+
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, "en", "s1", 5), (1, text, "en", "s0", 5), (2, text, "en", "s1", 5), (3, other, "en", "s1", 5), (None, text, "en", "s1", 5), (None, text, "en", "s1", 5)]
+    kept = pipeline.ngram_join(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(kept.collect(), key=str) == sorted([rows[1], rows[3], rows[4]], key=lambda r: str(spark.createDataFrame([r], SCHEMA).first()))
+
+
 # --- line dedup ---
 
 
