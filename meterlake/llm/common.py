@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +27,59 @@ def ascii_lower(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder that the session names.
+    """Cuts lineage with a checkpoint in the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a folder of its own.
+    A local session without one gets a folder of its own; a cluster raises, as a folder of the driver's
+    would not be there for the executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meterlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="meterlake-")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most ``rows`` rows and ``size`` bytes of a text column.
+
+    A longer text makes a slice of its own, so what a task holds is bounded by its longest text.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(ends, before + size, side="right")), begin + 1)
+            end = min(end, begin + rows, batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about ``size`` code points, each beginning at white space that follows something else.
+
+    What stands between two such places (a very long word or run of blanks) is never cut.
+    """
+    begin = 0
+    while len(text) - begin > size:
+        at = _EDGE.search(text, begin + size)
+        if at is None:
+            break
+        yield text[begin : at.start()]
+        begin = at.start()
+    yield text[begin:]
+
+
+#: Unicode's white space, as the body of a class (Python's \\s also holds the separators 1C to 1F).
+UNICODE_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_EDGE = re.compile(f"(?<=[^{UNICODE_WHITE}])(?=[{UNICODE_WHITE}])")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

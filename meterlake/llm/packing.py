@@ -10,10 +10,12 @@ distinct piece lengths. The driver sees only that histogram. It
 Several group counts are tried on the histogram and the plan of fewest sequences is kept. The plan
 is a list of runs (length, first rank, count, first sequence, per sequence, offset), whose number is
 bounded by the capacity and the groups, never by the documents. Spark ranks the pieces of each
-length (salted, so one length may hold any share of the rows) and joins them with the runs.
+length (in parts of bounded size, so one length may hold any share of the rows) and joins them with
+the runs.
 
 Defined cases
 * null or empty text: the single closing token.
+* texts of any length, words and runs of blanks of any length: encoded in pieces, with the same ids.
 * null id, repeated ids or rows: every row is packed as a document of its own.
 * long documents are cut into pieces of ``capacity`` tokens, of which the first may be shorter.
 * ties between equal lengths go by id, piece and digest, so reruns agree.
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,29 +38,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import UNICODE_WHITE, cut, pieces, slices
 
 CAPACITY = 2048
 #: Pieces up to this share of the capacity are small: they are placed last, by best fit.
 SMALL = 1 / 8
 #: Group counts and small shares that are tried; the last ones are as good as no rounding.
 TRIALS = ((64, SMALL), (256, SMALL), (2048, SMALL), (2048, SMALL / 4))
-#: Ranks within a length are taken in this many salted parts.
-SALTS = 64
+#: Ranks within a length are taken in salted parts of about so many pieces; a part is one row on the driver.
+PART_ROWS = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The special token of the vocabulary, which stands for itself in a text.
+SPECIAL = "<|endoftext|>"
+#: Longer texts are encoded in pieces of about so many code points.
+PIECE_CHARS = 1 << 16
+#: Longer runs of white space go around the pattern, whose engine overflows its stack on a run of a million.
+RUN = 10_000
+_RUN = re.compile(f"[{UNICODE_WHITE}]{{{RUN},}}")
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(ranks_path: str):
-    """The byte-level BPE of a ranks file; '<|endoftext|>' in a text is its special token."""
+    """The byte-level BPE of a ranks file."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {"<|endoftext|>": len(ranks)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+
+
+def encode(text: str, enc) -> array:
+    """The ids of a text of any length; the special token in it is one id.
+
+    A text is cut where white space follows something else: words of the pattern never reach over such
+    a place nor look beyond it. Of a run of white space within a text the pattern takes all but the
+    last as one word.
+    """
+    out = array("I")
+    for k, part in enumerate(text.split(SPECIAL)):
+        if k:
+            out.append(enc.eot_token)
+        for piece in pieces(part, PIECE_CHARS):
+            at = 0
+            for run in _RUN.finditer(piece) if len(piece) >= RUN else ():
+                end = run.end() - (run.end() < len(piece))
+                out.extend(enc.encode_ordinary(piece[at : run.start()]))
+                out.extend(enc._encode_single_piece(piece[run.start() : end]))
+                at = end
+            out.extend(enc.encode_ordinary(piece[at:]))
+    return out
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -64,40 +98,28 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, wit
 
     ``ranks_path`` is a file of byte-pair ranks on every executor. A document's ids end with id 0.
     """
-    schema = PIECES + (", ids array<int>" if with_ids else "")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks_path)
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+        for batch in slices(batches, 1):
+            out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    ids = [0]
-                elif "<|endoftext|>" in text:
-                    ids = enc.encode(text, allowed_special="all")
-                    ids.append(0)
-                else:
-                    ids = enc.encode_ordinary(text)
-                    ids.append(0)
-                data = np.array(ids, dtype="<u4")
+                ids = encode(text or "", enc)
+                ids.append(0)
+                data = np.frombuffer(ids, dtype=np.uint32).astype("<u4", copy=False)
                 end = (len(ids) - 1) % capacity + 1
                 start = piece = 0
                 while start < len(ids):
                     part = data[start:end]
-                    row = (doc, piece, start, end - start, zlib.crc32(part.tobytes()))
+                    row = (doc, piece, start, end - start, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None)
                     for column, value in zip(out, row, strict=False):
                         column.append(value)
-                    if with_ids:
-                        out[5].append(part.astype(np.int32))
                     start, end, piece = end, end + capacity, piece + 1
-            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())] + [pa.array(x, pa.int64()) for x in out[2:5]]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array(out[5], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
@@ -242,11 +264,18 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return best[0]
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
+
+    The pieces of a length are ranked in as many parts as keep each at about ``part_rows``, so that the
+    lengths that most pieces have (the capacity itself above all) are split as they grow.
+    """
     spark: SparkSession = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    parts = salted.groupBy("length", "__salt").count().collect()  # at most capacity x salts rows
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
+    parts_of = spark.createDataFrame([(r["length"], -(-r["n"] // part_rows)) for r in lengths], "length long, __parts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__parts")).cast("int")
+    salted = pieces.join(F.broadcast(parts_of), "length").withColumn("__salt", salt).drop("__parts")
+    parts = salted.groupBy("length", "__salt").count().collect()  # a row per part
     histogram: dict[int, int] = defaultdict(int)
     bases = []
     for r in sorted(parts, key=lambda r: (r["length"], r["__salt"])):

@@ -184,6 +184,33 @@ def test_plans_place_every_piece_once(seed):
         assert ranks == histogram and len(load) == used and max(load.values()) <= 200
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" * 1_000_000, "end" + "\t" * 50_000, "a!\x1c!\x1d b\x85\xa0c" * 20_000, "e\u0301" * 50_000,
+        " \t\n\u3000" * 30_000 + "z" + " " * 20_000 + "<|endoftext|>" + " " * 20_000 + "<|endoftext|> x", "a" * 65_536 + " " * 10_000 + "b" + " " * 9_999 + "c\t", "don't  12 \u4e2d " * 60_000,
+    ],
+    ids=["blanks", "lines", "letters", "tail", "separators", "marks", "special", "edges", "words"],
+)
+def test_ids_of_very_long_texts(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert list(packing.encode(text, packing._encoder(tokenizer_ranks()))) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_lengths_are_ranked_in_parts(spark):
+    rows = [(i % 40, i // 40, 0, 50 if i % 3 else 1 + i % 7, i) for i in range(900)]
+    pieces = spark.createDataFrame([*rows, rows[0], rows[0]], packing.PIECES).cache()
+    got = packing.pack_pieces(pieces, 100, part_rows=30).collect()
+    spots = defaultdict(list)
+    for r in got:
+        spots[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 902 and all(sum(n for _, n in x) <= 100 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in spots.values())
+    assert len(spots) == -(-sum(r.length for r in got) // 100)
+
+
 def test_packing_of_odd_rows(odd, nothing):
     assert packing.pack_documents(nothing, tokenizer_ranks()).count() == 0
     got = packing.pack_documents(odd, tokenizer_ranks()).collect()
