@@ -9,12 +9,15 @@ inside a full notice reports the notice alone. All of it is one projection of bu
 Defined cases
 * null or empty text: 0 words, no place, null positions, empty labels, score 0.
 * null ids and repeated rows: each row is scanned on its own; columns named like results are replaced.
+* texts of any length with any number of places: the work grows in proportion to words and places.
 * ties: of equal intervals and priorities the earlier rule reports.
 * empty table: an empty result.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,12 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: is in, possessive: Java runs it several times faster than the negated class.)
 WORD = r"[A-Za-z0-9\x80-\x{10FFFF}]++"
 
+#: Marks around a match; no word holds them.
+BEGIN, END = "\x01", "\x02"
+INTERVAL = "struct<lo:bigint,back:bigint,priority:int,rule:int,hi:bigint,score:double,label:string>"
+TABLE = "array<struct<keywords:array<string>,probe:string,rules:array<struct<rule:int,pattern:string,priority:int,score:double,label:string>>>>"
+CHUNK = 128
+
 Rule = tuple[int, str, int, float, str]
 
 
@@ -118,6 +127,14 @@ def rules() -> list[Rule]:
     return [r for _, _, own in families() for r in own]
 
 
+def _table() -> list[dict]:
+    fields = ("rule", "pattern", "priority", "score", "label")
+    return [
+        {"keywords": [f" {x} " for x in k.split()], "probe": f" (?:{p})(?= )", "rules": [dict(zip(fields, r, strict=True)) for r in own]}
+        for k, p, own in families()
+    ]
+
+
 def _bind(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -130,59 +147,78 @@ def _words_before(norm: Column, at: Column) -> Column:
 
 
 def _matches(norm: Column, rule: Column) -> Column:
-    """Intervals of one rule: (rule, priority, score, label, lo, hi) in words, hi exclusive."""
+    """Intervals of one rule: (lo, back, priority, rule, hi, score, label) in words, hi exclusive and back its negative.
+
+    The places are marked in the text, so that all of them are found in one walk over its words.
+    """
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
 
-    def found(hits: Column) -> Column:
-        gaps = F.split(norm, pattern, -1)
+    def found(marked: Column) -> Column:
+        words = F.split(F.trim(marked), " ", -1)
+        return F.when(F.contains(marked, F.lit(BEGIN)), _bind(words, intervals))
 
-        def one(hit: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.char_length(g))
-            before = before + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda a, h: a + F.char_length(h))
-            lo = _words_before(norm, before)
-            n = F.char_length(hit) - F.char_length(F.replace(hit, F.lit(" "), F.lit(""))) + 1
+    def intervals(words: Column) -> Column:
+        begins = F.array_compact(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(BEGIN)), i.cast("long"))))
+        ends = F.array_compact(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit(END)), i.cast("long") + 1)))
+
+        def one(lo: Column, ends: Column, k: Column) -> Column:
+            hi = F.get(ends, k)
             return F.struct(
-                rule["rule"].alias("rule"), rule["priority"].alias("priority"), rule["score"].alias("score"), rule["label"].alias("label"),
-                lo.alias("lo"), (lo + n).alias("hi"),
+                lo.alias("lo"), (-hi).alias("back"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), hi.alias("hi"),
+                rule["score"].alias("score"), rule["label"].alias("label"),
             )
 
-        return F.transform(hits, one)
+        return _bind(ends, lambda e: F.transform(begins, lambda lo, k: one(lo, e, k)))
 
-    return _bind(F.regexp_extract_all(norm, pattern, F.lit(0)), found)
+    return _bind(F.regexp_replace(norm, pattern, F.lit(f"{BEGIN}$0{END}")), found)
 
 
 def _kept(intervals: Column) -> Column:
-    """Without those inside an interval of better priority, and later ones of equal intervals."""
+    """Without those inside an interval of better priority, and later ones of equal intervals.
 
-    def covered(a: Column) -> Column:
-        def by(b: Column) -> Column:
-            inside = (b["lo"] <= a["lo"]) & (b["hi"] >= a["hi"])
-            wider = (b["hi"] - b["lo"]) > (a["hi"] - a["lo"])
-            better = (b["priority"] < a["priority"]) | ((b["priority"] == a["priority"]) & (wider | (b["rule"] < a["rule"])))
-            return inside & better
+    In order of place, longest first, then priority and rule, whatever suppresses an interval stands
+    before it. The order is cut into chunks: the furthest ends of earlier chunks, by priority, decide
+    together with the intervals before it in its own chunk.
+    """
 
-        return F.exists(intervals, by)
+    def furthest(chunk: Column) -> Column:
+        def end(priority: int) -> Column:
+            own = F.transform(chunk, lambda x: F.when(x["priority"] <= priority, x["hi"]))
+            return F.coalesce(F.array_max(own), F.lit(0).cast("long"))
 
-    return F.filter(intervals, lambda a: ~covered(a))
+        return F.array(*map(end, (1, 2, 3)))
+
+    def decided(chunk: Column, before: Column) -> Column:
+        def open_(a: Column, j: Column) -> Column:
+            near = F.exists(F.slice(chunk, F.lit(1), j), lambda b: (b["priority"] <= a["priority"]) & (b["hi"] >= a["hi"]))
+            return (F.get(before, a["priority"] - 1) < a["hi"]) & ~near
+
+        return F.filter(chunk, open_)
+
+    def walk(ordered: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1)), F.lit(CHUNK))
+        return _bind(F.transform(starts, lambda at: F.slice(ordered, at, F.lit(CHUNK))), lambda chunks: _bind(F.transform(chunks, furthest), lambda ends: joined(chunks, ends)))
+
+    def joined(chunks: Column, ends: Column) -> Column:
+        none = F.array(*[F.lit(0).cast("long")] * 3)
+
+        def before(c: Column) -> Column:
+            return F.aggregate(F.slice(ends, F.lit(1), c), none, lambda m, e: F.zip_with(m, e, lambda a, b: F.greatest(a, b)))
+
+        return F.flatten(F.transform(chunks, lambda chunk, c: _bind(before(c), lambda m: decided(chunk, m))))
+
+    kept = _bind(F.array_sort(intervals), walk)
+    return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("rule", "priority", "score", "label", "lo", "hi")]))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and ``licenses``.
 
-    ``licenses`` lists the intervals that remain after suppression: rule, priority, score, label, lo, hi.
+    ``licenses`` lists the intervals that remain after suppression by place: rule, priority, score, label, lo, hi.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "licenses"]
-    table = F.array(*[
-        F.struct(
-            F.array(*[F.lit(f" {x} ") for x in k.split()]).alias("keywords"), F.lit(f" (?:{p})(?= )").alias("probe"),
-            F.array(*[
-                F.struct(F.lit(i).alias("rule"), F.lit(x).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("score"), F.lit(label).alias("label"))
-                for i, x, n, c, label in own
-            ]).alias("rules"),
-        )
-        for k, p, own in families()
-    ])
+    table = F.from_json(F.lit(json.dumps(_table())), TABLE)
     out = docs.drop(*made).withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
     out = out.withColumn("__lower", F.lower(text))
     gate = F.col("__lower").rlike(GATE_WORDS)
@@ -200,7 +236,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lasts.append(F.when(n > 0, _words_before(norm, back)))
         names.append(F.when(n > 0, F.lit(label)))
     there = F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(norm, k)) & F.rlike(norm, f["probe"]))
-    found = F.flatten(F.transform(F.flatten(F.transform(there, lambda f: f["rules"])), lambda r: _matches(norm, r)))
+    found = F.flatten(F.array_compact(F.transform(F.flatten(F.transform(there, lambda f: f["rules"])), lambda r: _matches(norm, r))))
     none = F.array().cast("array<struct<rule:int,priority:int,score:double,label:string,lo:bigint,hi:bigint>>")
     out = out.withColumn("licenses", F.when(norm.isNull(), none).otherwise(_bind(found, _kept)))
     base = F.array_sort(F.array_compact(F.array(*names)))

@@ -510,6 +510,38 @@ def test_license_rules(spark, odd, nothing):
     assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(odd).count() == odd.count()
 
 
+def test_license_rules_against_brute_force(spark, rows):
+    rng = random.Random(9)
+    bits = ["licensed under the", "Released under", "the terms of", "apache license", "Apache Software License,", "version 2.0", "v3", "2", "GNU General Public License", "general public licence", "GPL", "or any later version",
+            "or later", "BSD", "BSD-style license", "3-clause", "MIT", "mit license", "cc by", "CC-BY-SA", "4.0", "all rights reserved", "public domain", "dedicated to the public domain", "word", "and", "mpl", "wtfpl", "license"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(120)] + [t or "" for _, t, *_ in rows]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        norm = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", texts[r.doc_id].translate(LOWER))) + " "
+        spans = []
+        for rule, pattern, priority, score, label in licenses.rules():
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm):
+                lo = norm[: m.start()].count(" ") - 1
+                spans.append((rule, priority, score, label, lo, lo + m[0].count(" ") + 1))
+
+        def inside(a, b):
+            wider = b[5] - b[4] > a[5] - a[4]
+            return b[4] <= a[4] and b[5] >= a[5] and (b[1] < a[1] or (b[1] == a[1] and (wider or b[0] < a[0])))
+
+        want = {a for a in spans if not any(inside(a, b) for b in spans)}
+        assert {tuple(x) for x in r.licenses} == want and len(r.licenses) == len(want), texts[r.doc_id]
+        assert r.labels == ",".join(sorted({a[3] for a in want} | set(filter(None, r.base_labels.split(",")))))
+
+
+def test_license_places_of_a_long_text(spark):
+    import time
+
+    frame = spark.createDataFrame([(1, "mit license " * 64_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    r = licenses.scan_licenses(frame).selectExpr("n_base", "last_word", "size(licenses) AS n").first()
+    assert (r.n_base, r.last_word, r.n) == (64_000, 127_998, 64_000) and time.perf_counter() - began < 30
+
+
 def test_every_license_name_fires_its_rule(spark):
     def spellings(name):
         yield re.sub(r"\(\?:([^)]*)\)\?", r"\1", name).replace("[cs]", "c").replace(" ?", " ")
