@@ -45,8 +45,10 @@ CAPACITY = 2048
 SMALL = 1 / 8
 #: Group counts and small shares that are tried; the last ones are as good as no rounding.
 TRIALS = ((64, SMALL), (256, SMALL), (2048, SMALL), (2048, SMALL / 4))
-#: Ranks within a length are taken in salted parts of about so many pieces; a part is one row on the driver.
-PART_ROWS = 100_000
+#: Ranks within a length are taken in salted parts of about so many pieces at least; there are about
+#: MAX_PARTS and one a length at most, as a part is one row on the driver.
+PART_ROWS = 500
+MAX_PARTS = 65_536
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -267,15 +269,16 @@ def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
 
-    The pieces of a length are ranked in as many parts as keep each at about ``part_rows``, so that the
-    lengths that most pieces have (the capacity itself above all) are split as they grow.
+    The pieces of a length are ranked in as many parts as keep each at about ``part_rows`` (more in a corpus
+    that has more than MAX_PARTS times as many pieces), so that the lengths that most pieces have (the capacity itself above all) are split as they grow.
     """
     spark: SparkSession = pieces.sparkSession
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
+    part_rows = max(part_rows, -(-sum(r["n"] for r in lengths) // MAX_PARTS))
     parts_of = spark.createDataFrame([(r["length"], -(-r["n"] // part_rows)) for r in lengths], "length long, __parts long")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__parts")).cast("int")
     salted = pieces.join(F.broadcast(parts_of), "length").withColumn("__salt", salt).drop("__parts")
-    parts = salted.groupBy("length", "__salt").count().collect()  # a row per part
+    parts = salted.groupBy("length", "__salt").count().collect()  # MAX_PARTS + capacity rows at most
     histogram: dict[int, int] = defaultdict(int)
     bases = []
     for r in sorted(parts, key=lambda r: (r["length"], r["__salt"])):
