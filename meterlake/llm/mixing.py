@@ -6,7 +6,10 @@
    a multinomial over the slots that are left, so that the totals meet the targets.
 3. Slot j of a source takes pass j // blocks and, within it, the block that a keyed Feistel
    permutation of the source's block indexes gives. A block is used at most ``max_repeat`` times.
-4. Blocks are joined by (source, index) with the documents that they cut.
+4. Blocks are joined by (source, index) with the documents that they cut. ``mix_blocks`` gives the
+   mixture as its shards hold it, a row per slot; ``mix_sizes`` gives each document its share and
+   first place; ``mix_texts`` gathers a document's words of each pass, for stages that need documents.
+   Tokens are the words of the contract's pattern.
 
 Only the table of sources (at most MAX_SOURCES rows) and the counts per shard and source (at most
 MAX_SHARDS shards) pass through the driver.
@@ -14,8 +17,8 @@ MAX_SHARDS shards) pass through the driver.
 Defined cases
 * null or empty text: size 0, nothing taken.
 * null source: a source of its own, after all others; null ids are documents like others.
-* repeated rows: each is a document of its own in ``mix_sizes``; in ``mix_texts`` rows that repeat
-  id, source and text are one.
+* repeated rows: each is a document of its own in ``mix_sizes``; in ``mix_blocks`` and
+  ``mix_texts`` rows that repeat id, source and text are one.
 * ties: the order in a stream goes by bucket, id, digest and size; reruns agree.
 * empty table or no word at all: nothing is taken. Columns named like the results are replaced.
 """
@@ -36,7 +39,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEAT = 3
 BLOCK_WORDS = 64
+#: A source's stream is summed in at least so many buckets, and in one per BUCKET_ROWS rows of the corpus.
 BUCKETS = 256
+BUCKET_ROWS = 100_000
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
 SHARD_SLOTS = 65_536
@@ -114,9 +119,10 @@ def place(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, D
     The first: doc_id, source, __hash, size, __sid, __begin. The second: __sid, source, source_size, target, __blocks, __slots.
     """
     spark = docs.sparkSession
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     sized = cut(
         docs.select("doc_id", "source", F.xxhash64("text").alias("__hash"), _word_count(F.col("text")).alias("size")).withColumn(
-            "__bucket", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(BUCKETS)).cast("int")
+            "__bucket", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(buckets)).cast("int")
         )
     )
     by_bucket = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
@@ -177,7 +183,7 @@ def slots(sources: DataFrame) -> DataFrame:
 
 
 def takes(placed: DataFrame, mixture: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """What each slot takes from each document: the document's key, __pass, __lo, __hi (words).
+    """What each slot takes from each document: the document's key, shard, slot, __pass, __lo, __hi (words).
 
     The mixture grows with the corpus though its plan starts from a small table, so it is never broadcast.
     """
@@ -190,18 +196,45 @@ def takes(placed: DataFrame, mixture: DataFrame, block_words: int = BLOCK_WORDS)
     )
     lo = F.greatest(F.col("__block") * block_words, F.col("__begin")) - F.col("__begin")
     hi = F.least((F.col("__block") + 1) * block_words, end) - F.col("__begin")
-    return cuts.withColumns({"__lo": lo, "__hi": hi}).join(mixture.select("__sid", "__block", "__pass").hint("merge"), ["__sid", "__block"])
+    return cuts.withColumns({"__lo": lo, "__hi": hi}).join(mixture.hint("merge"), ["__sid", "__block"])
 
 
 def mix_sizes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``."""
+    """doc_id, size, source_size, target, taken, n_blocks, first_shard, first_slot for every row of ``docs``.
+
+    The last three: blocks of the mixture that hold words of the document, and where the first of them stands.
+    """
     placed, sources = place(docs, block_words)
     key = ["__sid", "__begin"]  # a row with words begins where no other of its source does
-    taken = takes(placed, slots(sources), block_words).groupBy(*key).agg(F.sum(F.col("__hi") - F.col("__lo")).alias("taken"))
+    taken = takes(placed, slots(sources), block_words).groupBy(*key).agg(
+        F.sum(F.col("__hi") - F.col("__lo")).alias("taken"), F.count(F.lit(1)).alias("n_blocks"), F.min(F.struct("shard", "slot")).alias("__first")
+    )
     some = placed.filter("size > 0").join(taken, key, "left")
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    every = some.unionByName(none).join(F.broadcast(sources.drop("source")), "__sid")
-    return every.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    every = some.unionByName(placed.filter("size = 0"), allowMissingColumns=True).join(F.broadcast(sources.drop("source")), "__sid")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_blocks")]
+    return every.select("doc_id", "size", "source_size", "target", *counts, F.col("__first.shard").alias("first_shard"), F.col("__first.slot").alias("first_slot"))
+
+
+def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixture as its shards hold it: shard, slot, source, doc_ids, text; one row per slot, its words joined by spaces."""
+    docs = docs.dropDuplicates(["doc_id", "source", "text"]) if repeats(docs) else docs
+    placed, sources = place(docs, block_words)
+    parts = takes(placed, slots(sources), block_words).select("doc_id", "source", "__hash", "__begin", "shard", "slot", "__lo", "__hi")
+    met = _with_texts(docs, parts).withColumn("__part", F.array_join(_words("text", F.col("__lo"), F.col("__hi")), " "))
+    each = F.struct("__begin", F.col("doc_id").alias("doc_id"), F.col("__part").alias("text"))
+    rows = met.groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(each)).alias("__parts"))  # a block holds block_words documents at most
+    return rows.select("shard", "slot", "source", F.col("__parts.doc_id").alias("doc_ids"), F.array_join("__parts.text", " ").alias("text"))
+
+
+def _words(text: str, lo: Column, hi: Column) -> Column:
+    return F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lo.cast("int") + 1, (hi - lo).cast("int"))
+
+
+def _with_texts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The columns of ``docs`` beside those of ``parts`` of the same doc_id, source and text hash (nulls equal)."""
+    parts = parts.withColumnsRenamed({"doc_id": "__id", "source": "__src", "__hash": "__hash2"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__hash") == F.col("__hash2"))
+    return docs.withColumn("__hash", F.xxhash64("text")).join(parts, same)
 
 
 def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -217,13 +250,9 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .groupBy("doc_id", "source", "__hash", "size", "__pass")
         .agg(F.sort_array(F.collect_list(F.struct("__lo", "__hi"))).alias("__ranges"), F.sum(F.col("__hi") - F.col("__lo")).alias("__taken"))
     )
-    ranges = ranges.withColumnsRenamed({"doc_id": "__id", "source": "__src", "__hash": "__hash2"})
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice("__words", r["__lo"].cast("int") + 1, (r["__hi"] - r["__lo"]).cast("int")))), " ")
-    joined = docs.withColumn("__hash", F.xxhash64("text")).join(
-        ranges,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__hash") == F.col("__hash2")),
-    )
+    joined = _with_texts(docs, ranges)
     cut_short = F.col("__taken") < F.col("size")
     joined = joined.withColumn("__words", F.when(cut_short, words)).withColumn("text", F.when(cut_short, part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
