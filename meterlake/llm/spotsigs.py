@@ -2,19 +2,21 @@
 
 An anchor (a common word) and the next content words after it form a spot signature; the set of a
 document's signatures is its fingerprint. Each document is compared with its edited text and with the
-next one in ascending id, by the exact Jaccard of the sets. No pairs are searched for, so nothing is
-pruned: ``length_partition`` is only given as a column, for joins of near copies at THRESHOLD.
+next one in ascending id. Sets are partitioned by length such that two sets whose Jaccard can reach
+FLOOR lie in the same or in neighbouring partitions: what lies further apart, or whose lengths bound
+the Jaccard below FLOOR, is given 0 without a look at the sets; everything else its exact Jaccard.
 
-Documents are dealt into id ranges
-(quantile cuts, of which there are at most MAX_RANGES), each range also gets the first document of
-the range that follows, and each is read in order as a stream. The text is shuffled once.
+Documents are dealt into ranges of (id, hash of the text), which split null and often repeated ids
+too. Each range also gets the first document of the range that follows, and is read in order as a
+stream. The text is shuffled once.
 
 Defined cases
 * null or empty text: the empty fingerprint; two empty fingerprints are alike (1.0).
 * a text without content words: one signature of all its words. The start of a text is an anchor.
 * a text without anchors (a table, code, names, another language): every word is an anchor. In other
   texts, a content word that comes more than STRETCH content words after the last anchor is one too.
-* null ids come first. Repeated ids and rows follow each other in the order of their texts.
+* texts of any length are read in pieces; what is held of one is its set.
+* null ids come first. Repeated ids and rows follow each other in the order of their texts' hashes.
 * the last document's next is the first; a single document's next is itself.
 * empty table: an empty result. Extra columns are ignored.
 """
@@ -25,6 +27,8 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import pieces, shuffle_partitions
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = frozenset(
@@ -45,34 +49,45 @@ ANCHORS = frozenset(
 CHAIN = 2
 #: Content words after an anchor, or after the start, that may stand without an anchor of their own.
 STRETCH = 8
-THRESHOLD = 0.75
-MAX_RANGES = 1_000_000
+#: Likenesses that lengths alone keep below it are 0.
+FLOOR = 0.1
+#: Code points of a text that are split into words at once.
+PIECE_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
 def signatures(text: str | None, chain: int = CHAIN) -> frozenset[int]:
-    """The spot signatures of a text as 32-bit numbers."""
-    words = _WORD.findall((text or "").lower())
-    found = set()
+    """The spot signatures of a text as 32-bit numbers, read from its end."""
+    found: set[int] = set()
     following: list[str] = [""] * chain
     spot = ""
-    stretch: list[str] = []  # signatures at the content words before the next anchor, the last word's first
-    for word in reversed(words):
-        if word in ANCHORS:
-            if spot:
-                found.add(f"{word} {spot}")
-            found.update(stretch[:-STRETCH])
-            stretch.clear()
-        else:
-            stretch.append(f"{word} {spot}")
-            following = [word, *following[:-1]]
-            spot = " ".join(following)
-    found.update(stretch if len(stretch) == len(words) else stretch[:-STRETCH])
+    stretch: deque[int] = deque()  # signatures at the content words before the next anchor, the last word's first
+    anchored, words = False, 0
+
+    def number(signature: str) -> int:
+        return zlib.crc32(signature.encode())
+
+    for piece in reversed(list(pieces(text or "", PIECE_CHARS))):
+        for word in reversed(_WORD.findall(piece.lower())):
+            words += 1
+            if word in ANCHORS:
+                if spot:
+                    found.add(number(f"{word} {spot}"))
+                stretch.clear()  # an anchor stands for the STRETCH content words after it
+                anchored = True
+            else:
+                stretch.append(number(f"{word} {spot}"))
+                if len(stretch) > STRETCH:
+                    found.add(stretch.popleft())
+                following = [word, *following[:-1]]
+                spot = " ".join(following)
+    if not anchored:
+        found.update(stretch)
     if spot:
-        found.add(f"^ {spot}")
+        found.add(number(f"^ {spot}"))
     elif words:
-        found.add("$ " + " ".join(words))
-    return frozenset(zlib.crc32(x.encode()) for x in found)
+        found.add(number("$ " + " ".join(_WORD.findall((text or "").lower()))))
+    return frozenset(found)
 
 
 def fingerprint(found: frozenset[int]) -> str:
@@ -83,20 +98,22 @@ def parse(print_: str) -> frozenset[int]:
     return frozenset(np.frombuffer(bytes.fromhex(print_), dtype=">u4").tolist())
 
 
-def length_partition(size: int, threshold: float = THRESHOLD) -> int:
-    """Sets that can reach the threshold lie in the same partition or in neighbouring ones."""
-    return int(math.log(size) / -math.log(threshold)) if size else -1
+def length_partition(size: int, at_least: float = FLOOR) -> int:
+    """Sets whose Jaccard can reach ``at_least`` lie in the same partition or in neighbouring ones; the empty set in none of theirs."""
+    return int(math.log(size) / -math.log(at_least)) if size else -2
 
 
-def likeness(a: frozenset[int], b: frozenset[int], at_least: float = 0.0) -> float:
-    """Jaccard of two sets; 0 without a look at them if their lengths keep it below ``at_least``."""
-    few, many = sorted((len(a), len(b)))
-    if not many:
+def likeness(a: frozenset[int], b: frozenset[int], at_least: float = FLOOR) -> float:
+    """Jaccard of two sets; 0 if their partitions or lengths keep it below ``at_least``."""
+    if not a and not b:
         return 1.0
-    if not few or few < at_least * many:
+    if abs(length_partition(len(a), at_least) - length_partition(len(b), at_least)) > 1:
         return 0.0
-    both = len(a & b)
-    return both / (few + many - both)
+    few, many = sorted((a, b), key=len)
+    if len(few) < at_least * len(many):
+        return 0.0
+    both = len(few & many)
+    return both / (len(few) + len(many) - both)
 
 
 def edited(text: str, following: str) -> str:
@@ -105,31 +122,36 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+KEY = ("doc_id", "__hash")
+
+
 def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, guest, doc_id, text): each document in its range, and range firsts as guests before theirs."""
-    parts = [i / ranges for i in range(ranges)]
-    row = docs.agg(
-        F.percentile_approx("doc_id", parts, F.lit(max(10_000, 10 * ranges))).alias("cuts"),
-        F.min("doc_id").alias("least"),
-        F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"),
-    ).first()
-    cuts = np.array(sorted({row["least"], *(row["cuts"] or [])} - {None}), dtype=np.int64)
-    nulls, last = row["nulls"] > 0, max(len(cuts) - 1, 0)
+    """(range, guest, doc_id, hash, text): each document in its range, and range firsts as guests of the range before."""
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "__hash"]
+    ranged = keyed.select(*KEY).repartitionByRange(ranges, *order).groupBy(F.spark_partition_id().alias("__k"))
+    # the least key of every range; structs compare nulls first
+    cuts = sorted(ranged.agg(F.min(F.struct(*KEY)).alias("least")).select("least.*").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["__hash"]))
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0, r["__hash"]) for r in cuts]
+    known = np.array([k[1] for k in keys if k[0]], dtype=np.int64)
+    nulls, n = len(keys) - len(known), len(keys)
+    shared = set(known.tolist())
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        out = []
-        for x in ids:
-            if pd.isna(x):
-                out.append([0, 2 * last + 1] if nulls else [0])
-                continue
-            k = max(int(np.searchsorted(cuts, int(x), side="right")) - 1, 0)
-            first = len(cuts) and int(x) == cuts[k] and not (k == 0 and nulls)
-            out.append([2 * k, 2 * ((k - 1) % (last + 1)) + 1] if first else [2 * k])
+    def places(ids: pd.Series, there: pd.Series, hashes: pd.Series) -> pd.Series:
+        some, whole = there.to_numpy(bool), ids.to_numpy(np.int64)
+        at = np.zeros(len(ids), dtype=np.int64)
+        at[some] = np.searchsorted(known, whole[some], side="right") + nulls - 1
+        out = [[2 * k] for k in at.tolist()]
+        for i, (there, x) in enumerate(zip(some.tolist(), whole.tolist(), strict=True)):
+            if not there or x in shared:  # the ids that ranges begin with, and null
+                key = (there, x, int(hashes.iloc[i]))
+                k = max(bisect_right(keys, key) - 1, 0)
+                out[i] = [2 * k, 2 * ((k - 1) % n) + 1] if keys[k] == key else [2 * k]
         return pd.Series(out)
 
-    placed = docs.select("doc_id", "text", F.explode(places("doc_id")).alias("__place"))
-    return placed.select(F.shiftright("__place", 1).alias("__range"), (F.col("__place") % 2).alias("__guest"), "doc_id", "text")
+    placed = keyed.select(*KEY, "text", F.explode(places(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull(), "__hash")).alias("__place"))
+    return placed.select(F.shiftright("__place", 1).alias("__range"), (F.col("__place") % 2).alias("__guest"), *KEY, "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int"
@@ -139,8 +161,8 @@ def spotsigs(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """One row per document: fingerprints of it and of its edited text, and their likeness (see SCHEMA)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_partitions(docs.sparkSession)
-    dealt = _dealt(docs, min(4 * parts, MAX_RANGES))
-    ordered = dealt.repartition(parts, "__range").sortWithinPartitions("__range", "__guest", "doc_id", "text")
+    dealt = _dealt(docs, 4 * parts)
+    ordered = dealt.repartition(parts, "__range").sortWithinPartitions("__range", "__guest", *KEY, "text").drop("__hash")
     names = [x.strip().split()[0] for x in SCHEMA.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,6 +82,44 @@ class Sets:
 # --- SpotSigs ---
 
 
+def spots(text):
+    """The signatures by their definition, as texts."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    anchor = [w in spotsigs.ANCHORS for w in words]
+    found, since = set(), 0
+    for i, w in enumerate(words):
+        chain = [x for x, a in zip(words[i + 1 :], anchor[i + 1 :]) if not a][:2]
+        since = 0 if anchor[i] else since + 1
+        if (anchor[i] and chain) or since > spotsigs.STRETCH or not any(anchor):
+            found.add(" ".join([w, *chain, *[""] * (2 - len(chain))]) if chain else f"{w} ")
+    content = [x for x, a in zip(words, anchor) if not a][:2]
+    if content:
+        found.add(" ".join(["^", *content, *[""] * (2 - len(content))]))
+    elif words:
+        found.add("$ " + " ".join(words))
+    return frozenset(zlib.crc32(x.encode()) for x in found)
+
+
+def exact(a, b):
+    """Jaccard, 0 where the lengths keep it below a tenth."""
+    if not a and not b:
+        return 1.0
+    few, many = sorted((len(a), len(b)))
+    return len(a & b) / len(a | b) if few >= 0.1 * many else 0.0
+
+
+def test_pruned_likeness():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = (frozenset(rng.sample(range(400), rng.choice((0, 1, 3, 10, 30, 99, 100, 101, 300)))) for _ in range(2))
+        for least in (0.05, 0.1, 0.75):
+            few, many = sorted((len(a), len(b)))
+            want = exact(a, b) if least == 0.1 else 1.0 if not many else len(a & b) / len(a | b) if few >= least * many else 0.0
+            assert spotsigs.likeness(a, b, least) == want
+            if many and few >= least * many:
+                assert abs(spotsigs.length_partition(few, least) - spotsigs.length_partition(many, least)) <= 1
+
+
 def test_spotsigs(docs, rows):
     got = {r.doc_id: r for r in spotsigs.spotsigs(docs).collect()}
     ordered = sorted(rows)
@@ -92,9 +130,9 @@ def test_spotsigs(docs, rows):
         new = text[: len(text) - half] + following[:half]
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
-        own, other, third = (spotsigs.signatures(t) for t in (text, new, following))
+        own, other, third = (spots(t) for t in (text, new, following))
         assert spotsigs.parse(r.fingerprint) == own and spotsigs.parse(r.edited_fingerprint) == other
-        assert r.near_edited == spotsigs.likeness(own, other) and r.near_next == spotsigs.likeness(own, third)
+        assert r.near_edited == exact(own, other) and r.near_next == exact(own, third)
     by_text = defaultdict(set)
     for doc, text, *_ in rows:
         by_text[text or ""].add(got[doc].fingerprint)
@@ -111,6 +149,20 @@ def test_spotsigs_of_odd_rows(spark, odd, nothing):
     assert spotsigs.likeness(frozenset({1}), frozenset(range(9)), 0.5) == 0.0
 
 
+def test_spotsigs_of_hot_ids(spark):
+    """Null and repeated ids are split over ranges, and the order stays whole: every text is the next of one row."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"alpha beta gamma number{i} delta{i}", None, None, None) for i in range(600)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = spotsigs.spotsigs(frame).collect()
+    assert len(got) == 600 and Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert {r.fingerprint for r in got} == {spotsigs.fingerprint(spots(t)) for _, t, *_ in rows}
+    dealt = spotsigs._dealt(frame.select("doc_id", "text"), 16)
+    hot = dealt.filter("__guest = 0 and (doc_id is null or doc_id = 7)").groupBy("__range").count().collect()
+    assert len(hot) >= 8 and max(r["count"] for r in hot) < 120
+    ordered = [(r.doc_id is not None, r.doc_id or 0, r["__hash"]) for r in dealt.filter("__guest = 0").orderBy("__range", "doc_id", "__hash").collect()]
+    assert ordered == sorted(ordered)
+
+
 def test_spotsigs_without_anchors(spark):
     def table(k, n):
         return "Item | Price | " + " | ".join(f"x{k}n{i}" for i in range(n))
@@ -268,6 +320,32 @@ def test_targets_and_permutations():
     assert (counts.sum(axis=0) == slots).all() and (counts[:-1].sum(axis=1) == 1000).all()
 
 
+def test_shards_hold_what_was_drawn(docs, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    monkeypatch.setattr(mixing.draw_counts, "__defaults__", (100, mixing.SEED))
+    placed, sources = mixing.place(docs, 8)
+    table = sources.orderBy("__sid").collect()
+    drawn = mixing.draw_counts(np.array([r["__slots"] for r in table]))
+    assert len(drawn) > 5 and len({tuple(x) for x in drawn.tolist()}) > 5
+    blocks = mixing.mix_blocks(docs, 8).collect()
+    held = Counter((r["shard"], r["source"]) for r in blocks)
+    assert held == Counter({(k, table[i]["source"]): int(n) for k, x in enumerate(drawn) for i, n in enumerate(x) if n})
+    for k, x in enumerate(drawn):  # every slot of a shard holds one block
+        assert sorted(r["slot"] for r in blocks if r["shard"] == k) == list(range(int(x.sum())))
+    words = {doc: re.findall(SPACE, text or "") for doc, text, *_ in rows}
+    for r in blocks:
+        own = r["text"].split(" ")
+        assert 1 <= len(own) <= 8
+        assert {r["source"]} == {source for doc, _, _, source, _ in rows if doc in r["doc_ids"]}
+        assert len(r["doc_ids"]) > 1 or any(words[r["doc_ids"][0]][i : i + len(own)] == own for i in range(len(words[r["doc_ids"][0]])))
+    first = {(r["doc_id"]): (r["first_shard"], r["first_slot"], r["n_blocks"]) for r in mixing.mix_sizes(docs, 8).collect()}
+    places = defaultdict(list)
+    for r in blocks:
+        for doc in r["doc_ids"]:
+            places[doc].append((r["shard"], r["slot"]))
+    assert first == {doc: (*min(places[doc]), len(places[doc])) if doc in places else (None, None, 0) for doc in words}
+
+
 def test_mixing_of_odd_rows(odd, nothing):
     assert mixing.mix_sizes(nothing).count() == 0 and mixing.mix_texts(nothing).count() == 0
     assert mixing.mix_sizes(odd, 8).count() == odd.count()
