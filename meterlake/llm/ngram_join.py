@@ -5,14 +5,16 @@ into chunks and XORs the hashes of each: two sketches differ in at most as many
 differ in shingles, so for each band of sizes the number of chunks is set such that sets that reach
 the threshold surely agree in some (pigeonhole), and by how many. The join is on chunk keys:
 
-1. Keys are dealt to parts of bounded size. A part finds the keys that documents share.
+1. Keys are dealt to parts of bounded size. A part finds the keys that documents share. A key that
+   many documents of one task have reaches its part as a mark, its documents go to any other part.
    Small groups give pairs with the number of keys shared; pairs that share too few cannot link.
 2. Groups of more than SMALL documents give memberships instead of pairs. A document with fewer such
    memberships than it must share keeps none; the others are paired with their group's first.
 3. Candidates pass a screen of bit sketches, whose Hamming distance is at most the symmetric
    difference of the sets, and are verified on the whole sets; components are taken.
 4. Groups that share documents form families. Within families that still hold several components,
-   documents of different ones are compared by bit sketches too. What the sketches do not rule out
+   documents of different ones are compared by bit sketches too, those of the largest component with
+   all others but not with each other. What the sketches do not rule out
    is verified as well, so no link between components is lost.
 Documents of equal sets are joined by the hash of their sets.
 
@@ -20,6 +22,7 @@ Defined cases
 * null or empty text, or white space alone: no shingle; linked with nothing.
 * fewer words than a shingle: the whole sequence is the one shingle.
 * null ids: linked with nothing; the component is null.
+* texts of any length: read in windows of their bytes; what is held of one is its set.
 * repeated ids and rows: an id is one vertex, linked where any of its rows is; each row comes back.
 * ties at the threshold are links. Empty table: an empty result. Extra columns are ignored.
 """
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, spread_join
+from .common import cut, shuffle_partitions, slices, spread_join
 from .components import components
 from .parity import DEN, NUM, band, bands_of, chunk_keys, differences, hamming, left_out, mix, parity_bits, shingle_sets
 
@@ -51,14 +54,12 @@ MAX_BROADCAST_IDS = 500_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(ids, sets) of bounded slices of (id, text) batches; null texts are empty."""
-    for batch in batches:
-        ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.large_string()).fill_null("")
-        for begin in range(0, len(column), 512):
-            part = pa.concat_arrays([column.slice(begin, 512)])
-            offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
-            data = np.frombuffer(part.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            yield ids[begin : begin + 512], shingle_sets(data, offsets - offsets[0])
+    """(ids, sets) of slices of (id, text) batches, bounded by their bytes; null texts are empty."""
+    for part in slices(batches, 1):
+        ids, texts = part.column(0).to_numpy(zero_copy_only=False), pa.concat_arrays([part.column(1).cast(pa.large_string()).fill_null("")])
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        yield ids, shingle_sets(data, offsets - offsets[0])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,25 +72,66 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "n", "h1", "h2"])
 
 
-def _dealt(parts: int):
-    """Texts to rows (part, entries, keys): who has which keys of a part.
+#: A document in a band, as it is sent to a part: id (less the one before it), band, size, full chunks, keys in the part.
+ENTRY = (("doc", "<i8"), ("band", "u1"), ("size", "<u4"), ("full", "<u4"), ("keys", "<u4"))
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Entries by columns and bytes of equal weight, so that what is small or alike compresses to next to nothing."""
+    out = []
+    for (_, kind), x in zip(ENTRY, columns, strict=True):
+        x = np.ascontiguousarray(x.astype(kind))
+        out.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return b"".join(out)
+
+
+def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
+    widths = [np.dtype(kind).itemsize for _, kind in ENTRY]
+    n, at, out = len(blob) // sum(widths), 0, {}
+    for (name, kind), width in zip(ENTRY, widths, strict=True):
+        raw = np.frombuffer(blob, dtype=np.uint8, count=n * width, offset=at).reshape(width, n)
+        out[name] = np.ascontiguousarray(raw.T).view(kind).ravel().astype(np.int64)
+        at += n * width
+    out["doc"] = np.cumsum(out["doc"])
+    return out
+
 
-    An entry is a document in a band: id, band, size, full chunks. A key is 32 bits within its part and
-    the number of its entry, in 16 bits where they suffice.
+def _dealt(parts: int, small: int):
+    """Texts to rows (part, origin, entries, keys, large): who has which keys of a part.
+
+    A key is 32 bits within its part, ordered by its entry. What more than ``small`` documents of a task's
+    batch share goes no further to the key's own part than as a mark (``large``): the entries are sent to
+    any other part with their ``origin``, so that a key of very many documents is spread.
     """
-    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
 
-    def flush(entries: list, keys: list) -> Iterator[pa.RecordBatch]:
+    def flush(entries: list, keys: list, seed: int) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
-        key, table = np.concatenate(keys), np.array(entries, dtype=entry)
-        part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part, owner, low = part[order], owner[order], (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
-            used, own = np.unique(owner[a:b], return_inverse=True)
-            row = [[int(part[a])], [table[used].tobytes()], [low[a:b].tobytes()], [own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["part", "entries", "keys", "owners"])
+        key, table = np.concatenate(keys), [np.array(c, dtype=np.int64) for c in zip(*entries, strict=True)]
+        known, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        large = count[which] > small
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        marks = known[count > small]
+        mark_part, mark_low = ((marks >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), (marks & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for chosen, spread in ((~large, False), (large, True)):
+            at = np.flatnonzero(chosen)
+            at = at[np.argsort(part[at], kind="stable")]
+            ends = np.flatnonzero(np.append(part[at][1:] != part[at][:-1], True)) + 1 if len(at) else []
+            begin = 0
+            for end in ends:
+                rows, own = at[begin:end], int(part[at[begin]])
+                used, n = np.unique(owner[rows], return_counts=True)
+                doc, *rest = (c[used] for c in table)
+                blob = _packed([np.diff(doc, prepend=0), *rest, n])
+                to = (own * 7919 + seed) % parts if spread else own
+                yield row(to, own if spread else -1, blob, low[rows].tobytes(), b"")
+                begin = end
+        for own in np.unique(mark_part):
+            yield row(int(own), -1, b"", b"", mark_low[mark_part == own].tobytes())
+
+    def row(*values) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["part", "origin", "entries", "keys", "large"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, keys, held, seen = [], [], 0, set()
@@ -106,10 +148,10 @@ def _dealt(parts: int):
                     keys.append(own)
                     held += len(own)
             if held >= FLUSH_KEYS:
-                yield from flush(entries, keys)
+                yield from flush(entries, keys, hash(same) & 0xFFFF)
                 entries, keys, held, seen = [], [], 0, set()
         if keys:
-            yield from flush(entries, keys)
+            yield from flush(entries, keys, hash(same) & 0xFFFF)
 
     return run
 
@@ -118,15 +160,34 @@ def _dealt(parts: int):
 COLUMNS = ["pair", "u", "v", "band", "a", "b"]
 
 
+def _entries(pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(entries, keys, the entry of each key) of rows of a part."""
+    tables = [_unpacked(x) for x in pdf["entries"]]
+    table = {name: np.concatenate([t[name] for t in tables]) if tables else np.zeros(0, dtype=np.int64) for name, _ in ENTRY}
+    key = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
+    return table, key, np.repeat(np.arange(len(table["doc"])), table["keys"])
+
+
+def _members(origin: np.ndarray | int, table: dict[str, np.ndarray], key: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+    grp = (np.int64(1) * origin << 32) | key.astype(np.int64)
+    return pd.DataFrame({"pair": False, "u": table["doc"][owner], "v": grp, "band": table["band"][owner], "a": table["full"][owner], "b": table["size"][owner]})
+
+
 def _shared(pdf: pd.DataFrame, small: int) -> pd.DataFrame:
     """One part: pairs of groups of up to ``small`` documents, memberships of larger ones (see COLUMNS)."""
-    entry = np.dtype([("doc", "<i8"), ("band", "<i4"), ("size", "<i4"), ("full", "<i4")])
-    tables = [np.frombuffer(x, dtype=entry) for x in pdf["entries"]]
-    base = np.cumsum([0] + [len(t) for t in tables[:-1]])
-    table = np.concatenate(tables)
-    wide = [np.uint16 if len(t) <= 1 << 16 else np.uint32 for t in tables]
-    owner = np.concatenate([np.frombuffer(x, dtype=w).astype(np.int64) + b for x, w, b in zip(pdf["owners"], wide, base, strict=True)])
-    key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["keys"]])
+    out = []
+    for origin, rows in pdf[pdf["origin"] >= 0].groupby("origin"):
+        out.append(_members(int(origin), *_entries(rows)))
+    own = pdf[pdf["origin"] < 0]
+    marked = np.unique(np.frombuffer(b"".join(own["large"]), dtype=np.uint32))
+    table, key, owner = _entries(own)
+    if len(key):
+        out += _grouped(int(pdf["part"].iloc[0]), table, key, owner, marked, small)
+    return pd.concat(out)[COLUMNS] if out else pd.DataFrame({c: [] for c in COLUMNS})
+
+
+def _grouped(part: int, table: dict[str, np.ndarray], key: np.ndarray, owner: np.ndarray, marked: np.ndarray, small: int) -> list[pd.DataFrame]:
+    """Pairs and memberships of the keys of one part; ``marked`` keys are of large groups whatever is left of them here."""
     # of each key the documents, every one once
     order = np.lexsort((table["doc"][owner], key))
     key, owner = key[order], owner[order]
@@ -135,33 +196,31 @@ def _shared(pdf: pd.DataFrame, small: int) -> pd.DataFrame:
     key, owner = key[new], owner[new]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
+    large = (size > small) | np.isin(key[first], marked)
     out = []
     cores = np.array([band(i)[1] for i in range(int(table["band"].max()) + 1)])
     us, vs = [], []
     for m in range(2, small + 1):
-        at = first[size == m]
+        at = first[(size == m) & ~large]
         for i in range(m if len(at) else 0):
             for j in range(i + 1, m):
                 us.append(owner[at + i])
                 vs.append(owner[at + j])
     if us:
-        u, v = table[np.concatenate(us)], table[np.concatenate(vs)]
-        low, high = np.minimum(u["size"], v["size"]), np.maximum(u["size"], v["size"])
-        good = (u["band"] == v["band"]) & (low <= cores[u["band"]]) & (DEN * low.astype(np.int64) >= NUM * high.astype(np.int64))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        sizes, full, bands = table["size"], table["full"], table["band"]
+        low, high = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+        good = (bands[u] == bands[v]) & (low <= cores[bands[u]]) & (DEN * low >= NUM * high)
         u, v = u[good], v[good]
-        lost = np.maximum(left_out(u["full"], u["size"].astype(np.int64)), left_out(v["full"], v["size"].astype(np.int64)))
-        need = np.maximum(np.maximum(u["full"], v["full"]) - differences(u["size"].astype(np.int64) + v["size"]) - lost, 1)
-        pairs = pd.DataFrame({"u": u["doc"], "v": v["doc"], "a": need, "band": u["band"]})
+        lost = np.maximum(left_out(full[u], sizes[u]), left_out(full[v], sizes[v]))
+        need = np.maximum(np.maximum(full[u], full[v]) - differences(sizes[u] + sizes[v]) - lost, 1)
+        pairs = pd.DataFrame({"u": table["doc"][u], "v": table["doc"][v], "a": need, "band": bands[u]})
         pairs = pairs.groupby(["u", "v", "band"], as_index=False).agg(a=("a", "min"), b=("u", "size"))
         out.append(pairs.assign(pair=True))
-    big = np.repeat(size > small, size)
-    if big.any():
-        rows = table[owner[big]]
-        grp = (np.int64(pdf["part"].iloc[0]) << 32) | key[big].astype(np.int64)
-        out.append(pd.DataFrame({"pair": False, "u": rows["doc"], "v": grp, "band": rows["band"], "a": rows["full"], "b": rows["size"]}))
-    if not out:
-        return pd.DataFrame({c: [] for c in COLUMNS})
-    return pd.concat(out)[COLUMNS]
+    wide = np.repeat(large, size)
+    if wide.any():
+        out.append(_members(part, table, key[wide], owner[wide]))
+    return out
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +285,8 @@ def link_shingles(docs: DataFrame) -> DataFrame:
     equal = cut(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("v"), F.count("*").alias("__rows")).filter("__rows > 1"))
     copies = spread_join(known, equal, ["n", "h1", "h2"], "__rows", ["doc_id"]).select(F.col("doc_id").alias("u"), "v").filter("u != v")
     # documents that share keys
-    dealt = texts.mapInArrow(_dealt(parts), "part int, entries binary, keys binary, owners binary")
     small = SMALL
+    dealt = texts.mapInArrow(_dealt(parts, small), "part int, origin int, entries binary, keys binary, large binary")
     found = cut(dealt.repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: _shared(pdf, small), "pair boolean, u long, v long, band int, a int, b int"))
     members = found.filter("not pair").select("u", "band", F.col("v").alias("grp"), F.col("a").alias("full"), F.col("b").alias("size"))
     # what a member must share with any partner: its full chunks less the most differences it can have,
@@ -294,11 +353,17 @@ def _crossing(docs: DataFrame, stars: DataFrame, sizes: DataFrame, reached: Data
     own = own.withColumn("core", F.col("size") <= F.element_at(highs, F.col("band") + 1))
     own = cut(own.withColumn("component", F.coalesce("component", "u")))
     mixed = own.groupBy("family", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("__rows")).filter("a != b")
-    mixed = cut(mixed.select("family", "band", "__rows", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")))
+    # a family's largest component is compared with the others only
+    each = own.groupBy("family", "band", "component").agg(F.count("*").alias("n")).join(mixed.select("family", "band", "__rows"), ["family", "band"])
+    largest = each.groupBy("family", "band", "__rows").agg(F.max(F.struct("n", "component")).alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = cut(largest.select("family", "band", "__rows", F.col("most.component").alias("most"), blocks(F.col("most.n")).alias("wide"), blocks(F.col("__rows") - F.col("most.n")).alias("rest")))
     own = cut(spread_join(own, mixed, ["family", "band"], "__rows", ["u"]))
     bits = _of(docs, cut(own.select(F.col("u").alias("doc_id")).distinct())).mapInArrow(_sketches, "u long, band int, size int, bits binary").drop("size")
-    own = own.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    same = F.col("component") == F.col("most")
+    number = F.xxhash64("u")
+    own = own.withColumn("block", F.when(same, F.col("rest") + F.pmod(number, F.col("wide"))).otherwise(F.pmod(number, F.col("rest"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(same, F.col("rest")).otherwise(F.col("rest") + F.col("wide")) - 1))
     own = own.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     own = own.join(bits.hint("merge"), ["u", "band"])
     pairs = own.select("family", "band", "i", "j", "block", "u", "size", "core", "component", "bits").groupBy("family", "band", "i", "j").applyInPandas(_compared, "u long, v long")

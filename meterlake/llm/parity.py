@@ -34,13 +34,38 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Bytes that are hashed at once.
+WINDOW = 1 << 20
+
+
 @lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(WINDOW, _BASE), np.full(WINDOW, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    return np.array([pow(int(base), n, 1 << 64)], dtype=np.uint64)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of data[start:stop], by running totals that are taken a window at a time."""
+    begun, ended, shift = (np.zeros(len(start), dtype=np.uint64) for _ in range(3))
+    carry = np.zeros(1, dtype=np.uint64)
+    up, down = _powers()
+    for at in range(0, len(data), WINDOW):
+        part = data[at : at + WINDOW]
+        total = np.cumsum(_BYTES[part] * up[: len(part)]) * _power(_BASE, at) + carry
+        for places, out in ((start, begun), (stop, ended)):
+            lo, hi = np.searchsorted(places, [at, at + len(part)], side="right")
+            out[lo:hi] = total[places[lo:hi] - at - 1]
+        lo, hi = np.searchsorted(start, [at, at + len(part)])
+        shift[lo:hi] = down[start[lo:hi] - at] * _power(_INVERSE, at)
+        carry = total[-1:]
+    return mix((ended - begun) * shift)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of texts whose UTF-8 bytes are data[offsets[i]:offsets[i + 1]].
 
@@ -49,8 +74,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     n = len(offsets) - 1
     if not len(data):
         return [np.zeros(0, dtype=np.uint64)] * n
-    size = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(size)
     solid = ~_WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -59,8 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     stop = solid.copy()
     stop[:-1] &= ~solid[1:] | edge[1:-1]
     start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * up[: len(data)])])
-    word = mix((total[stop] - total[start]) * down[start])
+    word = _word_hashes(data, start, stop)
     bounds = np.searchsorted(start, offsets)
     whole = np.zeros(max(len(word) - words + 1, 0), dtype=np.uint64)
     for k in range(words):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import cover_tree, language, licenses, line_dedup, mixing, ngram_join, packing, spotsigs, toxicity, url_filter
+from meterlake.llm import cover_tree, language, licenses, line_dedup, mixing, ngram_join, packing, parity, spotsigs, toxicity, url_filter
 from meterlake.llm.queries import tokenizer_ranks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -479,6 +479,26 @@ def test_ngram_join_of_a_large_family(spark, monkeypatch):
     assert got == want
 
 
+def test_windows_of_bytes_do_not_matter(rows, monkeypatch):
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    whole = parity.shingle_sets(data, offsets)
+    assert [len(s) for s in whole] == [len(shingles(t)) for _, t, *_ in rows]
+    for window in (7, 64, 4099):
+        monkeypatch.setattr(parity, "WINDOW", window)
+        parity._powers.cache_clear()
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parity.shingle_sets(data, offsets), strict=True))
+    parity._powers.cache_clear()
+
+
+def test_entries_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(-(2**62), 2**62, 50), rng.integers(0, 64, 50), *rng.integers(0, 2**31, (3, 50))]
+    got = ngram_join._unpacked(ngram_join._packed([np.diff(columns[0], prepend=0), *columns[1:]]))
+    assert all((got[name] == x).all() for (name, _), x in zip(ngram_join.ENTRY, columns, strict=True))
+    assert len(ngram_join._unpacked(b"")["doc"]) == 0
+
+
 def test_ngram_join_of_odd_rows(odd, nothing):
     assert ngram_join.link_shingles(nothing).count() == 0
     got = ngram_join.link_shingles(odd).collect()
