@@ -6,12 +6,13 @@ switching penalty labels the words, so that a text of several languages falls in
 whose best language cannot be left with a gain is recognised without the full pass: if no stretch of
 words gains more than the penalty, the best path stays in one language (the result is the same).
 
-The model is fitted on at most SAMPLE_PER_LANG whole training documents per language; counts are
+The model is fitted on at most about SAMPLE_PER_LANG different whole training documents per language; counts are
 summed by Spark into BUCKETS features per language.
 
 Defined cases
 * null text or one without a letter: 'und', score 0, no spans.
 * training rows without text or language are left out; null ids belong to the training part.
+* texts of any length: scored in pieces, labelled as a whole.
 * repeated rows: labelled alike, each on its own. Ties between languages go to the first by name.
 * no training rows: everything with a letter is 'und'.
 * empty table: an empty result. Extra columns pass through; those named like results are replaced.
@@ -27,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces, slices
+
 UND = "und"
 BUCKETS = 1 << 15
 SAMPLE_PER_LANG = 1500
 MAX_LANGS = 512
 PENALTY = 20.0
 CLIP = 6.0
+#: Longer texts are scored in pieces of about so many code points.
+PIECE_CHARS = 1 << 18
 
 #: First code points of scripts, in order; a code point belongs to the last range that begins at or before it.
 SCRIPTS = (
@@ -96,15 +101,26 @@ class Model:
         self.allowed = (share >= 0.001).T
 
 
+def _leaves(scores: np.ndarray, best: int, penalty: float, step: int = 1 << 16) -> bool:
+    """Whether some stretch of words gains as much as the penalty by another language than ``best``."""
+    gain = low = np.zeros((1, scores.shape[1]))
+    for at in range(0, len(scores), step):
+        part = scores[at : at + step]
+        gains = np.cumsum(part - part[:, [best]], axis=0) + gain
+        lows = np.minimum.accumulate(np.vstack([low, gains]), axis=0)
+        if (gains - lows[1:]).max() >= penalty:
+            return True
+        gain, low = gains[-1:], lows[-1:]
+    return False
+
+
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The language of each word on the best path."""
     n, k = scores.shape
-    whole = scores.sum(axis=0)
-    best = int(np.argmax(whole))
-    gain = np.cumsum(np.vstack([np.zeros((1, k)), scores - scores[:, [best]]]), axis=0)
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty:
+    best = int(np.argmax(scores.sum(axis=0)))
+    if not _leaves(scores, best, penalty):
         return np.full(n, best)
-    came = np.zeros((n, k), dtype=np.int32)
+    came = np.zeros((n, k), dtype=np.int16)
     value, own = scores[0].copy(), np.arange(k)
     for i in range(1, n):
         top = int(np.argmax(value))
@@ -118,22 +134,30 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
+def _labelled(scores: np.ndarray, sizes: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[dict]]:
+    if not len(scores) or not model.langs:
+        return UND, 0.0, []
+    path = viterbi(scores, penalty)
+    letters = np.bincount(path, weights=sizes, minlength=len(model.langs))
+    best = int(np.argmax(letters))
+    edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    spans = [{"lo": a, "hi": b, "lang": model.langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
+    return model.langs[best], float(letters[best] / letters.sum()), spans
+
+
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> list[tuple[str, float, list[dict]]]:
-    """(language, its share of the letters, spans of words) of each text."""
+    """(language, its share of the letters, spans of words) of each text; a long one is scored in pieces."""
+    if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
+        scores, sizes = [np.zeros((0, len(model.langs)))], [np.zeros(0)]
+        for piece in pieces(texts[0], PIECE_CHARS):
+            words = Words([piece])
+            scores.append(words.scores(model))
+            sizes.append(words.size)
+        return [_labelled(np.concatenate(scores), np.concatenate(sizes), model, penalty)]
     words = Words([t or "" for t in texts])
     scores, out, lo = words.scores(model), [], 0
-    for hi in words.until:
-        hi = int(hi)
-        if hi == lo or not model.langs:
-            out.append((UND, 0.0, []))
-        else:
-            path = viterbi(scores[lo:hi], penalty)
-            letters = np.bincount(path, weights=words.size[lo:hi], minlength=len(model.langs))
-            best = int(np.argmax(letters))
-            turns = np.flatnonzero(np.diff(path)) + 1
-            edges = [0, *turns.tolist(), hi - lo]
-            spans = [{"lo": a, "hi": b, "lang": model.langs[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
-            out.append((model.langs[best], float(letters[best] / letters.sum()), spans))
+    for hi in words.until.tolist():
+        out.append(_labelled(scores[lo:hi], words.size[lo:hi], model, penalty))
         lo = hi
     return out
 
@@ -149,16 +173,21 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     rates = spark.createDataFrame([(r["lang"], min(1.0, sample_per_lang / r["count"])) for r in sizes], "__lang string, __rate double")
     drawn = known.join(F.broadcast(rates), F.col("lang") == F.col("__lang"))  # at most MAX_LANGS rows
     drawn = drawn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("__rate") * (1 << 20)).select("text", "lang")
+    drawn = drawn.dropDuplicates(["text", "lang"])  # copies of a text come together, and must not fill the sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(langs), BUCKETS + len(_NAMES)), dtype=np.int64)
-        for batch in batches:
-            texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, lang in enumerate(langs):
-                words = Words([t for t, x in zip(texts, own, strict=True) if x == lang])
-                for f in words.features:
-                    counts[k, :BUCKETS] += np.bincount(f, minlength=BUCKETS)
-                counts[k, BUCKETS:] += np.bincount(words.script, minlength=len(_NAMES))
+        number = {lang: k for k, lang in enumerate(langs)}
+        for batch in slices(batches, 0):
+            own = np.array([number[x] for x in batch.column(1).to_pylist()])
+            texts = batch.column(0).to_pylist()
+            for k in np.unique(own).tolist():
+                mine = [t for t, x in zip(texts, own, strict=True) if x == k]
+                for part in pieces(mine[0], PIECE_CHARS) if len(mine) == 1 else [None]:
+                    words = Words(mine if part is None else [part])
+                    for f in words.features:
+                        counts[k, :BUCKETS] += np.bincount(f, minlength=BUCKETS)
+                    counts[k, BUCKETS:] += np.bincount(words.script, minlength=len(_NAMES))
         k, f = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(counts[k, f])], names=["k", "f", "n"])
 
@@ -179,12 +208,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                langs, scores, spans = zip(*label(batch.column(at).to_pylist(), held.value, penalty), strict=True)
-                arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "lang_pred", "lang_score", "lang_spans"])
+        for batch in slices(batches, at, 256, PIECE_CHARS):
+            langs, scores, spans = zip(*label(batch.column(at).to_pylist(), held.value, penalty), strict=True)
+            arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "lang_pred", "lang_score", "lang_spans"])
 
     schema = kept.limit(0).selectExpr("*", *(f"cast(null as {kind}) {name}" for name, kind in (x.split(" ", 1) for x in made.split(", ", 2)))).schema
     return kept.mapInArrow(run, schema)
