@@ -12,6 +12,7 @@ the chosen terms and a few numbers per sampled document come to the driver.
 
 Defined cases
 * null or empty text: no match, the score of a clean text.
+* texts of any length are folded whole; their words are counted in pieces.
 * repeated rows: scored alike. Null ids count as training ids but have no label.
 * labels that are null, or ids labelled more than once: null is no label; toxic wins.
 * no training labels of one kind: the lexicon is empty, every score is 0.
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, pieces, slices
 
 SAMPLE_TOXIC = 2500
 SAMPLE_CLEAN = 7500
+#: Code points of a text whose words are split at once, and rows that a task counts before it sends them on.
+PIECE_CHARS = 1 << 20
+HELD = 500_000
 # Insults that are in the lexicon unless clean labelled documents hold them as often.
 SEEDS = ("bastard", "clown", "cretin", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 SEED_WEIGHT = 5.0
@@ -73,10 +77,6 @@ def fold(text: str | None) -> str:
     return _LEET.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text))
-
-
 def terms(word: str) -> list[str]:
     """A word and its proper stems, marked by '*'."""
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
@@ -122,21 +122,28 @@ def _excepted(text: str, begin: int, exceptions: frozenset[tuple[str, str]]) ->
     return (after is not None and (here[0], after[0]) in exceptions) or (bool(before) and (before[-1], here[0]) in exceptions)
 
 
-def features(text: str | None, lexicon: Lexicon, automaton) -> tuple[float, float]:
-    """Log of the matched weight, and the matched weight per hundred words (at most 10)."""
+def features(text: str | None, lexicon: Lexicon, automaton) -> tuple[float, float, list[tuple[str, float, int]]]:
+    """Log of the matched weight, the matched weight per hundred words (at most 10), and the matches."""
     folded = fold(text)
-    weight = sum(w for _, w, _ in match(folded, lexicon, automaton))
+    found = match(folded, lexicon, automaton)
+    weight = sum(w for _, w, _ in found)
     if not weight:
-        return 0.0, 0.0
-    return math.log1p(weight), min(100 * weight / max(len(_WORD.findall(folded)), 20), 50.0) / 5
+        return 0.0, 0.0, found
+    n = sum(1 for _ in _WORD.finditer(folded))
+    return math.log1p(weight), min(100 * weight / max(n, 20), 50.0) / 5, found
 
 
-def score(text: str | None, lexicon: Lexicon, automaton) -> float:
+def scored(text: str | None, lexicon: Lexicon, automaton) -> tuple[float, list[tuple[str, float, int]]]:
+    """(score, matches) of a text; without a curve nothing is toxic."""
+    x, rate, found = features(text, lexicon, automaton)
     if lexicon.curve is None:
-        return 0.0
-    x, rate = features(text, lexicon, automaton)
+        return 0.0, found
     a, b, c = lexicon.curve
-    return 1 / (1 + math.exp(-max(min(a + b * x + c * rate, 30), -30)))
+    return 1 / (1 + math.exp(-max(min(a + b * x + c * rate, 30), -30))), found
+
+
+def score(text: str | None, lexicon: Lexicon, automaton) -> float:
+    return scored(text, lexicon, automaton)[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -152,20 +159,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
+def windows(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in lists that overlap by two, with '' before the first word and after the last."""
+    held = [""]
+    for piece in pieces(fold(text), PIECE_CHARS):
+        held += _WORD.findall(piece)
+        if len(held) > 2:
+            yield held
+            held = held[-2:]
+    yield [*held, ""]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (term, context, toxic, n documents): context '' for each term of a document, and
-    in toxic documents the pair of words around it."""
-    for batch in batches:
-        rows: Counter = Counter()
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = ["", *words(text), ""]
-            here = {(t, "") for word in set(own[1:-1]) for t in terms(word)}
-            if toxic:
-                here |= {(t, f"{own[i - 1]} {own[i + 1]}") for i in range(1, len(own) - 1) for t in terms(own[i])}
-            rows.update((t, c, toxic) for t, c in here)
+    in toxic documents the pair of words around it (of which only the different ones count)."""
+
+    def flush(rows: Counter) -> pa.RecordBatch:
         term, context, toxic = zip(*rows, strict=True) if rows else ((), (), ())
         arrays = [pa.array(term, pa.string()), pa.array(context, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(rows.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["term", "context", "toxic", "n"])
+        return pa.RecordBatch.from_arrays(arrays, names=["term", "context", "toxic", "n"])
+
+    rows: Counter = Counter()
+    for batch in slices(batches, 0):
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen: set[str] = set()
+            for own in windows(text):
+                seen.update(own[1:-1])
+                if toxic:
+                    rows.update((t, f"{own[i - 1]} {own[i + 1]}", toxic) for i in range(1, len(own) - 1) for t in terms(own[i]))
+                    if len(rows) > HELD:
+                        yield flush(rows)
+                        rows = Counter()
+            rows.update((t, "", toxic) for t in {t for word in seen for t in terms(word)})
+            if len(rows) > HELD:
+                yield flush(rows)
+                rows = Counter()
+    yield flush(rows)
 
 
 def _chosen(found: list[tuple[str, float, int]]) -> dict[str, float]:
@@ -206,6 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     )
     weight = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
     least = max(4, round(MIN_SHARE * totals[1]))
+    # what may be chosen or refuted: a small part of all terms, counted once
+    some = ((F.col("contexts") >= least) & (F.col("toxic") >= least)) | F.col("term").isin(*SEEDS)
+    by_term = cut(by_term.filter(some))
     best = by_term.filter((F.col("contexts") >= least) & (F.col("toxic") >= least)).withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT)
     best = best.orderBy(F.desc("contexts"), "term").limit(MAX_TERMS).collect()
     refuted = by_term.filter(F.col("term").isin(*SEEDS) & (F.col("clean") > 0)).withColumn("weight", weight).filter("weight < 1").collect()
@@ -217,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            x = [features(t, lexicon, automaton) for t in batch.column(0).to_pylist()]
+        for batch in slices(batches, 0):
+            x = [features(t, lexicon, automaton)[:2] for t in batch.column(0).to_pylist()]
             arrays = [pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1)]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "toxic"])
 
@@ -233,7 +265,7 @@ def _learned_exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[tuple[
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in slices(batches, 0):
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folded, seen = fold(text), set()
@@ -267,14 +299,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = held.value
         automaton = lexicon.automaton()
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                scores, found = [], []
-                for text in batch.column(at).to_pylist():
-                    scores.append(score(text, lexicon, automaton))
-                    found.append([{"term": t, "weight": w, "at": p} for t, w, p in match(fold(text), lexicon, automaton)] if scores[-1] >= 0.5 else [])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*names, "toxicity", "toxic_matches"])
+        for batch in slices(batches, at):
+            scores, found = zip(*(scored(text, lexicon, automaton) for text in batch.column(at).to_pylist()), strict=True)
+            matches = [[{"term": t, "weight": w, "at": p} for t, w, p in x] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(matches, kind)], names=[*names, "toxicity", "toxic_matches"])
 
     schema = kept.limit(0).selectExpr("*", "cast(null as double) toxicity", "cast(null as array<struct<term:string,weight:double,at:int>>) toxic_matches").schema
     return kept.mapInArrow(run, schema)
