@@ -61,28 +61,29 @@ def signatures(text: str | None, chain: int = CHAIN) -> frozenset[int]:
     found: set[int] = set()
     following: list[str] = [""] * chain
     spot = ""
-    stretch: deque[int] = deque()  # signatures at the content words before the next anchor, the last word's first
+    stretch: deque[str] = deque()  # signatures at the content words before the next anchor, the last word's first
     anchored, words = False, 0
 
     def number(signature: str) -> int:
         return zlib.crc32(signature.encode())
 
     for piece in reversed(list(pieces(text or "", PIECE_CHARS))):
-        for word in reversed(_WORD.findall(piece.lower())):
-            words += 1
+        own = _WORD.findall(piece.lower())
+        words += len(own)
+        for word in reversed(own):
             if word in ANCHORS:
                 if spot:
                     found.add(number(f"{word} {spot}"))
                 stretch.clear()  # an anchor stands for the STRETCH content words after it
                 anchored = True
             else:
-                stretch.append(number(f"{word} {spot}"))
+                stretch.append(f"{word} {spot}")
                 if len(stretch) > STRETCH:
-                    found.add(stretch.popleft())
+                    found.add(number(stretch.popleft()))
                 following = [word, *following[:-1]]
                 spot = " ".join(following)
     if not anchored:
-        found.update(stretch)
+        found.update(map(number, stretch))
     if spot:
         found.add(number(f"^ {spot}"))
     elif words:

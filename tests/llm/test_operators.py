@@ -537,6 +537,21 @@ def test_viterbi_finds_the_best_path():
         assert math.isclose(value(path), max(value(p) for p in itertools.product(range(3), repeat=6)))
 
 
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    counts = np.array([[rng.randint(1, 50) for _ in range(language.BUCKETS)] for _ in range(3)], dtype=float)
+    model = language.Model(["aa", "bb", "cc"], counts, np.ones((3, len(language._NAMES))))
+    text = " ".join(rng.choice(["Kato", "mira,", "ΣΟΦΟΣ", "x", "longerword", "12", "\n"]) for _ in range(3000))
+    want = language.label([text], model, 2.0)
+    monkeypatch.setattr(language, "PIECE_CHARS", 100)
+    assert language.label([text], model, 2.0)[0][::2] == want[0][::2] and math.isclose(language.label([text], model, 2.0)[0][1], want[0][1])
+    scores = rng_scores = np.random.default_rng(4).normal(size=(500, 3))
+    for penalty in (0.5, 5.0, 20.0, 60.0):
+        best = int(np.argmax(scores.sum(axis=0)))
+        gain = np.vstack([np.zeros((1, 3)), np.cumsum(rng_scores - scores[:, [best]], axis=0)])
+        assert language._leaves(scores, best, penalty, 7) == bool((gain - np.minimum.accumulate(gain, axis=0)).max() >= penalty)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identify(docs, language.fit(docs.filter(~language.held_out()))).filter(language.held_out())
@@ -571,6 +586,44 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, toxicity.Lexicon()).filter("toxicity != 0").count() == 0
 
 
+def naive_matches(text, lexicon):
+    """Every place of every term, tried one by one."""
+    folded, found = toxicity.fold(text), []
+    words = [(m.start(), m[0]) for m in re.finditer(r"[^\W\d_]+", folded)]
+    for k, (at, word) in enumerate(words):
+        for term, weight in lexicon.weights.items():
+            if word == term or (term.endswith("*") and word.startswith(term[:-1])):
+                after = words[k + 1] if k + 1 < len(words) else (10**9, "")
+                before = words[k - 1] if k else (-(10**9), "")
+                near = after[0] + len(after[1]) <= at + len(word) + 40 and (word, after[1]) in lexicon.exceptions
+                if not near and (before[1], word) not in lexicon.exceptions:
+                    found.append((term, weight, at))
+    return sorted(found)
+
+
+def test_matches_against_a_naive_matcher():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "moro*": 4.0, "moron": 2.0, "trash": 3.0, "scum": 1.0, "id*": 1.5}, frozenset({("trash", "can"), ("pond", "scum"), ("an", "idiot")}), (-3.0, 1.0, 0.5))
+    automaton = lexicon.automaton()
+    bits = ["idiot", "1d10t", "idiots", "xidiot", "Moronic", "mоron", "trash", "trash can", "can", "pond scum", "scum.", "5cum", "an", "idea", "a_idiot", "idiot2", "!", "ok", "sc\u200bum"]
+    for _ in range(300):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(bits) for _ in range(rng.randint(0, 15)))
+        assert sorted(toxicity.match(toxicity.fold(text), lexicon, automaton)) == naive_matches(text, lexicon), text
+        x, rate, _ = toxicity.features(text, lexicon, automaton)
+        weight = sum(w for _, w, _ in naive_matches(text, lexicon))
+        n = len(re.findall(r"[^\W\d_]+", toxicity.fold(text)))
+        assert math.isclose(x, math.log1p(weight)) and math.isclose(rate, min(100 * weight / max(n, 20), 50.0) / 5)
+    assert toxicity.features("an idiot", lexicon, automaton)[0] == 0
+
+
+def test_windows_of_words(monkeypatch):
+    text = " ".join(f"w{chr(97 + i % 26)}" * (1 + i % 3) for i in range(200))
+    whole = ["", *re.findall(r"[^\W\d_]+", toxicity.fold(text)), ""]
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 20)
+    assert [tuple(w[i - 1 : i + 2]) for w in toxicity.windows(text) for i in range(1, len(w) - 1)] == [tuple(whole[i - 1 : i + 2]) for i in range(1, len(whole) - 1)]
+    assert list(toxicity.windows(None)) == [["", ""]]
+
+
 def test_folding():
     assert toxicity.fold("1D10T sc​um рathetic 2024 10") == "idiot scum pathetic 2024 10"
 
