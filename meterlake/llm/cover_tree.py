@@ -2,14 +2,15 @@
 
 Vectors are scaled to length one, so cosine c means distance sqrt(2 - 2c). They are dealt into tiles
 of bounded size, vectors of one region (nearest of PIVOTS directions) together; a region of any size
-is split over as many tiles as it needs. Each tile becomes a cover tree: levels of nodes whose radii
-halve from 0.5, every node of a level within the radius of its parent, and each keeps its true
-covering radius. Pairs of tiles whose roots can hold a pair within the threshold's distance are
-traversed from their roots downwards:
-* distance of centres - both radii > threshold distance: the pair of nodes is dropped,
-* distance of centres + both radii < threshold distance: all pairs are links, counted, not listed,
+is split over as many tiles as it needs. Each tile becomes a cover tree: nested levels whose radii
+halve from 1 down to a quarter of the linking distance, every node within the radius of its parent's
+level, its first child around its own centre, and each keeps its true covering radius. Pairs of
+tiles whose balls can hold a pair within the linking distance are traversed from their roots down:
+* distance of centres - both radii > linking distance: the pair of nodes is dropped,
+* distance of centres + both radii < linking distance: all pairs are links, counted, not listed,
 * else the children are paired; pairs of leaves are decided in double precision.
 A traversal returns counts of links per vector and a spanning forest of them, never all pairs.
+Tiles are exchanged in groups, so that a tile is copied once a group and not once a tile.
 
 Identical vectors are one class; a class of n gives n - 1 links to each of its members.
 
@@ -24,12 +25,13 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, spread_join
@@ -38,137 +40,245 @@ from .components import components, spanning
 THRESHOLD = 0.95
 PIVOTS = 64
 TILE = 4096
-#: Radii of the levels below the root.
-RADII = (0.5, 0.25, 0.125)
-#: Roots (tiles) that a traversal may see at once; beyond it, raise TILE.
+#: Tiles whose balls are broadcast (a centre in single precision each); with more vectors, tiles grow instead.
 MAX_TILES = 200_000
-#: Nodes of this many vectors are not divided, but compared as blocks.
-LEAF = 2048
+#: Tiles that are exchanged together at most.
+GROUP = 8
+#: Nodes of up to this many vectors are not divided.
+LEAF = 32
 #: Slack of distances in single precision.
-SLACK = 1e-4
+SLACK = 1e-3
+#: Candidate centres that are compared with a node's members at once, and pairs that are decided at once.
+BATCH = 64
+PAIRS = 1 << 16
 
 
-class Level:
-    """Sibling nodes: where each begins in ``rows``, and its covering radius. A node's first row is its centre."""
-
-    __slots__ = ("depth", "radii", "rows", "starts")
-
-    def __init__(self, rows: np.ndarray, starts: np.ndarray, radii: np.ndarray, depth: int):
-        self.rows, self.starts, self.radii, self.depth = rows, starts, radii, depth
-
-    def node(self, i: int) -> np.ndarray:
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.rows)
-        return self.rows[self.starts[i] : end]
+def levels(reach: float) -> list[float]:
+    """Radii of the levels below the root."""
+    out = [1.0]
+    while out[-1] > reach / 4:
+        out.append(out[-1] / 2)
+    return out
 
 
 def _least_dot(distance):
     """Unit vectors are within ``distance`` if their dot product is at least this."""
-    return 1 - distance * distance / 2
-
-
-def cover(x: np.ndarray, rows: np.ndarray, depth: int) -> Level:
-    """Covers ``rows`` of unit vectors ``x`` (single precision) by nodes of the radius of ``depth``."""
-    own = x[rows]
-    near = own @ own.T >= _least_dot(RADII[depth])
-    free = near.sum(axis=1) > 1
-    groups = [np.array([i]) for i in np.flatnonzero(~free)]
-    for i in np.flatnonzero(free):
-        if free[i]:
-            mine = np.flatnonzero(near[i] & free)
-            free[mine] = False
-            groups.append(np.concatenate([[i], mine[mine != i]]))
-    radii = [float(np.sqrt(max(2 - 2 * (own[g] @ own[g[0]]).min(), 0))) + SLACK if len(g) > 1 else 0.0 for g in groups]
-    starts = np.cumsum([0] + [len(g) for g in groups[:-1]])
-    return Level(rows[np.concatenate(groups)], starts, np.array(radii, dtype=np.float32), depth)
-
+    return 1 - np.minimum(distance, 2) ** 2 / 2
 
-def _children(x: np.ndarray, rows: np.ndarray, depth: int) -> Level | None:
-    return cover(x, rows, depth + 1) if len(rows) > LEAF and depth + 1 < len(RADII) else None
 
+def cover(x: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Groups of rows of unit vectors ``x``, each within ``radius`` of its first row, whose first rows lie further apart.
 
-def dual(x: np.ndarray, a: Level, y: np.ndarray, b: Level, cosine: float, same: bool):
-    """Yields (rows of x, rows of y, whether all are links, whether both are the same node).
-
-    The last is None for rows that are paired one by one: candidate pairs of single vectors.
+    The first group is that of row 0, so that a node's centre is also the centre of its first child.
     """
-    reach = float(np.sqrt(2 - 2 * cosine))
-    todo = [(a, b, same)]
-    while todo:
-        left, right, own = todo.pop()
-        dots = x[left.rows[left.starts]] @ y[right.rows[right.starts]].T
+    groups, alive = [], np.ones(len(x), dtype=bool)
+    least, at = _least_dot(radius), 0
+    while at < len(x):
+        some = np.flatnonzero(alive[at : at + 16 * BATCH])[:BATCH] + at
+        if not len(some):
+            at += 16 * BATCH
+            continue
+        rest = np.flatnonzero(alive)
+        near = x[some] @ x[rest].T >= least
+        for k, i in enumerate(some):
+            if alive[i]:
+                mine = rest[near[k] & alive[rest]] if near[k].sum() > 1 else np.array([i])
+                alive[mine] = False
+                alive[i] = False
+                groups.append(np.concatenate([[i], mine[mine != i]]))
+        at = int(some[-1]) + 1
+    return groups
+
+
+@dataclass
+class Tree:
+    """Nodes in order of their levels: members are rows[begin:end] with the centre first, children are nodes first:last."""
+
+    rows: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def build(x: np.ndarray, radii: list[float]) -> Tree:
+    """The cover tree of unit vectors in double precision."""
+    single = x.astype(np.float32)
+    rows = np.arange(len(x))
+    begin, end, first, last, depth = [0], [len(x)], [0], [0], [0]
+    node = 0
+    while node < len(begin):
+        lo, hi = begin[node], end[node]
+        first[node] = last[node] = len(begin)
+        if hi - lo > LEAF and depth[node] < len(radii):
+            own = rows[lo:hi]
+            groups = cover(single[own], radii[depth[node]])
+            rows[lo:hi] = own[np.concatenate(groups)]
+            for g in groups:
+                for column, value in ((begin, lo), (end, lo + len(g)), (first, 0), (last, 0), (depth, depth[node] + 1)):
+                    column.append(value)
+                lo += len(g)
+            last[node] = len(begin)
+        node += 1
+    begin, end = np.array(begin), np.array(end)
+    radius = np.zeros(len(begin))
+    for k in np.flatnonzero(end - begin > 1):
+        members = x[rows[begin[k] : end[k]]]
+        radius[k] = np.sqrt(((members - members[0]) ** 2).sum(axis=1).max())
+    return Tree(rows, begin, end, radius, np.array(first), np.array(last))
+
+
+def _below(tree: Tree, node: int) -> np.ndarray:
+    return np.arange(tree.first[node], tree.last[node]) if tree.last[node] > tree.first[node] else np.array([node])
+
+
+def _survivors(x, a: Tree, left: np.ndarray, y, b: Tree, right: np.ndarray, reach: float):
+    """(index of left, index of right, distance of centres) of the pairs of nodes that can hold a link."""
+    ra, rb = a.radius[left], b.radius[right]
+    out = []
+    for at in range(0, len(left), 512):
+        r = ra[at : at + 512]
+        dots = x[a.rows[a.begin[left[at : at + 512]]]] @ y[b.rows[b.begin[right]]].T
         # most nodes are single vectors; only the others need a wider look
         mask = dots >= _least_dot(reach + SLACK)
-        wide, high = np.flatnonzero(left.radii), np.flatnonzero(right.radii)
+        wide, high = np.flatnonzero(r), np.flatnonzero(rb)
         if len(wide):
-            mask[wide] |= dots[wide] >= _least_dot(np.minimum(reach + SLACK + left.radii[wide] + right.radii.max(), 2))[:, None]
+            mask[wide] |= dots[wide] >= _least_dot(reach + SLACK + r[wide] + rb.max())[:, None]
         if len(high):
-            mask[:, high] |= dots[:, high] >= _least_dot(np.minimum(reach + SLACK + right.radii[high] + left.radii.max(), 2))[None, :]
+            mask[:, high] |= dots[:, high] >= _least_dot(reach + SLACK + rb[high] + r.max())[None, :]
         i, j = np.nonzero(mask)
-        apart = np.sqrt(np.maximum(2 - 2 * dots[i, j], 0))
-        radii = left.radii[i] + right.radii[j]
-        maybe = apart - radii <= reach + SLACK
-        if own:
-            maybe &= i <= j
-        if own:  # a single vector is no pair
-            maybe &= (i != j) | (left.radii[i] > 0)
-        points = maybe & (radii == 0)
-        if points.any():
-            yield left.rows[left.starts[i[points]]], right.rows[right.starts[j[points]]], False, None
-            maybe &= ~points
-        for i1, j1, d, r in zip(i[maybe], j[maybe], apart[maybe], radii[maybe], strict=True):
-            p, q, self_pair = left.node(i1), right.node(j1), bool(own and i1 == j1)
-            if not self_pair and d + r < reach - SLACK:
-                yield p, q, True, False
+        apart = np.sqrt(np.maximum(2 - 2 * dots[i, j].astype(np.float64), 0))
+        close = apart - r[i] - rb[j] <= reach + SLACK
+        out.append((i[close] + at, j[close], apart[close]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+class Links:
+    """Counts of links of two tiles' rows, weighted by class sizes, and a spanning forest of the links."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool):
+        self.x, self.y, self.wx, self.wy, self.cosine, self.same = x, y, wx, wy, cosine, same
+        self.cx, self.cy = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+        self.shift = 0 if same else len(x)
+        self.label = np.arange(self.shift + len(y))
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.decided = 0  # pairs of vectors that were decided one by one
+
+    def tree(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.held.append((u, v))
+        if sum(len(x) for x, _ in self.held) > 4 * PAIRS:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray]:
+        """The forest so far; links that close a circle are dropped."""
+        if self.held:
+            u, v = map(np.concatenate, zip(*self.held, strict=True))
+            mine = spanning(u.tolist(), (v + self.shift).tolist(), len(self.label), self.label)
+            self.kept.append((u[mine], v[mine]))
+            self.held = []
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(map(np.concatenate, zip(*self.kept, strict=True))) if self.kept else (none, none)
+
+    def pairs(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Decides pairs of rows, none of which is a row with itself or comes twice."""
+        for at in range(0, len(p), PAIRS):
+            u, v = p[at : at + PAIRS], q[at : at + PAIRS]
+            self.decided += len(u)
+            linked = np.einsum("ij,ij->i", self.x[u], self.y[v]) >= self.cosine
+            u, v = u[linked], v[linked]
+            np.add.at(self.cx, u, self.wy[v])
+            np.add.at(self.cy, v, self.wx[u])
+            self.tree(u, v)
+
+    def leaves(self, sides: list[tuple[np.ndarray, np.ndarray, bool]]) -> None:
+        """Decides the pairs of members of pairs of leaves (p, q, whether both are one node)."""
+        small: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for p, q, own in sides:
+            if len(p) * len(q) > PAIRS:
+                self.block(p, q, own)
                 continue
-            pc, qc = _children(x, p, left.depth), _children(y, q, right.depth)
-            if pc is None and qc is None:
-                yield p, q, False, self_pair
-            else:
-                todo.append((pc or Level(p, np.zeros(1, dtype=int), left.radii[[i1]], left.depth), qc or Level(q, np.zeros(1, dtype=int), right.radii[[j1]], right.depth), self_pair))
+            u, v = np.repeat(p, len(q)), np.tile(q, len(p))
+            if own:
+                later = np.repeat(np.arange(len(p)), len(q)) < np.tile(np.arange(len(q)), len(p))
+                u, v = u[later], v[later]
+            small.append((u, v))
+            held += len(u)
+            if held > PAIRS:
+                self.pairs(*map(np.concatenate, zip(*small, strict=True)))
+                small, held = [], 0
+        if small:
+            self.pairs(*map(np.concatenate, zip(*small, strict=True)))
+
+    def block(self, p: np.ndarray, q: np.ndarray, own: bool) -> None:
+        """The same for large leaves, as blocks of cosines."""
+        step = max(1, PAIRS * 64 // len(q))
+        for at in range(0, len(p), step):
+            rows = p[at : at + step]
+            self.decided += len(rows) * len(q)
+            hit = self.x[rows] @ self.y[q].T >= self.cosine
+            if own:
+                hit &= rows[:, None] != q[None, :]
+            self.cx[rows] += hit @ self.wy[q]
+            if not own:
+                self.cy[q] += self.wx[rows] @ hit
+            place = np.arange(at, at + len(rows)) if own else np.arange(len(rows)) + len(q)
+            i, j = forest(hit, place, len(q) + (0 if own else len(rows)))
+            self.tree(rows[i], q[j])
+
+    def all(self, p: np.ndarray, q: np.ndarray, own: bool) -> None:
+        """All pairs are links."""
+        self.cx[p] += self.wy[q].sum()
+        if own:
+            self.cx[p] -= self.wy[p]
+        else:
+            self.cy[q] += self.wx[p].sum()
+        self.tree(np.concatenate([p, np.full(len(q), p[0])]), np.concatenate([np.full(len(p), q[0]), q]))
 
 
-def link_tiles(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool, tops: list[Level] | None = None):
-    """Counts of links of both tiles' rows (weighted by class sizes) and a spanning forest of the links.
+def link_tiles(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, cosine: float, same: bool, trees: tuple[Tree, Tree] | None = None):
+    """(links of x's rows, of y's, the forest's rows of x, of y, work): see Links.
 
-    ``x`` and ``y`` are unit vectors in double precision; ``same`` if they are one tile; ``tops`` their
-    first levels if they are known.
+    ``x`` and ``y`` are unit vectors in double precision; ``same`` if they are one tile. ``work`` holds the
+    pairs of centres that were compared, those of them that were pruned, and the pairs of vectors decided.
     """
-    sx, sy = x.astype(np.float32), y.astype(np.float32)
-    cx, cy = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
-    empty = np.zeros(0, dtype=np.int64)
-    if not len(x) or not len(y):
-        return cx, cy, empty, empty
-    top_x, top_y = tops or (cover(sx, np.arange(len(x)), 0), cover(sy, np.arange(len(y)), 0))
-    us, vs = [], []
-    for p, q, decided, self_pair in dual(sx, top_x, sy, top_y, cosine, same):
-        if self_pair is None:
-            linked = np.concatenate([np.einsum("ij,ij->i", x[p[k : k + 65536]], y[q[k : k + 65536]]) >= cosine for k in range(0, len(p), 65536)])
-            p, q = p[linked], q[linked]
-            np.add.at(cx, p, wy[q])
-            np.add.at(cy, q, wx[p])
-            us.append(p)
-            vs.append(q)
-            continue
-        for at in range(0, len(p), 2048):  # bounds the block of cosines
-            rows = p[at : at + 2048]
-            hit = np.ones((len(rows), len(q)), dtype=bool) if decided else x[rows] @ y[q].T >= cosine
-            if self_pair:
-                hit &= rows[:, None] != q[None, :]
-            cx[rows] += hit @ wy[q]
-            if not self_pair:
-                cy[q] += wx[rows] @ hit
-            place = np.arange(at, at + len(rows)) if self_pair else np.arange(len(rows)) + len(q)
-            i, j = forest(hit, place, len(q) + (0 if self_pair else len(rows)))
-            us.append(rows[i])
-            vs.append(q[j])
+    links = Links(x, y, wx, wy, cosine, same)
+    work = {"centres": 0, "pruned": 0, "decided": 0}
+    if len(x) and len(y):
+        reach = float(np.sqrt(2 - 2 * cosine))
+        a, b = trees or (build(x, levels(reach)), build(y, levels(reach)))
+        sx, sy = x.astype(np.float32), y.astype(np.float32)
+        todo = [(0, 0)]
+        while todo:
+            i, j = todo.pop()
+            own = same and i == j
+            left, right = _below(a, i), _below(b, j)
+            at, to, apart = _survivors(sx, a, left, sy, b, right, reach)
+            work["centres"] += len(left) * len(right)
+            work["pruned"] += len(left) * len(right) - len(at)
+            if own:
+                once = at <= to
+                at, to, apart = at[once], to[once], apart[once]
+            at, to = left[at], right[to]
+            both = a.radius[at] + b.radius[to]
+            one = (a.end[at] - a.begin[at] == 1) & (b.end[to] - b.begin[to] == 1)
+            self_ = (at == to) if same else np.zeros(len(at), dtype=bool)
+            sure = ~one & (apart * ~self_ + both < reach - SLACK)
+            ends = ~one & ~sure & (a.last[at] == a.first[at]) & (b.last[to] == b.first[to])
+            single = one & ~self_
+            links.pairs(a.rows[a.begin[at[single]]], b.rows[b.begin[to[single]]])
+            member = lambda k: (a.rows[a.begin[at[k]] : a.end[at[k]]], b.rows[b.begin[to[k]] : b.end[to[k]]], bool(self_[k]))
+            for k in np.flatnonzero(sure):
+                links.all(*member(k))
+            links.leaves([member(k) for k in np.flatnonzero(ends)])
+            more = ~one & ~sure & ~ends
+            todo += zip(at[more].tolist(), to[more].tolist(), strict=True)
     if same:
-        cx += cy
-    if not us:
-        return cx, cy, empty, empty
-    u, v = np.concatenate(us), np.concatenate(vs)
-    shift = 0 if same else len(x)
-    kept = spanning(u.tolist(), (v + shift).tolist(), shift + len(y), np.arange(shift + len(y)))
-    return cx, cy, u[kept], v[kept]
+        links.cx += links.cy
+    work["decided"] = links.decided
+    return links.cx, links.cy, *links.reduce(), work
 
 
 def forest(hit: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +305,37 @@ def forest(hit: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, n
 KEY = ["__h1", "__h2"]
 
 
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, embedding) to (vec_id, vector scaled to length one; null if it links with nothing), by lengths."""
+    kind = pa.list_(pa.float64())
+    for batch in batches:
+        ids, vectors = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        sizes = np.where(ids.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+        for d in np.unique(sizes):
+            rows = pa.array(np.flatnonzero(sizes == d))
+            own, n = ids.take(rows), len(rows)
+            if not d:
+                yield pa.RecordBatch.from_arrays([own, pa.nulls(n, kind)], names=["vec_id", "__v"])
+                continue
+            x = vectors.take(rows).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, d)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                unit = x / norm + 0.0  # + 0.0: no negative zero
+            good = np.isfinite(x).all(axis=1) & np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+            flat = pa.array(np.where(good[:, None], unit, 0).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d, pa.int32()), flat, mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([own, lists], names=["vec_id", "__v"])
+
+
 def _units(vectors: DataFrame) -> DataFrame:
-    """vec_id, __v (the vector scaled to length one; null if it links with nothing), __h1, __h2 (its hash)."""
-    parts = F.transform("embedding", lambda v: v.cast("double"))
-    whole = F.col("vec_id").isNotNull() & F.forall("__p", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), parts.alias("__p"))
-    norm = F.sqrt(F.aggregate("__p", F.lit(0.0), lambda a, v: a + v * v))
-    normed = typed.withColumn("__norm", F.when(whole, norm))
-    scaled = F.transform("__p", lambda v: v / F.col("__norm") + F.lit(0.0))  # + 0.0: no negative zero
-    usable = (F.col("__norm") > 0) & (F.col("__norm") < float("inf"))
-    unit = normed.select("vec_id", F.when(usable, scaled).alias("__v"))
-    return unit.withColumns({"__h1": F.xxhash64("__v"), "__h2": F.xxhash64(F.lit(1), "__v")})
+    """vec_id, __v (see _scaled), __h1, __h2 (its hash); computed once."""
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    unit = typed.mapInArrow(_scaled, "vec_id long, __v array<double>")
+    return cut(unit.withColumns({"__h1": F.xxhash64("__v"), "__h2": F.xxhash64(F.lit(1), "__v")}))
+
+
+BLOB = "tile long, dim int, center array<double>, radius double, ids binary, n binary, x binary, rows binary, nodes binary, radii binary"
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -233,65 +363,85 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
 
     placed = classes.withColumn("__region", region("__v"))
     sizes = placed.groupBy("__region", "__dim").count().collect()  # at most PIVOTS rows a length
-    parts = spark.createDataFrame([(r["__region"], r["__dim"], -(-r["count"] // tile)) for r in sizes], "__region int, __dim int, __parts long")
-    part = F.pmod(F.col("__h2"), F.col("__parts"))
-    dealt = placed.join(F.broadcast(parts), ["__region", "__dim"]).withColumn("__part", part)
-    # regions of few vectors share a tile
-    order = W.partitionBy("__dim").orderBy("__region", "__part")
-    cells = dealt.groupBy("__dim", "__region", "__part").agg(F.count("*").alias("__c"))
-    cells = cells.withColumn("__tile", F.floor((F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1) / tile).cast("long"))
-    tiles = F.concat_ws("-", "__dim", "__tile")
-    dealt = dealt.join(F.broadcast(cells.select("__dim", "__region", "__part", tiles.alias("tile"))), ["__dim", "__region", "__part"])
+    tile = max(tile, -(-2 * sum(r["count"] for r in sizes) // MAX_TILES))
+    # a region of any size is cut into parts; small ones of a length share a tile
+    cells, last = [], {}
+    for r in sorted(sizes, key=lambda r: (r["__dim"], r["__region"])):
+        parts = -(-r["count"] // tile)
+        number, room = last.get(r["__dim"], (None, 0))
+        if parts == 1 and room >= r["count"]:
+            cells.append((r["__region"], r["__dim"], 1, number))
+            last[r["__dim"]] = (number, room - r["count"])
+        else:
+            number = sum(c[2] for c in cells)
+            cells.append((r["__region"], r["__dim"], parts, number))
+            last[r["__dim"]] = (number, tile - r["count"] if parts == 1 else 0)
+    table = spark.createDataFrame(cells, "__region int, __dim int, __parts long, __first long")
+    number = F.col("__first") + F.pmod(F.col("__h2"), F.col("__parts"))
+    dealt = placed.join(F.broadcast(table), ["__region", "__dim"]).select(number.alias("tile"), "__class", "__n", "__v")
+    reach = float(np.sqrt(2 - 2 * cosine))
+    radii = levels(reach)
 
     def blob(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__class")
         x = np.array(pdf["__v"].tolist(), dtype=np.float64)
         center = x.mean(axis=0)
-        radius = float(np.sqrt(((x - center) ** 2).sum(axis=1).max()))
-        top = cover(x.astype(np.float32), np.arange(len(x)), 0)  # the tile in the order of its first level
-        x = x[top.rows]
-        ids, n = pdf["__class"].to_numpy(np.int64)[top.rows], pdf["__n"].to_numpy(np.int64)[top.rows]
-        row = {"tile": pdf["tile"].iloc[0], "dim": x.shape[1], "center": center, "radius": radius, "ids": ids.tobytes(), "n": n.tobytes(), "x": x.tobytes(), "starts": top.starts.astype(np.int64).tobytes(), "radii": top.radii.tobytes()}
+        tree = build(x, radii)
+        nodes = np.stack([tree.begin, tree.end, tree.first, tree.last]).astype(np.int64)
+        row = {
+            "tile": pdf["tile"].iloc[0], "dim": x.shape[1], "center": center, "radius": float(np.sqrt(((x - center) ** 2).sum(axis=1).max())),
+            "ids": pdf["__class"].to_numpy(np.int64).tobytes(), "n": pdf["__n"].to_numpy(np.int64).tobytes(), "x": x.tobytes(),
+            "rows": tree.rows.astype(np.int64).tobytes(), "nodes": nodes.tobytes(), "radii": tree.radius.tobytes(),
+        }
         return pd.DataFrame([row])
 
-    blobs = cut(dealt.select("tile", "__class", "__n", "__v").groupBy("tile").applyInPandas(blob, "tile string, dim int, center array<double>, radius double, ids binary, n binary, x binary, starts binary, radii binary"))
-    roots = blobs.select("tile", "dim", "center", "radius").orderBy("dim", "tile").limit(MAX_TILES + 1).collect()
-    if len(roots) > MAX_TILES:
-        raise ValueError(f"more than {MAX_TILES} tiles of {tile} vectors; raise the tile size")
-    names = [r["tile"] for r in roots]
-    reach = float(np.sqrt(2 - 2 * cosine))
-    by_dim = {d: [k for k, r in enumerate(roots) if r["dim"] == d] for d in {r["dim"] for r in roots}}
-    centers = {d: np.array([roots[k]["center"] for k in ks]) for d, ks in by_dim.items()}
-    radii = np.array([r["radius"] for r in roots])
+    blobs = cut(dealt.groupBy("tile").applyInPandas(blob, BLOB))
+    balls = blobs.select("tile", "dim", "center", "radius").toArrow()  # at most MAX_TILES and two a length
+    numbers, dims, ball = balls["tile"].to_numpy(), balls["dim"].to_numpy(), balls["radius"].to_numpy()
+    group = max(1, min(GROUP, len(numbers) // 16))
+    known = {}
+    for d in np.unique(dims):
+        mine = np.flatnonzero(dims == d)
+        mine = mine[np.argsort(numbers[mine])]
+        centers = np.array(balls["center"].take(pa.array(mine)).to_pylist())
+        known[int(d)] = (numbers[mine], centers, ball[mine])
+    shared = spark.sparkContext.broadcast(known)
+    columns = ["pair", "grp", *blobs.columns]
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {n: k for k, n in enumerate(names)}
+        """Each tile once for every group that holds a tile which it can have links with."""
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                k = number[row.column(0)[0].as_py()]
-                ks = np.array(by_dim[roots[k]["dim"]])
-                d = np.sqrt(((centers[roots[k]["dim"]] - np.array(roots[k]["center"])) ** 2).sum(axis=1))
-                for o in ks[d - radii[ks] - radii[k] <= reach + 1e-9]:
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{min(k, o)}-{max(k, o)}"]), pa.array([k], pa.int64()), *row.columns[1:]], names=["pair", "k", "dim", "ids", "n", "x", "starts", "radii"])
-
-    roots = [{"dim": r["dim"], "center": list(r["center"])} for r in roots]
-    pairs = blobs.select("tile", "dim", "ids", "n", "x", "starts", "radii").mapInArrow(partners, "pair string, k long, dim int, ids binary, n binary, x binary, starts binary, radii binary")
+                k, d = row.column(0)[0].as_py(), row.column(1)[0].as_py()
+                tiles, centers, r = shared.value[d]
+                i = int(np.searchsorted(tiles, k))
+                near = np.sqrt(((centers - centers[i]) ** 2).sum(axis=1)) - r - r[i] <= reach + SLACK
+                for g in np.unique(np.flatnonzero(near) // group):
+                    pair = f"{d}:{min(i // group, g)}-{max(i // group, g)}"
+                    yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([i // group], pa.int64()), *row.columns], names=columns)
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("k").to_dict("records")
-        dim = rows[0]["dim"]
-        xs = [np.frombuffer(r["x"], dtype=np.float64).reshape(-1, dim) for r in rows]
-        ids = [np.frombuffer(r["ids"], dtype=np.int64) for r in rows]
-        ns = [np.frombuffer(r["n"], dtype=np.int64) for r in rows]
-        tops = [Level(np.arange(len(x)), np.frombuffer(r["starts"], dtype=np.int64), np.frombuffer(r["radii"], dtype=np.float32), 0) for x, r in zip(xs, rows, strict=True)]
-        same = len(rows) == 1
-        cx, cy, u, v = link_tiles(xs[0], xs[-1], ns[0], ns[-1], cosine, same, [tops[0], tops[-1]])
-        counts = [(ids[0], cx)] if same else [(ids[0], cx), (ids[1], cy)]
-        out = [pd.DataFrame({"u": i[c > 0], "v": -1, "n": c[c > 0]}) for i, c in counts]
-        out.append(pd.DataFrame({"u": ids[0][u], "v": ids[-1][v], "n": 0}))
+        tiles = []
+        for r in pdf.sort_values("tile").to_dict("records"):
+            x = np.frombuffer(r["x"], dtype=np.float64).reshape(-1, r["dim"])
+            begin, end, first, last = np.frombuffer(r["nodes"], dtype=np.int64).reshape(4, -1)
+            tree = Tree(np.frombuffer(r["rows"], dtype=np.int64), begin, end, np.frombuffer(r["radii"]), first, last)
+            tiles.append((r, x, np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["n"], dtype=np.int64), tree))
+        one, out = pdf["grp"].nunique() == 1, [pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")]
+        for i, (ra, xa, ia, na, ta) in enumerate(tiles):
+            for rb, xb, ib, nb, tb in tiles[i:]:
+                same = ra["tile"] == rb["tile"]
+                # tiles of one group meet in that group's own pair
+                if (not one and ra["grp"] == rb["grp"]) or np.linalg.norm(np.subtract(ra["center"], rb["center"])) - ra["radius"] - rb["radius"] > reach + SLACK:
+                    continue
+                cx, cy, u, v, _ = link_tiles(xa, xb, na, nb, cosine, same, (ta, tb))
+                for ids, c in ((ia, cx),) if same else ((ia, cx), (ib, cy)):
+                    out.append(pd.DataFrame({"u": ids[c > 0], "v": -1, "n": c[c > 0]}))
+                out.append(pd.DataFrame({"u": ia[u], "v": ib[v], "n": 0}))
         return pd.concat(out)
 
+    pairs = blobs.mapInArrow(partners, f"pair string, grp long, {BLOB}")
     found = cut(pairs.groupBy("pair").applyInPandas(traverse, "u long, v long, n long"))
     links = found.filter("n > 0").groupBy(F.col("u").alias("__class")).agg(F.sum("n").alias("__links"))
     reached = components(found.filter("n = 0").select("u", "v")).withColumnRenamed("u", "__class")

@@ -429,6 +429,59 @@ def test_embeddings(spark):
         assert got[i] == (links[i], root, root == i), i
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.02, 0.05, 0.1, 0.3])
+def test_dual_traversal(noise):
+    """Counts, forest and pruning of one tile and of two, at the default constants."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(30, 32))
+    x = unit(np.repeat(centers, 40, axis=0) + noise * rng.normal(size=(1200, 32)) * np.linalg.norm(centers[0]) / 6)
+    y = unit(np.vstack([np.repeat(centers[:10], 50, axis=0) + noise * rng.normal(size=(500, 32)), rng.normal(size=(300, 32))]))
+    wx, wy = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+    for a, b, wa, wb, same in ((x, x, wx, wx, True), (x, y, wx, wy, False), (y, y, wy, wy, True)):
+        hit = a @ b.T >= 0.95
+        if same:
+            np.fill_diagonal(hit, False)
+        ca, cb, u, v, work = cover_tree.link_tiles(a, b, wa, wb, 0.95, same)
+        assert (ca == hit @ wb).all() and (same or (cb == wa @ hit).all())
+        assert hit[u, v].all()
+        sets, want = Sets(), Sets()
+        for i, j in zip(u.tolist(), v.tolist(), strict=True):
+            sets.join(i, j if same else j + len(a))
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(hit)), strict=True):
+            want.join(i, j if same else j + len(a))
+        size = len(a) if same else len(a) + len(b)
+        assert [sets.root(k) for k in range(size)] == [want.root(k) for k in range(size)]
+        assert len(u) == size - len({sets.root(k) for k in range(size)})
+        if same and len(a) == 1200 and noise < 0.1:  # clusters: a small part of the 1.44 million pairs is looked at
+            assert work["centres"] + work["decided"] < len(a) ** 2 / 10 and work["pruned"] > 0.8 * 30 * 29 / 2
+
+
+def test_nested_levels():
+    rng = np.random.default_rng(5)
+    x = unit(np.repeat(rng.normal(size=(5, 8)), 100, axis=0) + 0.2 * rng.normal(size=(500, 8)))
+    radii = cover_tree.levels(math.sqrt(0.1))
+    tree = cover_tree.build(x, radii)
+    assert radii[0] == 1.0 and all(b == a / 2 for a, b in zip(radii, radii[1:], strict=False)) and sorted(tree.rows) == list(range(500))
+    depth = {0: 0}
+    for k in range(len(tree.begin)):
+        members = x[tree.rows[tree.begin[k] : tree.end[k]]]
+        assert math.isclose(np.linalg.norm(members - members[0], axis=1).max(), tree.radius[k], abs_tol=1e-12)
+        kids = range(tree.first[k], tree.last[k])
+        if kids:
+            assert tree.rows[tree.begin[kids[0]]] == tree.rows[tree.begin[k]]  # nested: the centre is the first child's
+            assert [tree.begin[c] for c in kids] == [tree.begin[k], *[tree.end[c] for c in kids[:-1]]] and tree.end[kids[-1]] == tree.end[k]
+            centers = x[[tree.rows[tree.begin[c]] for c in kids]]
+            r = radii[depth[k]]
+            apart = np.linalg.norm(centers[:, None] - centers[None], axis=2) + 9 * np.eye(len(kids))
+            assert apart.min() > r - 1e-3 and all(tree.radius[c] <= r + 1e-3 for c in kids)
+            depth |= dict.fromkeys(kids, depth[k] + 1)
+    assert max(depth.values()) >= 3
+
+
 def test_embeddings_of_odd_rows(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])]
@@ -545,10 +598,10 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     want = language.label([text], model, 2.0)
     monkeypatch.setattr(language, "PIECE_CHARS", 100)
     assert language.label([text], model, 2.0)[0][::2] == want[0][::2] and math.isclose(language.label([text], model, 2.0)[0][1], want[0][1])
-    scores = rng_scores = np.random.default_rng(4).normal(size=(500, 3))
+    scores = np.random.default_rng(4).normal(size=(500, 3))
     for penalty in (0.5, 5.0, 20.0, 60.0):
         best = int(np.argmax(scores.sum(axis=0)))
-        gain = np.vstack([np.zeros((1, 3)), np.cumsum(rng_scores - scores[:, [best]], axis=0)])
+        gain = np.vstack([np.zeros((1, 3)), np.cumsum(scores - scores[:, [best]], axis=0)])
         assert language._leaves(scores, best, penalty, 7) == bool((gain - np.minimum.accumulate(gain, axis=0)).max() >= penalty)
 
 
