@@ -26,11 +26,26 @@ def merge_max(df: DataFrame) -> DataFrame:
     )
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """One row per request: maxima of the counters, the least of every other column."""
+    rest = [c for c in rows.columns if c not in (*KEY, *BANDS, "reasoning")]
+    return rows.groupBy(*KEY).agg(*(F.max(b).alias(b) for b in (*BANDS, "reasoning")), *(F.min(c).alias(c) for c in rest))
+
+
 def merge_into(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Counters of an existing table merged with new rows of the same columns: union, then maxima again."""
-    both = existing.unionByName(incoming)
-    rest = [c for c in both.columns if c not in (*KEY, *BANDS, "reasoning")]
-    return both.groupBy(*KEY).agg(*(F.max(b).alias(b) for b in (*BANDS, "reasoning")), *(F.min(c).alias(c) for c in rest))
+    return merged(existing.unionByName(incoming))
+
+
+def outcomes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Keys of ``incoming`` with what merging them does: inserted, updated or unchanged."""
+    counters = F.struct(*BANDS, "reasoning")
+    old = merged(existing).select(*KEY, counters.alias("__old"))
+    new = merged(existing.unionByName(incoming)).select(*KEY, counters.alias("__new"))
+    keys = incoming.select(*KEY).distinct()
+    both = new.join(keys, list(KEY), "left_semi").join(old, list(KEY), "left")
+    outcome = F.when(F.col("__old").isNull(), "inserted").when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("updated")
+    return both.select(*KEY, outcome.alias("outcome"))
 
 
 def per_source(df: DataFrame) -> DataFrame:

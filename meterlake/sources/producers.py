@@ -1,18 +1,27 @@
-"""JSON log lines of three producers to one shape of normalised usage signals.
+"""JSON log lines of three producers to one shape of normalised signals, and signals to request facts.
 
 Each producer has a prefilter on raw bytes, an explicit schema (a known field of the wrong type makes
-a line malformed; unknown fields are ignored) and a projection. Lines are (file_id, ordinal, value).
+a line malformed; unknown fields are ignored) and a projection. Lines are (file_id, ordinal, value) and
+may have ``bytes``, the length of a line of which ``value`` is only the head.
+
+A line is parsed once: every row of ``signals`` is a line (or a span of it) with one of the tags that
+it earned - usage, failure, retry, compacted, anomaly - so a line that does not add up is both usage
+and anomaly. A further producer is one more function of lines to such rows (see ``Producer``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.usage import BANDS, SYNTHETIC, bands_a, bands_b, bands_c
+from ..functions.usage import BANDS, FAILED, SYNTHETIC, bands_a, bands_b, bands_c
 from ..operators.ordered import carry_forward, reconcile
+from ..streaming.ledger import COUNTERS, follow
 
 #: Longer lines are skipped; the prefilter looks at the head of a line.
 MAX_LINE = 8 * 1024 * 1024
@@ -30,7 +39,7 @@ _A_USAGE = (
 )
 SCHEMA_A = (
     "type string, subtype string, sessionId string, timestamp string, requestId string, uuid string, isSidechain boolean, agentId string, "
-    f"isApiErrorMessage boolean, retryAttempt int, preTokens bigint, postTokens bigint, message struct<id:string,model:string,usage:{_A_USAGE}>, _bad string"
+    f"isApiErrorMessage boolean, retryAttempt int, maxRetries int, preTokens bigint, postTokens bigint, message struct<id:string,model:string,usage:{_A_USAGE}>, _bad string"
 )
 _B_USAGE = (
     "struct<input_tokens:bigint,cached_input_tokens:bigint,cache_write_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"
@@ -42,7 +51,14 @@ _SPAN = (
 )
 SCHEMA_C = f"resourceSpans array<struct<scopeSpans:array<struct<spans:array<{_SPAN}>>>>>, " + _SPAN[7:-1].replace("name:string", "name string").replace("spanId:", "spanId ").replace("traceId:", "traceId ").replace("startTimeUnixNano:", "startTimeUnixNano ").replace("endTimeUnixNano:", "endTimeUnixNano ").replace("attributes:array", "attributes array") + ", _bad string"
 
-SIGNAL = ("adapter_id", "session_id", "dedup_key", "signal", "model_id", "occurred_at", "request_kind", "measurement_source", *BANDS, "reasoning", "discrepancy")
+SIGNAL = (
+    "adapter_id", "file_id", "ordinal", "position", "signal", "kind", "session_id", "dedup_key", "model_id", "occurred_at", "request_kind", "measurement_source",
+    *BANDS, "reasoning", "discrepancy", "is_sidechain", "attempt", "pre_tokens", "post_tokens", "raw_json",
+)
+TYPES = dict.fromkeys((*BANDS, "reasoning", "pre_tokens", "post_tokens"), "bigint") | {
+    "position": "int", "attempt": "int", "discrepancy": "boolean", "is_sidechain": "boolean", "occurred_at": "timestamp", "ordinal": "bigint",
+}
+_RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
 
 
 def candidate(producer: str, value: str = "value") -> Column:
@@ -54,137 +70,261 @@ def candidate(producer: str, value: str = "value") -> Column:
     return out
 
 
-def screened(lines: DataFrame, producer: str) -> tuple[DataFrame, DataFrame]:
-    """(relevant lines, oversize relevant lines)"""
-    long = F.octet_length("value") > MAX_LINE
-    hit = lines.filter(candidate(producer))
-    return hit.filter(~long), hit.filter(long)
+def _once(df: DataFrame, name: str, value: Column, *keep: str | Column) -> DataFrame:
+    """``keep`` and a value that later columns and filters read but do not compute again.
+
+    All of it goes through the generator: the optimizer may lose columns that stand beside one.
+    """
+    return df.select(F.explode(F.array(F.struct(*keep, value.alias(name)))).alias("__o")).select("__o.*")
+
+
+def _parsed(lines: DataFrame, producer: str, schema: str) -> DataFrame:
+    """file_id, ordinal, oversize, bad and ``j``, the parsed line, of the relevant lines; oversize ones are not parsed."""
+    size = F.coalesce(F.col("bytes"), F.octet_length("value")) if "bytes" in lines.columns else F.octet_length("value")
+    hit = lines.filter(candidate(producer)).select("file_id", "ordinal", (size > MAX_LINE).alias("oversize"), "value")
+    parsed = F.from_json(F.when(~F.col("oversize"), F.col("value")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return _once(hit, "j", parsed, "file_id", "ordinal", "oversize").withColumn("bad", F.coalesce(F.col("j._bad").isNotNull(), F.lit(False)))
+
+
+def _instant(text: Column, ingested_at: str | None) -> Column:
+    """An RFC 3339 text as an instant in whole milliseconds, else the time of ingestion (of the micro-batch or query)."""
+    when = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
+    return F.date_trunc("MILLISECOND", F.coalesce(F.when(text.rlike(_RFC3339), F.try_to_timestamp(text)), when))
 
 
-def _parsed(lines: DataFrame, schema: str) -> DataFrame:
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.withColumn("__j", parsed)
+def _tags(*cases: tuple[Column, str, str | None]) -> Column:
+    """(signal, kind) of the cases that hold."""
+    tag = [F.when(when, F.struct(F.lit(signal).alias("signal"), F.lit(kind).cast("string").alias("kind"))) for when, signal, kind in cases]
+    return F.array_compact(F.array(*tag))
 
 
-def _instant(text: Column, fallback: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(text), fallback)
+def _signals(rows: DataFrame, adapter: str, tags: Column) -> DataFrame:
+    """Rows of SIGNAL, one for each tag of a row; columns that a producer does not have are NULL."""
+    own = [c for c in SIGNAL if c in rows.columns and c not in ("adapter_id", "signal", "kind")]
+    each = rows.select(F.explode(F.transform(tags, lambda t: F.struct(t["signal"].alias("signal"), t["kind"].alias("kind"), *own))).alias("__s")).select("__s.*")
+    each = each.withColumn("adapter_id", F.lit(adapter))
+    return each.select(*((F.col(c) if c in each.columns else F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in SIGNAL))
 
 
 @dataclass(frozen=True)
 class Parsed:
-    """Usage signals, failures and anomalies of a producer's lines."""
+    """The signals of a producer's lines."""
 
-    usage: DataFrame
-    failures: DataFrame
-    anomalies: DataFrame
+    signals: DataFrame
 
+    def _of(self, signal: str) -> DataFrame:
+        return self.signals.filter(F.col("signal") == signal)
 
-def _anomalies(df: DataFrame, adapter: str, when: Column, kind: str) -> DataFrame:
-    return df.filter(when).select(F.lit(adapter).alias("adapter_id"), "file_id", "ordinal", F.lit(kind).alias("kind"))
+    @property
+    def usage(self) -> DataFrame:
+        return self._of("usage")
+
+    @property
+    def failures(self) -> DataFrame:
+        return self._of("failure").select("adapter_id", "session_id", "dedup_key", "occurred_at")
+
+    @property
+    def anomalies(self) -> DataFrame:
+        return self._of("anomaly").select("adapter_id", "file_id", "ordinal", "kind")
+
+    @property
+    def retries(self) -> DataFrame:
+        """Attempts, not failures: one incident may take many."""
+        return self._of("retry").select("adapter_id", "session_id", "occurred_at", "attempt")
+
+    @property
+    def compactions(self) -> DataFrame:
+        """Sizes of contexts, which never enter a total."""
+        return self._of("compacted").select("adapter_id", "session_id", "occurred_at", "pre_tokens", "post_tokens")
 
 
 def parse_a(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     """Producer A: one request a line, repeated as it streams; writes may be split by time to live."""
-    kept, oversize = screened(lines, "a")
-    rows = _parsed(kept, SCHEMA_A)
-    bad = F.col("__j._bad").isNotNull()
-    good = rows.filter(~bad & F.col("__j.sessionId").isNotNull()).select("file_id", "ordinal", "__j.*")
-    at = _instant(F.col("timestamp"), F.lit(ingested_at).cast("timestamp"))
-    failed = F.coalesce(F.col("message.model") == SYNTHETIC, F.lit(False)) | F.coalesce("isApiErrorMessage", F.lit(False))
-    turns = good.filter(F.col("type") == "assistant")
-    failures = turns.filter(failed).select(
-        F.lit("claude_code").alias("adapter_id"), F.col("sessionId").alias("session_id"), F.coalesce("requestId", "uuid", F.lit("failed")).alias("dedup_key"), at.alias("occurred_at")
-    )
-    u = F.col("message.usage")
+    j = F.col("j")
+    message, u = j["message"], j["message"]["usage"]
     bands = bands_a(u["input_tokens"], u["output_tokens"], u["cache_creation_input_tokens"], u["cache_read_input_tokens"], u["cache_creation"]["ephemeral_5m_input_tokens"], u["cache_creation"]["ephemeral_1h_input_tokens"])
-    both = F.concat_ws(":", "requestId", "message.id")
-    key = F.when(F.col("requestId").isNotNull() & F.col("message.id").isNotNull(), both).otherwise(F.coalesce("requestId", "message.id"))
-    usage = turns.filter(~failed & u.isNotNull()).withColumns({**bands, "dedup_key": key, "occurred_at": at})
-    named = usage.filter("dedup_key is not null").select(
-        F.lit("claude_code").alias("adapter_id"), F.col("sessionId").alias("session_id"), "dedup_key", F.lit("usage").alias("signal"), F.col("message.model").alias("model_id"),
-        "occurred_at", F.lit("turn").alias("request_kind"), F.lit("provider_exact").alias("measurement_source"), *BANDS, "reasoning", "discrepancy",
+    good = ~F.col("bad") & j["sessionId"].isNotNull()
+    turn, system = good & (j["type"] == "assistant") & message.isNotNull(), good & (j["type"] == "system")
+    failed = turn & (F.coalesce(message["model"] == SYNTHETIC, F.lit(False)) | F.coalesce(j["isApiErrorMessage"], F.lit(False)))
+    used = turn & ~failed & u.isNotNull()
+    both = F.when(j["requestId"].isNotNull() & message["id"].isNotNull(), F.concat_ws(":", j["requestId"], message["id"]))
+    rows = _parsed(lines, "a", SCHEMA_A).withColumns({
+        **bands, "dedup_key": F.when(failed, F.coalesce(j["requestId"], j["uuid"], F.lit("failed"))).otherwise(F.coalesce(both, j["requestId"], message["id"])),
+        "session_id": j["sessionId"], "model_id": message["model"], "occurred_at": _instant(j["timestamp"], ingested_at), "request_kind": F.lit("turn"),
+        "measurement_source": F.lit("provider_exact"), "is_sidechain": F.coalesce(j["isSidechain"], F.lit(False)), "attempt": F.coalesce(j["retryAttempt"], F.lit(1)),
+        "pre_tokens": j["preTokens"], "post_tokens": j["postTokens"], "raw_json": F.to_json(u), "position": F.lit(0),
+    })
+    tags = _tags(
+        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (failed, "failure", None),
+        (used & F.col("dedup_key").isNotNull(), "usage", None), (used & F.col("dedup_key").isNull(), "anomaly", "no_dedup_key"), (used & F.col("discrepancy"), "anomaly", "provider_self_inconsistent"),
+        (system & (j["subtype"] == "api_error"), "retry", None), (system & (j["subtype"] == "compact_boundary"), "compacted", None),
     )
-    odd = _anomalies(rows, "claude_code", bad, "malformed_line").unionByName(_anomalies(oversize, "claude_code", F.lit(True), "oversize_relevant_line"))
-    odd = odd.unionByName(_anomalies(usage, "claude_code", F.col("dedup_key").isNull(), "no_dedup_key")).unionByName(_anomalies(usage, "claude_code", F.col("discrepancy"), "provider_self_inconsistent"))
-    return Parsed(named, failures, odd)
+    return Parsed(_signals(rows, "claude_code", tags))
 
 
-def parse_b(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
-    """Producer B: cumulative counters per file; sessions and models are declared and carried forward."""
-    kept, oversize = screened(lines, "b")
-    rows = _parsed(kept, SCHEMA_B)
-    bad = F.col("__j._bad").isNotNull()
-    good = rows.filter(~bad & F.col("__j.payload").isNotNull()).select("file_id", "ordinal", "__j.*")
-    good = good.withColumns({
-        "__session": F.when(F.col("type") == "session_meta", F.col("payload.id")),
-        "__model": F.when(F.col("type") == "turn_context", F.col("payload.model")),
-    })
-    good = carry_forward(carry_forward(good, "file_id", ["ordinal"], "__session", "session_id"), "file_id", ["ordinal"], "__model", "model_id")
-    counts = good.filter((F.col("type") == "event_msg") & (F.col("payload.type") == "token_count"))
-    names = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")
-    now, last = F.col("payload.info.total_token_usage"), F.col("payload.info.last_token_usage")
+def ledger_events(lines: DataFrame, ingested_at: str | None = None) -> DataFrame:
+    """Producer B's relevant lines: what each declares or counts. A count's columns are NULL where it says nothing."""
+    j = F.col("j")
+    payload = j["payload"]
+    event = ~F.col("bad") & payload.isNotNull() & (j["type"] == "event_msg")
+    count = F.coalesce(event & (payload["type"] == "token_count"), F.lit(False))
+    now, last = payload["info"]["total_token_usage"], payload["info"]["last_token_usage"]
 
     def total(u: Column) -> Column:
         own = F.coalesce(u["input_tokens"], F.lit(0)) + F.coalesce(u["output_tokens"], F.lit(0))
         return F.when(u.isNotNull(), F.coalesce(u["total_tokens"], own))
 
-    flat = counts.withColumns({**{c: now[c] for c in names}, **{f"last_{c}": last[c] for c in names}, "cumulative": total(now), "last_total": total(last)})
-    steps = reconcile(flat.filter("session_id is not null"), "file_id", ["ordinal"], list(names), "cumulative", "last")
-    emitted = steps.filter(F.col("kind").isin("turn", "reset", "off_ledger"))
-    off = F.col("kind") == "off_ledger"
-    bands = bands_b(*(F.col(f"delta_{c}") for c in ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")), F.col("delta_total"), off)
-    emitted = emitted.withColumns({**bands, "occurred_at": _instant(F.col("timestamp"), F.lit(ingested_at).cast("timestamp"))})
+    return _parsed(lines, "b", SCHEMA_B).select(
+        "file_id", "ordinal", "oversize", "bad", _instant(j["timestamp"], ingested_at).alias("occurred_at"), count.alias("is_count"),
+        F.coalesce(event & (payload["type"] == "context_compacted"), F.lit(False)).alias("compacted"),
+        F.when(j["type"] == "session_meta", payload["id"]).alias("session_said"), F.when(j["type"] == "turn_context", payload["model"]).alias("model_said"),
+        *(F.when(count, now[c]).alias(c) for c in COUNTERS), *(F.when(count, last[c]).alias(f"last_{c}") for c in COUNTERS),
+        F.when(count, total(now)).alias("cumulative"), F.when(count, total(last)).alias("last_total"),
+    )
+
+
+def ledger_steps(events: DataFrame) -> DataFrame:
+    """Events with the session and model in force, their kind and step (see ``reconcile``) and whether the session is known.
+
+    Batches take windows over a file, streams the state of a file; both give the same rows.
+    """
+    if events.isStreaming:
+        return follow(events)
+    order = ["ordinal"]
+    said = carry_forward(carry_forward(events, "file_id", order, "session_said", "session_id"), "file_id", order, "model_said", "model_id")
+    lost = F.col("is_count") & F.col("session_id").isNull() & F.col("cumulative").isNotNull()
+    said = said.withColumn("lost", lost)
+    for c in (*COUNTERS, *(f"last_{c}" for c in COUNTERS), "cumulative", "last_total"):
+        said = said.withColumn(c, F.when(F.col("session_id").isNotNull(), F.col(c)))  # what comes before a session moves nothing
+    return reconcile(said, "file_id", order, list(COUNTERS), "cumulative", "last")
+
+
+def parse_b(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
+    """Producer B: cumulative counters per file; sessions and models are declared and carried forward.
+
+    A request's key is its number among the file's requests, which is the same however the file is read.
+    """
+    steps = ledger_steps(ledger_events(lines, ingested_at))
+    emitted, off = F.col("step_kind").isin("turn", "reset", "off_ledger"), F.col("step_kind") == "off_ledger"
+    delta = [F.col(f"delta_{c}") for c in COUNTERS]
     request_kind = F.when(off, "off_ledger").otherwise("turn")
-    # the place of the line is stable over restarts, unlike a count of events
-    usage = emitted.filter("not invalid").select(
-        F.lit("codex").alias("adapter_id"), "session_id", F.concat_ws(":", "ordinal", request_kind).alias("dedup_key"), F.lit("usage").alias("signal"), "model_id", "occurred_at",
-        request_kind.alias("request_kind"), F.when(off, "provider_off_ledger").otherwise("provider_cumulative_delta").alias("measurement_source"), *BANDS, "reasoning", "discrepancy",
+    rows = steps.withColumnRenamed("kind", "step_kind").withColumns({**bands_b(*delta, F.col("delta_total"), off), "request_kind": request_kind})
+    rows = rows.withColumn("__used", emitted & ~F.col("invalid"))
+    if not lines.isStreaming:
+        before = W.partitionBy("file_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("number", F.sum(F.col("__used").cast("long")).over(before))
+    native = F.struct(*(F.col(f"delta_{c}").alias(c) for c in COUNTERS), F.col("delta_total").alias("total_tokens"))
+    rows = rows.withColumns({
+        "dedup_key": F.concat_ws(":", "number", "request_kind"), "measurement_source": F.when(off, "provider_off_ledger").otherwise("provider_cumulative_delta"),
+        "is_sidechain": F.lit(False), "raw_json": F.to_json(native), "position": F.lit(0),
+    })
+    tags = _tags(
+        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (F.col("lost"), "anomaly", "usage_before_session"),
+        (F.col("step_kind") == "reset", "anomaly", "cumulative_rebased"), (emitted & F.col("invalid"), "anomaly", "normalize_failed"),
+        (F.col("__used") & F.col("discrepancy"), "anomaly", "provider_self_inconsistent"), (F.col("__used"), "usage", None),
+        (F.col("compacted") & F.col("session_id").isNotNull(), "compacted", None),
     )
-    odd = _anomalies(rows, "codex", bad, "malformed_line").unionByName(_anomalies(oversize, "codex", F.lit(True), "oversize_relevant_line"))
-    for frame, when, kind in (
-        (counts, F.col("session_id").isNull() & now.isNotNull(), "usage_before_session"), (steps, F.col("kind") == "reset", "cumulative_rebased"),
-        (emitted, F.col("invalid"), "normalize_failed"), (emitted, ~F.col("invalid") & F.col("discrepancy"), "provider_self_inconsistent"),
-    ):
-        odd = odd.unionByName(_anomalies(frame, "codex", when, kind))
-    return Parsed(usage, usage.limit(0).select("adapter_id", "session_id", "dedup_key", "occurred_at"), odd)
+    return Parsed(_signals(rows, "codex", tags))
 
 
 def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
-    """Producer C: trace spans, in envelopes or one a line; only chat spans with a count are requests."""
-    kept, oversize = screened(lines, "c")
-    rows = _parsed(kept, SCHEMA_C)
-    bad = F.col("__j._bad").isNotNull()
-    scopes = F.flatten(F.transform("__j.resourceSpans", lambda r: F.coalesce(r["scopeSpans"], F.array())))
+    """Producer C: trace spans, in envelopes or one a line; only calls (spans named ``chat``) with a count are requests.
+
+    A span without an id is known by its line and its place in it.
+    """
+    j = F.col("j")
+    scopes = F.flatten(F.transform(j["resourceSpans"], lambda r: F.coalesce(r["scopeSpans"], F.array())))
     spans = F.flatten(F.transform(scopes, lambda s: F.coalesce(s["spans"], F.array())))
-    bare = F.array(F.struct(*[F.col(f"__j.{c}").alias(c) for c in ("name", "spanId", "traceId", "startTimeUnixNano", "endTimeUnixNano", "attributes")]))
-    each = rows.filter(~bad).select("file_id", "ordinal", F.posexplode(F.when(F.col("__j.resourceSpans").isNotNull(), spans).otherwise(bare)).alias("__p", "s"))
+    bare = F.array(F.struct(*[j[c].alias(c) for c in ("name", "spanId", "traceId", "startTimeUnixNano", "endTimeUnixNano", "attributes")]))
+    rows = _parsed(lines, "c", SCHEMA_C)
+    keep = ("file_id", "ordinal", "oversize", "bad")
+    # a line without spans stays as one row, for its anomalies
+    found = F.when(j["resourceSpans"].isNotNull(), spans).when(~F.col("oversize") & ~F.col("bad"), bare)
+    placed = F.transform(found, lambda s, i: F.struct(*keep, i.alias("position"), s.alias("s")))
+    none = F.array(F.struct(*keep, F.lit(None).cast("int").alias("position"), F.lit(None).cast(_SPAN).alias("s")))
+    each = rows.select(F.explode(F.when(F.size(placed) > 0, placed).otherwise(none)).alias("__e")).select("__e.*")
 
     def attribute(key: str) -> Column:
-        return F.try_element_at(F.filter("s.attributes", lambda a: a["key"] == key), F.lit(-1))["value"]
+        return F.try_element_at(F.filter("s.attributes", lambda a: (a["key"] == key) & a["value"].isNotNull()), F.lit(-1))["value"]
 
-    def number(key: str) -> Column:
-        v = attribute(key)
-        whole = F.when((v["doubleValue"] >= 0) & (v["doubleValue"] == F.floor(v["doubleValue"])), v["doubleValue"].cast("long"))
-        return F.coalesce(v["intValue"].try_cast("long"), v["stringValue"].try_cast("long"), whole)
+    found = F.struct(*(attribute(key).alias(name) for name, key in ATTRIBUTES.items()))
+    each = _once(each, "v", found, *keep, "position", F.col("s").dropFields("attributes").alias("s"))
 
-    each = each.filter(F.col("s.name").startswith("chat"))
-    each = each.withColumns({
-        "inp": number("gen_ai.usage.input_tokens"), "out": number("gen_ai.usage.output_tokens"), "read": number("gen_ai.usage.cache_read.input_tokens"),
-        "write": number("gen_ai.usage.cache_creation.input_tokens"), "think": number("gen_ai.usage.reasoning.output_tokens"),
-        "session_id": F.coalesce(attribute("gen_ai.conversation.id")["stringValue"], "s.traceId", F.lit("unknown")),
-        "model_id": F.coalesce(attribute("gen_ai.response.model")["stringValue"], attribute("gen_ai.request.model")["stringValue"]),
-    }).filter("inp is not null or out is not null")
+    def number(name: str) -> Column:
+        v, whole = F.col(f"v.{name}.intValue"), F.col(f"v.{name}.doubleValue")
+        double = F.when((whole >= 0) & (whole == F.floor(whole)), whole.cast("long"))
+        return F.coalesce(F.when(v.rlike(r"^\+?[0-9]+$"), v.try_cast("long")), double)
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(f"v.{name}.stringValue"), F.col(f"v.{name}.intValue"))
+
+    numbers = F.struct(*(number(n).alias(n) for n in ("inp", "out", "read", "write", "think")), F.coalesce(text("answered"), text("asked")).alias("model"))
+    each = _once(each, "n", numbers, *keep, "position", "s", text("conversation").alias("conversation"))
+    n = F.col("n")
+    call = ~F.col("bad") & ~F.col("oversize") & F.coalesce(F.col("s.name") == "chat", F.lit(False)) & (n["inp"].isNotNull() | n["out"].isNotNull())
     nanos = F.coalesce(F.col("s.endTimeUnixNano").try_cast("decimal(20,0)"), F.col("s.startTimeUnixNano").try_cast("decimal(20,0)"))
-    at = F.coalesce(F.timestamp_micros(F.floor(nanos / 1000).cast("long")), F.lit(ingested_at).cast("timestamp"))
-    each = each.withColumns({**bands_c(F.col("inp"), F.col("read"), F.col("write"), F.col("out"), F.col("think")), "occurred_at": at})
-    usage = each.filter("not invalid").select(
-        F.lit("copilot").alias("adapter_id"), "session_id", F.coalesce("s.spanId", F.concat(F.lit("copilot:"), F.col("ordinal"))).alias("dedup_key"), F.lit("usage").alias("signal"),
-        "model_id", "occurred_at", F.lit("assistant").alias("request_kind"), F.lit("provider_otel_span").alias("measurement_source"), *BANDS, "reasoning", F.lit(False).alias("discrepancy"),
+    when = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
+    raw = F.struct(*(n[name].alias(key) for name, key in list(ATTRIBUTES.items())[:5]), n["model"].alias("gen_ai.response.model"))
+    each = each.withColumns({
+        **bands_c(n["inp"], n["read"], n["write"], n["out"], n["think"]), "session_id": F.coalesce("conversation", "s.traceId", F.lit("unknown")), "model_id": n["model"],
+        "occurred_at": F.date_trunc("MILLISECOND", F.coalesce(F.timestamp_micros(F.floor(nanos / 1000).cast("long")), when)),
+        "dedup_key": F.coalesce("s.spanId", F.concat_ws(":", F.lit("copilot"), "ordinal", "position")), "request_kind": F.lit("assistant"),
+        "measurement_source": F.lit("provider_otel_span"), "discrepancy": F.lit(False), "is_sidechain": F.lit(False), "raw_json": F.to_json(raw, {"ignoreNullFields": "false"}),
+    })
+    cache = F.coalesce(n["read"], F.lit(0)) > F.coalesce(n["inp"], F.lit(0))
+    tags = _tags(
+        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (call & ~F.col("invalid"), "usage", None),
+        (call & cache, "anomaly", "copilot_cache_exceeds_input"), (call & ~cache & F.col("invalid"), "anomaly", "copilot_reasoning_exceeds_output"),
     )
-    odd = _anomalies(rows, "copilot", bad, "malformed_line").unionByName(_anomalies(oversize, "copilot", F.lit(True), "oversize_relevant_line"))
-    cache = F.coalesce("read", F.lit(0)) > F.coalesce("inp", F.lit(0))
-    odd = odd.unionByName(_anomalies(each, "copilot", cache, "copilot_cache_exceeds_input")).unionByName(_anomalies(each, "copilot", ~cache & F.col("invalid"), "copilot_reasoning_exceeds_output"))
-    return Parsed(usage, usage.limit(0).select("adapter_id", "session_id", "dedup_key", "occurred_at"), odd)
+    return Parsed(_signals(each, "copilot", tags))
+
+
+#: Attributes of a call span.
+ATTRIBUTES = {
+    "inp": "gen_ai.usage.input_tokens", "out": "gen_ai.usage.output_tokens", "read": "gen_ai.usage.cache_read.input_tokens",
+    "write": "gen_ai.usage.cache_creation.input_tokens", "think": "gen_ai.usage.reasoning.output_tokens", "conversation": "gen_ai.conversation.id",
+    "answered": "gen_ai.response.model", "asked": "gen_ai.request.model",
+}
+
+
+@dataclass(frozen=True)
+class Producer:
+    """A producer: its adapter id, the files to tail, and lines to signals."""
+
+    adapter_id: str
+    glob: str
+    parse: Callable[..., Parsed]
+
+
+PRODUCERS = (Producer("claude_code", "*.jsonl", parse_a), Producer("codex", "rollout-*.jsonl", parse_b), Producer("copilot", "*.jsonl", parse_c))
+
+FACT = (
+    "event_id", "occurred_at", "adapter_id", "session_id", "dedup_key", "task_id", "model_id", "request_kind", "measurement_source", "raw_json", "is_sidechain",
+    *BANDS, "reasoning",
+)
+
+
+def facts_from_signals(*parsed: Parsed) -> DataFrame:
+    """The requests of all producers as one table of facts (FACT), before merging.
+
+    Failures are requests too, of which nothing could be measured. ``event_id`` names the place that a row
+    was read from, so it is the same however often that is.
+    """
+    every = reduce(DataFrame.unionByName, (p.signals for p in parsed)).filter(F.col("signal").isin("usage", "failure"))
+    failed = F.col("signal") == "failure"
+    none = F.lit(0).cast("long")
+    return every.withColumns({
+        "event_id": F.concat_ws(":", "file_id", F.lpad(F.col("ordinal").cast("string"), 20, "0"), F.lpad(F.col("position").cast("string"), 6, "0")),
+        "task_id": F.lit(None).cast("string"), "request_kind": F.when(failed, FAILED).otherwise(F.col("request_kind")),
+        "measurement_source": F.when(failed, "unknown").otherwise(F.col("measurement_source")), "model_id": F.when(~failed, F.col("model_id")),
+        "raw_json": F.when(~failed, F.col("raw_json")), "reasoning": F.when(~failed, F.col("reasoning")), **{b: F.when(failed, none).otherwise(F.col(b)) for b in BANDS},
+    }).select(*FACT)
+
+
+def pass_statistics(*parsed: Parsed) -> DataFrame:
+    """What a pass found: per adapter the rows of each signal and kind of anomaly."""
+    every = reduce(DataFrame.unionByName, (p.signals for p in parsed))
+    return every.groupBy("adapter_id", "signal", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def daily_gauge_document(documents: DataFrame) -> DataFrame:

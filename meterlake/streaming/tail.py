@@ -1,8 +1,11 @@
 """A stream of appended JSONL lines, and a sink that merges them idempotently.
 
-Spark's file stream reads a file once; logs grow. This source keeps a byte offset and a line number
-per file, always just past a newline: half-written lines wait, a file that shrank is read anew, lines
-over MAX_LINE are dropped, and a file that cannot be read keeps its offset for the next batch.
+Spark's file stream reads a file once; logs grow. This source's offset is the size of each file, which
+the driver takes from the file system without reading a byte, so a restarted query plans from what was
+committed. What a file gained is cut into spans for the executors; a span yields the lines whose
+newline lies in it, so half-written lines wait. A line is numbered by its own offset in the file.
+A file that shrank is read anew, a file that cannot be opened keeps its offset, and of a line over
+MAX_LINE only the head is passed on, with its length.
 """
 
 from __future__ import annotations
@@ -10,21 +13,26 @@ from __future__ import annotations
 import fnmatch
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..operators.merge import merge_into
+from ..operators.merge import merged
 
-SCHEMA = "file_id string, path string, ordinal long, offset long, value string"
+SCHEMA = "file_id string, path string, ordinal long, bytes long, value string"
 MAX_LINE = 8 * 1024 * 1024
+#: Characters of a longer line that are passed on.
+HEAD = 4096
 CHUNK = 1024 * 1024
-#: Bytes of one file that a batch reads at most.
-MAX_FILE_BYTES = 256 * 1024 * 1024
+#: Bytes of a file that one task reads.
+SPAN_BYTES = 64 * 1024 * 1024
 
 
-def find_files(root: str, glob: str) -> dict[str, str]:
-    """file_id (device and inode) -> path of the files below ``root``."""
+def find_files(root: str, glob: str) -> dict[str, tuple[str, int]]:
+    """file_id (device and inode) -> (path, size) of the files below ``root`` that can be opened."""
     found = {}
     for folder, _, names in os.walk(root):
         for name in fnmatch.filter(names, glob):
@@ -33,29 +41,46 @@ def find_files(root: str, glob: str) -> dict[str, str]:
                 stat = os.stat(path)
             except OSError:
                 continue
-            found[f"{stat.st_dev}-{stat.st_ino}"] = path
+            if os.access(path, os.R_OK):
+                found[f"{stat.st_dev}-{stat.st_ino}"] = (path, stat.st_size)
     return found
 
 
-def line_end(path: str, start: int, limit: int = MAX_FILE_BYTES) -> tuple[int, int]:
-    """(offset just past the last newline within the limit, newlines up to it); at least one whole line if there is one."""
-    end, newlines, at = start, 0, start
+def line_start(f: BinaryIO, at: int) -> int:
+    """Where the line begins that the byte before ``at`` belongs to, or a new one if that byte ends a line."""
+    while at > 0:
+        begin = max(0, at - CHUNK)
+        f.seek(begin)
+        found = f.read(at - begin).rfind(b"\n")
+        if found >= 0:
+            return begin + found + 1
+        at = begin
+    return 0
+
+
+def read_lines(path: str, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, line or the head of an oversize one) of the lines whose newline lies in [begin, end)."""
     with open(path, "rb") as f:
-        f.seek(start)
-        while chunk := f.read(CHUNK):
-            n = chunk.count(b"\n")
-            if n:
-                newlines += n
-                end = at + chunk.rfind(b"\n") + 1
-            at += len(chunk)
-            if at - start >= limit and end > start:
-                break
-    return end, newlines
+        at = line_start(f, begin)
+        f.seek(at)
+        while at < end:
+            line = f.readline(min(MAX_LINE + 1, end - at))
+            size = len(line)
+            while line and not line.endswith(b"\n"):  # the rest of an oversize line, or one that is not whole yet
+                more = f.readline(min(CHUNK, end - at - size))
+                if not more:
+                    return
+                size += len(more)
+                line = line[: 4 * HEAD] + more[-1:]
+            if not line:
+                return
+            yield at, size - 1, line[:-1]
+            at += size
 
 
 class Span(InputPartition):
-    def __init__(self, file_id: str, path: str, begin: int, end: int, ordinal: int):
-        self.file_id, self.path, self.begin, self.end, self.ordinal = file_id, path, begin, end, ordinal
+    def __init__(self, file_id: str, path: str, begin: int, end: int):
+        self.file_id, self.path, self.begin, self.end = file_id, path, begin, end
 
 
 class TailReader(DataSourceStreamReader):
@@ -67,46 +92,34 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {k: dict(v) for k, v in self._known.items()}
-        for file_id, path in find_files(self.root, self.glob).items():
-            was = out.get(file_id, {"offset": 0, "lines": 0, "start": 0, "generation": 0})
-            try:
-                size = os.path.getsize(path)
-                fresh = size < was["offset"]
-                begin, lines = (0, 0) if fresh else (was["offset"], was["lines"])
-                end, more = line_end(path, begin)
-            except OSError:
-                continue
-            if end > begin or fresh:
-                out[file_id] = {"offset": end, "lines": lines + more, "path": path, "generation": was["generation"] + fresh}
-        self._known = out
-        return out
+        """The size of every file; files that are not there now stay as they were known."""
+        now = {k: {"size": size, "path": path} for k, (path, size) in find_files(self.root, self.glob).items()}
+        self._known = {**self._known, **now}
+        return self._known
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
         for file_id, to in end.items():
-            was = start.get(file_id, {"offset": 0, "lines": 0, "generation": 0})
-            begin, line = (was["offset"], was["lines"]) if to["generation"] == was["generation"] else (0, 0)
-            if to["offset"] > begin:
-                spans.append(Span(file_id, to["path"], begin, to["offset"], line))
-        self._known = {**self._known, **end}
+            begin = start.get(file_id, {"size": 0})["size"]
+            begin = begin if begin <= to["size"] else 0
+            while begin < to["size"]:
+                stop = min(begin + SPAN_BYTES, to["size"])
+                spans.append(Span(file_id, to["path"], begin, stop))
+                begin = stop
+        self._known = {**start, **end, **self._known}
         return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.begin)
-            at, number = partition.begin, partition.ordinal
-            while at < partition.end:
-                line = f.readline(partition.end - at)
-                if not line:
-                    break
-                if 1 < len(line) <= MAX_LINE:
-                    yield partition.file_id, partition.path, number, at, line.rstrip(b"\n").decode("utf-8", "replace")
-                at += len(line)
-                number += 1
+        try:
+            for at, size, line in read_lines(partition.path, partition.begin, partition.end):
+                if size:
+                    text = line.decode("utf-8", "replace")
+                    yield partition.file_id, partition.path, at, size, text if size <= MAX_LINE else text[:HEAD]
+        except FileNotFoundError:  # it was removed since; what it held is gone
+            return
 
     def commit(self, end: dict) -> None:
-        self._known = {**self._known, **end}
+        self._known = {**end, **self._known}
 
 
 class TailSource(DataSource):
@@ -129,41 +142,80 @@ def tail_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFra
 
 
 def batch_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """All lines of the files below ``root`` at once, numbered per file in order of their splits."""
-    from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
+    """All whole lines of the files below ``root`` at once: file_id, ordinal (the line's offset), value.
 
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    lines = lines.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("offset"), "value", F.monotonically_increasing_id().alias("__i"))
-    order = W.partitionBy("file_id").orderBy("offset", "__i")
-    return lines.select("file_id", (F.row_number().over(order).cast("long") - 1).alias("ordinal"), "value")
+    Offsets are running sums within the splits of a file, whose own sums are added up first.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
+    meta = F.col("_metadata")
+    lines = lines.select(
+        meta["file_path"].alias("file_id"), meta["file_size"].alias("__size"), meta["file_block_start"].alias("__split"), "value",
+        (F.octet_length("value") + 1).cast("long").alias("__n"), F.monotonically_increasing_id().alias("__i"),
+    )
+    splits = lines.groupBy("file_id", "__split").agg(F.sum("__n").alias("__sum"))
+
+    def before(window, column: str) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    splits = splits.select("file_id", "__split", before(W.partitionBy("file_id").orderBy("__split"), "__sum").alias("__base"))
+    numbered = lines.withColumn("__at", before(W.partitionBy("file_id", "__split").orderBy("__i"), "__n")).join(splits, ["file_id", "__split"])
+    numbered = numbered.withColumn("ordinal", F.col("__base") + F.col("__at"))
+    return numbered.filter(F.col("ordinal") + F.col("__n") <= F.col("__size")).select("file_id", "ordinal", "value")
 
 
 class MergeSink:
-    """foreachBatch sink: each batch is merged by maxima with the stored table, so replays change nothing.
+    """foreachBatch sink: a batch is merged by maxima and appended under its number; reading merges what is there.
 
-    The table alternates between two folders, and a marker names the one that holds.
+    A batch that comes again overwrites itself. Every ``compact_after`` batches the parts become one, named by
+    the last batch in it; until that is whole, readers see the parts. All of it goes through Spark's own
+    file systems, so the path may be in any store.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, compact_after: int = 32):
+        self.path, self.compact_after = path, compact_after
+
+    def _parts(self, spark: SparkSession) -> list[tuple[int, bool, str]]:
+        """(batch, whether it holds all before it, path) of the finished parts, oldest first."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(folder):
+            return []
+        found = []
+        for status in store.listStatus(folder):
+            kind, _, number = status.getPath().getName().partition("=")
+            at = status.getPath().toString()
+            if kind in ("batch", "upto") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+                found.append((int(number), kind == "upto", at))
+        return sorted(found)
+
+    def _live(self, spark: SparkSession) -> list[tuple[int, bool, str]]:
+        parts = self._parts(spark)
+        base = max((n for n, whole, _ in parts if whole), default=-1)
+        return [(n, whole, at) for n, whole, at in parts if n > base or (whole and n == base)]
 
     def table(self, spark: SparkSession) -> DataFrame | None:
-        at = self._current()
-        return spark.read.parquet(at) if at else None
-
-    def _current(self) -> str | None:
-        try:
-            with open(f"{self.path}/current") as f:
-                return f"{self.path}/{f.read().strip()}"
-        except FileNotFoundError:
+        parts = [spark.read.parquet(at) for _, _, at in self._live(spark)]
+        if not parts:
             return None
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part, allowMissingColumns=True)
+        return merged(every)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        old = self.table(batch.sparkSession)
-        merged = merge_into(old, batch) if old is not None else merge_into(batch, batch.limit(0))
-        at = "b" if (self._current() or "").endswith("/a") else "a"
-        merged.write.mode("overwrite").parquet(f"{self.path}/{at}")
-        with open(f"{self.path}/current.new", "w") as f:
-            f.write(at)
-        os.replace(f"{self.path}/current.new", f"{self.path}/current")
+        merged(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        spark = batch.sparkSession
+        live = self._live(spark)
+        if len(live) > self.compact_after:
+            self.compact(spark, live[-1][0])
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """One part of all batches so far; the parts that it replaces are removed when it is whole."""
+        table = self.table(spark)
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{self.path}/upto={upto}")
+            live = {at for _, _, at in self._live(spark)}
+            for _, _, at in self._parts(spark):
+                if at not in live:
+                    old = spark._jvm.org.apache.hadoop.fs.Path(at)
+                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
