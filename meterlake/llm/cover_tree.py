@@ -3,7 +3,7 @@
 Vectors are scaled to length one, so cosine c means distance sqrt(2 - 2c). They are dealt into tiles
 of bounded size, vectors of one region (nearest of PIVOTS directions) together; a region of any size
 is split over as many tiles as it needs. Each tile becomes a cover tree: nested levels whose radii
-halve from 1 down to a quarter of the linking distance, every node within the radius of its parent's
+halve from just above the linking distance down to a quarter of it, every node within the radius of its parent's
 level, its first child around its own centre, and each keeps its true covering radius. Pairs of
 tiles whose balls can hold a pair within the linking distance are traversed from their roots down:
 * distance of centres - both radii > linking distance: the pair of nodes is dropped,
@@ -54,8 +54,13 @@ PAIRS = 1 << 16
 
 
 def levels(reach: float) -> list[float]:
-    """Radii of the levels below the root."""
+    """Radii of the levels below the root: from the least power of a half beyond ``reach`` to a quarter of it.
+
+    Wider levels would put unrelated vectors of many dimensions together by twos, which prunes nothing.
+    """
     out = [1.0]
+    while out[0] / 2 > reach:
+        out[0] /= 2
     while out[-1] > reach / 4:
         out.append(out[-1] / 2)
     return out

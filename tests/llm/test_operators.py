@@ -465,7 +465,7 @@ def test_nested_levels():
     x = unit(np.repeat(rng.normal(size=(5, 8)), 100, axis=0) + 0.2 * rng.normal(size=(500, 8)))
     radii = cover_tree.levels(math.sqrt(0.1))
     tree = cover_tree.build(x, radii)
-    assert radii[0] == 1.0 and all(b == a / 2 for a, b in zip(radii, radii[1:], strict=False)) and sorted(tree.rows) == list(range(500))
+    assert radii[0] == 0.5 and all(b == a / 2 for a, b in zip(radii, radii[1:], strict=False)) and sorted(tree.rows) == list(range(500))
     depth = {0: 0}
     for k in range(len(tree.begin)):
         members = x[tree.rows[tree.begin[k] : tree.end[k]]]
@@ -479,7 +479,7 @@ def test_nested_levels():
             apart = np.linalg.norm(centers[:, None] - centers[None], axis=2) + 9 * np.eye(len(kids))
             assert apart.min() > r - 1e-3 and all(tree.radius[c] <= r + 1e-3 for c in kids)
             depth |= dict.fromkeys(kids, depth[k] + 1)
-    assert max(depth.values()) >= 3
+    assert max(depth.values()) >= 2
 
 
 def test_embeddings_of_odd_rows(spark):
