@@ -103,3 +103,11 @@ def bands_c(inp: Column, read: Column, write: Column, out: Column, reasoning: Co
 def counter_delta(now: Column, before: Column) -> Column:
     """A counter's step, never negative; a counter that was not there before counts whole, a missing one is NULL."""
     return F.when(now.isNotNull(), F.greatest(now - F.coalesce(before, F.lit(0)), F.lit(0).cast("long")))
+
+
+def is_zero(*counters: Column) -> Column:
+    """Whether none of the counters says anything but zero."""
+    out = F.lit(True)
+    for c in counters:
+        out = out & (zero(c) == 0)
+    return out

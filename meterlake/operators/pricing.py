@@ -102,6 +102,17 @@ def unpriced_models(facts: DataFrame, prices: DataFrame) -> DataFrame:
     return models.join(prices.select("model_id").distinct(), "model_id", "left_anti")
 
 
+def enter_rate(rates: DataFrame, currency: str, rate: str, as_of: str, source: str = "manual") -> DataFrame:
+    """``rates`` and one that a user enters: USD in a known currency, in whole 1e-9 units. Rates are typed in, never fetched."""
+    from ..functions.display import CURRENCIES
+    from ..sources.seed import nano
+
+    if currency.upper() not in CURRENCIES:
+        raise ValueError(f"{currency} is no known currency")
+    row = rates.sparkSession.createDataFrame([(currency.upper(), nano(rate), as_of, source)], "quote_currency string, rate_nano long, as_of string, source string")
+    return rates.unionByName(row.withColumn("as_of", F.col("as_of").cast("timestamp")))
+
+
 def latest_rates(rates: DataFrame) -> DataFrame:
     """The latest exchange rate of each currency; of equal dates the smallest source."""
     w = W.partitionBy("quote_currency").orderBy(F.desc("as_of"), "source")

@@ -29,17 +29,6 @@ def scrubbed(value: Column) -> Column:
     return (F.char_length(value) <= SHORT) | value.startswith(ALIAS) | value.rlike("^x+$")
 
 
-def alias_paths(df: DataFrame, column: str) -> DataFrame:
-    """Paths of ``column`` numbered by their order, everything else masked; equal paths share an alias.
-
-    Numbers follow the order of the distinct paths, taken per first characters so that no task sees all.
-    """
-    paths = df.filter(is_path(F.col(column))).select(F.col(column).alias("__path")).distinct()
-    named = paths.withColumn("__alias", F.concat(F.lit(ALIAS), F.substring(F.sha2("__path", 256), 1, 16)))
-    joined = df.join(named, df[column] == F.col("__path"), "left")
-    return joined.withColumn(column, F.coalesce("__alias", mask(F.col(column)))).drop("__path", "__alias")
-
-
 def redact_json(lines: DataFrame, keep: set[str], paths: set[str]) -> DataFrame:
     """JSON lines (value) with strings redacted by their key; lines that do not parse become NULL.
 
@@ -74,3 +63,30 @@ def redact_json(lines: DataFrame, keep: set[str], paths: set[str]) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     return lines.withColumn("value", run("value"))
+
+
+def leaks(lines: DataFrame, keep: set[str]) -> DataFrame:
+    """``lines`` (value) with the first string that redaction should not have left, or NULL; other values of kept keys may stay."""
+
+    def first(v, key=None) -> str | None:
+        if isinstance(v, str):
+            clean = key in keep or len(v) <= SHORT or v.startswith(ALIAS) or not v.strip("x")
+            return None if clean else v
+        inner = ((x, key) for x in v) if isinstance(v, list) else ((x, k) for k, x in v.items()) if isinstance(v, dict) else ()
+        return next((found for x, k in inner if (found := first(x, k)) is not None), None)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series([None if line is None else first(json.loads(line)) for line in values], dtype=object)
+
+    return lines.withColumn("leak", run("value"))
+
+
+def write_fixture(lines: DataFrame, path: str, keep: set[str], paths: set[str]) -> None:
+    """Redacted lines as text: all of them, or none if a line does not parse or something leaks."""
+    redacted = redact_json(lines, keep, paths)
+    bad = leaks(redacted, keep).filter(F.col("value").isNull() | F.col("leak").isNotNull()).select("value", "leak").limit(1).collect()
+    if bad:
+        raise ValueError("a line does not parse" if bad[0]["value"] is None else f"{bad[0]['leak'][:20]!r} is left in a redacted line")
+    redacted.select("value").write.mode("error").text(path)

@@ -55,11 +55,10 @@ def local_label(at: str, grain: str, tz: str) -> Column:
 
 
 def segment(breaks: list, at: str = "occurred_at") -> Column:
-    """How many price changes an instant has behind it."""
-    out = F.lit(0)
-    for b in breaks:
-        out = out + (F.col(at) >= F.lit(b)).cast("int")
-    return out
+    """How many price changes an instant has behind it; the changes are one literal, however many there are."""
+    if not breaks:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, breaks)), lambda b: b <= F.col(at)))
 
 
 def slices(df: DataFrame, grain: str, breaks: list, tz: str = "UTC", f: Filter = EVERYTHING) -> DataFrame:
@@ -98,10 +97,22 @@ def top(df: DataFrame, key: str, by_tokens: bool = True, limit: int = 8) -> Data
     return df.withColumn("grand_total", grand_total()).orderBy(order.desc(), F.col(key).asc_nulls_last()).limit(limit)
 
 
-def ordered(df: DataFrame, column: str, descending: bool, tie: str) -> DataFrame:
-    """Rows with a position; what has no value comes last either way."""
+def ordered(df: DataFrame, column: str, descending: bool, tie: str, limit: int | None = None) -> DataFrame:
+    """Rows in order; what has no value comes last either way. ``df`` is sorted by ranges, not in one task."""
     order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    return df.withColumn("position", F.row_number().over(W.orderBy(order, tie)))
+    out = df.orderBy(order, F.col(tie).asc_nulls_first())
+    return out.limit(limit) if limit is not None else out
+
+
+def positions(df: DataFrame, column: str, descending: bool, tie: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows in order, with their position."""
+    order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    return ordered(df, column, descending, tie, limit).withColumn("position", F.row_number().over(W.orderBy(order, F.col(tie).asc_nulls_first())))
+
+
+def last_buckets(series: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` buckets of a series, oldest first."""
+    return series.orderBy(F.desc("at")).limit(n).orderBy("at")
 
 
 def unattributed(df: DataFrame) -> DataFrame:

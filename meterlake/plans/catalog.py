@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, usage
 from ..functions.measured import measured_sum, prefix, reasoning_measure
-from ..operators import calendar, capability, merge, ordered, pricing, redact
+from ..operators import calendar, capability, merge, ordered, pricing
 from ..operators import usage as ops
 from ..operators.usage import DAY, HOUR, Filter
 from ..sources import producers
@@ -191,8 +191,9 @@ def fx_latest(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{PRICED_DAYS}, {_costs_sql('model_id')} SELECT model_id, cost_e15, row_number() OVER (ORDER BY cost_e15 ASC NULLS LAST, model_id NULLS FIRST) AS cheapest, row_number() OVER (ORDER BY cost_e15 DESC NULLS LAST, model_id NULLS FIRST) AS dearest FROM measured""")
 def cost_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     costs = pricing.cost_measured(_priced(spark, d), ["model_id"]).select("model_id", "cost_e15")
-    up = ops.ordered(costs, "cost_e15", False, "model_id").withColumnRenamed("position", "cheapest")
-    return ops.ordered(up, "cost_e15", True, "model_id").withColumnRenamed("position", "dearest")
+    up = ops.positions(costs, "cost_e15", False, "model_id", 1000).withColumnRenamed("position", "cheapest")
+    down = ops.positions(costs, "cost_e15", True, "model_id", 1000).select(F.col("model_id").alias("m"), F.col("position").alias("dearest"))
+    return up.join(down, F.col("model_id").eqNullSafe(F.col("m"))).drop("m")
 
 
 @query(f"""{PRICED_DAYS}, {_costs_sql('"at"')}, daily AS (SELECT "at", CAST(sum({GRAND_SQL}) AS BIGINT) AS tokens FROM slices GROUP BY "at")
@@ -210,13 +211,6 @@ def models_with_costs(spark: SparkSession, d: str) -> DataFrame:
     return models.join(costs, F.col("m").eqNullSafe(F.col("model_id"))).select(F.coalesce("m", F.lit("(not reported)")).alias("model"), "requests", "cost_e15", "kind")
 
 
-@query(f"""{PRICED_DAYS}, {_costs_sql('"at"')}, usd AS (SELECT "at", CAST(cost_e15 AS DECIMAL(22, 0)) AS c FROM measured)
-    SELECT "at", CASE WHEN c >= 1000000000000000 THEN CAST(round_even(CAST(c AS DOUBLE) / 1e15, 2) AS DECIMAL(38, 2)) END AS usd_shown FROM usd""")
-def money_display(spark: SparkSession, d: str) -> DataFrame:
-    costs = pricing.cost_measured(_priced(spark, d), ["at"]).withColumn("usd", pricing.usd(F.col("cost_e15")))
-    return costs.select("at", F.when(F.col("usd") >= 1, display.money(F.col("usd"))).cast("decimal(38,2)").alias("usd_shown"))
-
-
 # --- totals ---
 
 
@@ -388,14 +382,14 @@ def _span_lines(spark: SparkSession, d: str) -> DataFrame:
         F.when(e % 3 == 0, attribute("gen_ai.usage.reasoning.output_tokens", (k - e % 2).cast("string"))),
         F.format_string('{"key":"gen_ai.conversation.id","value":{"stringValue":"c%d"}}', F.col("user_id")),
     ]
-    name = F.when(e % 10 == 9, "invoke_agent").otherwise("chat m")
+    name = F.when(e % 10 == 9, "invoke_agent").otherwise("chat")
     span = F.concat(F.format_string('{"name":"%s","spanId":"x%d","traceId":"t","endTimeUnixNano":"%d","attributes":[', name, e, F.lit(1_700_000_000_000_000_000) + e * 1_000_000_000), F.concat_ws(",", *parts), F.lit("]}"))
     line = F.when(e % 4 == 0, F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, F.lit("]}]}]}"))).otherwise(span)
     return events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value"))
 
 
 @query(f"""{NATIVE} SELECT 'c' || user_id AS session_id, 'x' || event_id AS dedup_key, (10 - event_id % 12) * k AS input_fresh, (event_id % 12) * k AS cache_read, k AS output_total,
-    CASE WHEN event_id % 3 = 0 THEN k - event_id % 2 END AS reasoning, make_timestamp(1700000000000000 + event_id * 1000000) AS occurred_at
+    CASE WHEN event_id % 3 = 0 AND k >= event_id % 2 THEN k - event_id % 2 END AS reasoning, make_timestamp(1700000000000000 + event_id * 1000000) AS occurred_at
     FROM ev WHERE event_id % 10 <> 9 AND NOT ((event_id % 12) * k > 10 * k)""")
 def normalize_c(spark: SparkSession, d: str) -> DataFrame:
     usage_ = producers.parse_c(_span_lines(spark, d)).usage
@@ -434,12 +428,6 @@ def anomalies(spark: SparkSession, d: str) -> DataFrame:
     return producers.parse_a(_transcript_lines(spark, d)).anomalies.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, substr(text, 1, 4096) LIKE '%apache%' OR substr(text, 1, 4096) LIKE '%token%' AS hit FROM documents")
-def prefilter(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, producers.WINDOW)
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.contains(head, F.lit("apache")) | F.contains(head, F.lit("token"))).alias("hit"))
-
-
 # --- ordered logic ---
 
 #: A ledger per session: it stands still now and then, falls back now and then, and has gaps.
@@ -557,12 +545,6 @@ def capability_matrix(spark: SparkSession, d: str) -> DataFrame:
     return capability.capabilities(usage_facts(spark, d))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(role) <= 3 THEN role ELSE repeat('x', least(length(role), 200)) END AS role, CASE WHEN length(text) <= 3 THEN text ELSE repeat('x', least(length(text), 200)) END AS text, TRUE AS scrubbed FROM conversations""")
-def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", redact.mask(F.col("role")).alias("role"), redact.mask(F.col("text")).alias("text"))
-    return rows.withColumn("scrubbed", redact.scrubbed(F.col("text")) & redact.scrubbed(F.col("role")))
-
-
 COMPACT_SQL = "CASE WHEN n >= 1000000000000 THEN (n // 1000000000000) || 'T' WHEN n >= 1000000000 THEN (n // 1000000000) || 'G' WHEN n >= 1000000 THEN (n // 1000000) || 'M' WHEN n >= 1000 THEN (n // 1000) || 'k' ELSE CAST(n AS VARCHAR) END"
 
 
@@ -571,3 +553,6 @@ def compact_bars(spark: SparkSession, d: str) -> DataFrame:
     t = ops.by(usage_facts(spark, d), "session_id").select("session_id", usage.grand_total().alias("n"))
     peak = t.agg(F.max("n").alias("peak"))
     return t.join(F.broadcast(peak), F.lit(True)).select("session_id", display.compact(F.col("n")).alias("compact"), display.bar(F.col("n"), F.col("peak"), 20).alias("bar"))  # one row is broadcast
+
+
+from . import logs, shown  # noqa: E402, F401 - they register their queries here

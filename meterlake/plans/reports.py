@@ -11,7 +11,10 @@ from ..functions.measured import prefix, reasoning_measure
 from ..functions.usage import grand_total
 from ..operators import capability, pricing
 from ..operators import usage as ops
+from ..operators.merge import KEY, merge_max
 from ..operators.usage import DAY, HOUR, Filter
+from ..sources.producers import PRODUCERS, facts_from_signals
+from ..streaming.tail import batch_lines
 
 
 @dataclass(frozen=True)
@@ -91,3 +94,17 @@ def all_prices(spark: SparkSession, seed: DataFrame, stored: DataFrame | None =
     """The seed and what users entered, as one price list in order."""
     both = seed.unionByName(stored) if stored is not None else seed
     return both.orderBy("model_id", "effective_from")
+
+
+def sync(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """One pass over the logs below ``roots`` (adapter id to folder): request facts, one per request, as reports take them.
+
+    Of the rows of a request the first gives its attributes, the latest its record.
+    """
+    parsed = [p.parse(batch_lines(spark, roots[p.adapter_id], p.glob)) for p in PRODUCERS if p.adapter_id in roots]
+    rows = facts_from_signals(*parsed)
+    rest = rows.groupBy(*KEY).agg(
+        F.min_by("measurement_source", F.struct("occurred_at", "event_id")).alias("measurement_source"), F.bool_or("is_sidechain").alias("is_sidechain"),
+        F.max_by("raw_json", F.when(F.col("raw_json").isNotNull(), F.struct("occurred_at", "event_id"))).alias("raw_json"),
+    )
+    return merge_max(rows).drop("copies").withColumnRenamed("last_event_id", "event_id").join(rest, list(KEY)).withColumn("task_id", F.lit(None).cast("string"))
