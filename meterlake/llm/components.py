@@ -16,9 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     its minima are partial aggregates, so a vertex of very many links costs a row per task.
     """
     edges = cut(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count("*").alias("__rows")))
         # large star: neighbours above a vertex go to its smallest neighbour
@@ -28,11 +26,14 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        now = edges.agg(*sums).first()
-        if now == before:
-            roots = edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
-            return edges.select("u", F.col("v").alias("component")).unionByName(roots)
-        before = now
+    roots = edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
+    return edges.select("u", F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour at most, and those that others have as theirs have none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def spanning(u: list[int], v: list[int], size: int, label: np.ndarray) -> list[int]:
