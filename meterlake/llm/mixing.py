@@ -220,7 +220,7 @@ def mix_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     docs = docs.dropDuplicates(["doc_id", "source", "text"]) if repeats(docs) else docs
     placed, sources = place(docs, block_words)
     parts = takes(placed, slots(sources), block_words).select("doc_id", "source", "__hash", "__begin", "shard", "slot", "__lo", "__hi")
-    met = _with_texts(docs, parts).withColumn("__part", F.array_join(_words("text", F.col("__lo"), F.col("__hi")), " "))
+    met = _with_texts(docs.select("doc_id", "source", "text"), parts).withColumn("__part", F.array_join(_words("text", F.col("__lo"), F.col("__hi")), " "))
     each = F.struct("__begin", F.col("doc_id").alias("doc_id"), F.col("__part").alias("text"))
     rows = met.groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(each)).alias("__parts"))  # a block holds block_words documents at most
     return rows.select("shard", "slot", "source", F.col("__parts.doc_id").alias("doc_ids"), F.array_join("__parts.text", " ").alias("text"))
@@ -252,8 +252,8 @@ def mix_texts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice("__words", r["__lo"].cast("int") + 1, (r["__hi"] - r["__lo"]).cast("int")))), " ")
-    joined = _with_texts(docs, ranges)
-    cut_short = F.col("__taken") < F.col("size")
+    joined = _with_texts(docs, ranges.withColumnRenamed("size", "__size"))
+    cut_short = F.col("__taken") < F.col("__size")
     joined = joined.withColumn("__words", F.when(cut_short, words)).withColumn("text", F.when(cut_short, part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
