@@ -32,6 +32,7 @@ def measured_sum(df: DataFrame, keys: list[str], value: str, kind: str, reason:
         F.sum(value).alias("value"), F.count(value).alias("measured"), F.count(F.lit(1)).alias("total"),
         F.min(strength(F.col(kind))).alias("__weakest"), F.min(F.when(F.col(kind) == "unavailable", F.col(reason))).alias("__reason"),
     )
+    # fixed values: reports say these sentences
     missing = F.format_string("%d of %d contributing measurements reported a value; the rest could not be measured", F.col("total") - F.col("measured"), F.col("total"))
     return sums.select(
         *keys, "value", "measured", "total",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.usage import FAILED, cache_write_total
 
-#: Capabilities in the order of the matrix.
+# Capabilities in the order of the matrix.
 CAPABILITIES = (
     "exact_token_counts", "cache_read_tokens", "cache_write_tokens", "cache_ttl_breakdown", "reasoning_tokens", "model_identity", "per_request_latency",
     "provider_reported_cost", "actual_billed_cost", "sub_agent_attribution", "failure_visibility",

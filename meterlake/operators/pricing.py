@@ -74,6 +74,7 @@ def cost_measured(priced: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("requests").alias("requests"), F.coalesce(F.sum(F.when(has, F.col("requests"))), F.lit(0)).cast("long").alias("priced_requests"),
         F.coalesce(F.sum(F.when(has & (F.col("model_id") != SYNTHETIC), F.col("unclassified"))), F.lit(0)).cast("long").alias("unpriceable"),
     )
+    # fixed values: the two sentences below are what reports say
     no_price = F.when(F.col("priced_items") < F.col("items"), F.format_string("%d of %d requests have no price for their model", F.col("requests") - F.col("priced_requests"), F.col("requests")))
     no_split = F.when(F.col("unpriceable") > 0, F.format_string("%d tokens were counted by the provider without an input/output split and cannot be priced", F.col("unpriceable")))
     whole = (F.col("priced_items") == F.col("items")) & (F.col("unpriceable") == 0)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.display import RFC3339
 from ..functions.usage import BANDS, FAILED, SYNTHETIC, bands_a, bands_b, bands_c
 from ..operators.ordered import carry_forward, reconcile
 from ..streaming.ledger import COUNTERS, follow
@@ -58,7 +59,6 @@ SIGNAL = (
 TYPES = dict.fromkeys((*BANDS, "reasoning", "pre_tokens", "post_tokens"), "bigint") | {
     "position": "int", "attempt": "int", "discrepancy": "boolean", "is_sidechain": "boolean", "occurred_at": "timestamp", "ordinal": "bigint",
 }
-_RFC3339 = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
 
 
 def candidate(producer: str, value: str = "value") -> Column:
@@ -89,7 +89,7 @@ def _parsed(lines: DataFrame, producer: str, schema: str) -> DataFrame:
 def _instant(text: Column, ingested_at: str | None) -> Column:
     """An RFC 3339 text as an instant in whole milliseconds, else the time of ingestion (of the micro-batch or query)."""
     when = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
-    return F.date_trunc("MILLISECOND", F.coalesce(F.when(text.rlike(_RFC3339), F.try_to_timestamp(text)), when))
+    return F.date_trunc("MILLISECOND", F.coalesce(F.when(text.rlike(RFC3339), F.try_to_timestamp(text)), when))
 
 
 def _tags(*cases: tuple[Column, str, str | None]) -> Column:
@@ -279,7 +279,7 @@ def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     return Parsed(_signals(each, "copilot", tags))
 
 
-#: Attributes of a call span.
+# Attributes of a call span.
 ATTRIBUTES = {
     "inp": "gen_ai.usage.input_tokens", "out": "gen_ai.usage.output_tokens", "read": "gen_ai.usage.cache_read.input_tokens",
     "write": "gen_ai.usage.cache_creation.input_tokens", "think": "gen_ai.usage.reasoning.output_tokens", "conversation": "gen_ai.conversation.id",
