@@ -85,6 +85,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import grafted, number_turns, prefix_trie
+
+    return prefix_trie(*grafted(number_turns(read(spark, sf_dir, "conversations")))).drop("n_ends", "n_bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
@@ -154,7 +161,44 @@ FROM words w JOIN least ON w.doc_id = least.u LEFT JOIN sizes USING (doc_id)
 """
 
 
+#: Beginnings as lists of turns, each with all nodes below it. The CRC takes a bit at a time.
+OP11_SQL = r"""
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS depth, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+bits AS (
+    SELECT conv_id, list_concat([4294967295], flatten([[ord(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')])) AS b
+    FROM (SELECT DISTINCT conv_id FROM own)
+),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(b, lambda crc, e: xor(xor(crc, e) >> 1, 3988292384 * (xor(crc, e) & 1))), 4294967295) % 9 AS h
+    FROM bits
+),
+turns AS (
+    SELECT c.conv_id, 0 AS part, o.depth, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o.depth <= h
+    UNION ALL SELECT c.conv_id, 1, o.depth, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.depth > h
+),
+rebuilt AS (SELECT c.conv_id, coalesce(t, []) AS t FROM convs c LEFT JOIN (SELECT conv_id, list({'r': role, 't': text} ORDER BY part, depth) AS t FROM turns GROUP BY conv_id) USING (conv_id)),
+prefixes AS (SELECT conv_id, len(t) AS n, d AS depth, t[1:d] AS p, t[d].t AS last FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(strlen(last)), 0) AS n_bytes,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends
+    FROM prefixes GROUP BY p, depth
+),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own_values AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.p = c.p),
+below AS (
+    SELECT p[1:k] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own_values) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM own_values n JOIN below b ON n.p = b.p LEFT JOIN nodes up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.p = n.p[1:n.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .url_filter import oracle
 
-    return {"op3_url_filter": oracle(), "op6_line_dedup": OP6_SQL, "op7_cover_tree_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op3_url_filter": oracle(), "op6_line_dedup": OP6_SQL, "op7_cover_tree_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op11_prefix_trie": OP11_SQL}
