@@ -63,7 +63,7 @@ _RUN = re.compile(f"[{UNICODE_WHITE}]{{{RUN},}}")
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(ranks_path: str):
+def encoder(ranks_path: str):
     """The byte-level BPE of a ranks file."""
     import public_tokenizers
     import tiktoken
@@ -74,24 +74,31 @@ def _encoder(ranks_path: str):
 
 
 def encode(text: str, enc) -> array:
-    """The ids of a text of any length; the special token in it is one id.
+    """The ids of a text of any length; the special token in it is one id."""
+    out = array("I")
+    for k, part in enumerate(text.split(SPECIAL)):
+        if k:
+            out.append(enc.eot_token)
+        out.extend(encode_plain(part, enc))
+    return out
+
+
+def encode_plain(text: str, enc) -> array:
+    """The ids of a text of any length, in which the special token is text like any other.
 
     A text is cut where white space follows something else: words of the pattern never reach over such
     a place nor look beyond it. Of a run of white space within a text the pattern takes all but the
     last as one word.
     """
     out = array("I")
-    for k, part in enumerate(text.split(SPECIAL)):
-        if k:
-            out.append(enc.eot_token)
-        for piece in pieces(part, PIECE_CHARS):
-            at = 0
-            for run in _RUN.finditer(piece) if len(piece) >= RUN else ():
-                end = run.end() - (run.end() < len(piece))
-                out.extend(enc.encode_ordinary(piece[at : run.start()]))
-                out.extend(enc._encode_single_piece(piece[run.start() : end]))
-                at = end
-            out.extend(enc.encode_ordinary(piece[at:]))
+    for piece in pieces(text, PIECE_CHARS):
+        at = 0
+        for run in _RUN.finditer(piece) if len(piece) >= RUN else ():
+            end = run.end() - (run.end() < len(piece))
+            out.extend(enc.encode_ordinary(piece[at : run.start()]))
+            out.extend(enc._encode_single_piece(piece[run.start() : end]))
+            at = end
+        out.extend(enc.encode_ordinary(piece[at:]))
     return out
 
 
@@ -104,7 +111,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, wit
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks_path)
+        enc = encoder(ranks_path)
         for batch in slices(batches, 1):
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

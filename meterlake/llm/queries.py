@@ -16,6 +16,12 @@ def tokenizer_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import spotsigs
 
@@ -91,6 +97,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*grafted(number_turns(read(spark, sf_dir, "conversations")))).drop("n_ends", "n_bytes")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(read(spark, sf_dir, "documents"), tokenizer_ranks(), piece_model()).drop("n_best_a")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -104,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_license_scan": op10_license_scan,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 

@@ -249,7 +249,7 @@ def test_ids_of_very_long_texts(text):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert list(packing.encode(text, packing._encoder(tokenizer_ranks()))) == reference.encode(text, add_special_tokens=False).ids
+    assert list(packing.encode(text, packing.encoder(tokenizer_ranks()))) == reference.encode(text, add_special_tokens=False).ids
 
 
 def test_lengths_are_ranked_in_parts(spark):
