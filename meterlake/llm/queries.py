@@ -103,6 +103,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read(spark, sf_dir, "documents"), tokenizer_ranks(), piece_model()).drop("n_best_a")
 
 
+def op13_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan_pii
+
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    return scan_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *names)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -117,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_token_alignment": op12_token_alignment,
+        "op13_pii_contexts": op13_pii_contexts,
     }
 
 
