@@ -7,7 +7,7 @@ overlap of an A token with a B token, a link. Spark counts the links of each pai
 corpus, takes the highest count on either side, and joins both back.
 
 Links are pre-aggregated by blocks of some megabytes of text before anything is shuffled: a block sends
-a row per distinct pair, gets its counts back, and its documents' links (2 or 4 bytes an id) meet them
+a row per distinct pair, gets its counts back, and its documents' compressed links meet them
 in one task. So what moves is about the size of the text whatever the pairs are, and a frequent pair has
 a row per block, which are spread when they are too many.
 
@@ -102,6 +102,11 @@ def tokens(ranks_path: str, model_path: str) -> Tokens:
     return Tokens(ranks_path, model_path)
 
 
+def _codes(t: Tokens, links: bytes, n: int) -> np.ndarray:
+    """The codes of a document's ``n`` links."""
+    return np.frombuffer(pa.decompress(links, n * np.dtype(t.kind).itemsize, "zstd", asbytes=True), dtype=t.kind).astype(np.int64)
+
+
 def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ascending ends of tokens that cover the same bytes, merged: links (A's place, B's place), and which A and B tokens end a group."""
     ends = np.concatenate([ends_a, ends_b])
@@ -126,7 +131,7 @@ def _digests(t: Tokens, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b
 
 
 def token_links(docs: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
-    """One row per document (LINKED): its groups' digest and its links as codes of id pairs; rows of a block stand together.
+    """One row per document (LINKED): its groups' digest and its links as compressed codes of id pairs; rows of a block stand together.
 
     Both paths name files that every executor has.
     """
@@ -146,7 +151,7 @@ def token_links(docs: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
             links, groups = np.searchsorted(at_a, of_a), np.append(0, np.cumsum(last_a))[of_a]
             columns = [
                 np.full(len(found), block), batch.column(0), np.diff(of_a, prepend=0), np.diff(of_b, prepend=0), np.diff(groups, prepend=0), np.diff(links, prepend=0),
-                _digests(t, a, b, last_a, last_b, of_a, of_b), [codes[i:j].tobytes() for i, j in zip(np.append(0, links[:-1]), links, strict=True)],
+                _digests(t, a, b, last_a, last_b, of_a, of_b), [pa.compress(codes[i:j].tobytes(), "zstd", asbytes=True) for i, j in zip(np.append(0, links[:-1]), links, strict=True)],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=[x.split()[0] for x in LINKED.split(", ")])
 
@@ -163,12 +168,13 @@ def block_pairs(linked: DataFrame, ranks_path: str, model_path: str) -> DataFram
         for batch in batches:
             blocks = batch.column(0).to_numpy()
             for block in np.unique(blocks):  # a block may be cut by batches; its parts add up
-                own = batch.column(1).filter(pa.array(blocks == block)).to_pylist()
-                codes, n = np.unique(np.frombuffer(b"".join(own), dtype=t.kind).astype(np.int64), return_counts=True)
+                own = batch.filter(pa.array(blocks == block))
+                codes = np.concatenate([_codes(t, links, n) for links, n in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True)])
+                codes, n = np.unique(codes, return_counts=True)
                 columns = [np.full(len(codes), block), codes >> t.shift, codes & ((1 << t.shift) - 1), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["block", "a", "b", "n"])
 
-    parts = linked.select("block", "links").mapInArrow(run, "block long, a int, b int, n long")
+    parts = linked.select("block", "links", "n_links").mapInArrow(run, "block long, a int, b int, n long")
     return parts.groupBy("block", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -192,8 +198,8 @@ def score(linked: DataFrame, pairs: DataFrame, counts: DataFrame, ranks_path: st
         order = np.argsort(codes)
         codes, values = codes[order], [known[c].to_numpy()[order].astype(np.int64) for c in ("best_a", "best_b", "count")]
         sums = []
-        for links in docs["links"]:
-            at = np.searchsorted(codes, np.frombuffer(links, dtype=t.kind).astype(np.int64))
+        for links, n in zip(docs["links"], docs["n_links"], strict=True):
+            at = np.searchsorted(codes, _codes(t, links, int(n)))
             sums.append([int(v[at].sum()) for v in values])
         docs[["n_best_a", "n_best", "count_sum"]] = np.array(sums, dtype=np.int64).reshape(-1, 3)
         return docs[[x.split()[0] for x in SCORED.split(", ")]]
