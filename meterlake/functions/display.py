@@ -53,6 +53,7 @@ def money_text(value: Column, kind: Column, code: Column) -> Column:
 def rate_sentence(as_of: Column, source: Column, code: Column, age_days: Column, stale_days: int = 7) -> Column:
     """How old an exchange rate is, where it is from, and that old ones make amounts approximate."""
     day = F.date_format(as_of, "yyyy-MM-dd")
+    # fixed values: the three sentences are what reports say
     old = F.format_string("FX rate %d days old, from %s (%s). Amounts shown in %s are approximate.", age_days, day, source, code)
     return F.when(as_of.isNull(), "No exchange rate available.").when(age_days >= stale_days, old).otherwise(F.format_string("FX rate updated %s (%s).", day, source))
 

@@ -13,6 +13,10 @@ CAPABILITIES = (
     "provider_reported_cost", "actual_billed_cost", "sub_agent_attribution", "failure_visibility",
 )
 
+# Producers whose logs are read, and applications that write sessions without counting tokens.
+MEASURED = ("claude_code", "codex", "copilot")
+UNMEASURED = ("claude_desktop", "cursor", "jetbrains_ai", "junie", "gemini_cli")
+
 
 def observed(facts: DataFrame) -> DataFrame:
     """Per adapter: usage rows, largest non-zero value of each field, absences, failures."""
@@ -49,3 +53,17 @@ def capabilities(facts: DataFrame) -> DataFrame:
     }
     wide = observed(facts).select("adapter_id", *(F.when(F.col("usage_rows") == 0, "unknown").otherwise(states[c]).alias(c) for c in CAPABILITIES))
     return wide.unpivot("adapter_id", list(CAPABILITIES), "capability", "state")
+
+
+def descriptors(facts: DataFrame) -> DataFrame:
+    """The matrix of all applications: what facts show of those that are read, and that the others count nothing.
+
+    A producer without a fact is unknown throughout.
+    """
+    shown = capabilities(facts)
+    names = F.explode(F.array(*map(F.lit, CAPABILITIES))).alias("capability")
+    spark = facts.sparkSession
+    silent = spark.createDataFrame([(a,) for a in MEASURED], "adapter_id string").join(shown.select("adapter_id").distinct(), "adapter_id", "left_anti")
+    others = spark.createDataFrame([(a,) for a in UNMEASURED], "adapter_id string")
+    rows = [shown, silent.select("adapter_id", names, F.lit("unknown").alias("state")), others.select("adapter_id", names, F.lit("unsupported").alias("state"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

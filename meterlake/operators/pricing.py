@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.usage import SYNTHETIC
 
 RATES = ("input_rate", "output_rate", "cache_read_rate", "write_5m_rate", "write_1h_rate")
-#: A price list is broadcast up to this many versions, and shuffled beyond.
+#: A price list is broadcast up to this many rows, and shuffled beyond.
 MAX_BROADCAST = 100_000
+#: Beyond so many versions the time that facts span is cut into TICKS equal parts, and versions are looked up by part.
+FEW_VERSIONS, TICKS = 200, 1024
 #: Bands and the rates that price them; writes without a time to live take the cheaper one.
 PRICED = (
     ("input_fresh", "input_rate"), ("output_total", "output_rate"), ("cache_read", "cache_read_rate"),
@@ -35,19 +37,46 @@ def timeline(prices: DataFrame) -> DataFrame:
 
 
 def price_asof(df: DataFrame, prices: DataFrame, at: str) -> DataFrame:
-    """``df`` with the version in force at ``at``; before a model's first version that one holds; unknown models get NULLs."""
+    """``df`` with the version in force at ``at``; before a model's first version that one holds; unknown models get NULLs.
+
+    A few versions are compared with every row of their model. Of many, each stands in the parts of the time
+    (TICKS of them) in which it holds, so a row meets the versions of its part alone and a model of very many
+    rows is spread over the parts. There are at most versions + models x TICKS such rows.
+    """
     spans = timeline(prices).withColumnRenamed("model_id", "__model")
-    small = prices.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     since = (F.col("__n") == 1) | (F.col(at) >= F.col("effective_from"))
     until = F.col("effective_until").isNull() | (F.col(at) < F.col("effective_until"))
-    return df.join(F.broadcast(spans) if small else spans, (F.col("model_id") == F.col("__model")) & since & until, "left").drop("__model", "__n")
+    same = F.col("model_id") == F.col("__model")
+    if prices.limit(FEW_VERSIONS + 1).count() <= FEW_VERSIONS:
+        return df.join(F.broadcast(spans), same & since & until, "left").drop("__model", "__n")
+
+    kind = df.schema[at].dataType.simpleString()
+    epoch = F.lit("1970-01-01 00:00:00").cast(kind)
+
+    def micros(x: str) -> Column:
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(x).cast(kind))
+
+    low, high = df.agg(F.min(micros(at)), F.max(micros(at))).first()
+    low, high = low or 0, high or 0
+    width = (high - low) // TICKS + 1
+
+    def tick(value: Column) -> Column:
+        return F.floor((value - low) / width)
+
+    first = F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.greatest(tick(micros("effective_from")), F.lit(0)))
+    last = F.least(F.coalesce(tick(micros("effective_until")), F.lit(TICKS)), F.lit(TICKS))
+    dealt = spans.withColumn("__tick", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    small = dealt.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    ticked = df.withColumn("__at", tick(micros(at)))
+    joined = ticked.join(F.broadcast(dealt) if small else dealt, same & (F.col("__at") == F.col("__tick")) & since & until, "left")
+    return joined.drop("__model", "__n", "__tick", "__at")
 
 
 def price_breaks(prices: DataFrame) -> DataFrame:
     """Distinct starts that are not a model's first."""
-    w = W.partitionBy("model_id")
-    starts = prices.select("model_id", "effective_from").withColumn("__first", F.min("effective_from").over(w))
-    return starts.filter("effective_from > __first").select("effective_from").distinct().orderBy("effective_from")
+    firsts = prices.groupBy("model_id").agg(F.min("effective_from").alias("__first"))
+    later = prices.select("model_id", "effective_from").distinct().join(firsts, "model_id").filter("effective_from > __first")
+    return later.select("effective_from").distinct().orderBy("effective_from")
 
 
 def cost_e15() -> Column:
@@ -115,9 +144,11 @@ def enter_rate(rates: DataFrame, currency: str, rate: str, as_of: str, source: s
 
 
 def latest_rates(rates: DataFrame) -> DataFrame:
-    """The latest exchange rate of each currency; of equal dates the smallest source."""
-    w = W.partitionBy("quote_currency").orderBy(F.desc("as_of"), "source")
-    return rates.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The latest exchange rate of each currency; of equal dates the smallest source, then rate."""
+    order = F.struct(-F.unix_micros(F.col("as_of").cast("timestamp")), "source", "rate_nano")
+    rest = [c for c in rates.columns if c != "quote_currency"]
+    latest = rates.groupBy("quote_currency").agg(F.min_by(F.struct(*rest), order).alias("__r"))
+    return latest.select(*(c if c == "quote_currency" else F.col("__r")[c].alias(c) for c in rates.columns))
 
 
 def convert(costs: DataFrame, rates: DataFrame, currency: str, now: str, stale_days: int = 7) -> DataFrame:

@@ -61,9 +61,10 @@ def segment(breaks: list, at: str = "occurred_at") -> Column:
     return F.size(F.filter(F.array(*map(F.lit, breaks)), lambda b: b <= F.col(at)))
 
 
-def slices(df: DataFrame, grain: str, breaks: list, tz: str = "UTC", f: Filter = EVERYTHING) -> DataFrame:
-    """Totals per local bucket, model and price segment, with the first instant of each."""
-    keyed = f.usage(df).withColumns({"at": local_label("occurred_at", grain, tz), "segment": segment(breaks)})
+def slices(df: DataFrame, grain: str, breaks: list | None, tz: str = "UTC", f: Filter = EVERYTHING) -> DataFrame:
+    """Totals per local bucket, model and price segment, with the first instant of each; without ``breaks`` the segment is a column of ``df``."""
+    keyed = f.usage(df).withColumn("at", local_label("occurred_at", grain, tz))
+    keyed = keyed if breaks is None else keyed.withColumn("segment", segment(breaks))
     return keyed.groupBy("at", "model_id", "segment").agg(*total_aggs(), F.min("occurred_at").alias("first_at"))
 
 
@@ -104,10 +105,29 @@ def ordered(df: DataFrame, column: str, descending: bool, tie: str, limit: int |
     return out.limit(limit) if limit is not None else out
 
 
-def positions(df: DataFrame, column: str, descending: bool, tie: str, limit: int) -> DataFrame:
-    """The first ``limit`` rows in order, with their position."""
-    order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    return ordered(df, column, descending, tie, limit).withColumn("position", F.row_number().over(W.orderBy(order, F.col(tie).asc_nulls_first())))
+#: Parts that a ranking of all rows is cut into by value.
+RANK_PARTS = 256
+
+
+def positions(df: DataFrame, column: str, descending: bool, tie: str, limit: int | None = None) -> DataFrame:
+    """Rows in order with their position: the first ``limit``, or all of them.
+
+    All rows are ranked in parts of neighbouring values, whose sizes are added up, never in one task. Bounds of the
+    parts are quantiles of ``column``, which must be a number.
+    """
+    order = [F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last(), F.col(tie).asc_nulls_first()]
+    if limit is not None:
+        return ordered(df, column, descending, tie, limit).withColumn("position", F.row_number().over(W.orderBy(*order)))
+    bounds = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [k / RANK_PARTS for k in range(1, RANK_PARTS)], 0.25 / RANK_PARTS)
+    value = F.col(column).cast("double")
+    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < value)) if bounds else F.lit(0)
+    last = len(bounds) + 1
+    parted = df.withColumn("__part", F.when(value.isNull(), F.lit(last)).otherwise(F.lit(last - 1) - below if descending else below))
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # RANK_PARTS + 1 rows at most
+    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    ranked = parted.withColumn("__own", own).join(F.broadcast(bases), "__part")
+    return ranked.withColumn("position", (F.col("__base") + F.col("__own")).cast("int")).drop("__part", "__own", "__base")
 
 
 def last_buckets(series: DataFrame, n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import calendar, capability, merge, ordered, pricing
 from ..operators import usage as ops
 from ..operators.usage import DAY, HOUR, Filter
 from ..sources import producers
-from .facts import FACTS_SQL, FX, PRICES_SQL, events, fx_rates, prices, usage_facts
+from .facts import FACTS_SQL, FX, ORDER_PRICES_SQL, ORDER_RATES_SQL, PART_FACTS_SQL, PRICES_SQL, events, fx_rates, order_prices, order_rates, part_facts, prices, usage_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,12 +47,13 @@ def _slices_sql(fmt: str, zone: str | None = None, where: str = "TRUE") -> str:
 
 
 DAY_SLICES = _slices_sql("%Y-%m-%d")
-SPANS_SQL = f"""{PRICES_SQL},
+TIMELINE_SQL = """
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id, effective_from ORDER BY source = 'user' DESC, version_id DESC) AS pick FROM prices) WHERE pick = 1),
 spans AS (
     SELECT *, lead(effective_from) OVER (PARTITION BY model_id ORDER BY effective_from) AS effective_until,
         row_number() OVER (PARTITION BY model_id ORDER BY effective_from) AS n FROM one
 )"""
+SPANS_SQL = f"{PRICES_SQL}, {TIMELINE_SQL}"
 
 
 def _asof_sql(source: str, at: str, name: str = "priced") -> str:
@@ -139,14 +140,28 @@ def asof_price(spark: SparkSession, d: str) -> DataFrame:
     return pricing.price_asof(facts, prices(spark), "occurred_at").select("event_id", "model_id", "version_id", pricing.cost_e15().alias("cost_e15"))
 
 
-@query(f"""WITH {PRICES_SQL} SELECT DISTINCT effective_from FROM prices p WHERE effective_from > (SELECT min(effective_from) FROM prices q WHERE q.model_id = p.model_id)""")
+@query(f"""WITH {ORDER_PRICES_SQL}, firsts AS (SELECT model_id, min(effective_from) AS first FROM prices GROUP BY 1) SELECT DISTINCT effective_from FROM prices JOIN firsts USING (model_id) WHERE effective_from > first""")
 def price_breaks(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.price_breaks(prices(spark))
+    return pricing.price_breaks(order_prices(spark, d))
 
 
-@query(f"""WITH {SPANS_SQL} SELECT model_id, version_id, effective_from, effective_until FROM spans""")
+@query(f"""WITH {ORDER_PRICES_SQL}, {TIMELINE_SQL} SELECT model_id, version_id, effective_from, effective_until, input_rate, cache_read_rate FROM spans""")
 def price_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.timeline(prices(spark)).select("model_id", "version_id", "effective_from", "effective_until")
+    """Versions in force of a list of very many: of equal starts the user's, then the last."""
+    return pricing.timeline(order_prices(spark, d)).select("model_id", "version_id", "effective_from", "effective_until", "input_rate", "cache_read_rate")
+
+
+@query(f"""WITH {ORDER_PRICES_SQL}, {TIMELINE_SQL}, {PART_FACTS_SQL}, starts AS (SELECT model_id, min(effective_from) AS first FROM spans GROUP BY 1),
+    looked AS (SELECT f.*, greatest(f.occurred_at, s.first) AS held FROM facts f LEFT JOIN starts s USING (model_id)),
+    priced AS (SELECT l.*, p.version_id, p.input_rate, p.output_rate, p.cache_read_rate, p.write_5m_rate, p.write_1h_rate FROM looked l ASOF LEFT JOIN spans p ON l.model_id = p.model_id AND l.held >= p.effective_from)
+    SELECT model_id, count(*) AS items, count(version_id) AS priced_items, count(DISTINCT version_id) AS versions, min(version_id) AS least_version, CAST(sum({COST_SQL}) AS DECIMAL(38, 0)) AS cost_e15 FROM priced GROUP BY 1""")
+def asof_price_list(spark: SparkSession, d: str) -> DataFrame:
+    """Line items at the prices of a list with a version per order; a third of them are of one model."""
+    priced = pricing.price_asof(part_facts(spark, d), order_prices(spark, d), "occurred_at").withColumn("cost", pricing.cost_e15())
+    return priced.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count("version_id").alias("priced_items"), F.count_distinct("version_id").alias("versions"), F.min("version_id").alias("least_version"),
+        F.sum("cost").cast("decimal(38,0)").alias("cost_e15"),
+    )
 
 
 @query(f"""{PRICED_DAYS} SELECT DISTINCT model_id, version_id, effective_from FROM priced WHERE version_id IS NOT NULL""")
@@ -179,20 +194,17 @@ def fx_stale(spark: SparkSession, d: str) -> DataFrame:
     return _nano(pricing.convert(costs, fx_rates(spark), "CZK", "2024-01-30 12:00:00")).select("at", "converted_nano", "fx_kind")
 
 
-FX_SQL = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {r}, TIMESTAMP '{t}', '{s}')" for c, r, t, s in FX) + ") t(quote_currency, rate_nano, as_of, source))"
-
-
-@query(f"""WITH {FX_SQL} SELECT quote_currency, CAST(rate_nano AS BIGINT) AS rate_nano, CAST(floor(date_diff('second', as_of, TIMESTAMP '2024-01-30 12:00:00') / 86400) AS BIGINT) AS age_days FROM fx WHERE (quote_currency, as_of) IN (SELECT quote_currency, max(as_of) FROM fx GROUP BY 1)""")
+@query(f"""WITH {ORDER_RATES_SQL} SELECT quote_currency, rate_nano, source, CAST(floor(date_diff('second', as_of, TIMESTAMP '2024-01-30 12:00:00') / 86400) AS BIGINT) AS age_days FROM ranked WHERE pick = 1""")
 def fx_latest(spark: SparkSession, d: str) -> DataFrame:
     age = F.floor((F.unix_seconds(F.lit("2024-01-30 12:00:00").cast("timestamp")) - F.unix_seconds("as_of")) / 86400)
-    return pricing.latest_rates(fx_rates(spark)).select("quote_currency", "rate_nano", age.alias("age_days"))
+    return pricing.latest_rates(order_rates(spark, d)).select("quote_currency", "rate_nano", "source", age.alias("age_days"))
 
 
 @query(f"""{PRICED_DAYS}, {_costs_sql('model_id')} SELECT model_id, cost_e15, row_number() OVER (ORDER BY cost_e15 ASC NULLS LAST, model_id NULLS FIRST) AS cheapest, row_number() OVER (ORDER BY cost_e15 DESC NULLS LAST, model_id NULLS FIRST) AS dearest FROM measured""")
 def cost_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     costs = pricing.cost_measured(_priced(spark, d), ["model_id"]).select("model_id", "cost_e15")
-    up = ops.positions(costs, "cost_e15", False, "model_id", 1000).withColumnRenamed("position", "cheapest")
-    down = ops.positions(costs, "cost_e15", True, "model_id", 1000).select(F.col("model_id").alias("m"), F.col("position").alias("dearest"))
+    up = ops.positions(costs, "cost_e15", False, "model_id").withColumnRenamed("position", "cheapest")
+    down = ops.positions(costs, "cost_e15", True, "model_id").select(F.col("model_id").alias("m"), F.col("position").alias("dearest"))
     return up.join(down, F.col("model_id").eqNullSafe(F.col("m"))).drop("m")
 
 

@@ -89,3 +89,49 @@ FX = (("EUR", 900_000_000, "2024-01-01 00:00:00", "bank"), ("EUR", 920_000_000,
 
 def fx_rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FX), "quote_currency string, rate_nano long, as_of string, source string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+
+
+def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price list with a version per order, so it grows with the tables: see ORDER_PRICES_SQL. Some start at the same time, some lack cache rates."""
+    key = F.col("o_orderkey")
+    rate = (F.round(F.col("o_totalprice") * 100).cast("long") * 100).alias("input_rate")
+    priced = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.format_string("o%012d", key).alias("version_id"), F.concat(F.lit("m"), F.col("o_custkey") % 40).alias("model_id"), rate, (key % 1000 * 1_000_000).alias("output_rate"),
+        F.when(key % 3 == 0, key % 77 * 100_000).alias("cache_read_rate"), F.when(key % 5 == 0, key % 99 * 100_000).alias("write_5m_rate"), F.lit(None).cast("long").alias("write_1h_rate"),
+        F.col("o_orderdate").alias("effective_from"), F.when(key % 7 == 0, "user").otherwise("seed").alias("source"),
+    )
+    return priced
+
+
+ORDER_PRICES_SQL = """prices AS (
+    SELECT version_id, model_id, input_rate, output_rate, coalesce(r, input_rate) AS cache_read_rate, coalesce(w5, input_rate) AS write_5m_rate, input_rate AS write_1h_rate, effective_from, source
+    FROM (SELECT 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS version_id, 'm' || (o_custkey % 40) AS model_id, CAST(round(o_totalprice * 100) AS BIGINT) * 100 AS input_rate, o_orderkey % 1000 * 1000000 AS output_rate,
+        CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 77 * 100000 END AS r, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 99 * 100000 END AS w5, o_orderdate AS effective_from, CASE WHEN o_orderkey % 7 = 0 THEN 'user' ELSE 'seed' END AS source FROM orders)
+)"""
+
+
+def order_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchange rates with one per order, some of the same date: see ORDER_RATES_SQL."""
+    key = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.when(key % 3 == 0, "EUR").otherwise("CZK").alias("quote_currency"), (F.round(F.col("o_totalprice") * 100).cast("long") * 100).alias("rate_nano"),
+        F.col("o_orderdate").cast("timestamp").alias("as_of"), F.lower("o_orderpriority").alias("source"),
+    )
+
+
+ORDER_RATES_SQL = """fx AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' ELSE 'CZK' END AS quote_currency, CAST(round(o_totalprice * 100) AS BIGINT) * 100 AS rate_nano, o_orderdate AS as_of, lower(o_orderpriority) AS source FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY quote_currency ORDER BY as_of DESC, source, rate_nano) AS pick FROM fx)"""
+
+
+def part_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage with a row per line item, over all models of ``order_prices`` and one that it does not know: see PART_FACTS_SQL."""
+    qty = F.col("l_quantity").cast("long")
+    none = F.lit(0).cast("long")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("m"), F.when(F.col("l_suppkey") % 3 == 0, F.lit(7)).otherwise(F.col("l_partkey") % 41)).alias("model_id"), F.col("l_shipdate").alias("occurred_at"),
+        qty.alias("input_fresh"), (qty * 2).alias("output_total"), (qty * 3).alias("cache_read"), none.alias("cache_write_5m"), qty.alias("cache_write_1h"), none.alias("cache_write_unspecified"),
+    )
+
+
+PART_FACTS_SQL = """facts AS (SELECT l_orderkey, l_linenumber, 'm' || CASE WHEN l_suppkey % 3 = 0 THEN 7 ELSE l_partkey % 41 END AS model_id, l_shipdate AS occurred_at, CAST(trunc(l_quantity) AS BIGINT) AS input_fresh, CAST(trunc(l_quantity) AS BIGINT) * 2 AS output_total,
+    CAST(trunc(l_quantity) AS BIGINT) * 3 AS cache_read, 0 AS cache_write_5m, CAST(trunc(l_quantity) AS BIGINT) AS cache_write_1h, 0 AS cache_write_unspecified FROM lineitem)"""

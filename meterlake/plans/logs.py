@@ -14,9 +14,9 @@ from .facts import events
 
 NEEDLES = [x for own in producers.NEEDLES.values() for x in own]
 PADS = (0, 2048, 4090, 4096)
-HEAD_SQL = (
-    "substr(repeat('x', CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(PADS)) + " END) || CASE event_id % 11 "
-    + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NEEDLES)) + " ELSE 'nothing' END, 1, 4096)"
+LINE_SQL = (
+    "repeat('x', CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(PADS)) + " END) || CASE event_id % 11 "
+    + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NEEDLES)) + " ELSE 'nothing' END"
 )
 
 
@@ -24,9 +24,9 @@ def _any_sql(needles: tuple[str, ...]) -> str:
     return " OR ".join(f"contains(v, '{x}')" for x in needles)
 
 
-@query(f"WITH h AS (SELECT event_id, {HEAD_SQL} AS v FROM events) SELECT event_id, " + ", ".join(f"({_any_sql(own)}) AS hit_{p}" for p, own in producers.NEEDLES.items()) + " FROM h")
+@query(f"WITH h AS (SELECT event_id, {LINE_SQL} AS v FROM events) SELECT event_id, " + ", ".join(f"({_any_sql(own)}) AS hit_{p}" for p, own in producers.NEEDLES.items()) + " FROM h")
 def prefilter(spark: SparkSession, d: str) -> DataFrame:
-    """Which lines each producer looks at: needles within the head, beyond it, and across its end."""
+    """Which lines each producer looks at: a needle counts wherever it stands in a line, also behind thousands of other characters."""
     pad = F.element_at(F.array(*map(F.lit, PADS)), (F.col("event_id") % 4 + 1).cast("int"))
     tail = F.coalesce(F.get(F.array(*map(F.lit, NEEDLES)), (F.col("event_id") % 11).cast("int")), F.lit("nothing"))
     lines = events(spark, d).select("event_id", F.concat(F.repeat(F.lit("x"), pad), tail).alias("value"))

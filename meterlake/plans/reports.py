@@ -11,12 +11,16 @@ from ..functions.measured import prefix, reasoning_measure
 from ..functions.usage import grand_total
 from ..operators import capability, pricing
 from ..operators import usage as ops
-from ..operators.merge import KEY, merge_max
+from ..operators.merge import combine, finish, states
 from ..operators.usage import DAY, HOUR, Filter
 from ..sources.producers import PRODUCERS, facts_from_signals
 from ..streaming.tail import batch_lines
 
 
+#: Price changes that are written into a plan as a literal.
+MAX_BREAKS = 100
+
+
 @dataclass(frozen=True)
 class Reports:
     """Facts (instants in ``occurred_at``), prices, exchange rates and the user's zone."""
@@ -30,8 +34,13 @@ class Reports:
     filter: Filter = field(default_factory=Filter)
 
     def _slices(self, grain: str) -> DataFrame:
-        breaks = [r[0] for r in pricing.price_breaks(self.prices).collect()]  # price changes, a few
-        return ops.slices(self.facts, grain, breaks, self.zone, self.filter)
+        """Slices cut at price changes: a few are one literal, of many each fact is cut by the version in force."""
+        breaks = [r[0] for r in pricing.price_breaks(self.prices).limit(MAX_BREAKS + 1).collect()]
+        if len(breaks) <= MAX_BREAKS:
+            return ops.slices(self.facts, grain, breaks, self.zone, self.filter)
+        versions = self.prices.select("model_id", "effective_from", "version_id", "source", *pricing.RATES)
+        cut = pricing.price_asof(self.facts, versions, "occurred_at").withColumn("segment", F.col("version_id"))
+        return ops.slices(cut.select(*self.facts.columns, "segment"), grain, None, self.zone, self.filter)
 
     def _costs(self, sliced: DataFrame, key: str) -> DataFrame:
         costs = pricing.cost_measured(pricing.price_asof(sliced, self.prices, "first_at"), [key]).drop("requests")
@@ -85,8 +94,14 @@ def as_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Rows that an export writes into one file.
+MAX_EXPORT = 100_000
+
+
 def export(report: DataFrame, path: str) -> None:
-    """A report's rows, in their order, as one JSON-lines file: reports are of bounded size."""
+    """A report's rows, in their order, as one JSON-lines file; a report of more than MAX_EXPORT rows is refused."""
+    if report.limit(MAX_EXPORT + 1).count() > MAX_EXPORT:
+        raise ValueError(f"the report has more than {MAX_EXPORT} rows: write it as a table")
     as_json(report).coalesce(1).write.mode("error").text(path)
 
 
@@ -99,12 +114,9 @@ def all_prices(spark: SparkSession, seed: DataFrame, stored: DataFrame | None =
 def sync(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """One pass over the logs below ``roots`` (adapter id to folder): request facts, one per request, as reports take them.
 
-    Of the rows of a request the first gives its attributes, the latest its record.
+    Lines are read by spans and searched for needles there, so no raw line is shuffled; each is parsed once. ``streaming.ingest``
+    keeps the same tables up to date instead.
     """
-    parsed = [p.parse(batch_lines(spark, roots[p.adapter_id], p.glob)) for p in PRODUCERS if p.adapter_id in roots]
-    rows = facts_from_signals(*parsed)
-    rest = rows.groupBy(*KEY).agg(
-        F.min_by("measurement_source", F.struct("occurred_at", "event_id")).alias("measurement_source"), F.bool_or("is_sidechain").alias("is_sidechain"),
-        F.max_by("raw_json", F.when(F.col("raw_json").isNotNull(), F.struct("occurred_at", "event_id"))).alias("raw_json"),
-    )
-    return merge_max(rows).drop("copies").withColumnRenamed("last_event_id", "event_id").join(rest, list(KEY)).withColumn("task_id", F.lit(None).cast("string"))
+    parsed = [p.parse(batch_lines(spark, roots[p.adapter_id], p.glob, p.needles)) for p in PRODUCERS if p.adapter_id in roots]
+    requests = finish(combine(states(facts_from_signals(*parsed))))
+    return requests.drop("copies").withColumnRenamed("last_event_id", "event_id").withColumn("task_id", F.lit(None).cast("string"))

@@ -11,7 +11,7 @@ from ..operators import usage as ops
 from ..operators.usage import DAY
 from . import catalog as c
 from .catalog import query
-from .facts import events, fx_rates, prices, usage_facts
+from .facts import ORDER_RATES_SQL, events, order_rates, prices, usage_facts
 
 NOW = "2024-01-30 12:00:00"
 
@@ -62,21 +62,25 @@ def currency_display(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", display.currency(given).alias("code")).withColumn("symbol", display.symbol(F.col("code")))
 
 
-@query(f"""WITH {c.FX_SQL}, mine AS (SELECT * FROM fx UNION ALL SELECT 'CZK', 22500000000, TIMESTAMP '2024-01-28 00:00:00', 'manual'),
-    latest AS (SELECT * FROM mine WHERE (quote_currency, as_of) IN (SELECT quote_currency, max(as_of) FROM mine GROUP BY 1)), asked AS (SELECT * FROM (VALUES ('EUR'), ('CZK'), ('USD')) t(code))
-    SELECT code, CAST(rate_nano AS BIGINT) AS rate_nano, CASE WHEN as_of IS NULL THEN 'No exchange rate available.' ELSE 'FX rate updated ' || strftime(as_of, '%Y-%m-%d') || ' (' || source || ').' END AS sentence
-    FROM asked LEFT JOIN latest ON code = quote_currency""")
+ASKED_SQL = "asked AS (SELECT * FROM (VALUES ('EUR'), ('CZK'), ('USD')) t(code))"
+# fixed values: the sentences that reports say of a rate
+SENTENCE_SQL = f"""CASE WHEN as_of IS NULL THEN 'No exchange rate available.' WHEN date_diff('second', as_of, TIMESTAMP '{NOW}') // 86400 >= 7
+    THEN 'FX rate ' || date_diff('second', as_of, TIMESTAMP '{NOW}') // 86400 || ' days old, from ' || strftime(as_of, '%Y-%m-%d') || ' (' || source || '). Amounts shown in ' || code || ' are approximate.'
+    ELSE 'FX rate updated ' || strftime(as_of, '%Y-%m-%d') || ' (' || source || ').' END"""
+
+
+@query(f"""WITH {ORDER_RATES_SQL}, mine AS (SELECT quote_currency, rate_nano, as_of, source FROM fx UNION ALL SELECT 'CZK', 22500000000, TIMESTAMP '2024-01-28 00:00:00', 'manual'),
+    latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quote_currency ORDER BY as_of DESC, source, rate_nano) AS pick FROM mine) WHERE pick = 1), {ASKED_SQL}
+    SELECT code, CAST(rate_nano AS BIGINT) AS rate_nano, {SENTENCE_SQL} AS sentence FROM asked LEFT JOIN latest ON code = quote_currency""")
 def fx_entered(spark: SparkSession, d: str) -> DataFrame:
     """The rates after a user entered one, as reports describe them."""
-    rates = pricing.latest_rates(pricing.enter_rate(fx_rates(spark), "czk", "22.5", "2024-01-28 00:00:00"))
+    rates = pricing.latest_rates(pricing.enter_rate(order_rates(spark, d), "czk", "22.5", "2024-01-28 00:00:00"))
     return _described(spark, rates).select("code", "rate_nano", "sentence")
 
 
-@query(f"""WITH {c.FX_SQL}, latest AS (SELECT *, date_diff('second', as_of, TIMESTAMP '{NOW}') // 86400 AS age FROM fx WHERE (quote_currency, as_of) IN (SELECT quote_currency, max(as_of) FROM fx GROUP BY 1)), asked AS (SELECT * FROM (VALUES ('EUR'), ('CZK'), ('USD')) t(code))
-    SELECT code, CASE WHEN as_of IS NULL THEN 'No exchange rate available.' WHEN age >= 7 THEN 'FX rate ' || age || ' days old, from ' || strftime(as_of, '%Y-%m-%d') || ' (' || source || '). Amounts shown in ' || code || ' are approximate.'
-        ELSE 'FX rate updated ' || strftime(as_of, '%Y-%m-%d') || ' (' || source || ').' END AS sentence FROM asked LEFT JOIN latest ON code = quote_currency""")
+@query(f"""WITH {ORDER_RATES_SQL}, {ASKED_SQL} SELECT code, {SENTENCE_SQL} AS sentence FROM asked LEFT JOIN (SELECT * FROM ranked WHERE pick = 1) ON code = quote_currency""")
 def fx_described(spark: SparkSession, d: str) -> DataFrame:
-    return _described(spark, pricing.latest_rates(fx_rates(spark))).select("code", "sentence")
+    return _described(spark, pricing.latest_rates(order_rates(spark, d))).select("code", "sentence")
 
 
 def _described(spark: SparkSession, rates: DataFrame) -> DataFrame:
@@ -149,15 +153,20 @@ def merge_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 KEEP, PATHS = {"type", "id"}, {"cwd"}
-MASK_SQL = "CASE WHEN length(text) <= 3 THEN text ELSE repeat('x', least(length(text), 200)) END"
+def _masked_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) <= 3 THEN {x} ELSE repeat('x', least(length({x}), 200)) END"
+
+
+SHORT_SQL = "replace(substr(text, 1, CAST(1 + turn % 5 AS INTEGER)), chr(10), ' ')"
 
 
-@query(f"""SELECT conv_id, turn, '{{"type": "' || role || '", "cwd": "/redacted/path-' || substr(sha256('/home/u' || conv_id), 1, 16) || '", "n": ' || turn || ', "text": "' || {MASK_SQL} || '", "deep": [{{"id": "' || role || '", "k": "' || {MASK_SQL} ||
-    '", "at": "/redacted/path-' || substr(sha256('/tmp/' || turn), 1, 16) || '"}}]}}' AS value, CAST(NULL AS VARCHAR) AS leak, substr(text, 1, 200) AS first_leak FROM conversations WHERE length(text) > 3""")
+@query(f"""SELECT conv_id, turn, '{{"type": "' || role || '", "cwd": "/redacted/path-' || substr(sha256('/home/u' || conv_id), 1, 16) || '", "n": ' || turn || ', "text": "' || {_masked_sql('text')} || '", "deep": [{{"id": "' || role || '", "k": "' || {_masked_sql(SHORT_SQL)} ||
+    '", "at": "/redacted/path-' || substr(sha256('/tmp/' || turn), 1, 16) || '"}}]}}' AS value, CAST(NULL AS VARCHAR) AS leak, CASE WHEN length(text) > 3 THEN substr(text, 1, 200) END AS first_leak FROM conversations""")
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with kept keys, paths, text and nesting, redacted; and what the check finds in them before and after."""
-    rows = spark.read.parquet(f"{d}/conversations.parquet").filter("length(text) > 3")
-    deep = F.array(F.struct(F.col("role").alias("id"), F.col("text").alias("k"), F.concat(F.lit("/tmp/"), "turn").alias("at")))
+    """Lines with kept keys, paths, text, short strings and nesting, redacted; and what the check finds in them before and after."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    short = F.replace(F.substring("text", F.lit(1), (1 + F.col("turn") % 5).cast("int")), F.lit("\n"), F.lit(" "))
+    deep = F.array(F.struct(F.col("role").alias("id"), short.alias("k"), F.concat(F.lit("/tmp/"), "turn").alias("at")))
     line = F.struct(F.col("role").alias("type"), F.concat(F.lit("/home/u"), "conv_id").alias("cwd"), F.col("turn").alias("n"), "text", deep.alias("deep"))
     raw = F.struct(F.col("role").alias("type"), F.col("turn").alias("n"), "text")
     lines = rows.select("conv_id", "turn", F.to_json(line).alias("value"), F.to_json(raw).alias("raw"))

@@ -1,11 +1,12 @@
 """JSON log lines of three producers to one shape of normalised signals, and signals to request facts.
 
-Each producer has a prefilter on raw bytes, an explicit schema (a known field of the wrong type makes
+Each producer has a prefilter on whole raw lines, an explicit schema (a known field of the wrong type makes
 a line malformed; unknown fields are ignored) and a projection. Lines are (file_id, ordinal, value) and
-may have ``bytes``, the length of a line of which ``value`` is only the head.
+may have ``bytes``, the length of a line of which ``value`` is only the head, ``hit``, whether the source
+found a needle in the whole line, and rows that report on a span that was read (see ``streaming.tail``).
 
 A line is parsed once: every row of ``signals`` is a line (or a span of it) with one of the tags that
-it earned - usage, failure, retry, compacted, anomaly - so a line that does not add up is both usage
+it earned - usage, failure, retry, compacted, anomaly, or span for a report - so a line that does not add up is both usage
 and anomaly. A further producer is one more function of lines to such rows (see ``Producer``).
 """
 
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from ..functions.display import RFC3339
 from ..functions.usage import BANDS, FAILED, SYNTHETIC, bands_a, bands_b, bands_c
 from ..operators.ordered import carry_forward, reconcile
-from ..streaming.ledger import COUNTERS, follow
+from ..streaming.ledger import COUNTERS, REPORT, follow
 
-#: Longer lines are skipped; the prefilter looks at the head of a line.
+#: Longer lines are skipped, and counted if they are relevant.
 MAX_LINE = 8 * 1024 * 1024
-WINDOW = 4096
 
 # What a relevant line of each producer holds.
 NEEDLES = {
@@ -54,19 +54,18 @@ SCHEMA_C = f"resourceSpans array<struct<scopeSpans:array<struct<spans:array<{_SP
 
 SIGNAL = (
     "adapter_id", "file_id", "ordinal", "position", "signal", "kind", "session_id", "dedup_key", "model_id", "occurred_at", "request_kind", "measurement_source",
-    *BANDS, "reasoning", "discrepancy", "is_sidechain", "attempt", "pre_tokens", "post_tokens", "raw_json",
+    *BANDS, "reasoning", "discrepancy", "is_sidechain", "attempt", "pre_tokens", "post_tokens", "raw_json", *REPORT,
 )
-TYPES = dict.fromkeys((*BANDS, "reasoning", "pre_tokens", "post_tokens"), "bigint") | {
-    "position": "int", "attempt": "int", "discrepancy": "boolean", "is_sidechain": "boolean", "occurred_at": "timestamp", "ordinal": "bigint",
+TYPES = dict.fromkeys((*BANDS, "reasoning", "pre_tokens", "post_tokens", "bytes", "lines", "until"), "bigint") | {
+    "position": "int", "attempt": "int", "discrepancy": "boolean", "is_sidechain": "boolean", "hit": "boolean", "occurred_at": "timestamp", "ordinal": "bigint",
 }
 
 
 def candidate(producer: str, value: str = "value") -> Column:
-    """Whether the head of a line holds one of the producer's needles; stays below the JSON parse."""
-    head = F.substring(value, 1, WINDOW)
+    """Whether a line holds one of the producer's needles; stays below the JSON parse."""
     out = F.lit(False)
     for needle in NEEDLES[producer]:
-        out = out | F.contains(head, F.lit(needle))
+        out = out | F.contains(F.col(value), F.lit(needle))
     return out
 
 
@@ -79,11 +78,14 @@ def _once(df: DataFrame, name: str, value: Column, *keep: str | Column) -> DataF
 
 
 def _parsed(lines: DataFrame, producer: str, schema: str) -> DataFrame:
-    """file_id, ordinal, oversize, bad and ``j``, the parsed line, of the relevant lines; oversize ones are not parsed."""
-    size = F.coalesce(F.col("bytes"), F.octet_length("value")) if "bytes" in lines.columns else F.octet_length("value")
-    hit = lines.filter(candidate(producer)).select("file_id", "ordinal", (size > MAX_LINE).alias("oversize"), "value")
+    """file_id, ordinal, oversize, bad and ``j``, the parsed line, of the relevant lines, and reports; oversize ones are not parsed."""
+    told = [F.col(c) if c in lines.columns else F.lit(None).cast(TYPES.get(c, "string")).alias(c) for c in REPORT]
+    lines = lines.select("file_id", "ordinal", "value", *told)
+    report = F.col("lines").isNotNull()
+    size = F.when(~report, F.coalesce(F.col("bytes"), F.octet_length("value")))
+    hit = lines.filter(report | F.coalesce("hit", candidate(producer))).withColumn("oversize", F.coalesce(size > MAX_LINE, F.lit(False)))
     parsed = F.from_json(F.when(~F.col("oversize"), F.col("value")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return _once(hit, "j", parsed, "file_id", "ordinal", "oversize").withColumn("bad", F.coalesce(F.col("j._bad").isNotNull(), F.lit(False)))
+    return _once(hit, "j", parsed, "file_id", "ordinal", "oversize", *REPORT).withColumn("bad", F.coalesce(F.col("j._bad").isNotNull(), F.lit(False)))
 
 
 def _instant(text: Column, ingested_at: str | None) -> Column:
@@ -93,9 +95,10 @@ def _instant(text: Column, ingested_at: str | None) -> Column:
 
 
 def _tags(*cases: tuple[Column, str, str | None]) -> Column:
-    """(signal, kind) of the cases that hold."""
+    """(signal, kind) of the cases that hold; a report is a span, and its error the kind."""
     tag = [F.when(when, F.struct(F.lit(signal).alias("signal"), F.lit(kind).cast("string").alias("kind"))) for when, signal, kind in cases]
-    return F.array_compact(F.array(*tag))
+    span = F.when(F.col("lines").isNotNull(), F.struct(F.lit("span").alias("signal"), F.col("error").alias("kind")))
+    return F.array_compact(F.array(span, *tag))
 
 
 def _signals(rows: DataFrame, adapter: str, tags: Column) -> DataFrame:
@@ -179,7 +182,7 @@ def ledger_events(lines: DataFrame, ingested_at: str | None = None) -> DataFrame
         F.coalesce(event & (payload["type"] == "context_compacted"), F.lit(False)).alias("compacted"),
         F.when(j["type"] == "session_meta", payload["id"]).alias("session_said"), F.when(j["type"] == "turn_context", payload["model"]).alias("model_said"),
         *(F.when(count, now[c]).alias(c) for c in COUNTERS), *(F.when(count, last[c]).alias(f"last_{c}") for c in COUNTERS),
-        F.when(count, total(now)).alias("cumulative"), F.when(count, total(last)).alias("last_total"),
+        F.when(count, total(now)).alias("cumulative"), F.when(count, total(last)).alias("last_total"), *REPORT,
     )
 
 
@@ -230,14 +233,14 @@ def parse_b(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
 def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     """Producer C: trace spans, in envelopes or one a line; only calls (spans named ``chat``) with a count are requests.
 
-    A span without an id is known by its line and its place in it.
+    A span without an id is known by its file, its line and its place in it.
     """
     j = F.col("j")
     scopes = F.flatten(F.transform(j["resourceSpans"], lambda r: F.coalesce(r["scopeSpans"], F.array())))
     spans = F.flatten(F.transform(scopes, lambda s: F.coalesce(s["spans"], F.array())))
     bare = F.array(F.struct(*[j[c].alias(c) for c in ("name", "spanId", "traceId", "startTimeUnixNano", "endTimeUnixNano", "attributes")]))
     rows = _parsed(lines, "c", SCHEMA_C)
-    keep = ("file_id", "ordinal", "oversize", "bad")
+    keep = ("file_id", "ordinal", "oversize", "bad", *REPORT)
     # a line without spans stays as one row, for its anomalies
     found = F.when(j["resourceSpans"].isNotNull(), spans).when(~F.col("oversize") & ~F.col("bad"), bare)
     placed = F.transform(found, lambda s, i: F.struct(*keep, i.alias("position"), s.alias("s")))
@@ -268,7 +271,7 @@ def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     each = each.withColumns({
         **bands_c(n["inp"], n["read"], n["write"], n["out"], n["think"]), "session_id": F.coalesce("conversation", "s.traceId", F.lit("unknown")), "model_id": n["model"],
         "occurred_at": F.date_trunc("MILLISECOND", F.coalesce(F.timestamp_micros(F.floor(nanos / 1000).cast("long")), when)),
-        "dedup_key": F.coalesce("s.spanId", F.concat_ws(":", F.lit("copilot"), "ordinal", "position")), "request_kind": F.lit("assistant"),
+        "dedup_key": F.coalesce("s.spanId", F.concat_ws(":", F.lit("copilot"), "file_id", "ordinal", "position")), "request_kind": F.lit("assistant"),
         "measurement_source": F.lit("provider_otel_span"), "discrepancy": F.lit(False), "is_sidechain": F.lit(False), "raw_json": F.to_json(raw, {"ignoreNullFields": "false"}),
     })
     cache = F.coalesce(n["read"], F.lit(0)) > F.coalesce(n["inp"], F.lit(0))
@@ -289,14 +292,18 @@ ATTRIBUTES = {
 
 @dataclass(frozen=True)
 class Producer:
-    """A producer: its adapter id, the files to tail, and lines to signals."""
+    """A producer: its adapter id, the files to tail, lines to signals, what relevant lines hold, and whether lines must come in order."""
 
     adapter_id: str
     glob: str
     parse: Callable[..., Parsed]
+    needles: tuple[str, ...] = ()
+    ordered: bool = False
 
 
-PRODUCERS = (Producer("claude_code", "*.jsonl", parse_a), Producer("codex", "rollout-*.jsonl", parse_b), Producer("copilot", "*.jsonl", parse_c))
+PRODUCERS = (
+    Producer("claude_code", "*.jsonl", parse_a, NEEDLES["a"]), Producer("codex", "rollout-*.jsonl", parse_b, NEEDLES["b"], True), Producer("copilot", "*.jsonl", parse_c, NEEDLES["c"]),
+)
 
 FACT = (
     "event_id", "occurred_at", "adapter_id", "session_id", "dedup_key", "task_id", "model_id", "request_kind", "measurement_source", "raw_json", "is_sidechain",

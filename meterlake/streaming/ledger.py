@@ -20,8 +20,10 @@ COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "
 NAMES = (*COUNTERS, "total")
 SCHEMA = (
     "file_id string, ordinal bigint, oversize boolean, bad boolean, occurred_at timestamp, is_count boolean, compacted boolean, session_id string, model_id string, lost boolean, "
-    "kind string, number bigint, " + ", ".join(f"delta_{c} bigint" for c in NAMES)
+    "kind string, number bigint, " + ", ".join(f"delta_{c} bigint" for c in NAMES) + ", path string, bytes bigint, hit boolean, lines bigint, until bigint, error string"
 )
+#: Columns of a span's report, which pass through.
+REPORT = ("path", "bytes", "hit", "lines", "until", "error")
 Vector = list[int | None]
 
 
@@ -60,6 +62,10 @@ def _vector(row: Any, prefix: str, total: str) -> Vector:
 def advance(state: dict[str, Any], events: pd.DataFrame) -> Iterator[tuple]:
     """Rows (see SCHEMA) of one file's events in order; ``state`` is brought up to date."""
     for row in events.itertuples(index=False):
+        report = [None if pd.isna(x) else x for x in (getattr(row, c) for c in REPORT)]
+        if report[3] is not None:  # of a span, not a line
+            yield row.file_id, int(row.ordinal), False, False, row.occurred_at, False, False, None, None, False, "no_data", state.get("number", 0), *[None] * len(NAMES), *report
+            continue
         state["session"] = row.session_said if isinstance(row.session_said, str) else state.get("session")
         state["model"] = row.model_said if isinstance(row.model_said, str) else state.get("model")
         now, last = _vector(row, "", "cumulative"), _vector(row, "last_", "last_total")
@@ -67,22 +73,26 @@ def advance(state: dict[str, Any], events: pd.DataFrame) -> Iterator[tuple]:
         kind, delta = step(state, now, last) if state["session"] is not None else ("no_data", [None] * len(NAMES))
         state["number"] = state.get("number", 0) + usable(kind, delta)
         state["ordinal"] = int(row.ordinal)
-        yield row.file_id, int(row.ordinal), row.oversize, row.bad, row.occurred_at, row.is_count, row.compacted, state["session"], state["model"], lost, kind, state["number"], *delta
+        yield row.file_id, int(row.ordinal), row.oversize, row.bad, row.occurred_at, row.is_count, row.compacted, state["session"], state["model"], lost, kind, state["number"], *delta, *report
 
 
 def follow(events: DataFrame) -> DataFrame:
-    """Steps of a stream of ``sources.producers.ledger_events``, by the state of each file."""
+    """Steps of a stream of ``sources.producers.ledger_events``, by the state of each file.
+
+    What a task holds of a file is its relevant lines of one micro-batch: with an ``ordered`` source, of one span.
+    """
     names = [part.split()[0] for part in SCHEMA.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ordinal")  # a file's relevant lines of one micro-batch
+        rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
         state = json.loads(held.get[0]) if held.exists else {}
-        if "ordinal" in state and rows["ordinal"].iloc[0] <= state["ordinal"]:
+        lines = rows["ordinal"][rows["lines"].isna()]
+        if "ordinal" in state and len(lines) and lines.iloc[0] <= state["ordinal"]:
             state = {}
         out = pd.DataFrame(list(advance(state, rows)), columns=names)
         held.update((json.dumps(state),))
         for c in names:
-            if c == "number" or c.startswith("delta_"):
+            if c in ("number", "bytes", "lines", "until") or c.startswith("delta_"):
                 out[c] = out[c].astype("Int64")
         yield out
 

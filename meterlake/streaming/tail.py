@@ -1,49 +1,51 @@
-"""A stream of appended JSONL lines, and a sink that merges them idempotently.
-
-Spark's file stream reads a file once; logs grow. This source's offset is the size of each file, which
-the driver takes from the file system without reading a byte, so a restarted query plans from what was
-committed. What a file gained is cut into spans for the executors; a span yields the lines whose
-newline lies in it, so half-written lines wait. A line is numbered by its own offset in the file.
-A file that shrank is read anew, a file that cannot be opened keeps its offset, and of a line over
-MAX_LINE only the head is passed on, with its length.
+"""Appended JSONL lines as a source: in batches, as a stream, and as a sample of the files' ends.
+
+Spark's file stream reads a file once; logs grow. This source's offset is the place reached in each
+file, planned from sizes without reading a byte. What a file gained is cut into spans for the
+executors; a span yields the lines whose newline lies in it, so half-written lines wait. A line is
+numbered by its own offset in the file, and a file known by device and inode, in batches and streams
+alike. A file that shrank is read anew. Of a line over MAX_LINE only the head is passed on, with its length.
+
+``needles`` are pushed down to the reader: a span is searched as bytes, and only lines that hold one
+of them anywhere leave it. A trigger admits at most ``max_bytes``, files that changed last first.
+
+With ``reports`` a span also yields a row of its own (value NULL): from which place to which it was
+read, how many lines it saw, and what went wrong. What could not be read goes on as ``error`` instead
+of failing the batch; who commits the batch records it in the folder ``retries`` (see ``store``), and
+the source plans it again, when it starts anew or RETRY_AFTER seconds later. Until then such a file is
+not read further, so its lines never come out of order; with ``ordered`` a file gives one span a
+trigger, for consumers that follow its lines one after another.
 """
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import os
+import re
+import time
 from collections.abc import Iterator
 from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..operators.merge import merged
+from .listing import File, Listing, newest
 
-SCHEMA = "file_id string, path string, ordinal long, bytes long, value string"
+SCHEMA = "file_id string, path string, ordinal long, bytes long, value string, hit boolean, lines long, until long, error string"
 MAX_LINE = 8 * 1024 * 1024
-#: Characters of a longer line that are passed on.
+#: Bytes of a longer line that are passed on.
 HEAD = 4096
 CHUNK = 1024 * 1024
 #: Bytes of a file that one task reads.
 SPAN_BYTES = 64 * 1024 * 1024
-
-
-def find_files(root: str, glob: str) -> dict[str, tuple[str, int]]:
-    """file_id (device and inode) -> (path, size) of the files below ``root`` that can be opened."""
-    found = {}
-    for folder, _, names in os.walk(root):
-        for name in fnmatch.filter(names, glob):
-            path = os.path.join(folder, name)
-            try:
-                stat = os.stat(path)
-            except OSError:
-                continue
-            if os.access(path, os.R_OK):
-                found[f"{stat.st_dev}-{stat.st_ino}"] = (path, stat.st_size)
-    return found
+#: Bytes that one trigger admits, unless told otherwise.
+MAX_BYTES = 64 * 1024 * 1024 * 1024
+#: Files of a sample, and bytes of each.
+SAMPLE_FILES, SAMPLE_BYTES = 5, 512 * 1024
+#: Seconds until a running query tries again what could not be read.
+RETRY_AFTER = 60
+#: The key of an offset that tells which failures have been planned again.
+AGAIN = "again"
 
 
 def line_start(f: BinaryIO, at: int) -> int:
@@ -58,72 +60,229 @@ def line_start(f: BinaryIO, at: int) -> int:
     return 0
 
 
-def read_lines(path: str, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, line or the head of an oversize one) of the lines whose newline lies in [begin, end)."""
-    with open(path, "rb") as f:
-        at = line_start(f, begin)
-        f.seek(at)
-        while at < end:
-            line = f.readline(min(MAX_LINE + 1, end - at))
-            size = len(line)
-            while line and not line.endswith(b"\n"):  # the rest of an oversize line, or one that is not whole yet
-                more = f.readline(min(CHUNK, end - at - size))
-                if not more:
-                    return
-                size += len(more)
-                line = line[: 4 * HEAD] + more[-1:]
-            if not line:
+class Lines:
+    """The lines of an open file whose newline lies in [begin, end): (offset, length, line or the head of an oversize one).
+
+    ``needles`` (bytes) leave out lines that hold none of them. ``place`` is the end of the last line
+    that was passed, and ``seen`` counts the lines, also those left out. With ``fragment`` reading begins
+    at ``begin`` itself, and what stands before the first newline is dropped.
+    """
+
+    def __init__(self, f: BinaryIO, begin: int, end: int, needles: tuple[bytes, ...] = (), fragment: bool = False):
+        self.file, self.end, self.seen, self.fragment = f, end, 0, fragment
+        self.wanted = re.compile(b"|".join(map(re.escape, needles))) if needles else None
+        self.overlap = max(map(len, needles), default=1) - 1
+        self.place = begin if fragment else line_start(f, begin)
+
+    def __iter__(self) -> Iterator[tuple[int, int, bytes]]:
+        self.file.seek(self.place)
+        held, read = b"", self.place
+        while read < self.end:
+            chunk = self.file.read(min(CHUNK, self.end - read))
+            if not chunk:
                 return
-            yield at, size - 1, line[:-1]
-            at += size
+            read += len(chunk)
+            if self.fragment:
+                stop = chunk.find(b"\n") + 1
+                self.place, self.fragment = (self.place + stop, False) if stop else (read, True)
+                held = chunk[stop:] if stop else b""
+                if not held:
+                    continue
+            else:
+                held += chunk
+            last = held.rfind(b"\n") + 1
+            if last:
+                yield from self._whole(held[:last])
+                held = held[last:]
+            elif len(held) > MAX_LINE:
+                size, hit, rest = yield from self._oversize(held, read)
+                if size is None:
+                    return
+                read, held = self.place + len(rest), rest
+
+    def _whole(self, block: bytes) -> Iterator[tuple[int, int, bytes]]:
+        base = self.place
+        if self.wanted is None:
+            begin = 0
+            while begin < len(block):
+                stop = block.index(b"\n", begin)
+                self.seen += 1
+                self.place = base + stop + 1
+                yield base + begin, stop - begin, block[begin : min(stop, begin + HEAD) if stop - begin > MAX_LINE else stop]
+                begin = stop + 1
+        else:
+            begin = 0
+            while found := self.wanted.search(block, begin):
+                start, stop = block.rfind(b"\n", 0, found.start()) + 1, block.index(b"\n", found.end())
+                yield base + start, stop - start, block[start : min(stop, start + HEAD) if stop - start > MAX_LINE else stop]
+                begin = stop + 1
+            self.seen += block.count(b"\n")
+        self.place = base + len(block)
+
+    def _oversize(self, held: bytes, read: int):
+        """The rest of a line longer than MAX_LINE, of which only the head and whether it has a needle are kept."""
+        start, head, tail = self.place, held[:HEAD], held
+        hit = self.wanted is None or bool(self.wanted.search(held))
+        while True:
+            tail = tail[len(tail) - self.overlap :] if self.overlap else b""
+            chunk = self.file.read(min(CHUNK, self.end - read))
+            if not chunk:
+                return None, hit, b""
+            stop = chunk.find(b"\n")
+            part = tail + (chunk if stop < 0 else chunk[:stop])
+            hit = hit or bool(self.wanted.search(part))
+            if stop >= 0:
+                size = read + stop - start
+                self.seen += 1
+                self.place = read + stop + 1
+                if hit:
+                    yield start, size, head
+                return size, hit, chunk[stop + 1 :]
+            tail, read = part, read + len(chunk)
+
+
+def read_lines(path: str, begin: int, end: int, needles: tuple[bytes, ...] = ()) -> Iterator[tuple[int, int, bytes]]:
+    """``Lines`` of a file by its path."""
+    with open(path, "rb") as f:
+        yield from Lines(f, begin, end, needles)
 
 
 class Span(InputPartition):
-    def __init__(self, file_id: str, path: str, begin: int, end: int):
+    def __init__(self, file_id: str, path: str, begin: int, end: int, fragment: bool = False):
         self.file_id, self.path, self.begin, self.end = file_id, path, begin, end
+        #: Whether the first line may be cut, and is left out.
+        self.fragment = fragment
+        #: Whether this is the file's first span of its batch.
+        self.first = True
+
+
+def cut_spans(file_id: str, path: str, begin: int, end: int) -> list[Span]:
+    """Spans of what a file gained; an empty one tells of a file that only has a new name."""
+    spans = [Span(file_id, path, at, min(at + SPAN_BYTES, end)) for at in range(begin, end, SPAN_BYTES)] or [Span(file_id, path, end, end)]
+    for span in spans[1:]:
+        span.first = False
+    return spans
 
 
-class TailReader(DataSourceStreamReader):
+class _Reader:
+    """What batches and streams share: options, and the rows of a span."""
+
     def __init__(self, options: dict):
         self.root, self.glob = options["path"], options.get("glob", "*.jsonl")
-        self._known: dict[str, dict] = {}
+        self.needles = tuple(x.encode() for x in json.loads(options.get("needles", "[]")))
+        self.reports = options.get("reports", "false") == "true"
+        self.options = dict(options)
+
+    def open(self, path: str) -> BinaryIO:
+        return open(path, "rb")
+
+    def read(self, span: Span | None) -> Iterator[tuple]:
+        if span is None:  # there are no files
+            return
+        place, seen, error = span.begin, 0, None
+        lines = None
+        try:
+            with self.open(span.path) as f:
+                lines = Lines(f, span.begin, span.end, self.needles, span.fragment)
+                for at, size, line in lines:
+                    if size:
+                        yield span.file_id, span.path, at, size, line.decode("utf-8", "replace"), True if self.needles else None, None, None, None
+        except OSError as failure:
+            if not self.reports and not isinstance(failure, FileNotFoundError):
+                raise
+            error = f"{type(failure).__name__}: {failure.strerror or failure}"
+        if lines is not None:
+            place, seen = max(lines.place, span.begin), lines.seen
+        if self.reports:
+            yield span.file_id, span.path, span.begin, (place if error else span.end) - span.begin, None, span.first, seen, span.end, error
+
+
+class TailBatchReader(_Reader, DataSourceReader):
+    """All whole lines of the files as they are now, or of the last ``tail_bytes`` of the ``newest`` ones."""
+
+    def partitions(self) -> list[Span]:
+        files = Listing(self.root, self.glob).files()
+        tail = self.options.get("tail_bytes")
+        if tail is None:
+            return [s for f in files.values() for s in cut_spans(f.file_id, f.path, 0, f.size)]
+        some = newest(files, int(self.options["newest"]))
+        return [Span(f.file_id, f.path, max(0, f.size - int(tail)), f.size, f.size > int(tail)) for f in some]
+
+
+class TailReader(_Reader, DataSourceStreamReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
+        self.ordered = options.get("ordered", "false") == "true"
+        self.frozen = options.get("frozen", "false") == "true"
+        self.retries = options.get("retries")
+        self.listing = Listing(self.root, self.glob)
+        # where the query stands, as its checkpoint says: a new reader is told by the option, later ones by the calls
+        self._known: dict[str, dict] = json.loads(options.get("known", "{}"))
+        self._files: dict[str, File] | None = None
+        self._retried_at: float | None = None
 
     def initialOffset(self) -> dict:
         return {}
 
+    def _failures(self) -> dict[int, list[dict]]:
+        """Batch -> what could not be read in it."""
+        if not self.retries or not os.path.isdir(self.retries):
+            return {}
+        out = {}
+        for name in os.listdir(self.retries):
+            number, _, kind = name.partition(".")
+            if kind == "json" and number.isdigit():
+                with open(os.path.join(self.retries, name)) as f:
+                    out[int(number)] = json.load(f)
+        return out
+
     def latestOffset(self) -> dict:
-        """The size of every file; files that are not there now stay as they were known."""
-        now = {k: {"size": size, "path": path} for k, (path, size) in find_files(self.root, self.glob).items()}
-        self._known = {**self._known, **now}
-        return self._known
+        """The place reached in every file once a trigger's bytes are read; files that are not there now stay as they were known."""
+        if self._files is None or not self.frozen:
+            self._files = self.listing.files()
+        end, room = dict(self._known), self.max_bytes
+        upto = end.get(AGAIN, {"size": -1})["size"]
+        open_ = {n: rows for n, rows in self._failures().items() if n > upto}
+        held = {row["file_id"] for rows in open_.values() for row in rows}
+        if open_ and (self._retried_at is None or time.monotonic() - self._retried_at >= RETRY_AFTER):
+            end[AGAIN] = {"size": max(open_)}
+            self._retried_at = time.monotonic()
+        for f in sorted(self._files.values(), key=lambda f: (-f.mtime_ns, f.path)):
+            known = end.get(f.file_id, {"size": 0, "path": f.path, "epoch": 0})
+            shrank = f.size < known["size"]
+            begin = 0 if shrank else known["size"]
+            take = min(f.size - begin, room, SPAN_BYTES if self.ordered else f.size)
+            if f.file_id in held or (not take and (shrank or known["path"] == f.path)):
+                continue
+            room -= take
+            end[f.file_id] = {"size": begin + take, "path": f.path, "epoch": known["epoch"] + shrank}
+        self._known = end
+        return end
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
         for file_id, to in end.items():
-            begin = start.get(file_id, {"size": 0})["size"]
-            begin = begin if begin <= to["size"] else 0
-            while begin < to["size"]:
-                stop = min(begin + SPAN_BYTES, to["size"])
-                spans.append(Span(file_id, to["path"], begin, stop))
-                begin = stop
+            if file_id == AGAIN:
+                continue
+            since = start.get(file_id, {"size": 0, "path": "", "epoch": 0})
+            if since != to:
+                spans += cut_spans(file_id, to["path"], since["size"] if since["epoch"] == to["epoch"] else 0, to["size"])
+        before, now = (x.get(AGAIN, {"size": -1})["size"] for x in (start, end))
+        for number, rows in sorted(self._failures().items()) if now > before else []:
+            if before < number <= now:
+                for row in rows:
+                    path = end.get(row["file_id"], row)["path"]
+                    spans.append(Span(row["file_id"], path, row["begin"], row["end"]))
         self._known = {**start, **end, **self._known}
         return spans
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        try:
-            for at, size, line in read_lines(partition.path, partition.begin, partition.end):
-                if size:
-                    text = line.decode("utf-8", "replace")
-                    yield partition.file_id, partition.path, at, size, text if size <= MAX_LINE else text[:HEAD]
-        except FileNotFoundError:  # it was removed since; what it held is gone
-            return
-
     def commit(self, end: dict) -> None:
         self._known = {**end, **self._known}
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("jsonl_tail").option("glob", "*.jsonl").load(root)``; root is a folder all executors share."""
+    """``spark.read`` or ``spark.readStream`` of ``format("jsonl_tail")``; the path is a folder that all executors share."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,90 +291,30 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def reader(self, schema) -> TailBatchReader:
+        return TailBatchReader(self.options)
+
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
 
 
-def tail_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    spark.dataSource.register(TailSource)
-    return spark.readStream.format("jsonl_tail").option("glob", glob).load(root)
-
-
-def batch_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """All whole lines of the files below ``root`` at once: file_id, ordinal (the line's offset), value.
+def _options(glob: str, needles: tuple[str, ...], more: dict[str, object]) -> dict[str, str]:
+    texts = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in more.items()}
+    return {"glob": glob, "needles": json.dumps(list(needles)), **texts}
 
-    Offsets are running sums within the splits of a file, whose own sums are added up first.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
-    meta = F.col("_metadata")
-    lines = lines.select(
-        meta["file_path"].alias("file_id"), meta["file_size"].alias("__size"), meta["file_block_start"].alias("__split"), "value",
-        (F.octet_length("value") + 1).cast("long").alias("__n"), F.monotonically_increasing_id().alias("__i"),
-    )
-    splits = lines.groupBy("file_id", "__split").agg(F.sum("__n").alias("__sum"))
-
-    def before(window, column: str) -> Column:
-        return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
-    splits = splits.select("file_id", "__split", before(W.partitionBy("file_id").orderBy("__split"), "__sum").alias("__base"))
-    numbered = lines.withColumn("__at", before(W.partitionBy("file_id", "__split").orderBy("__i"), "__n")).join(splits, ["file_id", "__split"])
-    numbered = numbered.withColumn("ordinal", F.col("__base") + F.col("__at"))
-    return numbered.filter(F.col("ordinal") + F.col("__n") <= F.col("__size")).select("file_id", "ordinal", "value")
+def tail_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", needles: tuple[str, ...] = (), source: type[DataSource] = TailSource, **options) -> DataFrame:
+    """The lines of growing files as a stream."""
+    spark.dataSource.register(source)
+    return spark.readStream.format(source.name()).options(**_options(glob, needles, options)).load(root)
 
 
-class MergeSink:
-    """foreachBatch sink: a batch is merged by maxima and appended under its number; reading merges what is there.
+def batch_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", needles: tuple[str, ...] = (), **options) -> DataFrame:
+    """All whole lines of the files below ``root`` at once, read by spans: nothing is shuffled to number them."""
+    spark.dataSource.register(TailSource)
+    return spark.read.format("jsonl_tail").options(**_options(glob, needles, options)).load(root)
 
-    A batch that comes again overwrites itself. Every ``compact_after`` batches the parts become one, named by
-    the last batch in it; until that is whole, readers see the parts. All of it goes through Spark's own
-    file systems, so the path may be in any store.
-    """
 
-    def __init__(self, path: str, compact_after: int = 32):
-        self.path, self.compact_after = path, compact_after
-
-    def _parts(self, spark: SparkSession) -> list[tuple[int, bool, str]]:
-        """(batch, whether it holds all before it, path) of the finished parts, oldest first."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not store.exists(folder):
-            return []
-        found = []
-        for status in store.listStatus(folder):
-            kind, _, number = status.getPath().getName().partition("=")
-            at = status.getPath().toString()
-            if kind in ("batch", "upto") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
-                found.append((int(number), kind == "upto", at))
-        return sorted(found)
-
-    def _live(self, spark: SparkSession) -> list[tuple[int, bool, str]]:
-        parts = self._parts(spark)
-        base = max((n for n, whole, _ in parts if whole), default=-1)
-        return [(n, whole, at) for n, whole, at in parts if n > base or (whole and n == base)]
-
-    def table(self, spark: SparkSession) -> DataFrame | None:
-        parts = [spark.read.parquet(at) for _, _, at in self._live(spark)]
-        if not parts:
-            return None
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part, allowMissingColumns=True)
-        return merged(every)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        merged(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        spark = batch.sparkSession
-        live = self._live(spark)
-        if len(live) > self.compact_after:
-            self.compact(spark, live[-1][0])
-
-    def compact(self, spark: SparkSession, upto: int) -> None:
-        """One part of all batches so far; the parts that it replaces are removed when it is whole."""
-        table = self.table(spark)
-        if table is not None:
-            table.write.mode("overwrite").parquet(f"{self.path}/upto={upto}")
-            live = {at for _, _, at in self._live(spark)}
-            for _, _, at in self._parts(spark):
-                if at not in live:
-                    old = spark._jvm.org.apache.hadoop.fs.Path(at)
-                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+def tail_sample(spark: SparkSession, root: str, glob: str = "*.jsonl", needles: tuple[str, ...] = (), files: int = SAMPLE_FILES, tail_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Lines of the ends of the files that changed last: at most ``tail_bytes`` of ``files`` files, without a first line that is cut."""
+    return batch_lines(spark, root, glob, needles, newest=files, tail_bytes=tail_bytes)

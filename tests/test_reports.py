@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from meterlake.functions.display import currency, local_minute, money_text, rate
 from meterlake.functions.measured import daily_total
 from meterlake.functions.ranges import local_midnight, resolve
+from meterlake.operators.capability import CAPABILITIES, MEASURED, UNMEASURED, descriptors
 from meterlake.operators.pricing import enter_rate, latest_rates
 from meterlake.operators.redact import leaks, write_fixture
 from meterlake.plans.facts import fx_rates, prices, usage_facts
+from meterlake.plans import reports
 from meterlake.plans.reports import Reports, all_prices, as_json, export, sync
 from meterlake.sources.seed import SEED, nano, seed_prices, user_price
 
@@ -110,3 +112,26 @@ def test_sync_of_logs(spark, tmp_path):
     assert got["codex"].input_fresh == 7 and got["codex"].dedup_key == "1:turn" and len(got) == 2
     report = Reports(facts.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz")), prices(spark))
     assert report.sessions().count() == 2 and report.daily().count() == 2 and report.apps().count() == 22
+
+
+def test_reports_of_many_price_changes(spark, monkeypatch, tmp_path):
+    """Cut at every fact's own version, reports are as if cut at a literal of the changes; an export of too many rows is refused."""
+    r = Reports(usage_facts(spark, DATA), prices(spark), zone="Europe/Prague")
+    own = ("first_at", "items", "priced_items")  # of slices, which are cut elsewhere
+
+    def shown():
+        return [sorted(map(str, df.drop(*own).collect())) for df in (r.daily(), r.models())]
+
+    few = shown()
+    monkeypatch.setattr(reports, "MAX_BREAKS", 0)
+    assert shown() == few
+    monkeypatch.setattr(reports, "MAX_EXPORT", 3)
+    with pytest.raises(ValueError):
+        export(r.daily(), str(tmp_path / "out"))
+
+
+def test_descriptors_of_all_applications(spark):
+    facts = usage_facts(spark, DATA).filter("adapter_id = 'codex'")
+    got = {(r.adapter_id, r.capability): r.state for r in descriptors(facts).collect()}
+    assert len(got) == len(CAPABILITIES) * len(MEASURED + UNMEASURED)
+    assert got["codex", "reasoning_tokens"] == "supported" and got["copilot", "reasoning_tokens"] == "unknown" and got["junie", "model_identity"] == "unsupported"

@@ -1,12 +1,16 @@
 """Worked examples: normalisation, exact costs, counters, zones, merges."""
 
 import datetime
+import random
+from datetime import timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import display, measured, usage
 from meterlake.operators import calendar, merge, ordered, pricing
+from meterlake.operators import usage as ops
 from meterlake.operators.usage import local_label
 
 ZERO = dict.fromkeys(usage.BANDS, 0)
@@ -146,3 +150,44 @@ def test_stale_rates_estimate(spark):
     assert fresh == {"calculated": (92 * 10**24, "calculated"), "unavailable": (None, "unavailable")}
     assert pricing.convert(costs, fx, "EUR", "2024-01-13 00:00:00").first().fx_kind == "estimated"
     assert pricing.convert(costs, fx, "CZK", "2024-01-13 00:00:00").first().fx_kind == "unavailable"
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_prices_of_long_lists(spark, monkeypatch, most):
+    """Versions looked up by parts of the time, broadcast or shuffled, against a plain search: ties, gaps, open ends, unknown models, no facts."""
+    monkeypatch.setattr(pricing, "FEW_VERSIONS", 3)
+    monkeypatch.setattr(pricing, "MAX_BROADCAST", most)
+    rnd = random.Random(8)
+    start = T(2024, 1, 1)
+    versions = [(f"v{k}", f"m{rnd.randrange(4)}", k, 2 * k, None, None, None, start + timedelta(hours=rnd.randrange(500)), rnd.choice(["seed", "user"])) for k in range(120)]
+    facts = [(k, rnd.choice(["m0", "m0", "m1", "m2", "m3", "mx", None]), start + timedelta(minutes=rnd.randrange(-6000, 40_000))) for k in range(600)]
+    price_list = spark.createDataFrame(versions, "version_id string, model_id string, input_rate long, output_rate long, cache_read_rate long, write_5m_rate long, write_1h_rate long, effective_from timestamp, source string")
+    df = spark.createDataFrame(facts, "id long, model_id string, at timestamp")
+    got = {r.id: (r.version_id, r.cache_read_rate) for r in pricing.price_asof(df, price_list, "at").collect()}
+    assert len(got) == len(facts)
+    for k, model, at in facts:
+        own = [v for v in versions if v[1] == model]
+        past = [v for v in own if v[7] <= at] or [v for v in own if v[7] == min(x[7] for x in own)]
+        want = max(past, key=lambda v: (v[7], v[8] == "user", v[0])) if own else None
+        assert got[k] == ((want[0], want[2]) if want else (None, None))
+    assert pricing.price_asof(df.limit(0), price_list, "at").count() == 0
+
+
+def test_positions_of_all_rows(spark, monkeypatch):
+    """Ranks from parts: a value that a third of the rows have, missing values, both directions; and the first few."""
+    monkeypatch.setattr(ops, "RANK_PARTS", 7)
+    rnd = random.Random(3)
+    rows = [(f"k{k:04}", rnd.choice([5, None, rnd.randrange(-50, 50), rnd.randrange(-50, 50)])) for k in range(700)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    for down in (False, True):
+        want = sorted(rows, key=lambda r: (r[1] is None, 0 if r[1] is None else -r[1] if down else r[1], r[0]))
+        got = sorted((r.position, r.k) for r in ops.positions(df, "v", down, "k").collect())
+        assert got == [(n + 1, k) for n, (k, _) in enumerate(want)]
+        assert sorted((r.position, r.k) for r in ops.positions(df, "v", down, "k", 9).collect()) == got[:9]
+    assert ops.positions(df.limit(0), "v", True, "k").count() == 0
+
+
+def test_latest_rate_of_equal_dates(spark):
+    rows = [("EUR", 3, T(2024, 1, 2), "b"), ("EUR", 2, T(2024, 1, 2), "a"), ("EUR", 1, T(2024, 1, 2), "a"), ("EUR", 9, T(2024, 1, 1), "a"), ("CZK", 7, T(2023, 1, 1), "x")]
+    fx = spark.createDataFrame(rows, "quote_currency string, rate_nano long, as_of timestamp, source string")
+    assert sorted((r.quote_currency, r.rate_nano) for r in pricing.latest_rates(fx).collect()) == [("CZK", 7), ("EUR", 1)]
