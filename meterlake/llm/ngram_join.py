@@ -45,8 +45,8 @@ from .parity import DEN, NUM, band, bands_of, chunk_keys, differences, hamming,
 #: Largest group of documents under one key that is listed as pairs.
 SMALL = 16
 #: Keys that a part holds, about, and keys that a task gathers before it deals them out.
-PART_KEYS = 2_000_000
-FLUSH_KEYS = 2_000_000
+PART_KEYS = 1_000_000
+FLUSH_KEYS = 1_000_000
 #: Documents of a family that are compared at once with as many others.
 BLOCK = 1024
 #: Ids that are broadcast at most (8 bytes each) to filter the documents; more are joined by a shuffle.
@@ -257,8 +257,11 @@ def screen(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     bits = cut(_of(docs, wanted).mapInArrow(_sketches, "u long, band int, size int, bits binary"))
     both = pairs.join(bits.hint("merge"), ["u", "band"])
+    # the first of a large group has a pair with each of its members
+    often = pairs.groupBy("v", "band").agg(F.count("*").alias("__pairs"))
     other = bits.select(F.col("u").alias("v"), "band", F.col("size").alias("__size"), F.col("bits").alias("__bits"))
-    both = both.join(other.hint("merge"), ["v", "band"]).select("u", "v", "size", "bits", "__size", "__bits")
+    other = other.join(often, ["v", "band"])
+    both = spread_join(both, other, ["v", "band"], "__pairs", ["u"]).select("u", "v", "size", "bits", "__size", "__bits")
     return both.mapInArrow(_near, "u long, v long").distinct()
 
 
@@ -267,8 +270,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     sets = cut(_of(docs, wanted).mapInArrow(_whole_sets, "doc_id long, shingles array<long>"))
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.select("u", "v").join(left.hint("merge"), "u").join(right.hint("merge"), "v")
+    often = pairs.groupBy("v").agg(F.count("*").alias("__pairs"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")).join(often, "v")
+    both = spread_join(pairs.select("u", "v").join(left.hint("merge"), "u"), right, ["v"], "__pairs", ["u"])
     shared = F.size(F.array_intersect("a", "b")).cast("long")
     return both.filter(shared * DEN >= (F.size("a") + F.size("b") - shared) * NUM).select("u", "v").distinct()
 
