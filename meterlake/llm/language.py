@@ -20,7 +20,7 @@ Defined cases
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,8 @@ from .common import pieces, slices
 UND = "und"
 BUCKETS = 1 << 15
 SAMPLE_PER_LANG = 1500
-MAX_LANGS = 512
+#: Languages with whole tables; of twice as many the tables have half the buckets, and so on up to MOST_LANGS.
+MAX_LANGS, MOST_LANGS = 512, 16_384
 PENALTY = 20.0
 CLIP = 6.0
 #: Longer texts are scored in pieces of about so many code points.
@@ -85,27 +86,35 @@ class Words:
         """(words, languages)"""
         if not len(self.first):
             return np.zeros((0, len(model.langs)))
-        letters = model.table[self.features[0]] + model.table[self.features[1]]
+        letters = model.table[self.features[0] >> model.shift] + model.table[self.features[1] >> model.shift]
         words = np.clip(np.add.reduceat(letters, self.first, axis=0), -CLIP, CLIP)
         allowed = model.allowed[self.script]
         return np.where(allowed | ~allowed.any(axis=1, keepdims=True), np.where(allowed.any(axis=1, keepdims=True), words, 0), -CLIP)
 
 
+def shift(langs: int) -> int:
+    """Bits that a feature loses so that a model of very many languages stays as large as one of MAX_LANGS."""
+    return max(0, (langs - 1) // MAX_LANGS).bit_length()
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
-        """counts: (languages, BUCKETS); scripts: (languages, scripts) words."""
-        self.langs = langs
-        logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) if langs else np.zeros((0, BUCKETS))
-        self.table = np.ascontiguousarray((logs - logs.mean(axis=0, keepdims=True)).T / 2) if langs else np.zeros((BUCKETS, 0))
+        """counts: (languages, buckets); scripts: (languages, scripts) words."""
+        self.langs, self.shift, buckets = langs, shift(len(langs)), counts.shape[1]
+        logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * buckets)) if langs else np.zeros((0, buckets))
+        self.table = np.ascontiguousarray((logs - logs.mean(axis=0, keepdims=True)).T / 2) if langs else np.zeros((buckets, 0))
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.allowed = (share >= 0.001).T
 
 
-def _leaves(scores: np.ndarray, best: int, penalty: float, step: int = 1 << 16) -> bool:
+def _leaves(blocks: Iterable[np.ndarray], best: int, penalty: float) -> bool:
     """Whether some stretch of words gains as much as the penalty by another language than ``best``."""
-    gain = low = np.zeros((1, scores.shape[1]))
-    for at in range(0, len(scores), step):
-        part = scores[at : at + step]
+    gain: np.ndarray | float = 0.0
+    low: np.ndarray | None = None
+    for part in blocks:
+        if not len(part):
+            continue
+        low = np.zeros((1, part.shape[1])) if low is None else low
         gains = np.cumsum(part - part[:, [best]], axis=0) + gain
         lows = np.minimum.accumulate(np.vstack([low, gains]), axis=0)
         if (gains - lows[1:]).max() >= penalty:
@@ -114,30 +123,57 @@ def _leaves(scores: np.ndarray, best: int, penalty: float, step: int = 1 << 16)
     return False
 
 
-def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The language of each word on the best path."""
-    n, k = scores.shape
-    best = int(np.argmax(scores.sum(axis=0)))
-    if not _leaves(scores, best, penalty):
-        return np.full(n, best)
-    came = np.zeros((n, k), dtype=np.int16)
-    value, own = scores[0].copy(), np.arange(k)
-    for i in range(1, n):
+def _forward(scores: np.ndarray, value: np.ndarray | None, penalty: float, came: np.ndarray | None = None) -> np.ndarray:
+    """The best values after the words of a block, from those before it (None: the block begins the text); ``came`` gets each word's predecessors."""
+    own = np.arange(scores.shape[1])
+    for i, row in enumerate(scores):
+        if value is None:
+            value = row.copy()
+            continue
         top = int(np.argmax(value))
         stay = value >= value[top] - penalty
-        came[i] = np.where(stay, own, top)
-        value = np.where(stay, value, value[top] - penalty) + scores[i]
-    path = np.zeros(n, dtype=np.int64)
-    path[-1] = int(np.argmax(value))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = came[i][path[i]]
+        if came is not None:
+            came[i] = np.where(stay, own, top)
+        value = np.where(stay, value, value[top] - penalty) + row
+    return value
+
+
+def viterbi_blocks(block: Callable[[int], np.ndarray], blocks: int, penalty: float = PENALTY) -> np.ndarray:
+    """The language of each word on the best path of a text whose scores come in blocks (as often as asked for).
+
+    One block's scores and predecessors are held at a time, and the values at the blocks' ends.
+    """
+    sizes, total = [], 0
+    for k in range(blocks):
+        scores = block(k)
+        sizes.append(len(scores))
+        total = total + scores.sum(axis=0)
+    best = int(np.argmax(total))
+    if not _leaves((block(k) for k in range(blocks)), best, penalty):
+        return np.full(sum(sizes), best, dtype=np.int16)
+    values = [None]
+    for k in range(blocks):
+        values.append(_forward(block(k), values[-1], penalty))
+    path = np.zeros(sum(sizes), dtype=np.int16)
+    at, now = len(path) - 1, int(np.argmax(values[-1]))
+    for k in reversed(range(blocks)):
+        scores = block(k)
+        came = np.zeros(scores.shape, dtype=np.int16)
+        _forward(scores, values[k], penalty, came)
+        for i in reversed(range(len(scores))):
+            path[at] = now
+            at, now = at - 1, int(came[i][now])
     return path
 
 
-def _labelled(scores: np.ndarray, sizes: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[dict]]:
-    if not len(scores) or not model.langs:
+def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The language of each word on the best path."""
+    return viterbi_blocks(lambda _: scores, 1, penalty)
+
+
+def _labelled(path: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[str, float, list[dict]]:
+    if not len(sizes):
         return UND, 0.0, []
-    path = viterbi(scores, penalty)
     letters = np.bincount(path, weights=sizes, minlength=len(model.langs))
     best = int(np.argmax(letters))
     edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
@@ -147,17 +183,24 @@ def _labelled(scores: np.ndarray, sizes: np.ndarray, model: Model, penalty: floa
 
 def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> list[tuple[str, float, list[dict]]]:
     """(language, its share of the letters, spans of words) of each text; a long one is scored in pieces."""
+    if not model.langs:
+        return [(UND, 0.0, [])] * len(texts)
     if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
-        scores, sizes = [np.zeros((0, len(model.langs)))], [np.zeros(0)]
-        for piece in pieces(texts[0], PIECE_CHARS):
-            words = Words([piece])
-            scores.append(words.scores(model))
-            sizes.append(words.size)
-        return [_labelled(np.concatenate(scores), np.concatenate(sizes), model, penalty)]
+        parts = list(pieces(texts[0], PIECE_CHARS))
+        sizes: dict[int, np.ndarray] = {}
+
+        def block(k: int) -> np.ndarray:
+            words = Words([parts[k]])
+            sizes[k] = words.size
+            return words.scores(model)
+
+        path = viterbi_blocks(block, len(parts), penalty)
+        return [_labelled(path, np.concatenate([sizes[k] for k in range(len(parts))]), model)]
     words = Words([t or "" for t in texts])
     scores, out, lo = words.scores(model), [], 0
     for hi in words.until.tolist():
-        out.append(_labelled(scores[lo:hi], words.size[lo:hi], model, penalty))
+        own = scores[lo:hi]
+        out.append(_labelled(viterbi(own, penalty), words.size[lo:hi], model) if hi > lo else (UND, 0.0, []))
         lo = hi
     return out
 
@@ -166,17 +209,18 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model of ``docs`` (text, lang), from at most about ``sample_per_lang`` documents a language."""
     spark = docs.sparkSession
     known = docs.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: these are no languages")
     langs = [r["lang"] for r in sizes]
+    less, buckets = shift(len(langs)), BUCKETS >> shift(len(langs))
     rates = spark.createDataFrame([(r["lang"], min(1.0, sample_per_lang / r["count"])) for r in sizes], "__lang string, __rate double")
-    drawn = known.join(F.broadcast(rates), F.col("lang") == F.col("__lang"))  # at most MAX_LANGS rows
+    drawn = known.join(F.broadcast(rates), F.col("lang") == F.col("__lang"))  # at most MOST_LANGS rows
     drawn = drawn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("__rate") * (1 << 20)).select("text", "lang")
     drawn = drawn.dropDuplicates(["text", "lang"])  # copies of a text come together, and must not fill the sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS + len(_NAMES)), dtype=np.int64)
+        counts = np.zeros((len(langs), buckets + len(_NAMES)), dtype=np.int64)
         number = {lang: k for k, lang in enumerate(langs)}
         for batch in slices(batches, 0):
             own = np.array([number[x] for x in batch.column(1).to_pylist()])
@@ -186,16 +230,16 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
                 for part in pieces(mine[0], PIECE_CHARS) if len(mine) == 1 else [None]:
                     words = Words(mine if part is None else [part])
                     for f in words.features:
-                        counts[k, :BUCKETS] += np.bincount(f, minlength=BUCKETS)
-                    counts[k, BUCKETS:] += np.bincount(words.script, minlength=len(_NAMES))
+                        counts[k, :buckets] += np.bincount(f >> less, minlength=buckets)
+                    counts[k, buckets:] += np.bincount(words.script, minlength=len(_NAMES))
         k, f = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(counts[k, f])], names=["k", "f", "n"])
 
     rows = drawn.mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most languages x (BUCKETS + scripts) rows
-    counts = np.zeros((len(langs), BUCKETS + len(_NAMES)))
+    table = rows.toArrow()  # at most MAX_LANGS x BUCKETS and the scripts
+    counts = np.zeros((len(langs), buckets + len(_NAMES)))
     counts[table["k"].to_numpy(), table["f"].to_numpy()] = table["n"].to_numpy()
-    return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:])
+    return Model(langs, counts[:, :buckets], counts[:, buckets:])
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:

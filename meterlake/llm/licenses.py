@@ -201,11 +201,12 @@ def _kept(intervals: Column) -> Column:
 
     def joined(chunks: Column, ends: Column) -> Column:
         none = F.array(*[F.lit(0).cast("long")] * 3)
-
-        def before(c: Column) -> Column:
-            return F.aggregate(F.slice(ends, F.lit(1), c), none, lambda m, e: F.zip_with(m, e, lambda a, b: F.greatest(a, b)))
-
-        return F.flatten(F.transform(chunks, lambda chunk, c: _bind(before(c), lambda m: decided(chunk, m))))
+        # one walk gives the furthest ends before each chunk
+        begun = F.struct(F.array().cast("array<array<bigint>>").alias("seen"), none.alias("now"))
+        walked = F.aggregate(
+            ends, begun, lambda m, e: F.struct(F.array_append(m["seen"], m["now"]).alias("seen"), F.zip_with(m["now"], e, lambda a, b: F.greatest(a, b)).alias("now")), lambda m: m["seen"]
+        )
+        return _bind(walked, lambda before: F.flatten(F.zip_with(chunks, before, decided)))
 
     kept = _bind(F.array_sort(intervals), walk)
     return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("rule", "priority", "score", "label", "lo", "hi")]))

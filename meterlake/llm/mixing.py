@@ -11,8 +11,7 @@
    first place; ``mix_texts`` gathers a document's words of each pass, for stages that need documents.
    Tokens are the words of the contract's pattern.
 
-Only the table of sources (at most MAX_SOURCES rows) and the counts per shard and source (at most
-MAX_SHARDS shards) pass through the driver.
+Only the table of sources (at most MAX_SOURCES rows) passes through the driver; shards are drawn in a task.
 
 Defined cases
 * null or empty text: size 0, nothing taken.
@@ -91,22 +90,21 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_counts(slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """(shards, sources): multinomial draws over the slots left, whose columns sum to ``slots``."""
-    total = int(slots.sum())
-    per = max(shard_slots, -(-total // MAX_SHARDS))
-    rng, left, out = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
+def draws(slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Source counts of one shard after another: multinomial draws over the slots left, which add up to ``slots``."""
+    left = slots.astype(np.int64).copy()
+    per = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
+    rng = np.random.default_rng(seed)
     while (rest := int(left.sum())) > 0:
         if rest <= per:
-            out.append(left.copy())
-            break
+            yield left.copy()
+            return
         counts = np.zeros_like(left)
         while (missing := per - int(counts.sum())) > 0:  # a draw beyond what is left is drawn again
             rest_now = left - counts
             counts += np.minimum(rng.multinomial(missing, rest_now / rest_now.sum()), rest_now)
-        out.append(counts)
+        yield counts
         left -= counts
-    return np.array(out, dtype=np.int64).reshape(len(out), len(slots))
 
 
 def _word_count(text: Column) -> Column:
@@ -150,23 +148,36 @@ def place(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, D
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """The mixture: shard, slot, __sid, __pass, __block, one row per slot."""
+    """The mixture: shard, slot, __sid, __pass, __block, one row per slot.
+
+    The draws depend on those before them, so one task makes them, a shard at a time, and gives runs of a source's
+    slots; it holds a few numbers per source. The runs are dealt out before they become slots.
+    """
     spark = sources.sparkSession
     rows = sources.orderBy("__sid").collect()  # at most MAX_SOURCES rows
-    counts = draw_counts(np.array([r["__slots"] for r in rows], dtype=np.int64))
-    step = max(SLOTS_A_ROW, int(counts.sum()) // 65_536)
-    begun = np.zeros(len(rows), dtype=np.int64)
-    runs = []
-    for shard, drawn in enumerate(counts):
-        at, whole = 0, int(drawn.sum())
-        for sid in np.flatnonzero(drawn):
-            n = int(drawn[sid])
-            for k in range(0, n, step):
-                runs.append((shard, whole, int(sid), rows[sid]["__blocks"], int(begun[sid]) + k, at + k, min(step, n - k)))
-            begun[sid] += n
-            at += n
+    wanted, blocks = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("__slots", "__blocks"))
+    total, shard_slots = int(wanted.sum()), SHARD_SLOTS
+    step = max(SLOTS_A_ROW, total // 65_536)
+    held = spark.sparkContext.broadcast((wanted, blocks))
     schema = "shard int, __whole long, __sid int, __blocks long, __j0 long, __at long, __n long"
-    table = spark.createDataFrame(runs, schema).repartition(max(1, min(len(runs), 4 * spark.sparkContext.defaultParallelism)))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def drawn(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, blocks = held.value
+        begun = np.zeros(len(wanted), dtype=np.int64)
+        for shard, counts in enumerate(draws(wanted, shard_slots)):
+            sid = np.flatnonzero(counts)
+            n = counts[sid]
+            parts = -(-n // step)
+            k = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * step
+            at = np.repeat(np.cumsum(n) - n, parts) + k
+            sids = np.repeat(sid, parts)
+            columns = [np.full(len(k), shard, np.int32), np.full(len(k), int(n.sum())), sids.astype(np.int32), blocks[sids], begun[sids] + k, at, np.minimum(step, counts[sids] - k)]
+            begun += counts
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    runs = spark.range(0, 1, 1, 1).mapInArrow(drawn, schema)
+    table = cut(runs).repartition(4 * spark.sparkContext.defaultParallelism)
     each = table.filter("__n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
     each = each.select("shard", "__whole", "__sid", "__blocks", (F.col("__j0") + F.col("__i")).alias("__j"), (F.col("__at") + F.col("__i")).alias("__p"))
 

@@ -35,10 +35,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import fetch_day, filter_urls, stated_entries
+    from .url_filter import derived_entries, fetch_day, filter_urls, stated_entries
 
     pages = read(spark, sf_dir, "pages").select("page_id", "url", fetch_day(F.col("page_id")).alias("fetched_on"))
-    return filter_urls(pages, stated_entries(spark))
+    return filter_urls(pages, stated_entries(spark).unionByName(derived_entries(pages)))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = score_toxicity(docs, fit(docs, labels.filter(~held_out())))
+    scored = score_toxicity(docs, fit(docs, labels.filter(~held_out())), matches=False)
     predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted)
 

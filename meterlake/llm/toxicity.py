@@ -289,8 +289,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with toxicity (0 to 1) and toxic_matches (term, weight, position in the folded text)."""
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, matches: bool = True) -> DataFrame:
+    """``docs`` with toxicity (0 to 1) and, unless they are not asked for, toxic_matches (term, weight, position in the folded text)."""
     kept = docs.drop("toxicity", "toxic_matches")
     names, at = kept.columns, kept.columns.index("text")
     held = kept.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms and exceptions
@@ -301,8 +301,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         automaton = lexicon.automaton()
         for batch in slices(batches, at):
             scores, found = zip(*(scored(text, lexicon, automaton) for text in batch.column(at).to_pylist()), strict=True)
-            matches = [[{"term": t, "weight": w, "at": p} for t, w, p in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(matches, kind)], names=[*names, "toxicity", "toxic_matches"])
+            made = [pa.array(scores, pa.float64())]
+            if matches:
+                made.append(pa.array([[{"term": t, "weight": w, "at": p} for t, w, p in x] for x in found], kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "toxicity", "toxic_matches"][: len(names) + len(made)])
 
-    schema = kept.limit(0).selectExpr("*", "cast(null as double) toxicity", "cast(null as array<struct<term:string,weight:double,at:int>>) toxic_matches").schema
+    more = ["cast(null as array<struct<term:string,weight:double,at:int>>) toxic_matches"] if matches else []
+    schema = kept.limit(0).selectExpr("*", "cast(null as double) toxicity", *more).schema
     return kept.mapInArrow(run, schema)

@@ -74,7 +74,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), F.col("fetched_on").cast("date").alias("fetched_on"))
     hosts = rows.filter("host is not null").groupBy("host").agg(F.count("*").alias("__n"))
     above = hosts.select("host", F.explode(_domains(F.col("host"))).alias("domain"))
-    listed = above.join(intervals(entries), "domain").groupBy("host").agg(F.collect_list(F.struct("list", "domain", "start", "until")).alias("__spans"))
+    # a listed domain may have very many hosts below it: its spans are one row, which its hosts meet in parts
+    spans = intervals(entries).groupBy("domain").agg(F.collect_list(F.struct("list", "domain", "start", "until")).alias("__spans"))
+    spans = cut(spans.join(above.groupBy("domain").agg(F.count("*").alias("__hosts")), "domain"))
+    listed = spread_join(above, spans, ["domain"], "__hosts", ["host"]).groupBy("host").agg(F.flatten(F.collect_list("__spans")).alias("__spans"))
     known = cut(hosts.join(listed, "host", "left"))
     met = spread_join(rows.filter("host is not null"), known, ["host"], "__n", ["page_id", "fetched_on"])
     none = rows.filter("host is null").withColumn("__spans", F.lit(None).cast(met.schema["__spans"].dataType))
@@ -94,6 +97,19 @@ def stated_entries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ENTRIES), "list string, domain string, day string, action string")
 
 
+LISTS = ("spam", "adult", "malware")
+
+
+def derived_entries(captures: DataFrame) -> DataFrame:
+    """A list that grows with the captures (page_id, url), as the synthetic tables have none: hosts or the domains above them, added on a day and most of them removed again."""
+    hosts = captures.select("page_id", host_of(F.col("url")).alias("host")).filter("host is not null").groupBy("host").agg(F.min("page_id").alias("k"))
+    k, day = F.col("k"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("k") * 13 % 300).cast("int"))
+    domain = F.when((k % 3 == 0) & F.col("host").rlike(r"^[^.]+\.[^.]+\."), F.regexp_replace("host", r"^[^.]+\.", "")).otherwise(F.col("host"))
+    listed = hosts.filter(k % 4 != 1).select(F.element_at(F.array(*map(F.lit, LISTS)), (k % 3 + 1).cast("int")).alias("list"), domain.alias("domain"), day.alias("added"), k.alias("k"))
+    each = F.array(F.struct(F.col("added").alias("day"), F.lit("add").alias("action")), F.struct(F.date_add("added", (20 + k % 90).cast("int")).alias("day"), F.when(k % 5 != 0, "remove").alias("action")))
+    return listed.select("list", "domain", F.explode(each).alias("e")).select("list", "domain", F.col("e.day").cast("string").alias("day"), "e.action")
+
+
 def fetch_day(page_id: Column) -> Column:
     """The fetch day of a page of the synthetic table, which has none: spread over 2024 by its id."""
     return F.date_add(F.lit("2024-01-01").cast("date"), ((page_id * 37) % 366).cast("int"))
@@ -101,14 +117,25 @@ def fetch_day(page_id: Column) -> Column:
 
 def oracle() -> str:
     values = ", ".join(f"('{a}', '{b}', DATE '{c}', '{d}')" for a, b, c, d in ENTRIES)
+    host = "nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\\.$', ''), '')"
     return f"""
-    WITH entries(list, domain, day, action) AS (VALUES {values}),
+    WITH stated(list, domain, day, action) AS (VALUES {values}),
+    hosts AS (SELECT {host} AS host, min(page_id) AS k FROM pages GROUP BY 1),
+    listed AS (
+        SELECT CASE k % 3 WHEN 0 THEN 'spam' WHEN 1 THEN 'adult' ELSE 'malware' END AS list, k, DATE '2024-01-01' + CAST(k * 13 % 300 AS INTEGER) AS added,
+            CASE WHEN k % 3 = 0 AND regexp_matches(host, '^[^.]+\\.[^.]+\\.') THEN regexp_replace(host, '^[^.]+\\.', '') ELSE host END AS domain
+        FROM hosts WHERE host IS NOT NULL AND k % 4 <> 1
+    ),
+    entries AS (
+        SELECT * FROM stated UNION ALL SELECT list, domain, added, 'add' FROM listed
+        UNION ALL SELECT list, domain, added + CAST(20 + k % 90 AS INTEGER), 'remove' FROM listed WHERE k % 5 <> 0
+    ),
     daily AS (SELECT list, domain, day, max(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS on_ FROM entries GROUP BY ALL),
     changes AS (SELECT *, coalesce(lag(on_) OVER (PARTITION BY list, domain ORDER BY day), 0) AS was FROM daily),
     spans AS (SELECT *, coalesce(lead(day) OVER (PARTITION BY list, domain ORDER BY day), DATE '{FOREVER}') AS until FROM changes WHERE on_ <> was),
     captures AS (
         SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched_on,
-            nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\\.$', ''), '') AS host
+            {host} AS host
         FROM pages
     ),
     force AS (

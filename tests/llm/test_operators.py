@@ -316,16 +316,15 @@ def test_targets_and_permutations():
         index = np.arange(n)
         assert sorted(mixing.permute(index, np.full(n, n), np.full(n, 3)).tolist()) == list(range(n))
     slots = np.array([5000, 0, 70000, 12])
-    counts = mixing.draw_counts(slots, 1000)
+    counts = np.array(list(mixing.draws(slots, 1000)))
     assert (counts.sum(axis=0) == slots).all() and (counts[:-1].sum(axis=1) == 1000).all()
 
 
 def test_shards_hold_what_was_drawn(docs, rows, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
-    monkeypatch.setattr(mixing.draw_counts, "__defaults__", (100, mixing.SEED))
     placed, sources = mixing.place(docs, 8)
     table = sources.orderBy("__sid").collect()
-    drawn = mixing.draw_counts(np.array([r["__slots"] for r in table]))
+    drawn = np.array(list(mixing.draws(np.array([r["__slots"] for r in table]), 100)))
     assert len(drawn) > 5 and len({tuple(x) for x in drawn.tolist()}) > 5
     blocks = mixing.mix_blocks(docs, 8).collect()
     held = Counter((r["shard"], r["source"]) for r in blocks)
@@ -602,7 +601,24 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     for penalty in (0.5, 5.0, 20.0, 60.0):
         best = int(np.argmax(scores.sum(axis=0)))
         gain = np.vstack([np.zeros((1, 3)), np.cumsum(scores - scores[:, [best]], axis=0)])
-        assert language._leaves(scores, best, penalty, 7) == bool((gain - np.minimum.accumulate(gain, axis=0)).max() >= penalty)
+        assert language._leaves((scores[i : i + 7] for i in range(0, 500, 7)), best, penalty) == bool((gain - np.minimum.accumulate(gain, axis=0)).max() >= penalty)
+
+
+def test_paths_in_blocks_and_many_languages(monkeypatch):
+    """Blocks of any size, empty ones too, give the path of the whole; with very many languages tables get fewer buckets."""
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 30, 200):
+        scores = rng.normal(size=(n, 4)) + 2 * np.repeat(rng.normal(size=(n // 20 + 1, 4)), 20, axis=0)[:n]
+        for penalty in (0.5, 3.0, 30.0):
+            cuts = sorted({0, n, *rng.integers(0, n + 1, 5).tolist()})
+            parts = [np.zeros((0, 4)), *(scores[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), np.zeros((0, 4))]
+            path = language.viterbi_blocks(lambda k, parts=parts: parts[k], len(parts), penalty)
+            assert path.tolist() == language.viterbi(scores, penalty).tolist()
+    assert [language.shift(n) for n in (0, 1, 512, 513, 1024, 1025, 2049)] == [0, 0, 0, 1, 1, 2, 3]
+    monkeypatch.setattr(language, "MAX_LANGS", 1)
+    counts = np.ones((3, language.BUCKETS >> 2))
+    model = language.Model(["aa", "bb", "cc"], counts, np.ones((3, len(language._NAMES))))
+    assert model.table.shape == (language.BUCKETS >> 2, 3) and language.label(["some words", ""], model)[1] == (language.UND, 0.0, [])
 
 
 def test_held_out_accuracy(spark):
