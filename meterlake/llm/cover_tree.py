@@ -10,7 +10,13 @@ tiles whose balls can hold a pair within the linking distance are traversed from
 * distance of centres + both radii < linking distance: all pairs are links, counted, not listed,
 * else the children are paired; pairs of leaves are decided in double precision.
 A traversal returns counts of links per vector and a spanning forest of them, never all pairs.
-Tiles are exchanged in groups, so that a tile is copied once a group and not once a tile.
+
+Which tiles meet is found by levels of balls: GROUP tiles are a group, groups are bundles, and only the
+bundles' balls (at most about MAX_BUNDLES) pass through the driver. Pairs of bundles that can hold a
+link compare their groups' balls, pairs of groups that can are exchanged. A tile is bounded by bytes, so
+a task holds two groups, 2 x GROUP x TILE_BYTES with the trees about twice that, whatever the number of
+vectors: of 10^9 with 768 dimensions some 180,000 tiles of 5,461 vectors (32 MB), 45,000 groups, 4,096
+bundles of 11 groups and 25 MB of balls on the driver; a task holds 256 MB of vectors.
 
 Identical vectors are one class; a class of n gives n - 1 links to each of its members.
 
@@ -40,10 +46,12 @@ from .components import components, spanning
 THRESHOLD = 0.95
 PIVOTS = 64
 TILE = 4096
-#: Tiles whose balls are broadcast (a centre in single precision each); with more vectors, tiles grow instead.
-MAX_TILES = 200_000
+#: Bytes of vectors in a tile at most.
+TILE_BYTES = 32 << 20
 #: Tiles that are exchanged together at most.
-GROUP = 8
+GROUP = 4
+#: Bundles of groups, about, whose balls pass through the driver.
+MAX_BUNDLES = 4096
 #: Nodes of up to this many vectors are not divided.
 LEAF = 32
 #: Slack of distances in single precision.
@@ -340,10 +348,72 @@ def _units(vectors: DataFrame) -> DataFrame:
     return cut(unit.withColumns({"__h1": F.xxhash64("__v"), "__h2": F.xxhash64(F.lit(1), "__v")}))
 
 
+BALL = "dim int, center array<double>, radius double"
+
+
+def tile_rows(dim: int, most: int = TILE, size: int = TILE_BYTES) -> int:
+    """Vectors of ``dim`` numbers in a tile: a fixed number, or what fits into its bytes."""
+    return max(1, min(most, size // (8 * max(dim, 1))))
+
+
+def _enclosing(balls: DataFrame, key: str) -> DataFrame:
+    """A ball around all balls (dim, ``key``, center, radius) of each key."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        centers = np.array(pdf["center"].tolist())
+        center = centers.mean(axis=0)
+        radius = float((np.sqrt(((centers - center) ** 2).sum(axis=1)) + pdf["radius"].to_numpy()).max())
+        return pd.DataFrame([{key: pdf[key].iloc[0], "dim": pdf["dim"].iloc[0], "center": center, "radius": radius}])
+
+    return balls.groupBy("dim", key).applyInPandas(one, f"{key} long, {BALL}")
+
+
+def _meeting(groups: DataFrame, reach: float) -> DataFrame:
+    """Pairs (dim, a, b), a <= b, of groups (dim, grp, bundle, center, radius) whose balls are within ``reach``: each with itself too.
+
+    A group is sent to the pairs of its bundle with those bundles that its ball can reach.
+    """
+    spark = groups.sparkSession
+    balls = _enclosing(groups.select("dim", "bundle", "center", "radius"), "bundle").toArrow()  # about MAX_BUNDLES
+    numbers, dims, radii = (balls[c].to_numpy() for c in ("bundle", "dim", "radius"))
+    known = {}
+    for d in np.unique(dims):
+        mine = np.flatnonzero(dims == d)
+        known[int(d)] = (numbers[mine], np.array(balls["center"].take(pa.array(mine)).to_pylist()), radii[mine])
+    shared = spark.sparkContext.broadcast(known)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                own = row.to_pylist()[0]
+                numbers, centers, r = shared.value[own["dim"]]
+                near = np.sqrt(((centers - np.array(own["center"])) ** 2).sum(axis=1)) - r - own["radius"] <= reach
+                for other in sorted({own["bundle"], *numbers[near].tolist()}):
+                    pair = f"{min(own['bundle'], other)}-{max(own['bundle'], other)}"
+                    yield pa.RecordBatch.from_arrays([pa.array([pair]), *row.columns], names=["pair", *batch.schema.names])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [x for _, x in pdf.groupby("bundle")]
+        a, b = sides[0], sides[-1]
+        whole = pdf["pair"].iloc[0].split("-")
+        if len(sides) == 1 and whole[0] != whole[1]:  # no group of the other bundle comes near
+            return pd.DataFrame({"dim": [], "a": [], "b": []}, dtype="int64")
+        x, y = (np.array(s["center"].tolist()) for s in (a, b))
+        out = []
+        for i, (g, r) in enumerate(zip(a["grp"], a["radius"], strict=True)):
+            near = np.sqrt(((y - x[i]) ** 2).sum(axis=1)) - r - b["radius"].to_numpy() <= reach
+            others = b["grp"].to_numpy()[near | (b["grp"].to_numpy() == g)]
+            out.append(pd.DataFrame({"dim": pdf["dim"].iloc[0], "a": np.minimum(others, g), "b": np.maximum(others, g)}))
+        return pd.concat(out).drop_duplicates()
+
+    schema = groups.select(F.lit("").alias("pair"), "*").schema
+    return cut(groups.mapInArrow(sent, schema).groupBy("dim", "pair").applyInPandas(compare, "dim int, a long, b long"))
+
+
 BLOB = "tile long, dim int, center array<double>, radius double, ids binary, n binary, x binary, rows binary, nodes binary, radii binary"
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = TILE, tile_bytes: int = TILE_BYTES, bundles: int = MAX_BUNDLES) -> DataFrame:
     """One row per vector of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     units = _units(vectors)
@@ -368,11 +438,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
 
     placed = classes.withColumn("__region", region("__v"))
     sizes = placed.groupBy("__region", "__dim").count().collect()  # at most PIVOTS rows a length
-    tile = max(tile, -(-2 * sum(r["count"] for r in sizes) // MAX_TILES))
     # a region of any size is cut into parts; small ones of a length share a tile
     cells, last = [], {}
     for r in sorted(sizes, key=lambda r: (r["__dim"], r["__region"])):
-        parts = -(-r["count"] // tile)
+        most = tile_rows(r["__dim"], tile, tile_bytes)
+        parts = -(-r["count"] // most)
         number, room = last.get(r["__dim"], (None, 0))
         if parts == 1 and room >= r["count"]:
             cells.append((r["__region"], r["__dim"], 1, number))
@@ -380,7 +450,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
         else:
             number = sum(c[2] for c in cells)
             cells.append((r["__region"], r["__dim"], parts, number))
-            last[r["__dim"]] = (number, tile - r["count"] if parts == 1 else 0)
+            last[r["__dim"]] = (number, most - r["count"] if parts == 1 else 0)
     table = spark.createDataFrame(cells, "__region int, __dim int, __parts long, __first long")
     number = F.col("__first") + F.pmod(F.col("__h2"), F.col("__parts"))
     dealt = placed.join(F.broadcast(table), ["__region", "__dim"]).select(number.alias("tile"), "__class", "__n", "__v")
@@ -401,30 +471,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
         return pd.DataFrame([row])
 
     blobs = cut(dealt.groupBy("tile").applyInPandas(blob, BLOB))
-    balls = blobs.select("tile", "dim", "center", "radius").toArrow()  # at most MAX_TILES and two a length
-    numbers, dims, ball = balls["tile"].to_numpy(), balls["dim"].to_numpy(), balls["radius"].to_numpy()
-    group = max(1, min(GROUP, len(numbers) // 16))
-    known = {}
-    for d in np.unique(dims):
-        mine = np.flatnonzero(dims == d)
-        mine = mine[np.argsort(numbers[mine])]
-        centers = np.array(balls["center"].take(pa.array(mine)).to_pylist())
-        known[int(d)] = (numbers[mine], centers, ball[mine])
-    shared = spark.sparkContext.broadcast(known)
-    columns = ["pair", "grp", *blobs.columns]
-
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each tile once for every group that holds a tile which it can have links with."""
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                k, d = row.column(0)[0].as_py(), row.column(1)[0].as_py()
-                tiles, centers, r = shared.value[d]
-                i = int(np.searchsorted(tiles, k))
-                near = np.sqrt(((centers - centers[i]) ** 2).sum(axis=1)) - r - r[i] <= reach + SLACK
-                for g in np.unique(np.flatnonzero(near) // group):
-                    pair = f"{d}:{min(i // group, g)}-{max(i // group, g)}"
-                    yield pa.RecordBatch.from_arrays([pa.array([pair]), pa.array([i // group], pa.int64()), *row.columns], names=columns)
+    tiles = sum(c[2] for c in cells)
+    group = max(1, min(GROUP, tiles // 16))
+    bundle = group * max(1, -(-tiles // (group * bundles)))
+    blobs = blobs.withColumn("grp", F.floor(F.col("tile") / group))
+    groups = cut(_enclosing(blobs.select("dim", "grp", "center", "radius"), "grp"))
+    met = _meeting(groups.withColumn("bundle", F.floor(F.col("grp") * group / bundle)), reach + SLACK)
+    # each tile once for every pair of groups that it is needed in
+    sides = met.select("dim", F.concat_ws("-", "a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"))
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
         tiles = []
@@ -446,8 +500,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
                 out.append(pd.DataFrame({"u": ia[u], "v": ib[v], "n": 0}))
         return pd.concat(out)
 
-    pairs = blobs.mapInArrow(partners, f"pair string, grp long, {BLOB}")
-    found = cut(pairs.groupBy("pair").applyInPandas(traverse, "u long, v long, n long"))
+    pairs = blobs.join(sides.hint("merge"), ["dim", "grp"])
+    found = cut(pairs.groupBy("dim", "pair").applyInPandas(traverse, "u long, v long, n long"))
     links = found.filter("n > 0").groupBy(F.col("u").alias("__class")).agg(F.sum("n").alias("__links"))
     reached = components(found.filter("n = 0").select("u", "v")).withColumnRenamed("u", "__class")
     per_class = classes.select(*KEY, "__class", "__n").join(links, "__class", "left").join(reached, "__class", "left")

@@ -776,3 +776,37 @@ def test_every_license_name_fires_its_rule(spark):
     frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
     for r in licenses.scan_licenses(frame).collect():
         assert {x.label for x in r.licenses} == {cases[r.doc_id][1]}, r
+
+
+@pytest.mark.parametrize(("tile", "size", "bundles"), [(16, 1 << 20, 3), (64, 8 * 16 * 20, 2), (4096, 1 << 20, 4096)])
+def test_tiles_meet_through_balls_of_balls(spark, tile, size, bundles):
+    """Tiles bounded by rows or bytes, groups and bundles of any size: the same links, and clustered vectors exchange few groups."""
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(12, 16))
+    x = unit(np.concatenate([c + rng.normal(size=(60, 16)) * s for c, s in zip(centers, [0.05, 0.1, 0.2] * 4, strict=True)]))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_duplicates(df, tile=tile, tile_bytes=size, bundles=bundles).collect()}
+    near = x @ x.T >= 0.95
+    sets = Sets()
+    for a, b in zip(*np.nonzero(near), strict=True):
+        sets.join(int(a), int(b))
+    assert got == {k: (int(near[k].sum()) - 1, sets.root(k)) for k in range(len(x))}
+
+
+def test_bounds_of_tiles():
+    """A task's two groups hold at most 2 x GROUP x TILE_BYTES of vectors, at any dimension."""
+    for dim in (1, 64, 768, 4096, 100_000):
+        rows = cover_tree.tile_rows(dim)
+        assert rows >= 1 and (rows * dim * 8 <= cover_tree.TILE_BYTES or rows == 1)
+    assert 2 * cover_tree.GROUP * cover_tree.TILE_BYTES <= 256 << 20
+
+
+def test_meeting_groups(spark):
+    """Pairs of balls within reach, against all pairs; each group meets itself."""
+    rng = np.random.default_rng(13)
+    centers, radii = rng.normal(size=(80, 3)), rng.random(80) * 0.2
+    rows = [(0, k, k // 7, centers[k].tolist(), float(radii[k])) for k in range(80)]
+    groups = spark.createDataFrame(rows, "dim int, grp long, bundle long, center array<double>, radius double")
+    got = sorted((r.a, r.b) for r in cover_tree._meeting(groups, 0.3).collect())
+    far = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2)) - radii[:, None] - radii[None]
+    assert got == sorted((a, b) for a in range(80) for b in range(a, 80) if a == b or far[a, b] <= 0.3)
