@@ -380,6 +380,11 @@ def normalize_b(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).withColumns(bands).filter("not invalid").select("event_id", "input_fresh", "cache_read", "output_total", "unclassified", "reasoning", "discrepancy")
 
 
+def dealt(lines: DataFrame) -> DataFrame:
+    """Generated lines as if read from files: written out once, in as many parts as there are cores."""
+    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+
+
 def _span_lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as trace spans: one a line, counts as strings or numbers, some in envelopes."""
     k, e = F.col("k"), F.col("event_id")
@@ -397,7 +402,7 @@ def _span_lines(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(e % 10 == 9, "invoke_agent").otherwise("chat")
     span = F.concat(F.format_string('{"name":"%s","spanId":"x%d","traceId":"t","endTimeUnixNano":"%d","attributes":[', name, e, F.lit(1_700_000_000_000_000_000) + e * 1_000_000_000), F.concat_ws(",", *parts), F.lit("]}"))
     line = F.when(e % 4 == 0, F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, F.lit("]}]}]}"))).otherwise(span)
-    return events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value"))
+    return dealt(events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value")))
 
 
 @query(f"""{NATIVE} SELECT 'c' || user_id AS session_id, 'x' || event_id AS dedup_key, (10 - event_id % 12) * k AS input_fresh, (event_id % 12) * k AS cache_read, k AS output_total,
@@ -423,7 +428,7 @@ def _transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     keys = F.when(e % 13 == 0, F.lit("")).otherwise(F.format_string('"requestId":"r%d",', e))
     body = F.concat(F.lit('{"type":"assistant","timestamp":"2024-01-02T03:04:05.678Z",'), keys, F.format_string('"sessionId":"s%d",', F.col("user_id")), message, F.lit("}"))
     line = F.when(e % 29 == 0, F.lit('{"type":"assistant","message":{"usage":"x"}}')).when(e % 31 == 0, F.lit('{"type":"user","text":"nothing"}')).otherwise(body)
-    return events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value"))
+    return dealt(events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value")))
 
 
 @query(f"""{NATIVE} SELECT 's' || user_id AS session_id, CASE WHEN event_id % 13 = 0 THEN 'g' || event_id ELSE 'r' || event_id || ':g' || event_id END AS dedup_key, 2 * k AS input_fresh, k AS output_total, 3 * k AS cache_read,

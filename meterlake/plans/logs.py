@@ -46,7 +46,8 @@ def rollout_lines(spark: SparkSession, d: str) -> DataFrame:
     model = F.when(F.col("event_type") == "signup", F.format_string('{"type":"turn_context","payload":{"model":"m%d"}}', F.col("event_id") % 4))
     session = F.when(F.col("n") == F.col("user_id") % 6 + 1, F.format_string('{"type":"session_meta","payload":{"id":"s%d"}}', F.col("user_id")))
     each = flat.select(F.concat(F.lit("u"), "user_id").alias("file_id"), "n", F.posexplode(F.array(session, model, count)).alias("i", "value"))
-    return each.filter("value is not null").select("file_id", (F.col("n") * 3 + F.col("i")).cast("long").alias("ordinal"), "value")
+    lines = each.filter("value is not null").select("file_id", (F.col("n") * 3 + F.col("i")).cast("long").alias("ordinal"), "value")
+    return lines.repartition("file_id")  # written out once; a file's lines are together then
 
 
 ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
