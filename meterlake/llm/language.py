@@ -39,6 +39,8 @@ PENALTY = 20.0
 CLIP = 6.0
 #: Longer texts are scored in pieces of about so many code points.
 PIECE_CHARS = 1 << 18
+#: Bytes of a long text's scores that are kept between the walks over its pieces.
+HELD_BYTES = 64 << 20
 
 #: First code points of scripts, in order; a code point belongs to the last range that begins at or before it.
 SCRIPTS = (
@@ -123,7 +125,7 @@ def _leaves(blocks: Iterable[np.ndarray], best: int, penalty: float) -> bool:
     return False
 
 
-def _forward(scores: np.ndarray, value: np.ndarray | None, penalty: float, came: np.ndarray | None = None) -> np.ndarray:
+def _forward(scores: np.ndarray, value: np.ndarray | None, penalty: float, came: np.ndarray) -> np.ndarray | None:
     """The best values after the words of a block, from those before it (None: the block begins the text); ``came`` gets each word's predecessors."""
     own = np.arange(scores.shape[1])
     for i, row in enumerate(scores):
@@ -132,8 +134,7 @@ def _forward(scores: np.ndarray, value: np.ndarray | None, penalty: float, came:
             continue
         top = int(np.argmax(value))
         stay = value >= value[top] - penalty
-        if came is not None:
-            came[i] = np.where(stay, own, top)
+        came[i] = np.where(stay, own, top)
         value = np.where(stay, value, value[top] - penalty) + row
     return value
 
@@ -151,18 +152,22 @@ def viterbi_blocks(block: Callable[[int], np.ndarray], blocks: int, penalty: flo
     best = int(np.argmax(total))
     if not _leaves((block(k) for k in range(blocks)), best, penalty):
         return np.full(sum(sizes), best, dtype=np.int16)
-    values = [None]
+    values: list[np.ndarray | None] = [None]
+    came = np.zeros((0, 0), dtype=np.int16)
     for k in range(blocks):
-        values.append(_forward(block(k), values[-1], penalty))
+        scores = block(k)
+        came = np.zeros(scores.shape, dtype=np.int16)  # of the last block in the end
+        values.append(_forward(scores, values[-1], penalty, came))
     path = np.zeros(sum(sizes), dtype=np.int16)
     at, now = len(path) - 1, int(np.argmax(values[-1]))
     for k in reversed(range(blocks)):
-        scores = block(k)
-        came = np.zeros(scores.shape, dtype=np.int16)
-        _forward(scores, values[k], penalty, came)
-        for i in reversed(range(len(scores))):
+        if k < blocks - 1:
+            scores = block(k)
+            came = np.zeros(scores.shape, dtype=np.int16)
+            _forward(scores, values[k], penalty, came)
+        for row in reversed(came.tolist()):
             path[at] = now
-            at, now = at - 1, int(came[i][now])
+            at, now = at - 1, row[now]
     return path
 
 
@@ -188,11 +193,18 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY) -> li
     if len(texts) == 1 and len(texts[0] or "") > PIECE_CHARS:
         parts = list(pieces(texts[0], PIECE_CHARS))
         sizes: dict[int, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
 
         def block(k: int) -> np.ndarray:
+            """Scores of a piece: as many pieces as HELD_BYTES allow are kept, others are scored again when they are asked for."""
+            if k in held:
+                return held[k]
             words = Words([parts[k]])
             sizes[k] = words.size
-            return words.scores(model)
+            scores = words.scores(model)
+            if sum(x.nbytes for x in held.values()) + scores.nbytes <= HELD_BYTES:
+                held[k] = scores
+            return scores
 
         path = viterbi_blocks(block, len(parts), penalty)
         return [_labelled(path, np.concatenate([sizes[k] for k in range(len(parts))]), model)]

@@ -596,6 +596,7 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     text = " ".join(rng.choice(["Kato", "mira,", "ΣΟΦΟΣ", "x", "longerword", "12", "\n"]) for _ in range(3000))
     want = language.label([text], model, 2.0)
     monkeypatch.setattr(language, "PIECE_CHARS", 100)
+    monkeypatch.setattr(language, "HELD_BYTES", 3000)
     assert language.label([text], model, 2.0)[0][::2] == want[0][::2] and math.isclose(language.label([text], model, 2.0)[0][1], want[0][1])
     scores = np.random.default_rng(4).normal(size=(500, 3))
     for penalty in (0.5, 5.0, 20.0, 60.0):
