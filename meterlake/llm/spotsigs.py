@@ -1,10 +1,12 @@
 """SpotSigs document fingerprints.
 
 An anchor (a common word) and the next content words after it form a spot signature; the set of a
-document's signatures is its fingerprint. Each document is compared with its edited text and with the
-next one in ascending id. Sets are partitioned by length such that two sets whose Jaccard can reach
-FLOOR lie in the same or in neighbouring partitions: what lies further apart, or whose lengths bound
-the Jaccard below FLOOR, is given 0 without a look at the sets; everything else its exact Jaccard.
+document's signatures is its fingerprint. ``spotsigs`` compares each document with its edited text and
+with the next one in ascending id, by the exact Jaccard of the sets. ``near_pairs`` joins a collection:
+different fingerprints are partitioned by length such that sets that reach the threshold lie in the same
+or in neighbouring partitions, meet there by a signature among the rarest of either (of sets that reach
+the threshold, the first few in a common order share one), and are compared unless their lengths rule
+it out. Documents of equal fingerprints are one class.
 
 Documents are dealt into ranges of (id, hash of the text), which split null and often repeated ids
 too. Each range also gets the first document of the range that follows, and is read in order as a
@@ -35,9 +37,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, shuffle_partitions
+from .common import cut, pieces, shuffle_partitions, spread_join
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = frozenset(
@@ -49,8 +52,8 @@ ANCHORS = frozenset(
 CHAIN = 2
 #: Content words after an anchor, or after the start, that may stand without an anchor of their own.
 STRETCH = 8
-#: Likenesses that lengths alone keep below it are 0.
-FLOOR = 0.1
+#: The threshold of a collection join.
+NEAR = 0.75
 #: Code points of a text that are split into words at once.
 PIECE_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -99,22 +102,46 @@ def parse(print_: str) -> frozenset[int]:
     return frozenset(np.frombuffer(bytes.fromhex(print_), dtype=">u4").tolist())
 
 
-def length_partition(size: int, at_least: float = FLOOR) -> int:
+def length_partition(size: int, at_least: float = NEAR) -> int:
     """Sets whose Jaccard can reach ``at_least`` lie in the same partition or in neighbouring ones; the empty set in none of theirs."""
-    return int(math.log(size) / -math.log(at_least)) if size else -2
-
-
-def likeness(a: frozenset[int], b: frozenset[int], at_least: float = FLOOR) -> float:
-    """Jaccard of two sets; 0 if their partitions or lengths keep it below ``at_least``."""
-    if not a and not b:
-        return 1.0
-    if abs(length_partition(len(a), at_least) - length_partition(len(b), at_least)) > 1:
-        return 0.0
-    few, many = sorted((a, b), key=len)
-    if len(few) < at_least * len(many):
-        return 0.0
-    both = len(few & many)
-    return both / (len(few) + len(many) - both)
+    return int(math.log(size) / -math.log(at_least) * (1 - 1e-9)) if size else -2
+
+
+def likeness(a: frozenset[int], b: frozenset[int]) -> float:
+    """Jaccard of two sets; two empty ones are alike."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(class, fingerprint, size, n): different fingerprints of signatures (doc_id, fingerprint), known by their least id."""
+    own = prints.filter("doc_id is not null and fingerprint != ''").groupBy("fingerprint")
+    return own.agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")).select("class", "fingerprint", (F.length("fingerprint") / 8).cast("long").alias("size"), "n")
+
+
+def near_pairs(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
+    """(u, v, likeness), u < v: all pairs of different fingerprints, by their classes, whose Jaccard is ``at_least`` or more.
+
+    Null ids and empty fingerprints pair with nothing. Frequent signatures are spread, and hardly ever among the
+    rarest of a set; what they join is checked by lengths before sets are looked at.
+    """
+    one = cut(classes(prints))
+    signs = F.expr("transform(sequence(1, length(fingerprint), 8), i -> substring(fingerprint, i, 8))")
+    each = one.select("class", "size", F.explode(signs).alias("sig"))
+    often = cut(each.groupBy("sig").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(W.partitionBy("class").orderBy("n", "sig"))
+    rarest = F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1
+    part = F.floor(F.log(F.col("size").cast("double")) / -math.log(at_least) * (1 - 1e-9))
+    first = cut(spread_join(each, often, ["sig"], "n", ["class"]).withColumn("r", rank).filter(F.col("r") <= rarest).select("class", "size", "sig", part.alias("part")))
+    left = first.select(F.col("class").alias("a"), F.col("size").alias("m"), "part", "sig")
+    right = first.select(F.col("class").alias("b"), F.col("size").alias("n"), F.col("part").alias("own"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    met = left.join(right, ["part", "sig"]).filter((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
+    met = met.filter(F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
+    pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    sets = one.select("class", "size", signs.alias("signs"))
+    both = pairs.join(sets.withColumnsRenamed({"class": "u", "size": "m", "signs": "x"}), "u").join(sets.withColumnsRenamed({"class": "v", "size": "n", "signs": "y"}), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("u", "v", (shared / (F.col("m") + F.col("n") - shared)).alias("likeness")).filter(F.col("likeness") >= at_least)
 
 
 def edited(text: str, following: str) -> str:

@@ -101,23 +101,31 @@ def spots(text):
 
 
 def exact(a, b):
-    """Jaccard, 0 where the lengths keep it below a tenth."""
-    if not a and not b:
-        return 1.0
-    few, many = sorted((len(a), len(b)))
-    return len(a & b) / len(a | b) if few >= 0.1 * many else 0.0
-
-
-def test_pruned_likeness():
-    rng = random.Random(3)
-    for _ in range(3000):
-        a, b = (frozenset(rng.sample(range(400), rng.choice((0, 1, 3, 10, 30, 99, 100, 101, 300)))) for _ in range(2))
-        for least in (0.05, 0.1, 0.75):
-            few, many = sorted((len(a), len(b)))
-            want = exact(a, b) if least == 0.1 else 1.0 if not many else len(a & b) / len(a | b) if few >= least * many else 0.0
-            assert spotsigs.likeness(a, b, least) == want
-            if many and few >= least * many:
-                assert abs(spotsigs.length_partition(few, least) - spotsigs.length_partition(many, least)) <= 1
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_collection_join(spark):
+    """All pairs of different fingerprints that reach a threshold: copies, sets of one signature, a group of many near copies, every length."""
+    rng = random.Random(17)
+    sets = [frozenset(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(150)]
+    base = frozenset(rng.sample(range(1000, 2000), 60))
+    sets += [frozenset(sorted(base)[k % 7 :]) | {5000 + k % 11} for k in range(80)] + [frozenset(), base, base, frozenset({7}), frozenset({7}), frozenset({7, 8, 9, 10})]
+    rows = [(k if k % 40 else None, spotsigs.fingerprint(x)) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    first = {}
+    for k, x in enumerate(sets):
+        if k % 40 and x:
+            first.setdefault(x, k)
+    for at_least in (0.5, 0.75, 0.9):
+        want = {(min(a, b), max(a, b)): exact(x, y) for x, a in first.items() for y, b in first.items() if a < b and exact(x, y) >= at_least}
+        got = {(r.u, r.v): r.likeness for r in spotsigs.near_pairs(df, at_least).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], v) for k, v in want.items())
+        for x in first:
+            for y in first:
+                if exact(x, y) >= at_least:
+                    assert abs(spotsigs.length_partition(len(x), at_least) - spotsigs.length_partition(len(y), at_least)) <= 1
+    assert spotsigs.near_pairs(df.limit(0)).count() == 0
+    assert {(r["class"], r.n) for r in spotsigs.classes(df).filter("n > 1").collect()} >= {(first[base], sum(x == base and k % 40 > 0 for k, x in enumerate(sets)))}
 
 
 def test_spotsigs(docs, rows):
@@ -146,7 +154,7 @@ def test_spotsigs_of_odd_rows(spark, odd, nothing):
     single = spotsigs.spotsigs(spark.createDataFrame([(5, "the cat sat on the mat", None, None, None)], SCHEMA)).first()
     assert single.near_next == 1.0
     assert spotsigs.signatures("") == frozenset() and len(spotsigs.signatures("the and")) == 1
-    assert spotsigs.likeness(frozenset({1}), frozenset(range(9)), 0.5) == 0.0
+    assert spotsigs.likeness(frozenset({1}), frozenset(range(9))) == 1 / 9
 
 
 def test_spotsigs_of_hot_ids(spark):
