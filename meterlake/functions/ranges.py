@@ -1,10 +1,13 @@
-"""Named ranges of local days as half-open ranges of instants. Plain Python: it runs once per command."""
+"""Named ranges of local days as half-open ranges of instants. Plain Python, as it runs once per command, but for columns of days."""
 
 from __future__ import annotations
 
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..operators.usage import Filter
 
 
@@ -20,6 +23,11 @@ def local_midnight(day: date, zone: str) -> datetime:
     raise ValueError(f"{day} is not a day of {zone}")
 
 
+def midnight(day: Column, zone: str) -> Column:
+    """``local_midnight`` of a column of days, as timestamps of UTC without a zone."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz"))
+
+
 def boundary(text: str, zone: str) -> datetime:
     """A local day (YYYY-MM-DD) or an RFC 3339 instant."""
     try:

@@ -572,4 +572,4 @@ def compact_bars(spark: SparkSession, d: str) -> DataFrame:
     return t.join(F.broadcast(peak), F.lit(True)).select("session_id", display.compact(F.col("n")).alias("compact"), display.bar(F.col("n"), F.col("peak"), 20).alias("bar"))  # one row is broadcast
 
 
-from . import logs, shown  # noqa: E402, F401 - they register their queries here
+from . import lists, logs, shown  # noqa: E402, F401 - they register their queries here

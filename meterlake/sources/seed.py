@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # USD per million tokens of input, output, cache reads, 5-minute and 1-hour cache writes, and the first day.
@@ -44,6 +44,11 @@ def nano(usd: str | Decimal | None) -> int | None:
     return whole
 
 
+def nanos(usd: Column) -> Column:
+    """``nano`` of a decimal column; raises beyond 64 bits."""
+    return F.bround(usd * F.lit(10**9).cast("decimal(10,0)"), 0).cast("bigint")
+
+
 def seed_prices(spark: SparkSession) -> DataFrame:
     rows = [(f"seed-{m}-{day}", m, *map(nano, rates), day, "seed") for m, *rates, day in SEED]
     return spark.createDataFrame(rows, SCHEMA).withColumn("effective_from", F.col("effective_from").cast("timestamp"))
