@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,30 +42,28 @@ BLOCK_WORDS = 64
 #: A source's stream is summed in at least so many buckets, and in one per BUCKET_ROWS rows of the corpus.
 BUCKETS = 256
 BUCKET_ROWS = 100_000
-MAX_SOURCES = 100_000
+#: Sources at most: their table, some 100 bytes each, passes through the driver and is broadcast.
+MAX_SOURCES = 1_000_000
 MAX_SHARDS = 4096
 SHARD_SLOTS = 65_536
 SLOTS_A_ROW = 16_384
 SEED = 20240101
 
 
-def targets(sizes: list[int], weights: list[float], max_repeat: float = MAX_REPEAT) -> list[float]:
+def targets(sizes: list[int] | np.ndarray, weights: list[float] | np.ndarray, max_repeat: float = MAX_REPEAT) -> list[float]:
     """Shares ``sum(sizes)`` by weight; what would exceed ``max_repeat`` times a size is reshared."""
-    total = float(sum(sizes))
-    out = [0.0] * len(sizes)
-    open_ = [i for i, n in enumerate(sizes) if n]
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        above = [i for i in open_ if total * weights[i] / whole > max_repeat * sizes[i]]
-        if not above:
-            for i in open_:
-                out[i] = total * weights[i] / whole
+    sizes, weights = np.asarray(sizes, dtype=np.int64), np.asarray(weights, dtype=np.float64)
+    total, out, open_ = float(sizes.sum()), np.zeros(len(sizes)), sizes > 0
+    while open_.any():
+        share = total * weights / weights[open_].sum()
+        above = open_ & (share > max_repeat * sizes)
+        if not above.any():
+            out[open_] = share[open_]
             break
-        for i in above:
-            out[i] = float(max_repeat * sizes[i])
-            total -= out[i]
-        open_ = [i for i in open_ if i not in set(above)]
-    return out
+        out[above] = max_repeat * sizes[above]
+        total -= float(out[above].sum())
+        open_ &= ~above
+    return out.tolist()
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -124,18 +123,17 @@ def place(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, D
         )
     )
     by_bucket = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__n"))
-    rows = by_bucket.groupBy("source").agg(F.sum("__n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
+    rows = by_bucket.groupBy("source").agg(F.sum("__n").alias("n")).limit(MAX_SOURCES + 1).toArrow()
+    if rows.num_rows > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in rows]
-    aims = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-    table = []
-    for i, (r, n, aim) in enumerate(zip(rows, sizes, aims, strict=True)):
-        blocks = -(-n // block_words)
-        slots = min(MAX_REPEAT * blocks, round(aim / n * blocks)) if n else 0
-        table.append((i, r["source"], n, aim, blocks, slots))
-    sources = spark.createDataFrame(table, "__sid int, source string, source_size long, target double, __blocks long, __slots long")
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("source", "ascending")], null_placement="at_end"))  # by code points
+    sizes = rows["n"].to_numpy().astype(np.int64)
+    aims = np.array(targets(sizes, np.resize(WEIGHTS, len(sizes))))
+    blocks = -(-sizes // block_words)
+    wanted = np.minimum(MAX_REPEAT * blocks, np.rint(aims / np.maximum(sizes, 1) * blocks).astype(np.int64))
+    columns = [pa.array(np.arange(len(sizes), dtype=np.int32)), rows["source"].combine_chunks().cast(pa.string()), pa.array(sizes), pa.array(aims), pa.array(blocks), pa.array(wanted)]
+    names = ["__sid", "source", "source_size", "target", "__blocks", "__slots"]
+    sources = spark.createDataFrame(pa.table(columns, names=names), "__sid int, source string, source_size long, target double, __blocks long, __slots long")
     base = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = by_bucket.select("source", "__bucket", F.coalesce(F.sum("__n").over(base), F.lit(0)).alias("__base"))
     within = W.partitionBy("source", "__bucket").orderBy("doc_id", "__hash", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -154,8 +152,8 @@ def slots(sources: DataFrame) -> DataFrame:
     slots; it holds a few numbers per source. The runs are dealt out before they become slots.
     """
     spark = sources.sparkSession
-    rows = sources.orderBy("__sid").collect()  # at most MAX_SOURCES rows
-    wanted, blocks = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("__slots", "__blocks"))
+    rows = sources.orderBy("__sid").select("__slots", "__blocks").toArrow()  # at most MAX_SOURCES rows of 16 bytes
+    wanted, blocks = (rows[c].to_numpy().astype(np.int64) for c in ("__slots", "__blocks"))
     total, shard_slots = int(wanted.sum()), SHARD_SLOTS
     step = max(SLOTS_A_ROW, total // 65_536)
     held = spark.sparkContext.broadcast((wanted, blocks))

@@ -328,6 +328,17 @@ def test_targets_and_permutations():
     assert (counts.sum(axis=0) == slots).all() and (counts[:-1].sum(axis=1) == 1000).all()
 
 
+def test_very_many_sources(spark):
+    """Two hundred thousand sources, of one document each: targets by code point and weight, as many words as the mixture takes."""
+    n = 200_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.format_string("%07d", "id")).alias("source"), F.repeat(F.lit("w "), (1 + F.col("id") % 5).cast("int")).alias("text"))
+    got = mixing.mix_sizes(docs).select("doc_id", "size", "target", "taken").toPandas().sort_values("doc_id")
+    sizes = 1 + np.arange(n) % 5
+    want = np.array(mixing.targets(sizes, np.resize([1, 2, 3], n)))
+    assert (got["size"].to_numpy() == sizes).all() and np.allclose(got["target"].to_numpy(), want)
+    assert (got["taken"].to_numpy() <= 3 * sizes).all() and abs(got["taken"].sum() - sizes.sum()) / sizes.sum() < 0.35
+
+
 def test_shards_hold_what_was_drawn(docs, rows, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
     placed, sources = mixing.place(docs, 8)
