@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,7 +62,7 @@ TABLES: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = {
 class Store:
     path: str
     fanout: int = 8
-    buckets: int = 16
+    buckets: int = 64
 
     # files
 
@@ -103,7 +103,7 @@ class Store:
         name, schema = f"{table}/{batch:012d}-{level}-{uuid.uuid4().hex}", rows.schema.json()
         if level:
             keys, _ = TABLES[table]
-            rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *keys)
+            rows = rows.withColumn("bucket", self._bucket(table)).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *keys)
             rows.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         else:
             rows.write.parquet(f"{self.path}/{name}")
@@ -111,14 +111,17 @@ class Store:
 
     # reading
 
-    def _rows(self, spark: SparkSession, parts: list[dict]) -> DataFrame | None:
-        """The rows of parts of one table, as they stand."""
+    def _bucket(self, table: str) -> Column:
+        return F.pmod(F.xxhash64(*TABLES[table][0]), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, spark: SparkSession, parts: list[dict], buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of parts of one table, as they stand; of parts that are dealt, those of ``buckets`` if they are given."""
         plain, dealt = ([f"{self.path}/{p['name']}" for p in parts if (p["level"] > 0) == level] for level in (False, True))
         if not parts:
             return None
         reader = spark.read.schema(StructType.fromJson(json.loads(parts[-1]["schema"])))
         some = [reader.parquet(*plain)] if plain else []
-        some += [reader.parquet(x).drop("bucket") for x in dealt]
+        some += [(rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket") for rows in map(reader.parquet, dealt)]
         return reduce(DataFrame.unionByName, some)
 
     def table(self, spark: SparkSession, name: str, manifest: dict | None = None) -> DataFrame | None:
@@ -246,9 +249,12 @@ class Store:
         """The counters of a batch (COUNTED), one row: usage whose request is new is recorded, all other is a duplicate."""
         before = self.manifest(spark)
         before = before | {"parts": [p for p in before["parts"] if not (p["level"] == 0 and p["batch"] == batch)]}
-        known, spans = (self._rows(spark, [p for p in before["parts"] if p["table"] == t]) for t in ("requests", "spans"))
-        usage = signals.filter("signal = 'usage'")
-        keys = usage.select(*KEY).distinct()
+        requests, spans = ([p for p in before["parts"] if p["table"] == t] for t in ("requests", "spans"))
+        spans = self._rows(spark, spans)
+        keys = signals.filter("signal = 'usage'").select(*KEY).distinct()
+        # whether a request is new is asked of the keys in the buckets that the batch touches
+        touched = [r[0] for r in keys.select(self._bucket("requests")).distinct().collect()]
+        known = self._rows(spark, requests, touched)
         new = keys if known is None else keys.join(known.select(*KEY), list(KEY), "left_anti")
         files = signals.filter("signal = 'span'").select("file_id").distinct()
         skipped = None if spans is None else spans.select("file_id").distinct().join(files, "file_id", "left_anti")

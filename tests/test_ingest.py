@@ -240,7 +240,7 @@ def one_partition(spark):
 
 def test_a_kill_between_any_two_writes(spark, one_partition, tmp_path, monkeypatch):
     """Readers see a whole batch or none of it, and a replay gives what an undisturbed run gives."""
-    good = Store(str(tmp_path / "good"), fanout=2)
+    good = Store(str(tmp_path / "good"), fanout=2, buckets=4)
     want = []
     for k, lines in enumerate(A_LINES):
         good.ingest(signals_of(spark, k, lines), k)
@@ -248,7 +248,7 @@ def test_a_kill_between_any_two_writes(spark, one_partition, tmp_path, monkeypat
     last = want[-1]
     assert len(last["facts"]) == 5 and len(last["failures"]) == 1 and sum("request_failed" in r for r in last["anomalies"]) == 1 and sum("malformed_line" in r for r in last["anomalies"]) == 1
     write, publish = Store._write, Store._publish
-    before = Store(str(tmp_path / "before"), fanout=2)
+    before = Store(str(tmp_path / "before"), fanout=2, buckets=4)
     for k in (0, 1):
         before.ingest(signals_of(spark, k, A_LINES[k]), k)
     steps = 0
@@ -257,7 +257,7 @@ def test_a_kill_between_any_two_writes(spark, one_partition, tmp_path, monkeypat
         pass
 
     for at in range(100):
-        store = Store(str(tmp_path / f"killed{at}"), fanout=2)
+        store = Store(str(tmp_path / f"killed{at}"), fanout=2, buckets=4)
         shutil.copytree(before.path, store.path)
         steps = 0
 
