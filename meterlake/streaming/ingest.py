@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..sources.producers import PRODUCERS, Producer, facts_from_signals
+from ..sources.producers import PRODUCERS, Producer, daily_gauge_document, facts_from_signals
 from . import tail
 from .store import Store
 
 
+#: Characters of a gauge's document that are looked at.
+MAX_DOCUMENT = 1 << 20
+
+
 def producers(roots: dict[str, str]) -> list[Producer]:
     return [p for p in PRODUCERS if p.adapter_id in roots]
 
@@ -110,6 +114,27 @@ def passes(spark: SparkSession, base: str, adapters: Iterable[str]) -> DataFrame
     return _together(t.withColumn("adapter_id", F.lit(a)) for a, t in tables.items() if t is not None)
 
 
+def sample_gauge(spark: SparkSession, path: str, base: str) -> DataFrame | None:
+    """(day, tokens): the largest values so far of a counter that an application keeps in one small document and drops at midnight.
+
+    It has no model, no request and no split, so it has a store of its own and reaches no total. A document that cannot be
+    read, does not parse or names no day changes nothing; neither does a value that is known.
+    """
+    days = Store(os.path.join(base, "gauge", "store"))
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            text = f.read(MAX_DOCUMENT)
+    except OSError:
+        return days.table(spark, "gauge")
+    now = daily_gauge_document(spark.createDataFrame([(text,)], "value string"))
+    known = days.table(spark, "gauge")
+    if known is not None:
+        now = now.join(known.withColumnRenamed("tokens", "__known"), "day", "left").filter("__known is null or tokens > __known").select("day", "tokens")
+    if not now.isEmpty():
+        days.commit(spark, days.manifest(spark)["batch"] + 1, {"gauge": now}, [])
+    return days.table(spark, "gauge")
+
+
 def ledger_cursors(spark: SparkSession, base: str, adapter_id: str = "codex") -> DataFrame:
     """(file_id, session_id, model_id, number, ordinal, counters): the state that a restarted ledger goes on with, from the stream's state store."""
     state = spark.read.format("statestore").load(os.path.join(base, adapter_id, "checkpoint"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.usage import FAILED
-from ..operators.merge import KEY, combine, finish, states
+from ..operators.merge import KEY, combine, daily_gauge, finish, states
 from ..sources.producers import Parsed, facts_from_signals
 
 #: Manifests that stay, for readers that began with them.
@@ -55,6 +55,7 @@ TABLES: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = {
     "anomalies": (("file_id",), lambda rows: rows.distinct()),
     "spans": (("file_id",), _append),
     "passes": (("batch",), _append),
+    "gauge": (("day",), lambda rows: daily_gauge(rows, "day", "tokens")),
 }
 
 
@@ -194,7 +195,7 @@ class Store:
         parts = [p for p in before["parts"] if not (p["level"] == 0 and p["batch"] == batch)]
         parts = self._compacted(spark, parts)
         parts += [self._write(rows, table, 0, batch) for table, rows in tables.items()]
-        read = {(r["file_id"], r["begin"]) for r in tables["spans"].select("file_id", F.col("ordinal").alias("begin")).collect()} if before["failed"] else set()
+        read = {(r["file_id"], r["begin"]) for r in tables["spans"].select("file_id", F.col("ordinal").alias("begin")).collect()} if before["failed"] and "spans" in tables else set()
         still = {k: [r for r in rows if (r["file_id"], r["begin"]) not in read] for k, rows in before["failed"].items() if int(k) != batch}
         still = {k: rows for k, rows in still.items() if rows} | ({str(batch): failed} if failed else {})
         manifest = {"version": before["version"] + 1, "batch": batch, "parts": parts, "failed": still}

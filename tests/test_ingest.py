@@ -478,3 +478,24 @@ def test_following(spark, one_partition, tmp_path):
     assert shown(ingest.facts(spark, base, roots)) == shown(sync(spark, roots))
     assert ingest.facts(spark, base, ["copilot"]) is None and {p.adapter_id for p in PRODUCERS} >= set(roots)
     assert facts_from_signals(parse_a(batch_lines(spark, roots["claude_code"]))).count() >= 4
+
+
+def test_a_gauge_is_sampled(spark, one_partition, tmp_path):
+    """Values of a day only grow, days stay when the document drops them, and what is no reading changes nothing."""
+    path, base = tmp_path / "gauge.json", str(tmp_path / "base")
+
+    def sampled(text):
+        if text is not None:
+            path.write_text(text)
+        got = ingest.sample_gauge(spark, str(path), base)
+        return None if got is None else sorted((r.day, r.tokens) for r in got.collect())
+
+    assert sampled(None) is None and sampled("nonsense") is None
+    assert sampled('{"tokens-today":{"date":"2024-01-01","tokens":0}}') == [("2024-01-01", 0)]
+    assert sampled('{"tokens-today":{"date":"2024-01-01","tokens":70}}') == [("2024-01-01", 70)]
+    version = ingest.Store(os.path.join(base, "gauge", "store")).manifest(spark)["version"]
+    assert sampled('{"tokens-today":{"date":"2024-01-01","tokens":9}}') == [("2024-01-01", 70)] and sampled('{"tokens-today":{"date":" ","tokens":9}}') == [("2024-01-01", 70)]
+    assert ingest.Store(os.path.join(base, "gauge", "store")).manifest(spark)["version"] == version
+    assert sampled('{"tokens-today":{"date":"2024-01-02","tokens":5}}') == [("2024-01-01", 70), ("2024-01-02", 5)]
+    path.unlink()
+    assert sampled(None) == [("2024-01-01", 70), ("2024-01-02", 5)]
