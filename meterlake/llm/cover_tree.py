@@ -11,12 +11,12 @@ tiles whose balls can hold a pair within the linking distance are traversed from
 * else the children are paired; pairs of leaves are decided in double precision.
 A traversal returns counts of links per vector and a spanning forest of them, never all pairs.
 
-Which tiles meet is found by levels of balls: GROUP tiles are a group, groups are bundles, and only the
-bundles' balls (at most about MAX_BUNDLES) pass through the driver. Pairs of bundles that can hold a
-link compare their groups' balls, pairs of groups that can are exchanged. A tile is bounded by bytes, so
-a task holds two groups, 2 x GROUP x TILE_BYTES with the trees about twice that, whatever the number of
-vectors: of 10^9 with 768 dimensions some 180,000 tiles of 5,461 vectors (32 MB), 45,000 groups, 4,096
-bundles of 11 groups and 25 MB of balls on the driver; a task holds 256 MB of vectors.
+Which tiles meet is found by levels of balls: tiles of GROUP_BYTES together are a group, groups are
+bundles, and only the bundles' balls (at most about MAX_BUNDLES) pass through the driver. Pairs of bundles
+that can hold a link compare their groups' balls, pairs of groups that can are exchanged. Tiles and groups
+are bounded by bytes, so a task holds 2 x GROUP_BYTES, with the trees about twice that, whatever the
+number of vectors: of 10^9 with 768 dimensions some 244,000 tiles of 4,096 vectors (25 MB), 49,000 groups,
+4,096 bundles of 12 groups and 25 MB of balls on the driver; a task holds 256 MB of vectors.
 
 Identical vectors are one class; a class of n gives n - 1 links to each of its members.
 
@@ -48,8 +48,8 @@ PIVOTS = 64
 TILE = 4096
 #: Bytes of vectors in a tile at most.
 TILE_BYTES = 32 << 20
-#: Tiles that are exchanged together at most.
-GROUP = 4
+#: Bytes of the tiles that are exchanged together at most: the more, the fewer copies of each.
+GROUP_BYTES = 128 << 20
 #: Bundles of groups, about, whose balls pass through the driver.
 MAX_BUNDLES = 4096
 #: Nodes of up to this many vectors are not divided.
@@ -356,6 +356,12 @@ def tile_rows(dim: int, most: int = TILE, size: int = TILE_BYTES) -> int:
     return max(1, min(most, size // (8 * max(dim, 1))))
 
 
+def group_tiles(dims: list[int], tiles: int, most: int = TILE, size: int = TILE_BYTES) -> int:
+    """Tiles in a group: as many of the largest as GROUP_BYTES hold, but enough groups to keep tasks busy."""
+    largest = max((8 * d * tile_rows(d, most, size) for d in dims), default=1)
+    return max(1, min(GROUP_BYTES // max(largest, 1), tiles // 16))
+
+
 def _enclosing(balls: DataFrame, key: str) -> DataFrame:
     """A ball around all balls (dim, ``key``, center, radius) of each key."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -472,7 +478,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, tile: int = T
 
     blobs = cut(dealt.groupBy("tile").applyInPandas(blob, BLOB))
     tiles = sum(c[2] for c in cells)
-    group = max(1, min(GROUP, tiles // 16))
+    group = group_tiles([c[1] for c in cells], tiles, tile, tile_bytes)
     bundle = group * max(1, -(-tiles // (group * bundles)))
     blobs = blobs.withColumn("grp", F.floor(F.col("tile") / group))
     groups = cut(_enclosing(blobs.select("dim", "grp", "center", "radius"), "grp"))

@@ -814,11 +814,14 @@ def test_tiles_meet_through_balls_of_balls(spark, tile, size, bundles):
 
 
 def test_bounds_of_tiles():
-    """A task's two groups hold at most 2 x GROUP x TILE_BYTES of vectors, at any dimension."""
+    """A task's two groups hold at most 2 x GROUP_BYTES of vectors, at any dimension and number of tiles."""
     for dim in (1, 64, 768, 4096, 100_000):
         rows = cover_tree.tile_rows(dim)
         assert rows >= 1 and (rows * dim * 8 <= cover_tree.TILE_BYTES or rows == 1)
-    assert 2 * cover_tree.GROUP * cover_tree.TILE_BYTES <= 256 << 20
+        for tiles in (1, 100, 10**6):
+            group = cover_tree.group_tiles([2, dim], tiles)
+            assert group >= 1 and group * rows * dim * 8 <= cover_tree.GROUP_BYTES
+    assert cover_tree.group_tiles([64], 10**6) == 64 and cover_tree.group_tiles([768], 10**6) == 5
 
 
 def test_meeting_groups(spark):
