@@ -38,6 +38,8 @@ HEAD = 4096
 CHUNK = 1024 * 1024
 #: Bytes of a file that one task reads.
 SPAN_BYTES = 64 * 1024 * 1024
+#: Tasks that a reading is dealt to, about, and bytes that a task of small files reads at least.
+TASKS, LEAST_BYTES = 64, 1024 * 1024
 #: Bytes that one trigger admits, unless told otherwise.
 MAX_BYTES = 64 * 1024 * 1024 * 1024
 #: Files of a sample, and bytes of each.
@@ -164,6 +166,27 @@ def cut_spans(file_id: str, path: str, begin: int, end: int) -> list[Span]:
     return spans
 
 
+class Task(InputPartition):
+    """Spans that one task reads, in order: a large one or several of small files."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+
+
+def packed(spans: list[Span]) -> list[Task]:
+    """Spans dealt to tasks of about a TASKS-th of all bytes, at least LEAST_BYTES and at most SPAN_BYTES each."""
+    size = min(max(sum(s.end - s.begin for s in spans) // TASKS, LEAST_BYTES), SPAN_BYTES)
+    tasks: list[Task] = []
+    room = 0
+    for span in spans:
+        if room <= 0:
+            tasks.append(Task([]))
+            room = size
+        tasks[-1].spans.append(span)
+        room -= max(span.end - span.begin, 1)
+    return tasks
+
+
 class _Reader:
     """What batches and streams share: options, and the rows of a span."""
 
@@ -176,9 +199,11 @@ class _Reader:
     def open(self, path: str) -> BinaryIO:
         return open(path, "rb")
 
-    def read(self, span: Span | None) -> Iterator[tuple]:
-        if span is None:  # there are no files
-            return
+    def read(self, task: Task | None) -> Iterator[tuple]:
+        for span in task.spans if task is not None else ():  # None: there are no files
+            yield from self._rows(span)
+
+    def _rows(self, span: Span) -> Iterator[tuple]:
         place, seen, error = span.begin, 0, None
         lines = None
         try:
@@ -200,13 +225,13 @@ class _Reader:
 class TailBatchReader(_Reader, DataSourceReader):
     """All whole lines of the files as they are now, or of the last ``tail_bytes`` of the ``newest`` ones."""
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Task]:
         files = Listing(self.root, self.glob).files()
         tail = self.options.get("tail_bytes")
         if tail is None:
-            return [s for f in files.values() for s in cut_spans(f.file_id, f.path, 0, f.size)]
+            return packed([s for f in files.values() for s in cut_spans(f.file_id, f.path, 0, f.size)])
         some = newest(files, int(self.options["newest"]))
-        return [Span(f.file_id, f.path, max(0, f.size - int(tail)), f.size, f.size > int(tail)) for f in some]
+        return packed([Span(f.file_id, f.path, max(0, f.size - int(tail)), f.size, f.size > int(tail)) for f in some])
 
 
 class TailReader(_Reader, DataSourceStreamReader):
@@ -260,7 +285,7 @@ class TailReader(_Reader, DataSourceStreamReader):
         self._known = end
         return end
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Task]:
         spans = []
         for file_id, to in end.items():
             if file_id == AGAIN:
@@ -275,7 +300,7 @@ class TailReader(_Reader, DataSourceStreamReader):
                     path = end.get(row["file_id"], row)["path"]
                     spans.append(Span(row["file_id"], path, row["begin"], row["end"]))
         self._known = {**start, **end, **self._known}
-        return spans
+        return packed(spans)
 
     def commit(self, end: dict) -> None:
         self._known = {**end, **self._known}
