@@ -17,19 +17,16 @@ def reconcile(events: DataFrame, by: str, order: list[str], counters: list[str],
     the step from the vector at which the total last moved. ``last`` names nullable columns
     ``{last}_{counter}``; ``total`` is the cumulative total and ``{last}_total`` its last.
     """
-    w = W.partitionBy(by).orderBy(*order)
+    earlier = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)  # one window, so one sort
     has = F.col(total).isNotNull()
     names = [*counters, "total"]
-    data = events.withColumn("__has", has.cast("int"))
-    wd = W.partitionBy(by, "__has").orderBy(*order)
-    lasts = F.struct(*[F.col(f"{last}_{c}") for c in names])
-    data = data.withColumns({"__before": F.lag(total).over(wd), "__last": lasts, "__n": F.row_number().over(wd)})
-    data = data.withColumn("__last_before", F.lag("__last").over(wd))
+    data = events.withColumns({"__before": F.last(total, ignorenulls=True).over(earlier), "__last": F.struct(*[F.col(f"{last}_{c}") for c in names])})
+    data = data.withColumn("__last_before", F.last(F.when(has, F.col("__last")), ignorenulls=True).over(earlier))
     moved = F.when(has & (F.col("__before").isNull() | (F.col(total) != F.col("__before"))), F.struct(*counters, F.col(total).alias("total")))
-    data = data.withColumn("__base", F.last(moved, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    data = data.withColumn("__base", F.last(moved, ignorenulls=True).over(earlier))
     same = F.col("__last").eqNullSafe(F.col("__last_before"))
     kind = (
-        F.when(~has, "no_data").when(F.col("__n") == 1, "turn").when(F.col(total) < F.col("__before"), "reset")
+        F.when(~has, "no_data").when(F.col("__before").isNull(), "turn").when(F.col(total) < F.col("__before"), "reset")
         .when(F.col(total) > F.col("__before"), "turn").when(same, "replay").otherwise("off_ledger")
     )
     data = data.withColumn("kind", kind)
@@ -42,7 +39,7 @@ def reconcile(events: DataFrame, by: str, order: list[str], counters: list[str],
             .when(F.col("kind") == "reset", F.when(F.col(f"{last}_total").isNull(), now).otherwise(own))
             .when(F.col("kind") == "off_ledger", F.coalesce(own, F.lit(0)))
         )
-    return data.withColumns(deltas).drop("__has", "__before", "__last", "__last_before", "__n", "__base")
+    return data.withColumns(deltas).drop("__before", "__last", "__last_before", "__base")
 
 
 def carry_forward(df: DataFrame, by: str, order: list[str], column: str, name: str) -> DataFrame:

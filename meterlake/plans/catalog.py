@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, usage
@@ -380,9 +381,22 @@ def normalize_b(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).withColumns(bands).filter("not invalid").select("event_id", "input_fresh", "cache_read", "output_total", "unclassified", "reasoning", "discrepancy")
 
 
-def dealt(lines: DataFrame) -> DataFrame:
-    """Generated lines as if read from files: written out once, in as many parts as there are cores."""
-    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+def text(template: str, *values: Column) -> Column:
+    """``format_string`` of a template with %d and %s as a concatenation, which sets up no formatter per row; NULL is ``null`` there too."""
+    first, *rest = re.split("%[ds]", template)
+    pairs = (x for v, after in zip(values, rest, strict=True) for x in (F.coalesce(v.cast("string"), F.lit("null")), F.lit(after)))
+    return F.concat(F.lit(first), *pairs)
+
+
+def dealt(spark: SparkSession, d: str) -> DataFrame:
+    """Events in as many parts as there are cores, dealt before lines are made of them: lines are longer, and are made and read in one task."""
+    return events(spark, d).repartition(spark.sparkContext.defaultParallelism, "event_id")
+
+
+def lines_of(rows: DataFrame, line: Column) -> DataFrame:
+    """A line per event. It passes a generator, so that filters and readers of ``value`` do not make it again."""
+    made = rows.select(line.alias("line"), "event_id")
+    return made.select(F.lit("f").alias("file_id"), F.col("event_id").alias("ordinal"), F.explode(F.array("line")).alias("value"))
 
 
 def _span_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -390,19 +404,20 @@ def _span_lines(spark: SparkSession, d: str) -> DataFrame:
     k, e = F.col("k"), F.col("event_id")
 
     def attribute(key: str, value):
-        return F.format_string('{"key":"%s","value":{"intValue":%s}}', F.lit(key), value)
+        return text('{"key":"%s","value":{"intValue":%s}}', F.lit(key), value)
 
     quoted = F.when(e % 2 == 0, F.concat(F.lit('"'), 10 * k, F.lit('"'))).otherwise((10 * k).cast("string"))
     parts = [
-        attribute("gen_ai.usage.input_tokens", quoted), attribute("gen_ai.usage.output_tokens", k.cast("string")),
-        attribute("gen_ai.usage.cache_read.input_tokens", ((e % 12) * k).cast("string")),
-        F.when(e % 3 == 0, attribute("gen_ai.usage.reasoning.output_tokens", (k - e % 2).cast("string"))),
-        F.format_string('{"key":"gen_ai.conversation.id","value":{"stringValue":"c%d"}}', F.col("user_id")),
+        attribute("gen_ai.usage.input_tokens", quoted), attribute("gen_ai.usage.output_tokens", k),
+        attribute("gen_ai.usage.cache_read.input_tokens", (e % 12) * k),
+        F.when(e % 3 == 0, attribute("gen_ai.usage.reasoning.output_tokens", k - e % 2)),
+        text('{"key":"gen_ai.conversation.id","value":{"stringValue":"c%d"}}', F.col("user_id")),
     ]
     name = F.when(e % 10 == 9, "invoke_agent").otherwise("chat")
-    span = F.concat(F.format_string('{"name":"%s","spanId":"x%d","traceId":"t","endTimeUnixNano":"%d","attributes":[', name, e, F.lit(1_700_000_000_000_000_000) + e * 1_000_000_000), F.concat_ws(",", *parts), F.lit("]}"))
-    line = F.when(e % 4 == 0, F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":['), span, F.lit("]}]}]}"))).otherwise(span)
-    return dealt(events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value")))
+    span = F.concat(text('{"name":"%s","spanId":"x%d","traceId":"t","endTimeUnixNano":"%d","attributes":[', name, e, F.lit(1_700_000_000_000_000_000) + e * 1_000_000_000), F.concat_ws(",", *parts), F.lit("]}"))
+    wrap = e % 4 == 0
+    line = F.concat(F.when(wrap, '{"resourceSpans":[{"scopeSpans":[{"spans":[').otherwise(""), span, F.when(wrap, "]}]}]}").otherwise(""))
+    return lines_of(dealt(spark, d), line)
 
 
 @query(f"""{NATIVE} SELECT 'c' || user_id AS session_id, 'x' || event_id AS dedup_key, (10 - event_id % 12) * k AS input_fresh, (event_id % 12) * k AS cache_read, k AS output_total,
@@ -422,13 +437,13 @@ def anomalies_c(spark: SparkSession, d: str) -> DataFrame:
 def _transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as transcript lines: failures, lines without keys, malformed ones and other types among them."""
     k, e = F.col("k"), F.col("event_id")
-    usage_ = F.format_string('{"input_tokens":%d,"output_tokens":%d,"cache_creation_input_tokens":%d,"cache_read_input_tokens":%d,"cache_creation":{"ephemeral_5m_input_tokens":%d,"ephemeral_1h_input_tokens":%d}}', 2 * k, k, 5 * k, 3 * k, F.when(e % 5 == 0, 4 * k).otherwise(5 * k), F.lit(0))
+    usage_ = text('{"input_tokens":%d,"output_tokens":%d,"cache_creation_input_tokens":%d,"cache_read_input_tokens":%d,"cache_creation":{"ephemeral_5m_input_tokens":%d,"ephemeral_1h_input_tokens":%d}}', 2 * k, k, 5 * k, 3 * k, F.when(e % 5 == 0, 4 * k).otherwise(5 * k), F.lit(0))
     model = F.when(F.col("event_type") == "error", "<synthetic>").otherwise("m1")
-    message = F.format_string('"message":{"id":"g%d","model":"%s","usage":%s}', e, model, usage_)
-    keys = F.when(e % 13 == 0, F.lit("")).otherwise(F.format_string('"requestId":"r%d",', e))
-    body = F.concat(F.lit('{"type":"assistant","timestamp":"2024-01-02T03:04:05.678Z",'), keys, F.format_string('"sessionId":"s%d",', F.col("user_id")), message, F.lit("}"))
+    message = text('"message":{"id":"g%d","model":"%s","usage":%s}', e, model, usage_)
+    keys = F.when(e % 13 == 0, F.lit("")).otherwise(text('"requestId":"r%d",', e))
+    body = F.concat(F.lit('{"type":"assistant","timestamp":"2024-01-02T03:04:05.678Z",'), keys, text('"sessionId":"s%d",', F.col("user_id")), message, F.lit("}"))
     line = F.when(e % 29 == 0, F.lit('{"type":"assistant","message":{"usage":"x"}}')).when(e % 31 == 0, F.lit('{"type":"user","text":"nothing"}')).otherwise(body)
-    return dealt(events(spark, d).select(F.lit("f").alias("file_id"), e.alias("ordinal"), line.alias("value")))
+    return lines_of(dealt(spark, d), line)
 
 
 @query(f"""{NATIVE} SELECT 's' || user_id AS session_id, CASE WHEN event_id % 13 = 0 THEN 'g' || event_id ELSE 'r' || event_id || ':g' || event_id END AS dedup_key, 2 * k AS input_fresh, k AS output_total, 3 * k AS cache_read,

@@ -39,12 +39,12 @@ def rollout_lines(spark: SparkSession, d: str) -> DataFrame:
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
     def usage(inp, out, total):
-        return F.format_string('{"input_tokens":%d,"output_tokens":%d,"total_tokens":%d}', inp, out, total)
+        return c.text('{"input_tokens":%d,"output_tokens":%d,"total_tokens":%d}', inp, out, total)
 
     info = F.concat(F.lit('{"total_token_usage":'), usage(F.col("inp"), F.col("out"), F.col("cumulative")), F.lit(',"last_token_usage":'), usage(F.col("last_inp"), F.col("last_out"), F.col("last_total")), F.lit("}"))
-    count = F.format_string('{"timestamp":"%s","type":"event_msg","payload":{"type":"token_count","info":%s}}', at, F.when(F.col("inp").isNotNull(), info).otherwise("null"))
-    model = F.when(F.col("event_type") == "signup", F.format_string('{"type":"turn_context","payload":{"model":"m%d"}}', F.col("event_id") % 4))
-    session = F.when(F.col("n") == F.col("user_id") % 6 + 1, F.format_string('{"type":"session_meta","payload":{"id":"s%d"}}', F.col("user_id")))
+    count = c.text('{"timestamp":"%s","type":"event_msg","payload":{"type":"token_count","info":%s}}', at, F.when(F.col("inp").isNotNull(), info).otherwise("null"))
+    model = F.when(F.col("event_type") == "signup", c.text('{"type":"turn_context","payload":{"model":"m%d"}}', F.col("event_id") % 4))
+    session = F.when(F.col("n") == F.col("user_id") % 6 + 1, c.text('{"type":"session_meta","payload":{"id":"s%d"}}', F.col("user_id")))
     each = flat.select(F.concat(F.lit("u"), "user_id").alias("file_id"), "n", F.posexplode(F.array(session, model, count)).alias("i", "value"))
     lines = each.filter("value is not null").select("file_id", (F.col("n") * 3 + F.col("i")).cast("long").alias("ordinal"), "value")
     return lines.repartition("file_id")  # written out once; a file's lines are together then
@@ -68,8 +68,8 @@ def parse_rollouts(spark: SparkSession, d: str) -> DataFrame:
 
 def _sources(spark: SparkSession, d: str) -> tuple[producers.Parsed, ...]:
     e, user = F.col("event_id"), F.col("user_id")
-    retry = F.format_string('{"type":"system","subtype":"api_error","sessionId":"s%d","retryAttempt":2}', user)
-    compacted = F.format_string('{"type":"system","subtype":"compact_boundary","sessionId":"s%d","preTokens":999000}', user)
+    retry = c.text('{"type":"system","subtype":"api_error","sessionId":"s%d","retryAttempt":2}', user)
+    compacted = c.text('{"type":"system","subtype":"compact_boundary","sessionId":"s%d","preTokens":999000}', user)
     system = events(spark, d).select(F.lit("sys").alias("file_id"), e.alias("ordinal"), F.when(e % 37 == 0, retry).when(e % 41 == 0, compacted).alias("value"))
     lines = c._transcript_lines(spark, d).unionByName(system.filter("value is not null"))
     return producers.parse_a(lines), producers.parse_b(rollout_lines(spark, d)), producers.parse_c(c._span_lines(spark, d))

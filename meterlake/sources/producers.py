@@ -69,12 +69,18 @@ def candidate(producer: str, value: str = "value") -> Column:
     return out
 
 
-def _once(df: DataFrame, name: str, value: Column, *keep: str | Column) -> DataFrame:
-    """``keep`` and a value that later columns and filters read but do not compute again.
+def _beside(df: DataFrame, generator: Callable[[str], Column], value: Column, *keep: str) -> DataFrame:
+    """``keep`` beside what a generator makes of a value.
 
-    All of it goes through the generator: the optimizer may lose columns that stand beside one.
+    The value is computed before and is the first column: the optimizer leaves out a generator's input by its
+    place, which must not move when other columns are pruned later (else it may lose one of those).
     """
-    return df.select(F.explode(F.array(F.struct(*keep, value.alias(name)))).alias("__o")).select("__o.*")
+    return df.select(value.alias("__in"), *keep).select(*keep, generator("__in"))
+
+
+def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """``keep`` and a value that later columns and filters read but do not compute again, as it passes a generator."""
+    return _beside(df, lambda v: F.explode(F.array(v)).alias(name), value, *keep)
 
 
 def _parsed(lines: DataFrame, producer: str, schema: str) -> DataFrame:
@@ -95,17 +101,20 @@ def _instant(text: Column, ingested_at: str | None) -> Column:
 
 
 def _tags(*cases: tuple[Column, str, str | None]) -> Column:
-    """(signal, kind) of the cases that hold; a report is a span, and its error the kind."""
+    """(signal, kind) of each case, NULL where it does not hold; a report is a span, and its error the kind."""
     tag = [F.when(when, F.struct(F.lit(signal).alias("signal"), F.lit(kind).cast("string").alias("kind"))) for when, signal, kind in cases]
     span = F.when(F.col("lines").isNotNull(), F.struct(F.lit("span").alias("signal"), F.col("error").alias("kind")))
-    return F.array_compact(F.array(span, *tag))
+    return F.array(span, *tag)
 
 
-def _signals(rows: DataFrame, adapter: str, tags: Column) -> DataFrame:
-    """Rows of SIGNAL, one for each tag of a row; columns that a producer does not have are NULL."""
-    own = [c for c in SIGNAL if c in rows.columns and c not in ("adapter_id", "signal", "kind")]
-    each = rows.select(F.explode(F.transform(tags, lambda t: F.struct(t["signal"].alias("signal"), t["kind"].alias("kind"), *own))).alias("__s")).select("__s.*")
-    each = each.withColumn("adapter_id", F.lit(adapter))
+def _signals(rows: DataFrame, adapter: str, tags: Column, columns: dict[str, Column]) -> DataFrame:
+    """Rows of SIGNAL, one for each tag of a row; columns that a producer does not have are NULL.
+
+    ``columns`` are computed of what earned a tag and only if somebody reads them. Tags and columns are apart
+    also because one generated method with both is too long for the JVM to compile.
+    """
+    each = _beside(rows, lambda t: F.explode(t).alias("__tag"), tags, *rows.columns).filter("__tag is not null").withColumns(columns)
+    each = each.withColumns({"adapter_id": F.lit(adapter), "signal": F.col("__tag.signal"), "kind": F.col("__tag.kind")})
     return each.select(*((F.col(c) if c in each.columns else F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in SIGNAL))
 
 
@@ -151,18 +160,26 @@ def parse_a(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     failed = turn & (F.coalesce(message["model"] == SYNTHETIC, F.lit(False)) | F.coalesce(j["isApiErrorMessage"], F.lit(False)))
     used = turn & ~failed & u.isNotNull()
     both = F.when(j["requestId"].isNotNull() & message["id"].isNotNull(), F.concat_ws(":", j["requestId"], message["id"]))
-    rows = _parsed(lines, "a", SCHEMA_A).withColumns({
-        **bands, "dedup_key": F.when(failed, F.coalesce(j["requestId"], j["uuid"], F.lit("failed"))).otherwise(F.coalesce(both, j["requestId"], message["id"])),
+    name = F.coalesce(both, j["requestId"], message["id"])
+    columns = {
+        **bands, "dedup_key": F.when(F.col("is.failed"), F.coalesce(j["requestId"], j["uuid"], F.lit("failed"))).otherwise(name),
         "session_id": j["sessionId"], "model_id": message["model"], "occurred_at": _instant(j["timestamp"], ingested_at), "request_kind": F.lit("turn"),
         "measurement_source": F.lit("provider_exact"), "is_sidechain": F.coalesce(j["isSidechain"], F.lit(False)), "attempt": F.coalesce(j["retryAttempt"], F.lit(1)),
         "pre_tokens": j["preTokens"], "post_tokens": j["postTokens"], "raw_json": F.to_json(u), "position": F.lit(0),
-    })
+    }
+    known = j["requestId"].isNotNull() | message["id"].isNotNull()
+    earned = {
+        "failed": failed, "used": used & known, "nameless": used & ~known, "odd": used & bands["discrepancy"],
+        "again": system & (j["subtype"] == "api_error"), "smaller": system & (j["subtype"] == "compact_boundary"),
+    }
+    rows = _parsed(lines, "a", SCHEMA_A)
+    rows = _once(rows, "is", F.struct(*(v.alias(k) for k, v in earned.items())), *rows.columns)
     tags = _tags(
-        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (failed, "failure", None),
-        (used & F.col("dedup_key").isNotNull(), "usage", None), (used & F.col("dedup_key").isNull(), "anomaly", "no_dedup_key"), (used & F.col("discrepancy"), "anomaly", "provider_self_inconsistent"),
-        (system & (j["subtype"] == "api_error"), "retry", None), (system & (j["subtype"] == "compact_boundary"), "compacted", None),
+        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (F.col("is.failed"), "failure", None),
+        (F.col("is.used"), "usage", None), (F.col("is.nameless"), "anomaly", "no_dedup_key"), (F.col("is.odd"), "anomaly", "provider_self_inconsistent"),
+        (F.col("is.again"), "retry", None), (F.col("is.smaller"), "compacted", None),
     )
-    return Parsed(_signals(rows, "claude_code", tags))
+    return Parsed(_signals(rows, "claude_code", tags, columns))
 
 
 def ledger_events(lines: DataFrame, ingested_at: str | None = None) -> DataFrame:
@@ -217,17 +234,17 @@ def parse_b(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
         before = W.partitionBy("file_id").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
         rows = rows.withColumn("number", F.sum(F.col("__used").cast("long")).over(before))
     native = F.struct(*(F.col(f"delta_{c}").alias(c) for c in COUNTERS), F.col("delta_total").alias("total_tokens"))
-    rows = rows.withColumns({
+    columns = {
         "dedup_key": F.concat_ws(":", "number", "request_kind"), "measurement_source": F.when(off, "provider_off_ledger").otherwise("provider_cumulative_delta"),
         "is_sidechain": F.lit(False), "raw_json": F.to_json(native), "position": F.lit(0),
-    })
+    }
     tags = _tags(
         (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (F.col("lost"), "anomaly", "usage_before_session"),
         (F.col("step_kind") == "reset", "anomaly", "cumulative_rebased"), (emitted & F.col("invalid"), "anomaly", "normalize_failed"),
         (F.col("__used") & F.col("discrepancy"), "anomaly", "provider_self_inconsistent"), (F.col("__used"), "usage", None),
         (F.col("compacted") & F.col("session_id").isNotNull(), "compacted", None),
     )
-    return Parsed(_signals(rows, "codex", tags))
+    return Parsed(_signals(rows, "codex", tags, columns))
 
 
 def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
@@ -243,15 +260,16 @@ def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
     keep = ("file_id", "ordinal", "oversize", "bad", *REPORT)
     # a line without spans stays as one row, for its anomalies
     found = F.when(j["resourceSpans"].isNotNull(), spans).when(~F.col("oversize") & ~F.col("bad"), bare)
-    placed = F.transform(found, lambda s, i: F.struct(*keep, i.alias("position"), s.alias("s")))
-    none = F.array(F.struct(*keep, F.lit(None).cast("int").alias("position"), F.lit(None).cast(_SPAN).alias("s")))
-    each = rows.select(F.explode(F.when(F.size(placed) > 0, placed).otherwise(none)).alias("__e")).select("__e.*")
+    each = _beside(rows, lambda v: F.posexplode_outer(v).alias("position", "s"), found, *keep)
+    each = _once(each, "back", F.reverse("s.attributes"), *keep, "position", "s")  # the last of a key is the first then
 
     def attribute(key: str) -> Column:
-        return F.try_element_at(F.filter("s.attributes", lambda a: (a["key"] == key) & a["value"].isNotNull()), F.lit(-1))["value"]
+        place = F.array_position("back.key", key).cast("int")
+        known = F.filter("back", lambda a: (a["key"] == key) & a["value"].isNotNull())  # looked for only if the last has no value
+        return F.coalesce(F.get("back.value", place - 1), F.when(place > 0, F.get(known, F.lit(0))["value"]))
 
     found = F.struct(*(attribute(key).alias(name) for name, key in ATTRIBUTES.items()))
-    each = _once(each, "v", found, *keep, "position", F.col("s").dropFields("attributes").alias("s"))
+    each = _once(each, "v", found, *keep, "position", "s")
 
     def number(name: str) -> Column:
         v, whole = F.col(f"v.{name}.intValue"), F.col(f"v.{name}.doubleValue")
@@ -262,24 +280,26 @@ def parse_c(lines: DataFrame, ingested_at: str | None = None) -> Parsed:
         return F.coalesce(F.col(f"v.{name}.stringValue"), F.col(f"v.{name}.intValue"))
 
     numbers = F.struct(*(number(n).alias(n) for n in ("inp", "out", "read", "write", "think")), F.coalesce(text("answered"), text("asked")).alias("model"))
-    each = _once(each, "n", numbers, *keep, "position", "s", text("conversation").alias("conversation"))
+    each = _once(each.withColumn("conversation", text("conversation")), "n", numbers, *keep, "position", "s", "conversation")
     n = F.col("n")
     call = ~F.col("bad") & ~F.col("oversize") & F.coalesce(F.col("s.name") == "chat", F.lit(False)) & (n["inp"].isNotNull() | n["out"].isNotNull())
     nanos = F.coalesce(F.col("s.endTimeUnixNano").try_cast("decimal(20,0)"), F.col("s.startTimeUnixNano").try_cast("decimal(20,0)"))
     when = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
     raw = F.struct(*(n[name].alias(key) for name, key in list(ATTRIBUTES.items())[:5]), n["model"].alias("gen_ai.response.model"))
-    each = each.withColumns({
-        **bands_c(n["inp"], n["read"], n["write"], n["out"], n["think"]), "session_id": F.coalesce("conversation", "s.traceId", F.lit("unknown")), "model_id": n["model"],
+    bands = bands_c(n["inp"], n["read"], n["write"], n["out"], n["think"])
+    invalid = bands.pop("invalid")
+    columns = {
+        **bands, "session_id": F.coalesce("conversation", "s.traceId", F.lit("unknown")), "model_id": n["model"],
         "occurred_at": F.date_trunc("MILLISECOND", F.coalesce(F.timestamp_micros(F.floor(nanos / 1000).cast("long")), when)),
         "dedup_key": F.coalesce("s.spanId", F.concat_ws(":", F.lit("copilot"), "file_id", "ordinal", "position")), "request_kind": F.lit("assistant"),
         "measurement_source": F.lit("provider_otel_span"), "discrepancy": F.lit(False), "is_sidechain": F.lit(False), "raw_json": F.to_json(raw, {"ignoreNullFields": "false"}),
-    })
+    }
     cache = F.coalesce(n["read"], F.lit(0)) > F.coalesce(n["inp"], F.lit(0))
     tags = _tags(
-        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (call & ~F.col("invalid"), "usage", None),
-        (call & cache, "anomaly", "copilot_cache_exceeds_input"), (call & ~cache & F.col("invalid"), "anomaly", "copilot_reasoning_exceeds_output"),
+        (F.col("oversize"), "anomaly", "oversize_relevant_line"), (F.col("bad"), "anomaly", "malformed_line"), (call & ~invalid, "usage", None),
+        (call & cache, "anomaly", "copilot_cache_exceeds_input"), (call & ~cache & invalid, "anomaly", "copilot_reasoning_exceeds_output"),
     )
-    return Parsed(_signals(each, "copilot", tags))
+    return Parsed(_signals(each, "copilot", tags, columns))
 
 
 # Attributes of a call span.
